@@ -49,3 +49,16 @@ def sql_hash_uniform(seed, *exprs: str) -> str:
 
 def sql_hash_randint(lo: str, hi: str, seed, *exprs: str) -> str:
     return f"CAST(({lo}) + floor({sql_hash_uniform(seed, *exprs)} * (({hi}) - ({lo}) + 1)) AS BIGINT)"
+
+
+def sql_hash_bits(seed, *exprs: str) -> str:
+    """DuckDB SQL text of :func:`hash_bits`."""
+    inner = ", ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
+    return f"(('0x' || substr(md5(concat_ws(':', {inner})), 1, 8))::BIGINT)"
+
+
+def with_scalars(df, scalars):
+    """Attach the columns of a one-row aggregate (``groupBy().agg(...)``,
+    exactly one row by construction) to every row of ``df``.  The one row is
+    broadcast; no data-sized side is ever replicated."""
+    return df.crossJoin(F.broadcast(scalars))

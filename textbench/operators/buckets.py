@@ -28,38 +28,59 @@ def bucket_of(rank: Column, n: Column, b: Column) -> Column:
     return F.floor(((rank + 1) * b - 1) / n).cast("int")
 
 
-def assign_buckets(
+def label_by_rank(
     df: DataFrame,
-    buckets: int,
-    length_col: str = "length",
-    id_col: str = "id",
-    bucket_col: str = "bucket",
+    key: str,
+    tiebreak: str,
+    label_fn,
+    label_col: str,
+    coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
-    """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``."""
-    if buckets <= 0:
-        return df.withColumn(bucket_col, F.lit(None).cast("int")).limit(0)
-    tagged, groups = with_rank_groups(df, length_col, id_col, target_rows=target_rows)
-    b = F.least(F.lit(buckets).cast("long"), F.col("__n"))
+    """Add ``label_col = label_fn(rank, n)`` for a label that is monotone in
+    the (key, tiebreak) rank (bucket numbers, split names by cut point).
+
+    Groups whose first and last rank get the same label are labelled in a
+    map-only pass; only boundary-straddling groups are ranked exactly.
+    """
+    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows)
+    n = F.col("__n")
     g = (
         groups.withColumnRenamed("__rk_total", "__n")
-        .withColumn("__b", b)
-        .withColumn("__first", bucket_of(F.col("__rk_off"), F.col("__n"), F.col("__b")))
-        .withColumn("__last", bucket_of(F.col("__rk_off") + F.col("__rk_n") - 1, F.col("__n"), F.col("__b")))
+        .withColumn("__first", label_fn(F.col("__rk_off"), n))
+        .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n))
     )
     joined = tagged.join(g, [_C, _S], "inner")
-    whole = joined.filter(F.col("__first") == F.col("__last")).withColumn(bucket_col, F.col("__first"))
-    w = Window.partitionBy(_C, _S).orderBy(length_col, id_col)
+    whole = joined.filter(F.col("__first") == F.col("__last")).withColumn(label_col, F.col("__first"))
+    w = Window.partitionBy(_C, _S).orderBy(key, tiebreak)
     split = (
         joined.filter(F.col("__first") != F.col("__last"))
         .withColumn("__r", F.col("__rk_off") + F.row_number().over(w) - 1)
-        .withColumn(bucket_col, bucket_of(F.col("__r"), F.col("__n"), F.col("__b")))
+        .withColumn(label_col, label_fn(F.col("__r"), n))
         .drop("__r")
     )
-    drop = [_C, _S, "__rk_n", "__rk_off", "__n", "__b", "__first", "__last"]
+    drop = [_C, _S, "__rk_n", "__rk_off", "__n", "__first", "__last"]
     return whole.drop(*drop).unionByName(split.drop(*drop))
 
 
+def assign_buckets(
+    df: DataFrame,
+    buckets: int,
+    length_col: str = "length",
+    id_col: str = "id",
+    bucket_col: str = "bucket",
+    target_rows: int = DEFAULT_TARGET_ROWS,
+) -> DataFrame:
+    """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``."""
+    if buckets <= 0:
+        return df.withColumn(bucket_col, F.lit(None).cast("int")).limit(0)
+
+    def label(r, n):
+        return bucket_of(r, n, F.least(F.lit(buckets).cast("long"), n))
+
+    return label_by_rank(df, length_col, id_col, label, bucket_col, target_rows=target_rows)
+
+
 def length_buckets(
     stats: DataFrame,
     buckets: int = 4,

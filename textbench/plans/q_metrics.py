@@ -162,3 +162,55 @@ def txt3_token_length(spark, sf_dir):
     return out.select("model", R6("avg_ref_tokens"),
                       F.round(F.col("avg_ref_tokens") / k if k else F.lit(0.0), 6).alias("compression_ratio"),
                       "total_tokens")
+
+
+# -- A5 / A6 ----------------------------------------------------------------
+
+def _sql_replicates(n_boot: int, seed: int = 42) -> str:
+    from textbench.operators.bootstrap import sql_poisson_weight, sql_replicate_uniform
+
+    u = sql_replicate_uniform(seed, "id", "rep")
+    sums = ", ".join(f"CAST(sum(w * {c}) AS DOUBLE) AS S_{c}" for c in B.STAT_COLS)
+    return f"""
+WITH s AS ({SQL_PAIR_STATS}),
+x AS (SELECT s.*, rep, CASE WHEN rep < 0 THEN 1 ELSE {sql_poisson_weight(u)} END AS w
+      FROM s, range(-1, {n_boot}) r(rep)),
+g AS (SELECT rep, sum(w * f1) / sum(w) AS score_f1, sum(w * length) / sum(w) AS score_len, sum(w) AS score_n, {sums}
+      FROM x WHERE w > 0 GROUP BY rep),
+sc AS (SELECT rep, score_f1, score_len, score_n, {B.sql_bleu_from_sums()} AS score_bleu FROM g)
+"""
+
+
+@register("a5_bootstrap_ci", _sql_replicates(1000) + """
+SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
+  round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
+  round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
+  round(max(CASE WHEN rep < 0 THEN score_f1 END), 6) AS f1,
+  round(quantile_cont(score_f1, 0.025) FILTER (WHERE rep >= 0), 6) AS f1_ci_lower,
+  round(quantile_cont(score_f1, 0.975) FILTER (WHERE rep >= 0), 6) AS f1_ci_upper
+FROM sc
+""")
+def a5_bootstrap_ci(spark, sf_dir):
+    """95% bootstrap intervals of corpus BLEU and token F1 (1000 Poisson replicates)."""
+    st = pair_stats(spark, sf_dir, with_bleu=True)
+    out = bootstrap_ci(st, ["bleu", "f1"], n_boot=1000, ci=0.95, seed=42)
+    return out.select(*[R6(c) for c in out.columns])
+
+
+@register("a6_reconstruction_report", _sql_replicates(1000) + """
+SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
+  round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
+  round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
+  round(max(CASE WHEN rep < 0 THEN score_f1 END), 6) AS token_f1,
+  round(quantile_cont(score_f1, 0.025) FILTER (WHERE rep >= 0), 6) AS token_f1_ci_lower,
+  round(quantile_cont(score_f1, 0.975) FILTER (WHERE rep >= 0), 6) AS token_f1_ci_upper,
+  round(max(CASE WHEN rep < 0 THEN score_len END), 6) AS avg_ref_tokens,
+  round(max(CASE WHEN rep < 0 THEN score_len END) / 4.0, 6) AS token_compression_ratio,
+  CAST(max(CASE WHEN rep < 0 THEN score_n END) AS BIGINT) AS samples
+FROM sc
+""")
+def a6_reconstruction_report(spark, sf_dir):
+    """The evaluation record (K = 4 prefix tokens) without the bucket array."""
+    st = pair_stats(spark, sf_dir, with_bleu=True)
+    out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42)
+    return out.select(*[R6(c) if c != "samples" else c for c in out.columns])

@@ -74,6 +74,51 @@ def parse_tool_call(text) -> Column:
     )
 
 
+def add_tool_call(df, text_col: str, out_col: str = "tool_call", skip_done: bool = False):
+    """DataFrame form of :func:`parse_tool_call` for pipelines.
+
+    Each intermediate (block content, first line, tool, arguments, edit
+    pattern flags) is its own projected column, so every regex runs once per
+    row and the generated code stays small; Catalyst keeps the projections
+    apart because the regex expressions are referenced more than once.
+    With ``skip_done`` the call is null whenever the output contains the done
+    marker (the harness checks done first).
+    """
+    t = F.col(text_col)
+    d = df.withColumn("__tc_has", t.rlike(CALL_RE)).withColumn(
+        "__tc_content", _strip(F.regexp_extract(t, CALL_RE, 1)))
+    d = d.withColumn("__tc_first", _strip(F.substring_index(F.col("__tc_content"), "\n", 1)))
+    d = d.withColumn("__tc_tool", F.regexp_extract(F.col("__tc_first"), "^(\\S+)", 1)).withColumn(
+        "__tc_raw", F.regexp_extract(F.col("__tc_first"), "^\\S+\\s+(.*)$", 1))
+    d = d.withColumn("__tc_strict", F.col("__tc_content").rlike(EDIT_STRICT_RE)).withColumn(
+        "__tc_loose", F.col("__tc_content").rlike(EDIT_LOOSE_RE))
+    raw = F.col("__tc_raw")
+    args = F.when(raw == "", F.lit(None).cast("string")).when(
+        raw.startswith(WORKSPACE), F.substring(raw, len(WORKSPACE) + 1, 1 << 30)).otherwise(raw)
+    strict, content = F.col("__tc_strict"), F.col("__tc_content")
+    old = F.when(strict, F.regexp_extract(content, EDIT_STRICT_RE, 1)).otherwise(F.regexp_extract(content, EDIT_LOOSE_RE, 1))
+    new = F.when(strict, F.regexp_extract(content, EDIT_STRICT_RE, 2)).otherwise(F.regexp_extract(content, EDIT_LOOSE_RE, 2))
+    d = d.withColumn("__tc_args", args)
+    null_s = F.lit(None).cast("string")
+    a, tool = F.col("__tc_args"), F.col("__tc_tool")
+
+    def mk(tool_name, path, command, old_text, new_text):
+        return F.struct(F.lit(tool_name).alias("tool"), path.alias("path"), command.alias("command"),
+                        old_text.alias("old_text"), new_text.alias("new_text"))
+
+    none = ~F.col("__tc_has") | (F.col("__tc_first") == "")
+    if skip_done:
+        none = none | is_done(t)
+    call = (
+        F.when(none, F.lit(None).cast(TOOL_CALL_TYPE))
+        .when(tool == "read", mk("read", a, null_s, null_s, null_s))
+        .when(tool == "run", mk("run", null_s, a, null_s, null_s))
+        .when((tool == "edit") & (strict | F.col("__tc_loose")), mk("edit", a, null_s, old, new))
+        .otherwise(F.lit(None).cast(TOOL_CALL_TYPE))
+    )
+    return d.withColumn(out_col, call).drop(*[c for c in d.columns if c.startswith("__tc_")])
+
+
 def is_done(text) -> Column:
     """TXT11: the output signals completion."""
     return F.instr(_c(text), DONE) > 0

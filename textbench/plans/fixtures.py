@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbench.functions.text import words
-from textbench.functions.toolcalls import is_done, parse_tool_call
+from textbench.functions.toolcalls import add_tool_call
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,9 +110,7 @@ def step_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per step with the harness's view of it: the parsed call (null
     when the output is "done", which is checked first) and a deterministic
     tool result (success unless ``(conv_id + s) % 5 = 0``)."""
-    st = steps(spark, sf_dir)
-    call = F.when(is_done("model_output"), F.lit(None)).otherwise(parse_tool_call("model_output"))
-    st = st.withColumn("call", call)
+    st = add_tool_call(steps(spark, sf_dir), "model_output", "call", skip_done=True)
     result = F.when(
         F.col("call").isNotNull(),
         F.struct(((F.col("conv_id") + F.col("s")) % 5 != 0).alias("success"),
@@ -144,24 +142,27 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """15 task rows derived from the first 15 part keys (description from p_name)."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(F.col("p_partkey") < 15)
-    return part.select(
-        F.concat(F.lit("task_"), F.col("p_partkey").cast("string")).alias("id"),
-        F.concat(F.lit("Fix the bug in f"), F.col("p_partkey").cast("string"), F.lit(".py: "), F.col("p_name")).alias("description"),
+    """One task per id ``task_0..task_14`` (the ids trajectories use): all
+    parts are grouped by ``p_partkey % 15`` and the task text comes from
+    the group's first part name."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    g = part.groupBy((F.col("p_partkey") % 15).alias("k")).agg(F.min_by("p_name", "p_partkey").alias("p_name"))
+    return g.select(
+        F.concat(F.lit("task_"), F.col("k").cast("string")).alias("id"),
+        F.concat(F.lit("Fix the bug in f"), F.col("k").cast("string"), F.lit(".py: "), F.col("p_name")).alias("description"),
         F.lit("small-agent-base").alias("docker_image"),
-        F.concat(F.lit("task_"), F.col("p_partkey").cast("string")).alias("files_dir"),
+        F.concat(F.lit("task_"), F.col("k").cast("string")).alias("files_dir"),
         F.array().cast("array<string>").alias("setup_commands"),
         F.lit("python -m pytest -q").alias("test_command"),
-        F.when(F.col("p_partkey") % 2 == 0, 5).otherwise(10).cast("int").alias("max_steps"),
+        F.when(F.col("k") % 2 == 0, 5).otherwise(10).cast("int").alias("max_steps"),
     )
 
 
 SQL_TASKS = """
-SELECT concat('task_', CAST(p_partkey AS VARCHAR)) AS id,
-  concat('Fix the bug in f', CAST(p_partkey AS VARCHAR), '.py: ', p_name) AS description,
-  CAST(CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 10 END AS INTEGER) AS max_steps
-FROM part WHERE p_partkey < 15
+SELECT concat('task_', CAST(k AS VARCHAR)) AS id,
+  concat('Fix the bug in f', CAST(k AS VARCHAR), '.py: ', p_name) AS description,
+  CAST(CASE WHEN k % 2 = 0 THEN 5 ELSE 10 END AS INTEGER) AS max_steps
+FROM (SELECT p_partkey % 15 AS k, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1)
 """
 
 

@@ -104,3 +104,20 @@ def two_level_rank(
         out = out.withColumn(total_col, F.col("__rk_total"))
     return out.drop(_C, _S, "__rk_n", "__rk_off", "__rk_total")
 
+
+
+def dense_index(df: DataFrame, id_col: str, idx_col: str = "idx", per_bucket: int = 4096,
+                target_rows: int = DEFAULT_TARGET_ROWS, total_col: str | None = None) -> DataFrame:
+    """0-based dense position of each row in ``id_col`` order, for ids of any
+    spread: the coarse key cuts the observed id range into ``ceil(n /
+    per_bucket)`` equal-width buckets (from one small min/max/count
+    aggregate), so the histogram stays ~``n / per_bucket`` rows however
+    sparse the ids are; crowded buckets are sub-bucketed as usual."""
+    stats = df.groupBy().agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"),
+                             F.count(F.lit(1)).alias("__cnt"))
+    g = F.greatest(F.lit(1.0), F.ceil(F.col("__cnt") / F.lit(per_bucket)).cast("double"))
+    coarse = F.floor((F.col(id_col) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1.0) * g)
+    tagged = df.crossJoin(F.broadcast(stats)).withColumn("__dcoarse", coarse.cast("long")).drop("__lo", "__hi", "__cnt")
+    out = two_level_rank(tagged, id_col, id_col, idx_col, coarse=F.col("__dcoarse"), target_rows=target_rows,
+                         total_col=total_col)
+    return out.drop("__dcoarse")

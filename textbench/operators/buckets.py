@@ -36,23 +36,26 @@ def label_by_rank(
     label_col: str,
     coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
+    partition_cols: list[str] | None = None,
 ) -> DataFrame:
     """Add ``label_col = label_fn(rank, n)`` for a label that is monotone in
     the (key, tiebreak) rank (bucket numbers, split names by cut point).
 
     Groups whose first and last rank get the same label are labelled in a
     map-only pass; only boundary-straddling groups are ranked exactly.
+    With ``partition_cols``, rank and ``n`` are per partition.
     """
-    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows)
+    pc = list(partition_cols or [])
+    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows, pc)
     n = F.col("__n")
     g = (
         groups.withColumnRenamed("__rk_total", "__n")
         .withColumn("__first", label_fn(F.col("__rk_off"), n))
         .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n))
     )
-    joined = tagged.join(g, [_C, _S], "inner")
+    joined = tagged.join(g, [*pc, _C, _S], "inner")
     whole = joined.filter(F.col("__first") == F.col("__last")).withColumn(label_col, F.col("__first"))
-    w = Window.partitionBy(_C, _S).orderBy(key, tiebreak)
+    w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)
     split = (
         joined.filter(F.col("__first") != F.col("__last"))
         .withColumn("__r", F.col("__rk_off") + F.row_number().over(w) - 1)
@@ -70,15 +73,18 @@ def assign_buckets(
     id_col: str = "id",
     bucket_col: str = "bucket",
     target_rows: int = DEFAULT_TARGET_ROWS,
+    partition_cols: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``."""
+    """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``.
+    With ``partition_cols`` every partition (experiment) is bucketed on its own."""
     if buckets <= 0:
         return df.withColumn(bucket_col, F.lit(None).cast("int")).limit(0)
 
     def label(r, n):
         return bucket_of(r, n, F.least(F.lit(buckets).cast("long"), n))
 
-    return label_by_rank(df, length_col, id_col, label, bucket_col, target_rows=target_rows)
+    return label_by_rank(df, length_col, id_col, label, bucket_col, target_rows=target_rows,
+                         partition_cols=partition_cols)
 
 
 def length_buckets(
@@ -89,13 +95,16 @@ def length_buckets(
     f1_col: str | None = "f1",
     with_bleu: bool = True,
     target_rows: int = DEFAULT_TARGET_ROWS,
+    group_cols: list[str] | None = None,
 ) -> DataFrame:
     """Per-bucket min/max/mean reference length, BLEU, token F1 and samples.
 
     ``stats`` holds one row per pair with ``id``, ``length``, optional ``f1``
     and (when ``with_bleu``) the BLEU statistics of :func:`bleu_row_stats`.
+    ``group_cols`` buckets every group (experiment) separately.
     """
-    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows)
+    gc = list(group_cols or [])
+    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc)
     aggs = [
         F.min(length_col).cast("int").alias("min_tokens"),
         F.max(length_col).cast("int").alias("max_tokens"),
@@ -106,7 +115,7 @@ def length_buckets(
         aggs.append(F.avg(f1_col).alias("token_f1"))
     if with_bleu:
         aggs.extend(bleu_sums())
-    out = tagged.groupBy("bucket").agg(*aggs)
+    out = tagged.groupBy(*gc, "bucket").agg(*aggs)
     if with_bleu:
         out = out.withColumn("bleu", bleu_from_sums()).drop(*[f"S_{c}" for c in STAT_COLS])
     return out

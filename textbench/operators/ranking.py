@@ -41,16 +41,20 @@ def with_rank_groups(
     tiebreak: str,
     coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
+    partition_cols: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Tag rows with an order-preserving group (``__rk_coarse``, ``__rk_sub``).
 
     Returns ``(tagged_df, groups)`` where ``groups`` has one row per group
-    with ``__rk_n`` (rows) and ``__rk_off`` (rows in all earlier groups), so
-    a row's global rank lies in ``[__rk_off, __rk_off + __rk_n)``.
+    with ``__rk_n`` (rows), ``__rk_off`` (rows in all earlier groups) and
+    ``__rk_total``, so a row's rank lies in ``[__rk_off, __rk_off + __rk_n)``.
+    With ``partition_cols`` ranks restart in every partition (rank within
+    experiment, within epoch, ...).
     """
+    pc = list(partition_cols or [])
     coarse_c = _as_col(key) if coarse is None else coarse
     base = df.withColumn(_C, coarse_c)
-    stats = base.groupBy(_C).agg(
+    stats = base.groupBy(*pc, _C).agg(
         F.count(F.lit(1)).alias("__rk_cnt"),
         F.min(key).alias("__rk_kmin"),
         F.max(key).alias("__rk_kmax"),
@@ -73,15 +77,16 @@ def with_rank_groups(
         .cast("long")
     )
     tagged = (
-        base.join(stats, _C, "inner")
+        base.join(stats, [*pc, _C], "inner")
         .withColumn(_S, sub)
         .drop("__rk_cnt", "__rk_kmin", "__rk_kmax", "__rk_tmin", "__rk_tmax")
     )
-    hist = tagged.groupBy(_C, _S).agg(F.count(F.lit(1)).alias("__rk_n"))
-    # The histogram is small by construction; ordering it needs one task.
-    w = Window.orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = tagged.groupBy(*pc, _C, _S).agg(F.count(F.lit(1)).alias("__rk_n"))
+    # The histogram is small by construction; ordering it needs one task
+    # (one per partition value with ``partition_cols``).
+    w = Window.partitionBy(*pc).orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = hist.withColumn("__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
-        "__rk_total", F.sum("__rk_n").over(Window.partitionBy())
+        "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*pc))
     )
     return tagged, groups
 
@@ -94,12 +99,14 @@ def two_level_rank(
     coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
     total_col: str | None = None,
+    partition_cols: list[str] | None = None,
 ) -> DataFrame:
     """Add ``rank_col``: exact 0-based position of each row in (key, tiebreak)
     order (and, if ``total_col`` is given, the table's row count)."""
-    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows)
-    w = Window.partitionBy(_C, _S).orderBy(key, tiebreak)
-    out = tagged.join(groups, [_C, _S], "inner").withColumn(rank_col, F.col("__rk_off") + F.row_number().over(w) - 1)
+    pc = list(partition_cols or [])
+    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows, pc)
+    w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)
+    out = tagged.join(groups, [*pc, _C, _S], "inner").withColumn(rank_col, F.col("__rk_off") + F.row_number().over(w) - 1)
     if total_col:
         out = out.withColumn(total_col, F.col("__rk_total"))
     return out.drop(_C, _S, "__rk_n", "__rk_off", "__rk_total")

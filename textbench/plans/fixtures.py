@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     d = F.col("doc_id")
     w = words(F.col("text"))
     kept = F.filter(F.sequence(F.lit(1), F.least(F.lit(128), F.size(w))), lambda p: (p + d) % 5 != 0)
@@ -37,6 +37,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 14 == 0, F.lit(" no  match "))
         .when(d % 4 == 0, F.concat(F.lit("  "), F.col("text")))
         .otherwise(truncated).alias("prediction"),
+        F.col("lang"),
     )
 
 
@@ -45,8 +46,8 @@ SELECT doc_id AS id, concat('m', CAST(doc_id % 2 AS VARCHAR)) AS model, doc_id %
   CASE WHEN doc_id % 7 = 0 THEN 'no match' ELSE text END AS reference,
   CASE WHEN doc_id % 14 = 0 THEN ' no  match ' WHEN doc_id % 4 = 0 THEN concat('  ', text)
     ELSE array_to_string(list_transform(list_filter(range(1, least(128, len(w)) + 1),
-         lambda p: (p + doc_id) % 5 <> 0), lambda p: w[p]), ' ') END AS prediction
-FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)
+         lambda p: (p + doc_id) % 5 <> 0), lambda p: w[p]), ' ') END AS prediction, lang
+FROM (SELECT doc_id, text, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)
 """
 
 

@@ -1 +1,322 @@
-"""Registered queries (q_reports)."""
+"""Registered queries: cross-experiment reports, packing, sources and sinks
+(A10-A15, A18, PK1-PK5, SRC1, SRC8, SNK1-SNK4)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from textbench.functions.text import token_length, words
+from textbench.operators import bleu as B
+from textbench.operators import packing as PK
+from textbench.operators import reports as RP
+from textbench.operators.buckets import as_report_array, length_buckets
+from textbench.operators.metrics import token_f1_col
+from textbench.plans import sqlbits as S
+from textbench.plans.catalog import register
+from textbench.plans.fixtures import SQL_MANIFEST, SQL_PAIRS, corpus, manifest, pairs, table
+from textbench.session import checkpoint_dir
+from textbench.sinks import writers as W
+from textbench.sources import readers as RD
+
+R6 = lambda c: F.round(F.col(c), 6).alias(c)
+LANGS = ["de", "en", "es", "fr"]
+
+
+def exp_stats(spark, sf_dir, k_sweep: bool = False):
+    """Per-pair statistics tagged with ``experiment = lang-model``; with
+    ``k_sweep`` one copy per prefix budget K in (1, 2, 4, 8) whose
+    prediction keeps only its first 8*K words."""
+    p = pairs(spark, sf_dir).withColumn("experiment", F.concat_ws("-", "lang", "model"))
+    keep = ["experiment", "model", "lang", "length", "f1"]
+    if k_sweep:
+        p = p.select("*", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])).alias("k"))
+        p = p.withColumn("prediction", F.array_join(F.slice(words("prediction"), 1, F.col("k") * 8), " "))
+        p = p.withColumn("id", F.col("id") * 16 + F.col("k"))
+        keep.append("k")
+    p = p.select("id", "prediction", "reference", *[c for c in keep if c not in ("length", "f1")],
+                 token_length("reference").alias("length"), token_f1_col("prediction", "reference").alias("f1"))
+    return B.bleu_row_stats(p, keep=keep)
+
+
+def sql_exp_stats(k_sweep: bool = False) -> str:
+    src_pairs = f"SELECT *, concat_ws('-', lang, model) AS experiment FROM ({SQL_PAIRS})"
+    keep = ["experiment", "model", "lang", "length", "f1"]
+    if k_sweep:
+        src_pairs = (f"SELECT id * 16 + k AS id, reference, experiment, model, lang, k, "
+                     f"array_to_string({S.words('prediction')}[1:k * 8], ' ') AS prediction "
+                     f"FROM ({src_pairs}), (SELECT unnest([1, 2, 4, 8]) AS k)")
+        keep.append("k")
+    src = (f"SELECT id, prediction, reference, {', '.join(c for c in keep if c not in ('length', 'f1'))}, "
+           f"CAST(len({S.regex_tokens('reference')}) AS BIGINT) AS length, {S.token_f1('prediction', 'reference')} AS f1 "
+           f"FROM ({src_pairs})")
+    return B.sql_bleu_row_stats(src, keep=keep)
+
+
+def experiment_buckets(spark, sf_dir):
+    st = exp_stats(spark, sf_dir)
+    return length_buckets(st, 4, group_cols=["experiment"])
+
+
+def reports(spark, sf_dir):
+    """The ``experiments`` view: one eval-report-shaped row per experiment."""
+    return as_report_array(experiment_buckets(spark, sf_dir), ["experiment"])
+
+
+SQL_BUCKET_TABLE = f"""
+WITH s AS ({sql_exp_stats()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY length, id) - 1 AS rk,
+             count(*) OVER (PARTITION BY experiment) AS n FROM s),
+b AS (SELECT *, CAST(floor(((rk + 1) * least(4, n) - 1) / n) AS INTEGER) AS bucket FROM r),
+g AS (SELECT experiment, bucket, CAST(min(length) AS INTEGER) AS min_tokens, CAST(max(length) AS INTEGER) AS max_tokens,
+        avg(length) AS avg_tokens, avg(f1) AS token_f1, CAST(count(*) AS INTEGER) AS samples, {B.sql_bleu_sums()}
+      FROM b GROUP BY experiment, bucket),
+t AS (SELECT experiment, bucket, min_tokens, max_tokens, avg_tokens, {B.sql_bleu_from_sums()} AS bleu, token_f1, samples FROM g)
+"""
+
+
+@register("a10_bucket_table", SQL_BUCKET_TABLE + """
+SELECT experiment, bucket, min_tokens, max_tokens, round(avg_tokens, 6) AS avg_tokens, round(bleu, 6) AS bleu,
+       round(token_f1, 6) AS token_f1, samples FROM t WHERE bleu IS NOT NULL
+""")
+def a10_bucket_table(spark, sf_dir):
+    """Experiments = language x model; 4 length buckets each; one row per bucket."""
+    t = RP.bucket_table(reports(spark, sf_dir))
+    return t.select("experiment", "bucket", "min_tokens", "max_tokens", R6("avg_tokens"), R6("bleu"), R6("token_f1"), "samples")
+
+
+@register("a11_experiment_summary", SQL_BUCKET_TABLE + """
+SELECT experiment, round(avg(avg_tokens), 6) AS mean_ref_tokens, round(avg(bleu), 6) AS mean_bleu,
+       round(avg(token_f1), 6) AS mean_token_f1, count(*) AS n_buckets FROM t WHERE bleu IS NOT NULL GROUP BY experiment
+""")
+def a11_experiment_summary(spark, sf_dir):
+    s = RP.experiment_summary(RP.bucket_table(reports(spark, sf_dir)))
+    return s.select("experiment", R6("mean_ref_tokens"), R6("mean_bleu"), R6("mean_token_f1"), "n_buckets")
+
+
+@register("a12_short_long_export", SQL_BUCKET_TABLE + """
+SELECT CASE WHEN avg_tokens < 50 THEN 'short_text' ELSE 'long_text' END AS label, experiment,
+       CAST(count(*) AS INTEGER) AS points, round(sum(bleu), 6) AS bleu_sum,
+       string_agg(CAST(bucket AS VARCHAR), ',' ORDER BY bucket) AS buckets
+FROM t WHERE bleu IS NOT NULL GROUP BY ALL
+""")
+def a12_short_long_export(spark, sf_dir):
+    t = RP.bucket_table(reports(spark, sf_dir))
+    e = RP.short_long_export(t)
+    withb = t.withColumn("label", F.when(F.col("avg_tokens") < 50, "short_text").otherwise("long_text")).groupBy(
+        "label", "experiment").agg(F.array_join(F.array_sort(F.collect_list("bucket")), ",").alias("buckets"))
+    return e.join(withb, ["label", "experiment"]).select(
+        "label", "experiment", F.size("series").alias("points"),
+        F.round(F.aggregate("series", F.lit(0.0), lambda a, p: a + p["bleu"]), 6).alias("bleu_sum"), "buckets")
+
+
+@register("a13_bleu_trend", SQL_BUCKET_TABLE + """
+SELECT experiment, concat(CAST(min(min_tokens) AS VARCHAR), '-', CAST(max(max_tokens) AS VARCHAR)) AS tokens_range,
+       string_agg(printf('%.1f', bleu), ' -> ' ORDER BY bucket) AS trend FROM t WHERE bleu IS NOT NULL GROUP BY experiment
+""")
+def a13_bleu_trend(spark, sf_dir):
+    return RP.bleu_trend(RP.bucket_table(reports(spark, sf_dir)))
+
+
+@register("a15_length_quality_corr", SQL_BUCKET_TABLE + """
+SELECT experiment, round(corr(avg_tokens, bleu), 6) AS pearson_r, count(*) AS points FROM t WHERE bleu IS NOT NULL GROUP BY experiment
+""")
+def a15_length_quality_corr(spark, sf_dir):
+    c = RP.length_quality_corr(RP.bucket_table(reports(spark, sf_dir)))
+    return c.select("experiment", R6("pearson_r"), "points")
+
+
+def _sweep(spark, sf_dir):
+    st = exp_stats(spark, sf_dir, k_sweep=True)
+    g = st.groupBy(F.col("model").alias("adapter"), "k").agg(*B.bleu_sums(), F.avg("f1").alias("token_f1"),
+                                                             F.avg("length").alias("avg_len"))
+    return g.select("adapter", "k", B.bleu_from_sums().alias("bleu"), "token_f1",
+                    (F.col("avg_len") / F.col("k")).alias("compression"))
+
+
+SQL_SWEEP = f"""
+WITH s AS ({sql_exp_stats(True)}),
+g AS (SELECT model AS adapter, k, {B.sql_bleu_sums()}, avg(f1) AS token_f1, avg(length) AS avg_len FROM s GROUP BY model, k),
+sw AS (SELECT adapter, k, {B.sql_bleu_from_sums()} AS bleu, token_f1, avg_len / k AS compression FROM g)
+"""
+
+
+@register("a14_best_k", SQL_SWEEP + """
+SELECT adapter, arg_max(k, bleu) AS k, round(max(bleu), 6) AS bleu, round(arg_max(token_f1, bleu), 6) AS token_f1,
+       round(arg_max(compression, bleu), 6) AS compression FROM sw GROUP BY adapter
+""")
+def a14_best_k(spark, sf_dir):
+    """K sweep (predictions cut to 8K words for K in 1, 2, 4, 8) and the best K per adapter."""
+    b = RP.best_k(_sweep(spark, sf_dir))
+    return b.select("adapter", "k", R6("bleu"), R6("token_f1"), R6("compression"))
+
+
+@register("a18_cross_domain_matrix", f"""
+WITH s AS ({sql_exp_stats()}),
+g AS (SELECT model, lang, {B.sql_bleu_sums()} FROM s GROUP BY model, lang),
+b AS (SELECT model, lang, round({B.sql_bleu_from_sums()}, 6) AS bleu FROM g)
+SELECT model AS train, max(CASE WHEN lang = 'de' THEN bleu END) AS de, max(CASE WHEN lang = 'en' THEN bleu END) AS en,
+       max(CASE WHEN lang = 'es' THEN bleu END) AS es, max(CASE WHEN lang = 'fr' THEN bleu END) AS fr FROM b GROUP BY model
+""")
+def a18_cross_domain_matrix(spark, sf_dir):
+    """BLEU of each "train" model (m0, m1) on each "eval" language."""
+    st = exp_stats(spark, sf_dir)
+    g = st.groupBy("model", "lang").agg(*B.bleu_sums()).select(
+        F.col("model").alias("train"), "lang", F.round(B.bleu_from_sums(), 6).alias("bleu"))
+    return RP.cross_domain_matrix(g, "train", "lang", "bleu", LANGS)
+
+
+# -- packing ----------------------------------------------------------------
+
+def _tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", words("text").alias("tok"))
+
+
+@register("pk1_uniform_chunks", f"""
+WITH t AS (SELECT doc_id, len({S.words('text')}) AS n FROM documents),
+c AS (SELECT doc_id, n, i, CAST(floor((i + 1) * n / 4) AS BIGINT) - CAST(floor(i * n / 4) AS BIGINT) AS len FROM t, range(0, 4) r(i))
+SELECT doc_id, count(*) AS chunks, min(len) AS min_len, max(len) AS max_len, CAST(sum(len) AS BIGINT) AS total_len FROM c GROUP BY doc_id
+""")
+def pk1_uniform_chunks(spark, sf_dir):
+    t = _tokens(spark, sf_dir).withColumn("c", PK.uniform_chunks(F.col("tok"), 4))
+    x = t.select("doc_id", F.explode("c").alias("chunk")).withColumn("len", F.size("chunk"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("len").cast("long").alias("min_len"),
+                                   F.max("len").cast("long").alias("max_len"), F.sum("len").cast("long").alias("total_len"))
+
+
+@register("pk2_overlapping_chunks", f"""
+WITH t AS (SELECT doc_id, len({S.words('text')}) AS n FROM documents),
+w AS (SELECT doc_id, n, CASE WHEN n <= 64 THEN 1 ELSE 1 + CAST(ceil((n - 64) / 48) AS BIGINT) END AS cnt FROM t),
+c AS (SELECT doc_id, least(64, n - i * 48) AS len FROM w, range(0, cnt) r(i))
+SELECT doc_id, count(*) AS windows, CAST(sum(len) AS BIGINT) AS covered FROM c GROUP BY doc_id
+""")
+def pk2_overlapping_chunks(spark, sf_dir):
+    """Windows of 64 words overlapping by 16."""
+    t = _tokens(spark, sf_dir).withColumn("c", PK.overlapping_chunks(F.col("tok"), 64, 16))
+    return t.select("doc_id", F.size("c").alias("windows"),
+                    F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("covered"))
+
+
+MS = [1, 2, 4, 8, 16, 32]
+
+
+def _packing_summary(spark, sf_dir):
+    t = _tokens(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(m) for m in MS])).alias("m"))
+    t = t.withColumn("chunks", PK.uniform_chunks(F.col("tok"), F.col("m")))
+    ratio = PK.packing_ratio(t, "chunks", ["lang", "m"])
+    # capacity model: each embedding holds 32 tokens; quality = covered fraction
+    q = t.groupBy("lang", "m").agg(F.avg(F.least(F.lit(1.0), F.col("m") * 32.0 / F.greatest(F.size("tok"), F.lit(1)))).alias("quality"))
+    return ratio.join(q, ["lang", "m"])
+
+
+SQL_PACKING = f"""
+WITH t AS (SELECT doc_id, lang, len({S.words('text')}) AS n FROM documents),
+tm AS (SELECT * FROM t, (SELECT unnest({MS}) AS m)),
+s AS (SELECT lang, m, sum(n) / sum(m) AS tokens_per_embedding, avg(m) AS embeddings_per_doc, count(*) AS docs,
+             avg(least(1.0, m * 32.0 / greatest(n, 1))) AS quality FROM tm GROUP BY lang, m)
+"""
+
+
+@register("pk3_packing_ratio", SQL_PACKING + """
+SELECT lang, m, round(tokens_per_embedding, 6) AS tokens_per_embedding, round(embeddings_per_doc, 6) AS embeddings_per_doc, docs FROM s
+""")
+def pk3_packing_ratio(spark, sf_dir):
+    s = _packing_summary(spark, sf_dir)
+    return s.select("lang", "m", R6("tokens_per_embedding"), R6("embeddings_per_doc"), "docs")
+
+
+@register("pk4_pareto_frontier", SQL_PACKING + """
+SELECT lang, m, round(quality, 6) AS quality FROM (
+  SELECT *, max(quality) OVER (PARTITION BY lang ORDER BY m, quality DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s)
+WHERE best IS NULL OR quality > best
+""")
+def pk4_pareto_frontier(spark, sf_dir):
+    """Budgets (embeddings per document) not dominated on quality, per language."""
+    f = PK.pareto_frontier(_packing_summary(spark, sf_dir), "m", "quality", ["lang"])
+    return f.select("lang", "m", R6("quality"))
+
+
+@register("pk5_min_budget", SQL_PACKING + """
+SELECT lang, min(m) AS min_budget, round(max(base), 6) AS baseline_quality FROM (
+  SELECT *, max(quality) OVER (PARTITION BY lang) AS base FROM s) WHERE quality >= 0.95 * base GROUP BY lang
+""")
+def pk5_min_budget(spark, sf_dir):
+    b = PK.min_budget(_packing_summary(spark, sf_dir), "m", "quality", 0.95, ["lang"])
+    return b.select("lang", "min_budget", R6("baseline_quality"))
+
+
+# -- sources ----------------------------------------------------------------
+
+@register("src1_read_corpus", "SELECT count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM documents")
+def src1_read_corpus(spark, sf_dir):
+    c = RD.read_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet", text_col="text", id_col="doc_id")
+    return c.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).cast("long").alias("chars"),
+                           F.sum("doc_id").cast("long").alias("id_sum"))
+
+
+@register("src8_latest_checkpoint", f"""
+WITH m AS ({SQL_MANIFEST}), s AS (SELECT run, path, CAST(regexp_extract(path, 'adapter-step(\\d+)\\.pt$', 1) AS BIGINT) AS step FROM m)
+SELECT run, max(step) AS step, arg_max(path, step) AS path FROM s GROUP BY run
+""")
+def src8_latest_checkpoint(spark, sf_dir):
+    """Latest checkpoint per run from a manifest of checkpoint paths."""
+    return RD.latest_checkpoint(manifest(spark, sf_dir))
+
+
+# -- sinks (write, then read back) ------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+
+
+@register("snk1_write_results", f"""
+SELECT count(*) AS rows, CAST(sum(length(prediction)) AS BIGINT) AS pred_chars, CAST(sum(length(reference)) AS BIGINT) AS ref_chars
+FROM ({SQL_PAIRS})
+""")
+def snk1_write_results(spark, sf_dir):
+    """Prediction table written as Parquet and read back."""
+    path = _scratch(spark, "results")
+    W.write_results(pairs(spark, sf_dir).select(F.col("id").alias("prompt_id"), "prediction", "reference"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("prediction")).cast("long").alias("pred_chars"),
+                              F.sum(F.length("reference")).cast("long").alias("ref_chars"))
+
+
+@register("snk2_write_report", SQL_BUCKET_TABLE + """
+SELECT experiment, CAST(count(*) AS INTEGER) AS buckets, CAST(sum(samples) AS BIGINT) AS samples FROM t GROUP BY experiment
+""")
+def snk2_write_report(spark, sf_dir):
+    """Eval reports (with bucket arrays) written as JSON and read back with the report schema."""
+    path = _scratch(spark, "reports")
+    W.write_report(reports(spark, sf_dir), path)
+    back = spark.read.schema(RD.EVAL_REPORT_SCHEMA.add("experiment", "string")).json(path)
+    return back.select("experiment", F.size("length_buckets").alias("buckets"),
+                       F.aggregate("length_buckets", F.lit(0).cast("long"), lambda a, b: a + b["samples"]).alias("samples"))
+
+
+@register("snk3_write_jsonl", """
+SELECT count(*) * 2 AS lines, count(DISTINCT conv_id) AS conversations FROM conversations
+""")
+def snk3_write_jsonl(spark, sf_dir):
+    """Chat conversations appended twice to a JSON-lines folder, then read with the conversation schema."""
+    path = _scratch(spark, "jsonl")
+    c = table(spark, sf_dir, "conversations")
+    js = c.select("conv_id", F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages"))
+    W.write_jsonl(js, path)
+    W.write_jsonl(js, path)
+    back = spark.read.schema(RD.CONVERSATION_SCHEMA.add("conv_id", "long")).json(path)
+    return back.groupBy().agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@register("snk4_write_table", SQL_BUCKET_TABLE + """
+SELECT count(*) AS rows, CAST(sum(samples) AS BIGINT) AS samples, round(sum(round(bleu, 6)), 4) AS bleu_sum FROM t WHERE bleu IS NOT NULL
+""")
+def snk4_write_table(spark, sf_dir):
+    """Bucket table written as CSV (header) and read back."""
+    path = _scratch(spark, "table")
+    t = RP.bucket_table(reports(spark, sf_dir)).withColumn("bleu", F.round("bleu", 6))
+    W.write_table(t, path, "csv")
+    back = spark.read.option("header", True).schema(t.schema).csv(path)
+    return back.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum("samples").cast("long").alias("samples"),
+                              F.round(F.sum("bleu"), 4).alias("bleu_sum"))

@@ -1 +1,52 @@
-"""Registered queries: streaming."""
+"""Registered queries: streaming (ST1, ST2).
+
+Each query lands the driver tables in a scratch folder under
+``spark.checkpoint.dir`` in two arrivals, runs the stream to completion
+(``availableNow``) and returns what the sink committed.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from textbench.operators.embeddings import HashedBagOfWords
+from textbench.plans.catalog import register
+from textbench.plans.fixtures import corpus, trajectories
+from textbench.plans.q_agent import _sql_metrics
+from textbench.plans.q_embed import SQL_BOW, _vec_stats
+from textbench.session import checkpoint_dir
+from textbench.streaming.streams import embed_stream, trajectory_metrics_stream
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+@register("st1_embed_stream", SQL_BOW)
+def st1_embed_stream(spark, sf_dir):
+    """Documents arriving in two files are embedded by a checkpointed stream."""
+    base = _scratch(spark, "embed")
+    docs = corpus(spark, sf_dir)
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    q = embed_stream(spark, f"{base}/landing", docs.schema, f"{base}/vectors", f"{base}/_checkpoint",
+                     encoder=HashedBagOfWords(64))
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/vectors").select("doc_id", *_vec_stats())
+
+
+@register("st2_trajectory_metrics_stream", _sql_metrics())
+def st2_trajectory_metrics_stream(spark, sf_dir):
+    """Trajectories appended to a JSON-lines log in two arrivals; running A8 in complete mode."""
+    base = _scratch(spark, "traj")
+    t = trajectories(spark, sf_dir)
+    for part in (0, 1):
+        t.filter(F.col("run") % 2 == part).select("task_id", "success", "steps").coalesce(1).write.mode("append").json(
+            f"{base}/log")
+    q = trajectory_metrics_stream(spark, f"{base}/log", f"{base}/metrics", f"{base}/_checkpoint")
+    q.awaitTermination()
+    m = spark.read.parquet(f"{base}/metrics")
+    cols = ["pass_rate", "first_try_rate", "avg_steps", "avg_tool_calls", "death_spiral_rate"]
+    return m.select("total", *[F.round(c, 6).alias(c) for c in cols])

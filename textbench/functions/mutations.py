@@ -60,12 +60,14 @@ def _splice(code: Column, pattern: str, n: Column, replacement: Column) -> Colum
     """Replace the n-th (0-based) match of ``pattern`` in ``code``."""
     pieces = F.split(code, pattern, -1)
     matches = F.regexp_extract_all(code, F.lit(pattern), 0)
+    # zip piece i with match i (the last piece has none); lambdas only touch
+    # the zipped element, so neither regex is re-run per element
+    zipped = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
     return F.array_join(
         F.transform(
-            pieces,
-            lambda p, i: F.concat(
-                p,
-                F.when(i == n, replacement).when(i < F.size(matches), F.element_at(matches, i + 1)).otherwise(F.lit("")),
+            zipped,
+            lambda z, i: F.concat(
+                z["p"], F.when(i == n, replacement).otherwise(F.coalesce(z["m"], F.lit(""))),
             ),
         ),
         "",

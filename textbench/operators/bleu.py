@@ -26,12 +26,13 @@ MAX_ORDER = 4
 STAT_COLS = ["sys_len", "ref_len"] + [f"m{n}" for n in range(1, 5)] + [f"t{n}" for n in range(1, 5)]
 
 
-def _ngram_structs(arr: Column, side: int) -> Column:
+def _ngram_structs(arr: Column, side: int, kstruct: Column) -> Column:
     def per_order(n):
         idx = F.when(
             F.size(arr) >= n, F.sequence(F.lit(1), F.size(arr) - n + 1)
         ).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(n.alias("n"), F.slice(arr, i, n).alias("g"), F.lit(side).alias("s")))
+        return F.transform(idx, lambda i: F.struct(n.alias("n"), F.slice(arr, i, n).alias("g"), F.lit(side).alias("s"),
+                                                   F.when(F.lit(False), kstruct).alias("k")))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_ORDER)), per_order))
 
@@ -50,25 +51,36 @@ def bleu_row_stats(
     carried through to the output.
     """
     keep = keep or []
+    # An explicit partition count: the n-gram explode multiplies the rows
+    # ~25x after this exchange, so AQE must not coalesce it by input size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     toks = df.select(
         id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
-    ).repartition(id_col)
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), F.lit(0).alias("s")))
+    ).repartition(parts, id_col)
+    # The per-row sentinel (n = 0) carries the row's other columns, so the
+    # per-gram aggregation is keyed on (id, n, gram) only.
+    kstruct = F.struct(*[F.col(k) for k in keep]) if keep else F.lit(None).cast("struct<x:int>")
+    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), F.lit(0).alias("s"),
+                                kstruct.alias("k")))
     grams = toks.select(
-        id_col, *keep,
-        F.explode(F.concat(sentinel, _ngram_structs(F.col("__h"), 1), _ngram_structs(F.col("__r"), 0))).alias("x"),
-    ).select(id_col, *keep, F.col("x.n").alias("n"), F.col("x.g").alias("g"), F.col("x.s").alias("s"))
-    per_gram = grams.groupBy(id_col, *keep, "n", "g").agg(
-        F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr")
+        id_col,
+        F.explode(F.concat(sentinel, _ngram_structs(F.col("__h"), 1, kstruct), _ngram_structs(F.col("__r"), 0, kstruct))).alias("x"),
+    ).select(id_col, F.col("x.n").alias("n"), F.col("x.g").alias("g"), F.col("x.s").alias("s"), F.col("x.k").alias("k"))
+    per_gram = grams.groupBy(id_col, "n", "g").agg(
+        F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr"), F.first("k", ignorenulls=True).alias("k")
     )
     match = F.least("ch", "cr")
     aggs = [
         F.sum(F.when(F.col("n") == 1, F.col("ch")).otherwise(0)).cast("long").alias("sys_len"),
         F.sum(F.when(F.col("n") == 1, F.col("cr")).otherwise(0)).cast("long").alias("ref_len"),
     ] + [F.sum(F.when(F.col("n") == n, match).otherwise(0)).cast("long").alias(f"m{n}") for n in range(1, 5)]
-    out = per_gram.groupBy(id_col, *keep).agg(*aggs)
+    if keep:
+        aggs.append(F.first(F.when(F.col("n") == 0, F.col("k")), ignorenulls=True).alias("__k"))
+    out = per_gram.groupBy(id_col).agg(*aggs)
     for n in range(1, 5):
         out = out.withColumn(f"t{n}", F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).cast("long"))
+    if keep:
+        out = out.select(id_col, *[F.col("__k")[k].alias(k) for k in keep], *STAT_COLS)
     return out
 
 

@@ -44,14 +44,22 @@ def sql_poisson_weight(u: str) -> str:
     return f"(CASE {parts} ELSE {len(POISSON1_CDF)} END)"
 
 
-def replicate_uniform(seed, id_col: str, rep: Column) -> Column:
-    """Weyl sequence per row: ``((h1 + rep * h2) mod 2^32) / 2^32`` with
-    ``h1, h2`` from md5 of (seed, id); h2 odd."""
-    h1 = hash_bits(seed, F.col(id_col), F.lit("a"))
-    h2 = hash_bits(seed, F.col(id_col), F.lit("b")).bitwiseOR(F.lit(1))
+def replicate_seeds(seed, id_col: str) -> tuple[Column, Column]:
+    """Per-row ``h1, h2`` (md5 of (seed, id); h2 odd), computed once per row."""
+    return (hash_bits(seed, F.col(id_col), F.lit("a")),
+            hash_bits(seed, F.col(id_col), F.lit("b")).bitwiseOR(F.lit(1)))
+
+
+def replicate_uniform_from(h1: Column, h2: Column, rep: Column) -> Column:
+    """Weyl sequence per row: ``((h1 + rep * h2) mod 2^32) / 2^32``."""
     return F.pmod(h1 + rep.cast("long") * h2, F.lit(4294967296)).cast("double") / F.lit(4294967296.0)
 
 
+def replicate_uniform(seed, id_col: str, rep: Column) -> Column:
+    h1, h2 = replicate_seeds(seed, id_col)
+    return replicate_uniform_from(h1, h2, rep)
+
+
 def sql_replicate_uniform(seed, id_col: str, rep: str) -> str:
     h1 = f"('0x' || substr(md5(concat_ws(':', '{seed}', CAST({id_col} AS VARCHAR), 'a')), 1, 8))::BIGINT"
     h2 = f"(('0x' || substr(md5(concat_ws(':', '{seed}', CAST({id_col} AS VARCHAR), 'b')), 1, 8))::BIGINT | 1)"
@@ -80,8 +88,11 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
     metric.  ``rep = -1`` is the full sample (weight 1 for every row), so a
     point estimate and its interval come out of the same pass."""
     if method == "poisson":
-        exploded = stats.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))).alias("rep"))
-        w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(replicate_uniform(seed, id_col, F.col("rep"))))
+        h1, h2 = replicate_seeds(seed, id_col)
+        seeded = stats.select("*", h1.alias("__h1"), h2.alias("__h2"))
+        exploded = seeded.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))).alias("rep"))
+        u = replicate_uniform_from(F.col("__h1"), F.col("__h2"), F.col("rep"))
+        w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
         weighted = exploded.withColumn("__w", w).filter(F.col("__w") > 0)
     elif method == "multinomial":
         ranked = two_level_rank(stats, id_col, id_col, rank_col="__idx", coarse=F.floor(F.col(id_col) / 4096),

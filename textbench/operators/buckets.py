@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textbench.operators.bleu import bleu_from_sums, bleu_sums, STAT_COLS
-from textbench.operators.ranking import DEFAULT_TARGET_ROWS, with_rank_groups
+from textbench.operators.ranking import DEFAULT_TARGET_ROWS, RankLayout
 
 _C, _S = "__rk_coarse", "__rk_sub"
 
@@ -37,33 +37,43 @@ def label_by_rank(
     coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
     partition_cols: list[str] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``label_col = label_fn(rank, n)`` for a label that is monotone in
     the (key, tiebreak) rank (bucket numbers, split names by cut point).
 
-    Groups whose first and last rank get the same label are labelled in a
-    map-only pass; only boundary-straddling groups are ranked exactly.
-    With ``partition_cols``, rank and ``n`` are per partition.
+    The rank histogram is built from ``keys`` (default: the key columns of
+    ``df``; pass a cheap projection when ``df`` is expensive to compute).
+    Groups whose first and last rank get the same label need nothing more.
+    For the few groups that straddle a label boundary, the exact boundary
+    rows ("cuts", at most one per label change) are found by a window over
+    those groups' keys only.  ``df`` itself is then labelled in one map-side
+    pass against three broadcast tables (group stats, groups, cuts): the
+    rows are never shuffled or sorted.
     """
-    pc = list(partition_cols or [])
-    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows, pc)
-    n = F.col("__n")
-    g = (
-        groups.withColumnRenamed("__rk_total", "__n")
-        .withColumn("__first", label_fn(F.col("__rk_off"), n))
-        .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n))
-    )
-    joined = tagged.join(g, [*pc, _C, _S], "inner")
-    whole = joined.filter(F.col("__first") == F.col("__last")).withColumn(label_col, F.col("__first"))
-    w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)
-    split = (
-        joined.filter(F.col("__first") != F.col("__last"))
-        .withColumn("__r", F.col("__rk_off") + F.row_number().over(w) - 1)
-        .withColumn(label_col, label_fn(F.col("__r"), n))
-        .drop("__r")
-    )
-    drop = [_C, _S, "__rk_n", "__rk_off", "__n", "__first", "__last"]
-    return whole.drop(*drop).unionByName(split.drop(*drop))
+    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
+    pc = layout.pc
+    n = F.col("__rk_total")
+    g = (layout.groups
+         .withColumn("__first", label_fn(F.col("__rk_off"), n))
+         .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n)))
+    straddle = g.filter(F.col("__first") != F.col("__last")).select(*pc, _C, _S, "__rk_off", "__rk_total")
+    kdf = keys if keys is not None else df
+    ranked = (layout.tag(kdf.select(*pc, key, tiebreak)).join(F.broadcast(straddle), [*pc, _C, _S], "inner")
+              .withColumn("__r", F.col("__rk_off") + F.row_number().over(
+                  Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)) - 1))
+    cut_rows = ranked.withColumn("__lab", label_fn(F.col("__r"), n)).filter(
+        (F.col("__r") > F.col("__rk_off")) & (F.col("__lab") != label_fn(F.col("__r") - 1, n)))
+    cuts = cut_rows.groupBy(*pc, _C, _S).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(key).alias("k"), F.col(tiebreak).alias("t"), F.col("__lab").alias("lab")))).alias("__cuts"))
+    groups = g.join(cuts, [*pc, _C, _S], "left").select(*pc, _C, _S, "__first", "__last", "__cuts")
+    tagged = layout.tag(df).join(F.broadcast(groups), [*pc, _C, _S], "inner")
+    k, t = F.col(key), F.col(tiebreak)
+    walked = F.aggregate(
+        F.col("__cuts"), F.col("__first"),
+        lambda acc, c: F.when((k > c["k"]) | ((k == c["k"]) & (t >= c["t"])), c["lab"]).otherwise(acc))
+    label = F.when(F.col("__first") == F.col("__last"), F.col("__first")).otherwise(F.coalesce(walked, F.col("__first")))
+    return tagged.withColumn(label_col, label).drop(_C, _S, "__first", "__last", "__cuts")
 
 
 def assign_buckets(
@@ -74,6 +84,7 @@ def assign_buckets(
     bucket_col: str = "bucket",
     target_rows: int = DEFAULT_TARGET_ROWS,
     partition_cols: list[str] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``.
     With ``partition_cols`` every partition (experiment) is bucketed on its own."""
@@ -84,7 +95,7 @@ def assign_buckets(
         return bucket_of(r, n, F.least(F.lit(buckets).cast("long"), n))
 
     return label_by_rank(df, length_col, id_col, label, bucket_col, target_rows=target_rows,
-                         partition_cols=partition_cols)
+                         partition_cols=partition_cols, keys=keys)
 
 
 def length_buckets(
@@ -96,15 +107,18 @@ def length_buckets(
     with_bleu: bool = True,
     target_rows: int = DEFAULT_TARGET_ROWS,
     group_cols: list[str] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Per-bucket min/max/mean reference length, BLEU, token F1 and samples.
 
     ``stats`` holds one row per pair with ``id``, ``length``, optional ``f1``
     and (when ``with_bleu``) the BLEU statistics of :func:`bleu_row_stats`.
-    ``group_cols`` buckets every group (experiment) separately.
+    ``group_cols`` buckets every group (experiment) separately.  ``keys``:
+    a cheap projection with the id, length (and group) columns to build the
+    rank histogram from, so ``stats`` itself is computed once.
     """
     gc = list(group_cols or [])
-    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc)
+    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc, keys)
     aggs = [
         F.min(length_col).cast("int").alias("min_tokens"),
         F.max(length_col).cast("int").alias("max_tokens"),

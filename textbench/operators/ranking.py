@@ -1,24 +1,24 @@
-"""Exact, dense, 0-based global rank without a one-partition window.
+"""Exact, dense, 0-based ranks without a one-partition window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` pulls every row into one
 task.  Instead the rank is assembled from a small histogram:
 
-1. ``coarse`` groups (default: the key itself, which must then have a
-   bounded number of distinct values, e.g. a token length; for
-   high-cardinality keys pass an order-preserving coarsening such as
-   ``hash >> 12``) are counted together with their key/tiebreak ranges.
+1. Rows are tagged with a ``coarse`` group (default: the key itself, which
+   must then have a bounded number of distinct values, e.g. a token
+   length; for high-cardinality keys pass an order-preserving coarsening
+   with at most ~2^20 values, e.g. ``hash >> 12`` of a 32-bit hash).
 2. A coarse group holding more than ``target_rows`` rows (a hot key may hold
    a third of the table) is cut into ``ceil(count / target_rows)``
    order-preserving sub-buckets: by key range if it spans several keys, by
-   tiebreak range if it is one key.  Every (coarse, sub) group is thus small.
-3. Offsets are a running sum over the (coarse, sub) histogram, whose size is
-   bounded by ``#coarse values + rows / target_rows``; joins against it are
-   left to AQE, which broadcasts it after measuring it at run time.
-4. Rows that need an exact position get ``offset + row_number() - 1`` from a
-   window partitioned by (coarse, sub); callers that only need to know which
-   contiguous rank range a row falls in (buckets, splits) can skip the
-   window for groups that do not straddle a boundary (see
-   :func:`rank_groups`).
+   tiebreak range if it is one key.  Every (coarse, sub) group is small.
+3. Offsets are a running sum over the (coarse, sub) histogram.  Its size is
+   bounded by ``#coarse values + rows / target_rows`` (about a million rows
+   for 10^11 input rows), so it is broadcast explicitly.
+
+The histogram is built from a cheap key projection (``keys``); the rows to
+rank or label are read once more.  Callers that only need to know which
+contiguous rank range a row falls in use :func:`label_by_rank` in
+``buckets``, which needs no shuffle of the rows at all.
 """
 
 from __future__ import annotations
@@ -27,68 +27,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TARGET_ROWS = 1_000_000
+MAX_COARSE = 1 << 20
 
 _C, _S = "__rk_coarse", "__rk_sub"
+_STATS = ["__rk_cnt", "__rk_kmin", "__rk_kmax", "__rk_tmin", "__rk_tmax"]
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def with_rank_groups(
-    df: DataFrame,
-    key: str,
-    tiebreak: str,
-    coarse: Column | None = None,
-    target_rows: int = DEFAULT_TARGET_ROWS,
-    partition_cols: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Tag rows with an order-preserving group (``__rk_coarse``, ``__rk_sub``).
-
-    Returns ``(tagged_df, groups)`` where ``groups`` has one row per group
-    with ``__rk_n`` (rows), ``__rk_off`` (rows in all earlier groups) and
-    ``__rk_total``, so a row's rank lies in ``[__rk_off, __rk_off + __rk_n)``.
-    With ``partition_cols`` ranks restart in every partition (rank within
-    experiment, within epoch, ...).
-    """
-    pc = list(partition_cols or [])
-    coarse_c = _as_col(key) if coarse is None else coarse
-    base = df.withColumn(_C, coarse_c)
-    stats = base.groupBy(*pc, _C).agg(
-        F.count(F.lit(1)).alias("__rk_cnt"),
-        F.min(key).alias("__rk_kmin"),
-        F.max(key).alias("__rk_kmax"),
-        F.min(tiebreak).alias("__rk_tmin"),
-        F.max(tiebreak).alias("__rk_tmax"),
-    )
+def _coarse(key: str, coarse: Column | None) -> Column:
+    return _as_col(key) if coarse is None else coarse
+
+
+def _sub(key: str, tiebreak: str, target_rows: int) -> Column:
     nsub = F.ceil(F.col("__rk_cnt") / F.lit(target_rows))
-    by_tb = F.floor(
-        (F.col(tiebreak) - F.col("__rk_tmin")).cast("double") * nsub
-        / ((F.col("__rk_tmax") - F.col("__rk_tmin")).cast("double") + 1.0)
-    )
-    by_key = F.floor(
-        (F.col(key) - F.col("__rk_kmin")).cast("double") * nsub
-        / ((F.col("__rk_kmax") - F.col("__rk_kmin")).cast("double") + 1.0)
-    )
-    sub = (
-        F.when(F.col("__rk_cnt") <= target_rows, F.lit(0))
-        .when(F.col("__rk_kmin") == F.col("__rk_kmax"), by_tb)
-        .otherwise(by_key)
-        .cast("long")
-    )
-    tagged = (
-        base.join(stats, [*pc, _C], "inner")
-        .withColumn(_S, sub)
-        .drop("__rk_cnt", "__rk_kmin", "__rk_kmax", "__rk_tmin", "__rk_tmax")
-    )
-    hist = tagged.groupBy(*pc, _C, _S).agg(F.count(F.lit(1)).alias("__rk_n"))
-    # The histogram is small by construction; ordering it needs one task
-    # (one per partition value with ``partition_cols``).
-    w = Window.partitionBy(*pc).orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = hist.withColumn("__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
-        "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*pc))
-    )
-    return tagged, groups
+    by_tb = F.floor((F.col(tiebreak) - F.col("__rk_tmin")).cast("double") * nsub
+                    / ((F.col("__rk_tmax") - F.col("__rk_tmin")).cast("double") + 1.0))
+    by_key = F.floor((F.col(key) - F.col("__rk_kmin")).cast("double") * nsub
+                     / ((F.col("__rk_kmax") - F.col("__rk_kmin")).cast("double") + 1.0))
+    return (F.when(F.col("__rk_cnt") <= target_rows, F.lit(0))
+            .when(F.col("__rk_kmin") == F.col("__rk_kmax"), by_tb)
+            .otherwise(by_key).cast("long"))
+
+
+class RankLayout:
+    """Histogram of order-preserving groups of a key projection.
+
+    ``stats``: one row per (partition, coarse) group with count and key /
+    tiebreak ranges.  ``groups``: one row per (partition, coarse, sub) with
+    ``__rk_n`` rows, ``__rk_off`` rows before it and ``__rk_total`` rows in
+    the partition, so a row's rank lies in ``[__rk_off, __rk_off + __rk_n)``.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, tiebreak: str, coarse: Column | None = None,
+                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None):
+        self.key, self.tiebreak, self.coarse = key, tiebreak, coarse
+        self.target_rows = target_rows
+        self.pc = list(partition_cols or [])
+        base = keys.withColumn(_C, _coarse(key, coarse)).select(*self.pc, key, tiebreak, _C)
+        self.stats = base.groupBy(*self.pc, _C).agg(
+            F.count(F.lit(1)).alias("__rk_cnt"), F.min(key).alias("__rk_kmin"), F.max(key).alias("__rk_kmax"),
+            F.min(tiebreak).alias("__rk_tmin"), F.max(tiebreak).alias("__rk_tmax"))
+        hist = self.tag(base).groupBy(*self.pc, _C, _S).agg(F.count(F.lit(1)).alias("__rk_n"))
+        # The histogram is small by construction; ordering it needs one task
+        # (one per partition value with ``partition_cols``).
+        w = Window.partitionBy(*self.pc).orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.groups = hist.withColumn("__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
+            "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*self.pc)))
+
+    def tag(self, df: DataFrame) -> DataFrame:
+        """Add ``__rk_coarse`` and ``__rk_sub`` to any DataFrame with the key columns."""
+        d = df if _C in df.columns else df.withColumn(_C, _coarse(self.key, self.coarse))
+        return (d.join(F.broadcast(self.stats), [*self.pc, _C], "inner")
+                .withColumn(_S, _sub(self.key, self.tiebreak, self.target_rows)).drop(*_STATS))
+
+    def with_groups(self, df: DataFrame) -> DataFrame:
+        """Tag ``df`` and attach its group's ``__rk_n``, ``__rk_off``, ``__rk_total``."""
+        return self.tag(df).join(F.broadcast(self.groups), [*self.pc, _C, _S], "inner")
 
 
 def two_level_rank(
@@ -100,29 +97,31 @@ def two_level_rank(
     target_rows: int = DEFAULT_TARGET_ROWS,
     total_col: str | None = None,
     partition_cols: list[str] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``rank_col``: exact 0-based position of each row in (key, tiebreak)
-    order (and, if ``total_col`` is given, the table's row count)."""
-    pc = list(partition_cols or [])
-    tagged, groups = with_rank_groups(df, key, tiebreak, coarse, target_rows, pc)
+    """Add ``rank_col``: exact 0-based position of each row in (key,
+    tiebreak) order (within ``partition_cols``), and optionally the row count
+    as ``total_col``.  One shuffle of the rows, by their small group."""
+    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
+    pc = layout.pc
     w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)
-    out = tagged.join(groups, [*pc, _C, _S], "inner").withColumn(rank_col, F.col("__rk_off") + F.row_number().over(w) - 1)
+    out = layout.with_groups(df).withColumn(rank_col, F.col("__rk_off") + F.row_number().over(w) - 1)
     if total_col:
         out = out.withColumn(total_col, F.col("__rk_total"))
     return out.drop(_C, _S, "__rk_n", "__rk_off", "__rk_total")
 
 
-
 def dense_index(df: DataFrame, id_col: str, idx_col: str = "idx", per_bucket: int = 4096,
                 target_rows: int = DEFAULT_TARGET_ROWS, total_col: str | None = None) -> DataFrame:
     """0-based dense position of each row in ``id_col`` order, for ids of any
-    spread: the coarse key cuts the observed id range into ``ceil(n /
-    per_bucket)`` equal-width buckets (from one small min/max/count
-    aggregate), so the histogram stays ~``n / per_bucket`` rows however
-    sparse the ids are; crowded buckets are sub-bucketed as usual."""
+    spread: the coarse key cuts the observed id range into
+    ``min(ceil(n / per_bucket), 2^20)`` equal-width buckets (from one
+    min/max/count aggregate, a single row), so the histogram stays bounded
+    however sparse the ids are; crowded buckets are sub-bucketed as usual."""
     stats = df.groupBy().agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"),
                              F.count(F.lit(1)).alias("__cnt"))
-    g = F.greatest(F.lit(1.0), F.ceil(F.col("__cnt") / F.lit(per_bucket)).cast("double"))
+    g = F.least(F.lit(float(MAX_COARSE)),
+                F.greatest(F.lit(1.0), F.ceil(F.col("__cnt") / F.lit(per_bucket)).cast("double")))
     coarse = F.floor((F.col(id_col) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1.0) * g)
     tagged = df.crossJoin(F.broadcast(stats)).withColumn("__dcoarse", coarse.cast("long")).drop("__lo", "__hi", "__cnt")
     out = two_level_rank(tagged, id_col, id_col, idx_col, coarse=F.col("__dcoarse"), target_rows=target_rows,

@@ -16,7 +16,19 @@ from textbench.functions.toolcalls import add_tool_call
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """An input with fewer scan splits than the cluster has cores (e.g. a
+    single-row-group Parquet file, which cannot be split) is spread
+    round-robin once, so the per-row text work that follows uses every core.
+    Large inputs already have many splits and are returned unchanged (no
+    extra shuffle at scale)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 # ---------------------------------------------------------------------------
@@ -26,9 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     d = F.col("doc_id")
-    w = words(F.col("text"))
-    kept = F.filter(F.sequence(F.lit(1), F.least(F.lit(128), F.size(w))), lambda p: (p + d) % 5 != 0)
-    truncated = F.array_join(F.transform(kept, lambda p: F.element_at(w, p)), " ")
+    # keep word p (1-based) of the first 128 unless (p + doc_id) % 5 = 0; the
+    # lambda walks the word array itself, so the text is split once per row
+    kept = F.filter(words(F.col("text")), lambda x, i: (i < 128) & ((i + 1 + d) % 5 != 0))
+    truncated = F.array_join(kept, " ")
     return docs.select(
         d.alias("id"),
         F.concat(F.lit("m"), (d % 2).cast("string")).alias("model"),

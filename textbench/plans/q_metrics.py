@@ -17,19 +17,29 @@ from textbench.plans.fixtures import SQL_PAIRS, pairs
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 
-def pair_stats(spark: SparkSession, sf_dir: str, with_bleu: bool = True) -> DataFrame:
-    """One row per pair: id, model, is_refusal, length (reference tokens), f1
-    and, with BLEU, the n-gram statistics."""
-    p = pairs(spark, sf_dir).select(
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their reference length (tokens) and token F1."""
+    return pairs(spark, sf_dir).select(
         "id", "model", "is_refusal", "prediction", "reference",
         token_length("reference").alias("length"),
         token_f1_col("prediction", "reference").alias("f1"),
     )
+
+
+def pair_stats(spark: SparkSession, sf_dir: str, with_bleu: bool = True) -> DataFrame:
+    """One row per pair: id, model, is_refusal, length (reference tokens), f1
+    and, with BLEU, the n-gram statistics."""
+    p = pair_rows(spark, sf_dir)
     if not with_bleu:
         return p.drop("prediction", "reference")
     return B.bleu_row_stats(p, keep=["model", "is_refusal", "length", "f1"])
 
 
+def length_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheap (id, length) projection for building the bucket histogram."""
+    return pairs(spark, sf_dir).select("id", token_length("reference").alias("length"))
+
+
 SQL_PAIR_SRC = f"""
 SELECT id, model, is_refusal, prediction, reference,
   CAST(len({S.regex_tokens('reference')}) AS BIGINT) AS length,
@@ -81,7 +91,7 @@ def a4_length_buckets_f1(spark, sf_dir):
 def a4_length_buckets(spark, sf_dir):
     """BLEU and token F1 by reference-length bucket (4 buckets, the reference default)."""
     st = pair_stats(spark, sf_dir, with_bleu=True)
-    out = length_buckets(st, 4, with_bleu=True)
+    out = length_buckets(st, 4, with_bleu=True, keys=length_keys(spark, sf_dir))
     return out.select("bucket", "min_tokens", "max_tokens", R6("avg_ref_tokens"), "samples", R6("token_f1"), R6("bleu"))
 
 

@@ -56,7 +56,9 @@ def sql_exp_stats(k_sweep: bool = False) -> str:
 
 def experiment_buckets(spark, sf_dir):
     st = exp_stats(spark, sf_dir)
-    return length_buckets(st, 4, group_cols=["experiment"])
+    keys = pairs(spark, sf_dir).select("id", F.concat_ws("-", "lang", "model").alias("experiment"),
+                                       token_length("reference").alias("length"))
+    return length_buckets(st, 4, group_cols=["experiment"], keys=keys)
 
 
 def reports(spark, sf_dir):

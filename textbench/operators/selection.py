@@ -78,7 +78,7 @@ def selection_dataset(indexed: DataFrame, samples: DataFrame, cfg: SelectionConf
     sid = F.col(sample_col)
     n_docs = indexed.groupBy().agg(F.count(F.lit(1)).alias("__N"))
     s = with_scalars(samples.select(sample_col), n_docs)
-    N = F.when(F.col("__N") > 0, F.col("__N")).otherwise(F.raise_error(F.lit("Selection dataset is empty")))
+    N = F.when(F.col("__N") > 0, F.col("__N")).otherwise(F.raise_error(F.lit("Selection dataset is empty")).cast("long"))
     k = F.greatest(F.lit(1), F.least(hash_randint(cfg.min_docs, cfg.max_docs, seed, sid, F.lit("count")), N))
     s = s.withColumn("doc_count", k.cast("int"))
     s = s.withColumn("doc_indices", sample_k_of_n(F.col("doc_count").cast("long"), F.col("__N"), seed, sid))
@@ -90,7 +90,9 @@ def selection_dataset(indexed: DataFrame, samples: DataFrame, cfg: SelectionConf
     need = s.withColumn("__need", F.concat("doc_indices", F.when(F.col("use_decoy"), F.array("decoy"))
                                              .otherwise(F.array().cast("array<bigint>"))))
     texts = lookup_docs(need, indexed, [sample_col], "__need", "texts")
-    s = s.join(texts, sample_col)
+    # left join: every sample keeps its row (all indices resolve when the
+    # corpus is non-empty), and an empty corpus reaches the raise above
+    s = s.join(texts, sample_col, "left")
     kk = F.col("doc_count")
     docs = F.slice("texts", 1, kk)
     target_pos = hash_randint(0, kk - 1, seed, sid, F.lit("target"))

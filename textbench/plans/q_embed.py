@@ -67,7 +67,9 @@ def e2_precompute_embeddings(spark, sf_dir):
     have = stored.join(docs.select("doc_id"), "doc_id", "left_semi")
     both = have.select("doc_id", F.lit("stored").alias("origin")).unionByName(
         fresh.select("doc_id", F.lit("computed").alias("origin")))
-    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("vectors"))
+    tot = both.groupBy().agg(*[F.count(F.when(F.col("origin") == o, 1)).alias(o) for o in ("stored", "computed")])
+    return tot.select(F.inline(F.array(*[F.struct(F.lit(o).alias("origin"), F.col(o).alias("vectors"))
+                                         for o in ("stored", "computed")])))
 
 
 _DOT = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * CAST({r!r} AS DOUBLE)" for i, r in enumerate(_ROWSUM))

@@ -107,7 +107,7 @@ def parse_tasks(json_col: Column) -> Column:
 
 def read_tasks(spark: SparkSession, path: str, pattern: str = "task_*.json") -> DataFrame:
     """SRC3: task files (object or array per file) under ``path``, sorted by id."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.explode(parse_tasks(F.col("value"))).alias("t")).select("t.*").orderBy("id")
 
 
@@ -124,7 +124,7 @@ def read_code_files(spark: SparkSession, root: str) -> DataFrame:
     """SRC5: every file under ``root/<repo>/...`` as (repo, path, content);
     pair with :func:`textbench.operators.sft.walk_filter` for the language,
     vendor, size and per-repo cap rules."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
              .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("__fp")))
     rel = F.regexp_replace(F.col("__fp"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
     return files.select(F.substring_index(rel, "/", 1).alias("repo"),

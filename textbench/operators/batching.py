@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def batch_plan(df: DataFrame, key: str, batch_size: int, epochs: int, seed: int
     ep = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     # one global order over (epoch, hash): epoch in the high bits
     ep = ep.withColumn("__ok", F.col("epoch").cast("long") * F.lit(1 << 32) + hash_bits(seed, F.col("epoch"), F.col(key)))
-    ranked = two_level_rank(ep, "__ok", key, "__r", coarse=F.shiftright(F.col("__ok"), 12), total_col="__nn")
+    # coarse groups: the top ~20 bits of (epoch, hash), so the histogram
+    # stays below ~2^20 rows whatever the number of epochs
+    shift = 12 + max(0, math.ceil(math.log2(max(epochs, 1))))
+    ranked = two_level_rank(ep, "__ok", key, "__r", coarse=F.shiftright(F.col("__ok"), shift), total_col="__nn")
     n = F.col("__nn") / F.lit(epochs)
     pos = F.col("__r") - F.col("epoch") * n
     spe = F.ceil(n / F.lit(batch_size))
@@ -74,14 +79,30 @@ def padding_report(batches: DataFrame, length_col: str) -> DataFrame:
     )
 
 
+def running_sum(df: DataFrame, group_col: str, order_col: str, value_col: str, out_col: str,
+                block: int = 65536) -> DataFrame:
+    """Inclusive running sum of ``value_col`` per group in ``order_col``
+    order (numeric, e.g. a turn number), skew-safe: rows are cut into blocks
+    of ``block`` consecutive order values; block totals are prefix-summed
+    over the small (group, block) table and each block is summed on its own,
+    so even a group holding a third of the table never lands in one task."""
+    b = F.floor(F.col(order_col) / F.lit(block)).cast("long")
+    d = df.withColumn("__blk", b)
+    tot = d.groupBy(group_col, "__blk").agg(F.sum(value_col).alias("__bt"))
+    wb = Window.partitionBy(group_col).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("__boff", F.coalesce(F.sum("__bt").over(wb), F.lit(0))).drop("__bt")
+    w = Window.partitionBy(group_col, "__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.join(offs, [group_col, "__blk"], "inner")
+            .withColumn(out_col, F.col("__boff") + F.sum(value_col).over(w)).drop("__blk", "__boff"))
+
+
 def assistant_label_spans(msgs: DataFrame, conv_col: str, turn_col: str, role_col: str, length_col: str,
                           max_len: int = 2048) -> DataFrame:
     """TXT9: per message its token span ``[start, end)`` in the concatenated
     conversation (running sum of lengths), clipped at ``max_len``; only
     assistant spans are supervised."""
-    w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(length_col).over(w)
-    out = msgs.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col(length_col))
+    out = running_sum(msgs, conv_col, turn_col, length_col, "__end").withColumn(
+        "__start", F.col("__end") - F.col(length_col))
     return out.select(
         "*",
         F.least(F.col("__start"), F.lit(max_len)).cast("long").alias("start"),

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textbench.functions.hashing import hash_bits
 from textbench.operators.bleu import STAT_COLS, bleu_from_sums
-from textbench.operators.ranking import two_level_rank
+from textbench.operators.ranking import dense_index
 
 # Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (rule: e^-1 * sum 1/j!).
 POISSON1_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
@@ -95,8 +95,7 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
         w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
         weighted = exploded.withColumn("__w", w).filter(F.col("__w") > 0)
     elif method == "multinomial":
-        ranked = two_level_rank(stats, id_col, id_col, rank_col="__idx", coarse=F.floor(F.col(id_col) / 4096),
-                                total_col="__n")
+        ranked = dense_index(stats, id_col, "__idx", total_col="__n")
         draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
         u = hash_bits(seed, F.col("rep"), F.col("__j")).cast("double") / F.lit(4294967296.0)
         counts = draws.select("rep", F.floor(u * F.col("__n")).cast("long").alias("__idx")).groupBy("rep", "__idx").agg(

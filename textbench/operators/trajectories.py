@@ -110,10 +110,13 @@ def compare_models(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     return metrics.withColumn("line", line)
 
 
-def dedupe_tasks(tasks: DataFrame, order_col: str = "id") -> DataFrame:
-    """First task row per id (the reference's ``next(...)`` over a list sorted by id)."""
-    w = Window.partitionBy("id").orderBy(order_col)
-    return tasks.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+def dedupe_tasks(tasks: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One task row per id (the reference takes the first match).  An
+    aggregation (``min_by``), not a window, so repeated ids are reduced
+    map-side and a hot id never gathers in one task."""
+    cols = [c for c in tasks.columns if c != "id"]
+    order = F.col(order_col) if order_col else F.struct(*[F.col(c) for c in cols])
+    return tasks.groupBy("id").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__t")).select("id", "__t.*")
 
 
 def trajectory_task_join(traj: DataFrame, tasks: DataFrame) -> DataFrame:

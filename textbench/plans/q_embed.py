@@ -144,3 +144,20 @@ def a16_embedding_storage_estimate(spark, sf_dir):
     """768-dim float32 storage for the corpus and the auto precompute decision (250 GB cap)."""
     e = EM.storage_estimate(corpus(spark, sf_dir), dims=768, mode="auto")
     return e.withColumn("total_gb", F.round("total_gb", 9))
+
+
+@register("snk5_write_embeddings", """
+SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, round(sum(list_sum(embedding)), 3) AS value_sum FROM embeddings
+""")
+def snk5_write_embeddings(spark, sf_dir):
+    """Vectors written as Parquet partitioned by id bucket, then read back."""
+    import uuid
+
+    from textbench.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sinks/vectors-{uuid.uuid4().hex}"
+    EM.write_embeddings(vectors(spark, sf_dir), path, "overwrite", buckets=16)
+    back = spark.read.parquet(path)
+    tot = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x)
+    return back.groupBy().agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("doc_id").alias("ids"),
+                              F.round(F.sum(tot), 3).alias("value_sum"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textbench.functions.hashing import sql_hash_uniform
 from textbench.functions.text import token_length
 from textbench.operators import bleu as B
 from textbench.operators.bootstrap import bootstrap_ci, reconstruction_report
@@ -224,3 +225,55 @@ def a6_reconstruction_report(spark, sf_dir):
     st = pair_stats(spark, sf_dir, with_bleu=True)
     out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42)
     return out.select(*[R6(c) if c != "samples" else c for c in out.columns])
+
+
+# -- JN3, P1-P3 -------------------------------------------------------------
+
+@register("jn3_join_predictions", f"""
+WITH p AS (SELECT id, prediction FROM ({SQL_PAIRS}) WHERE NOT is_refusal),
+r AS (SELECT doc_id AS id, text AS reference FROM documents)
+SELECT count(*) AS pairs, round(avg({S.token_f1('prediction', 'reference')}), 6) AS token_f1
+FROM p JOIN r USING (id)
+""")
+def jn3_join_predictions(spark, sf_dir):
+    """Predictions (non-refusal rows) matched to their references by id; unmatched rows drop (zip strict=False)."""
+    from textbench.plans.fixtures import corpus
+
+    p = pairs(spark, sf_dir).filter(~F.col("is_refusal")).select("id", "prediction")
+    r = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("reference"))
+    j = p.join(r, "id", "inner")
+    return j.groupBy().agg(F.count(F.lit(1)).alias("pairs"),
+                           F.round(F.avg(token_f1_col("prediction", "reference")), 6).alias("token_f1"))
+
+
+@register("p1_hash_uniform", f"""
+SELECT lang, round(sum({sql_hash_uniform(42, 'doc_id')}), 6) AS u_sum,
+       count(*) FILTER (WHERE {sql_hash_uniform(42, 'doc_id')} < 0.5) AS below_half
+FROM documents GROUP BY lang
+""")
+def p1_hash_uniform(spark, sf_dir):
+    """Per-row deterministic uniforms: their sum and the count below 0.5 per language."""
+    from textbench.functions.hashing import hash_uniform
+    from textbench.plans.fixtures import table
+
+    d = table(spark, sf_dir, "documents").select("lang", hash_uniform(42, F.col("doc_id")).alias("u"))
+    return d.groupBy("lang").agg(F.round(F.sum("u"), 6).alias("u_sum"),
+                                 F.count(F.when(F.col("u") < 0.5, 1)).alias("below_half"))
+
+
+@register("p2_two_level_rank", """
+SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents
+""")
+def p2_two_level_rank(spark, sf_dir):
+    """Exact global rank of documents by length (ties by id) from the histogram, not a one-task window."""
+    from textbench.operators.ranking import two_level_rank
+    from textbench.plans.fixtures import table
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return two_level_rank(d, "n_chars", "doc_id", "rank", coarse=F.floor(F.col("n_chars") / 64)).select("doc_id", "rank")
+
+
+@register("p3_ngram_stats", SQL_PAIR_STATS.replace("SELECT t.id, t.model, t.is_refusal, t.length, t.f1,", "SELECT t.id,"))
+def p3_ngram_stats(spark, sf_dir):
+    """Per-pair BLEU sufficient statistics (lengths, clipped matches and totals for n = 1..4)."""
+    return B.bleu_row_stats(pair_rows(spark, sf_dir).select("id", "prediction", "reference"))

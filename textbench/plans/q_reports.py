@@ -322,3 +322,30 @@ def snk4_write_table(spark, sf_dir):
     back = spark.read.option("header", True).schema(t.schema).csv(path)
     return back.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum("samples").cast("long").alias("samples"),
                               F.round(F.sum("bleu"), 4).alias("bleu_sum"))
+
+
+@register("src6_read_eval_reports", SQL_BUCKET_TABLE + """
+SELECT experiment, bucket, min_tokens, max_tokens, round(avg_tokens, 6) AS avg_tokens, round(bleu, 6) AS bleu,
+       round(token_f1, 6) AS token_f1, samples FROM t WHERE bleu IS NOT NULL
+""")
+def src6_read_eval_reports(spark, sf_dir):
+    """Experiment reports written by Spark (one folder per experiment) and
+    collected back with the report reader, then flattened (A10)."""
+    root = _scratch(spark, "outputs")
+    reports(spark, sf_dir).write.partitionBy("experiment").json(root)
+    back = RD.read_eval_reports(spark, root, report_glob="part-*.json", multi_line=False, siblings=False)
+    t = RP.bucket_table(back)
+    return t.select("experiment", "bucket", "min_tokens", "max_tokens", R6("avg_tokens"), R6("bleu"), R6("token_f1"), "samples")
+
+
+@register("prj1_predicates", """
+SELECT lang, count(*) AS files, count(*) FILTER (WHERE length(text) > 20 AND length(text) < 5000) AS kept_by_size,
+       count(*) FILTER (WHERE n_chars < 1000 AND lang <> 'en') AS short_non_en
+FROM documents GROUP BY lang
+""")
+def prj1_predicates(spark, sf_dir):
+    """The size, language and length predicates of the walk and report filters, pushed to the scan."""
+    d = table(spark, sf_dir, "documents").select("lang", "text", "n_chars")
+    size_ok = (F.length("text") > 20) & (F.length("text") < 5000)
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(size_ok, 1)).alias("kept_by_size"),
+                                 F.count(F.when((F.col("n_chars") < 1000) & (F.col("lang") != "en"), 1)).alias("short_non_en"))

@@ -131,16 +131,36 @@ def read_code_files(spark: SparkSession, root: str) -> DataFrame:
                         F.regexp_replace(rel, "^[^/]*/", "").alias("path"), "content")
 
 
-def read_eval_reports(spark: SparkSession, outputs_root: str) -> DataFrame:
-    """SRC6: ``eval-report.json`` from ``outputs*/`` siblings and from
-    ``outputs/*/``; experiment = directory name; only reports with buckets."""
-    parent = outputs_root.rstrip("/").rsplit("/", 1)[0] if "/" in outputs_root.rstrip("/") else "."
-    paths = [f"{parent}/outputs*/eval-report.json", f"{outputs_root.rstrip('/')}/*/eval-report.json"]
-    df = spark.read.option("multiLine", True).schema(EVAL_REPORT_SCHEMA).json(paths)
-    df = df.withColumn("experiment", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/eval-report\\.json$", 1))
+def read_eval_reports(spark: SparkSession, outputs_root: str, report_glob: str = "eval-report.json",
+                      multi_line: bool = True, siblings: bool = True) -> DataFrame:
+    """SRC6: reports from ``outputs*/`` siblings and from ``outputs/*/``;
+    experiment = the report's directory name (a ``key=`` prefix, as in
+    Spark-written partition folders, is dropped); only reports with buckets."""
+    root = outputs_root.rstrip("/")
+    parent = root.rsplit("/", 1)[0] if "/" in root else "."
+    paths = existing_globs(spark, [f"{root}/*/{report_glob}"] + ([f"{parent}/outputs*/{report_glob}"] if siblings else []))
+    if not paths:
+        return spark.createDataFrame([], EVAL_REPORT_SCHEMA).withColumn("experiment", F.lit(None).cast("string"))
+    df = (spark.read.option("multiLine", multi_line).option("ignoreMissingFiles", True)
+          .schema(EVAL_REPORT_SCHEMA).json(paths))
+    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1), "^[^=/]*=", "")
+    df = df.withColumn("experiment", name)
     return df.filter(F.col("length_buckets").isNotNull()).dropDuplicates(["experiment"])
 
 
+def existing_globs(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Keep the path globs that match at least one file (a metadata listing
+    on the driver, no data read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        st = hp.getFileSystem(conf).globStatus(hp)
+        if st is not None and len(st) > 0:
+            out.append(p)
+    return out
+
+
 def read_embeddings(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """SRC7: precomputed vectors (``id, embedding: array<float>``)."""
     return spark.read.parquet(path).select(id_col, "embedding")

@@ -44,13 +44,19 @@ def words(c) -> Column:
     return F.filter(F.split(_c(c), WS), lambda x: x != F.lit(""))
 
 
+TOKEN_RE = "\\w+|[^\\w\\s]"
+
+
 def regex_tokens(c) -> Column:
     """Default tokenizer: runs of word characters and single punctuation marks."""
-    return F.regexp_extract_all(_c(c), F.lit("\\w+|[^\\w\\s]"), 0)
+    return F.regexp_extract_all(_c(c), F.lit(TOKEN_RE), 0)
 
 
 def token_length(c, tokenizer=regex_tokens) -> Column:
-    """TXT3: length of a text in tokens of a pluggable column tokenizer."""
+    """TXT3: length of a text in tokens of a pluggable column tokenizer (the
+    default tokenizer's matches are counted without building the array)."""
+    if tokenizer is regex_tokens:
+        return F.regexp_count(_c(c), F.lit(TOKEN_RE))
     return F.size(tokenizer(_c(c)))
 
 

@@ -26,17 +26,6 @@ MAX_ORDER = 4
 STAT_COLS = ["sys_len", "ref_len"] + [f"m{n}" for n in range(1, 5)] + [f"t{n}" for n in range(1, 5)]
 
 
-def _ngram_structs(arr: Column, side: int, kstruct: Column) -> Column:
-    def per_order(n):
-        idx = F.when(
-            F.size(arr) >= n, F.sequence(F.lit(1), F.size(arr) - n + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(n.alias("n"), F.slice(arr, i, n).alias("g"), F.lit(side).alias("s"),
-                                                   F.when(F.lit(False), kstruct).alias("k")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_ORDER)), per_order))
-
-
 def bleu_row_stats(
     df: DataFrame,
     id_col: str = "id",
@@ -57,15 +46,25 @@ def bleu_row_stats(
     toks = df.select(
         id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
     ).repartition(parts, id_col)
-    # The per-row sentinel (n = 0) carries the row's other columns, so the
-    # per-gram aggregation is keyed on (id, n, gram) only.
+    # One generator over positions 0..|h|+|r|: position 0 is a per-row
+    # sentinel carrying the other columns (so the gram key stays (id, n,
+    # gram) and rows without tokens are kept), 1..|h| the hypothesis,
+    # the rest the reference.  Grams are slices taken inside the generated
+    # row (codegen), not arrays built by lambdas.
+    nh, nr = F.size("__h"), F.size("__r")
+    pos = toks.select(id_col, *keep, "__h", "__r", F.explode(F.sequence(F.lit(0), nh + nr)).alias("__i"))
+    i = F.col("__i")
+    is_h = (i >= 1) & (i <= nh)
+    arr = F.when(is_h, F.col("__h")).otherwise(F.col("__r"))
+    j = F.when(is_h, i).otherwise(i - nh)
     kstruct = F.struct(*[F.col(k) for k in keep]) if keep else F.lit(None).cast("struct<x:int>")
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), F.lit(0).alias("s"),
-                                kstruct.alias("k")))
-    grams = toks.select(
-        id_col,
-        F.explode(F.concat(sentinel, _ngram_structs(F.col("__h"), 1, kstruct), _ngram_structs(F.col("__r"), 0, kstruct))).alias("x"),
-    ).select(id_col, F.col("x.n").alias("n"), F.col("x.g").alias("g"), F.col("x.s").alias("s"), F.col("x.k").alias("k"))
+    null_k = F.when(F.lit(False), kstruct)  # a null of the struct's type
+    items = [F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), (i == 0).alias("ok"),
+                      F.when(i == 0, kstruct).otherwise(null_k).alias("k"))]
+    for n in range(1, MAX_ORDER + 1):
+        items.append(F.struct(F.lit(n).alias("n"), F.slice(arr, F.greatest(j, F.lit(1)).cast("int"), n).alias("g"),
+                              ((i >= 1) & (j + (n - 1) <= F.size(arr))).alias("ok"), null_k.alias("k")))
+    grams = pos.select(id_col, F.when(is_h, 1).otherwise(0).alias("s"), F.inline(F.array(*items))).filter("ok")
     per_gram = grams.groupBy(id_col, "n", "g").agg(
         F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr"), F.first("k", ignorenulls=True).alias("k")
     )

@@ -38,6 +38,7 @@ def label_by_rank(
     target_rows: int = DEFAULT_TARGET_ROWS,
     partition_cols: list[str] | None = None,
     keys: DataFrame | None = None,
+    materialize_keys: bool = False,
 ) -> DataFrame:
     """Add ``label_col = label_fn(rank, n)`` for a label that is monotone in
     the (key, tiebreak) rank (bucket numbers, split names by cut point).
@@ -51,15 +52,15 @@ def label_by_rank(
     pass against three broadcast tables (group stats, groups, cuts): the
     rows are never shuffled or sorted.
     """
-    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
+    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols,
+                        materialize=materialize_keys)
     pc = layout.pc
     n = F.col("__rk_total")
     g = (layout.groups
          .withColumn("__first", label_fn(F.col("__rk_off"), n))
          .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n)))
     straddle = g.filter(F.col("__first") != F.col("__last")).select(*pc, _C, _S, "__rk_off", "__rk_total")
-    kdf = keys if keys is not None else df
-    ranked = (layout.tag(kdf.select(*pc, key, tiebreak)).join(F.broadcast(straddle), [*pc, _C, _S], "inner")
+    ranked = (layout.tag(layout.keys).join(F.broadcast(straddle), [*pc, _C, _S], "inner")
               .withColumn("__r", F.col("__rk_off") + F.row_number().over(
                   Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)) - 1))
     cut_rows = ranked.withColumn("__lab", label_fn(F.col("__r"), n)).filter(
@@ -85,6 +86,7 @@ def assign_buckets(
     target_rows: int = DEFAULT_TARGET_ROWS,
     partition_cols: list[str] | None = None,
     keys: DataFrame | None = None,
+    materialize_keys: bool = False,
 ) -> DataFrame:
     """Add ``bucket_col`` (0-based) to every row; no rows when ``buckets <= 0``.
     With ``partition_cols`` every partition (experiment) is bucketed on its own."""
@@ -95,7 +97,7 @@ def assign_buckets(
         return bucket_of(r, n, F.least(F.lit(buckets).cast("long"), n))
 
     return label_by_rank(df, length_col, id_col, label, bucket_col, target_rows=target_rows,
-                         partition_cols=partition_cols, keys=keys)
+                         partition_cols=partition_cols, keys=keys, materialize_keys=materialize_keys)
 
 
 def length_buckets(
@@ -118,7 +120,8 @@ def length_buckets(
     rank histogram from, so ``stats`` itself is computed once.
     """
     gc = list(group_cols or [])
-    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc, keys)
+    tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc, keys,
+                            materialize_keys=keys is not None)
     aggs = [
         F.min(length_col).cast("int").alias("min_tokens"),
         F.max(length_col).cast("int").alias("max_tokens"),

@@ -62,11 +62,22 @@ class RankLayout:
     """
 
     def __init__(self, keys: DataFrame, key: str, tiebreak: str, coarse: Column | None = None,
-                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None):
+                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None,
+                 materialize: bool = False):
         self.key, self.tiebreak, self.coarse = key, tiebreak, coarse
         self.target_rows = target_rows
         self.pc = list(partition_cols or [])
         base = keys.withColumn(_C, _coarse(key, coarse)).select(*self.pc, key, tiebreak, _C)
+        if materialize:
+            # The key projection is read by two histogram passes (and by the
+            # cut-point pass); when it is derived from expensive expressions
+            # (token counts over whole texts) it is computed once and written
+            # to the shared checkpoint folder instead of recomputed per pass.
+            from textbench.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(keys.sparkSession)
+            base = base.checkpoint(eager=True)
+        self.keys = base
         self.stats = base.groupBy(*self.pc, _C).agg(
             F.count(F.lit(1)).alias("__rk_cnt"), F.min(key).alias("__rk_kmin"), F.max(key).alias("__rk_kmax"),
             F.min(tiebreak).alias("__rk_tmin"), F.max(tiebreak).alias("__rk_tmax"))
@@ -77,7 +88,7 @@ class RankLayout:
         self.groups = hist.withColumn("__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
             "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*self.pc)))
 
-    def tag(self, df: DataFrame) -> DataFrame:
+    def tag(self, df: DataFrame) -> DataFrame:  # noqa: D401
         """Add ``__rk_coarse`` and ``__rk_sub`` to any DataFrame with the key columns."""
         d = df if _C in df.columns else df.withColumn(_C, _coarse(self.key, self.coarse))
         return (d.join(F.broadcast(self.stats), [*self.pc, _C], "inner")

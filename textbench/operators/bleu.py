@@ -40,9 +40,12 @@ def bleu_row_stats(
     carried through to the output.
     """
     keep = keep or []
-    # An explicit partition count: the n-gram explode multiplies the rows
-    # ~25x after this exchange, so AQE must not coalesce it by input size.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit partition count sized from the input bytes: the n-gram
+    # explode multiplies the rows ~25x after this exchange, so AQE must not
+    # coalesce it by its input size.
+    from textbench.session import partitions_for
+
+    parts = partitions_for(df.select(hyp_col, ref_col))
     toks = df.select(
         id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
     ).repartition(parts, id_col)

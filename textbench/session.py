@@ -41,15 +41,36 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``)."""
     ensure_checkpoint_dir(spark)
-    return spark.conf.get("spark.checkpoint.dir")
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="textbench-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
+
+
+def partitions_for(df, bytes_per_partition: int = 32 << 20, max_partitions: int = 100_000) -> int:
+    """Partition count for a shuffle that precedes a row-expanding step.
+
+    ``max(spark.sql.shuffle.partitions, estimated input bytes /
+    bytes_per_partition)`` capped at ``max_partitions``; the estimate is
+    Catalyst's plan statistics (file sizes), so no job runs.  AQE cannot
+    size such a shuffle itself: it sees the bytes going in, not the n-gram
+    or replicate rows each task will generate from them.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return base
+    return max(base, min(max_partitions, -(-size // bytes_per_partition)))

@@ -230,16 +230,16 @@ def a6_reconstruction_report(spark, sf_dir):
 # -- JN3, P1-P3 -------------------------------------------------------------
 
 @register("jn3_join_predictions", f"""
-WITH p AS (SELECT id, prediction FROM ({SQL_PAIRS}) WHERE NOT is_refusal),
+WITH p AS (SELECT id, prediction FROM ({SQL_PAIRS})),
 r AS (SELECT doc_id AS id, text AS reference FROM documents)
 SELECT count(*) AS pairs, round(avg({S.token_f1('prediction', 'reference')}), 6) AS token_f1
 FROM p JOIN r USING (id)
 """)
 def jn3_join_predictions(spark, sf_dir):
-    """Predictions (non-refusal rows) matched to their references by id; unmatched rows drop (zip strict=False)."""
+    """Predictions matched to their reference documents by id (inner join: unmatched rows drop, like zip strict=False)."""
     from textbench.plans.fixtures import corpus
 
-    p = pairs(spark, sf_dir).filter(~F.col("is_refusal")).select("id", "prediction")
+    p = pairs(spark, sf_dir).select("id", "prediction")
     r = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("reference"))
     j = p.join(r, "id", "inner")
     return j.groupBy().agg(F.count(F.lit(1)).alias("pairs"),

@@ -106,8 +106,10 @@ def parse_tasks(json_col: Column) -> Column:
 
 
 def read_tasks(spark: SparkSession, path: str, pattern: str = "task_*.json") -> DataFrame:
-    """SRC3: task files (object or array per file) under ``path``, sorted by id."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    """SRC3: task files (object or array per file) under ``path`` (or the one
+    file ``path``), sorted by id."""
+    reader = spark.read if path.endswith(".json") else spark.read.option("pathGlobFilter", pattern)
+    files = reader.text(path, wholetext=True)
     return files.select(F.explode(parse_tasks(F.col("value"))).alias("t")).select("t.*").orderBy("id")
 
 

@@ -20,7 +20,7 @@ def _docs(spark, texts):
 def test_selection_invariants(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     idx = SEL.index_corpus(docs)
-    ex = SEL.selection_dataset(idx, SEL.selection_samples(idx), seed=3)
+    ex = SEL.selection_dataset(docs, seed=3)
     texts = {r["idx"]: r["text"] for r in idx.collect()}
     rows = ex.collect()
     assert len(rows) == len(texts)
@@ -45,8 +45,8 @@ def test_selection_invariants(spark):
 
 
 def test_selection_one_document_corpus(spark):
-    idx = SEL.index_corpus(_docs(spark, ["only one document here"]))
-    rows = SEL.selection_dataset(idx, spark.range(50).withColumnRenamed("id", "sample_id"), seed=1).collect()
+    rows = SEL.selection_dataset(_docs(spark, ["only one document here"]),
+                                 spark.range(50).withColumnRenamed("id", "sample_id"), seed=1).collect()
     for r in rows:
         assert r["doc_count"] == 1
         if r["is_refusal"]:
@@ -54,9 +54,9 @@ def test_selection_one_document_corpus(spark):
 
 
 def test_selection_empty_corpus_errors(spark):
-    idx = SEL.index_corpus(spark.createDataFrame([], "doc_id long, text string"))
+    empty = spark.createDataFrame([], "doc_id long, text string")
     with pytest.raises(Exception):
-        SEL.selection_dataset(idx, spark.range(3).withColumnRenamed("id", "sample_id")).collect()
+        SEL.selection_dataset(empty, spark.range(3).withColumnRenamed("id", "sample_id")).collect()
 
 
 def test_precompute_resume_is_idempotent(spark, tmp_path):

@@ -68,15 +68,22 @@ def gather_embeddings(refs: DataFrame, indexed_vectors: DataFrame, key_cols: lis
     )
 
 
-def selection_dataset(indexed: DataFrame, samples: DataFrame, cfg: SelectionConfig = SelectionConfig(), seed: int = 42,
-                      sample_col: str = "sample_id") -> DataFrame:
+def selection_dataset(corpus: DataFrame, samples: DataFrame | None = None, cfg: SelectionConfig = SelectionConfig(),
+                      seed: int = 42, sample_col: str = "sample_id", id_col: str = "doc_id") -> DataFrame:
     """SEL1: one example per sample id:
     ``sample_id, doc_indices, query, target_text, doc_count, is_refusal, query_kind``.
 
-    ``indexed`` = corpus with dense ``idx`` and ``text``.  An empty corpus
-    raises at run time, as in the reference."""
+    ``corpus`` = ``(doc_id, text)``.  Only the ids are ranked (dense index,
+    a shuffle of longs); texts move once to meet their (sample, position)
+    references on ``doc_id`` and once more to be grouped per sample.
+    ``samples`` defaults to one sample per document (sample id = its dense
+    index), so the dataset grows with the corpus.  An empty corpus raises at
+    run time, as in the reference."""
+    ids = dense_index(corpus.select(id_col), id_col, "idx")
+    if samples is None:
+        samples = ids.select(F.col("idx").alias(sample_col))
     sid = F.col(sample_col)
-    n_docs = indexed.groupBy().agg(F.count(F.lit(1)).alias("__N"))
+    n_docs = ids.groupBy().agg(F.count(F.lit(1)).alias("__N"))
     s = with_scalars(samples.select(sample_col), n_docs)
     N = F.when(F.col("__N") > 0, F.col("__N")).otherwise(F.raise_error(F.lit("Selection dataset is empty")).cast("long"))
     k = F.greatest(F.lit(1), F.least(hash_randint(cfg.min_docs, cfg.max_docs, seed, sid, F.lit("count")), N))
@@ -87,9 +94,12 @@ def selection_dataset(indexed: DataFrame, samples: DataFrame, cfg: SelectionConf
     oob_flip = hash_uniform(seed, sid, F.lit("oob")) < cfg.refusal_oob_rate
     s = s.withColumn("use_decoy", F.col("is_refusal") & ~(oob_flip | (F.col("__N") <= F.col("doc_count"))))
     s = s.withColumn("decoy", F.when(F.col("use_decoy"), decoy_index(F.col("__N"), F.col("doc_indices"), seed, sid)))
-    need = s.withColumn("__need", F.concat("doc_indices", F.when(F.col("use_decoy"), F.array("decoy"))
-                                             .otherwise(F.array().cast("array<bigint>"))))
-    texts = lookup_docs(need, indexed, [sample_col], "__need", "texts")
+    need = s.select(sample_col, F.posexplode(F.concat("doc_indices", F.when(F.col("use_decoy"), F.array("decoy"))
+                                                       .otherwise(F.array().cast("array<bigint>")))).alias("__pos", "idx"))
+    refs = need.join(ids, "idx").join(corpus.select(id_col, "text"), id_col)
+    texts = refs.groupBy(sample_col).agg(
+        F.array_sort(F.collect_list(F.struct("__pos", "text"))).alias("__t")).select(
+        sample_col, F.transform("__t", lambda x: x["text"]).alias("texts"))
     # left join: every sample keeps its row (all indices resolve when the
     # corpus is non-empty), and an empty corpus reaches the raise above
     s = s.join(texts, sample_col, "left")
@@ -124,7 +134,7 @@ def selection_dataset(indexed: DataFrame, samples: DataFrame, cfg: SelectionConf
     )
 
 
-def selection_samples(indexed: DataFrame, how_many: Column | None = None) -> DataFrame:
-    """Sample ids taken from the corpus itself (one per document), so the
+def selection_samples(indexed: DataFrame) -> DataFrame:
+    """Sample ids taken from an indexed corpus (one per document), so the
     dataset grows with the data it is built from."""
     return indexed.select(F.col("idx").alias("sample_id"))

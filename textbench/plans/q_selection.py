@@ -84,8 +84,7 @@ sel AS (SELECT sid AS sample_id, doc_indices, k AS doc_count, is_refusal,
 
 
 def _selection(spark, sf_dir):
-    idx = SEL.index_corpus(corpus(spark, sf_dir))
-    return SEL.selection_dataset(idx, SEL.selection_samples(idx), CFG, seed=42)
+    return SEL.selection_dataset(corpus(spark, sf_dir), cfg=CFG, seed=42)
 
 
 @register("sel1_selection_dataset", SQL_SELECTION + """
@@ -116,7 +115,7 @@ FROM sel WHERE NOT is_refusal
 def txt5_phrase_in_docs(spark, sf_dir):
     """For each positive sample: is the target's phrase in another document of the group (and in any)?"""
     idx = SEL.index_corpus(corpus(spark, sf_dir))
-    s = SEL.selection_dataset(idx, SEL.selection_samples(idx), CFG, seed=42).filter(~F.col("is_refusal"))
+    s = SEL.selection_dataset(corpus(spark, sf_dir), cfg=CFG, seed=42).filter(~F.col("is_refusal"))
     texts = SEL.lookup_docs(s, idx, ["sample_id"], "doc_indices", "docs")
     sid = F.col("sample_id")
     j = s.select("sample_id", "doc_count").join(texts, "sample_id")
@@ -137,7 +136,7 @@ FROM (SELECT sample_id, texts, unnest(texts) AS t FROM t2) GROUP BY sample_id, t
 def jn1_lookup_docs(spark, sf_dir):
     """Each sample's document indices resolved to its ordered texts."""
     idx = SEL.index_corpus(corpus(spark, sf_dir))
-    s = SEL.selection_dataset(idx, SEL.selection_samples(idx), CFG, seed=42)
+    s = SEL.selection_dataset(corpus(spark, sf_dir), cfg=CFG, seed=42)
     t = SEL.lookup_docs(s, idx, ["sample_id"], "doc_indices", "texts")
     return t.select("sample_id", F.md5(F.array_join("texts", "\u0001")).alias("texts_md5"),
                     F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from textbench.functions.hashing import hash_randint, hash_uniform, with_scalars
 from textbench.functions.text import REFUSAL_TEXT, content_query, index_query, phrase_in_docs, sample_phrase
 from textbench.operators.ranking import dense_index
+from textbench.session import ensure_checkpoint_dir
 from textbench.operators.splits import decoy_index, sample_k_of_n
 
 
@@ -79,7 +80,10 @@ def selection_dataset(corpus: DataFrame, samples: DataFrame | None = None, cfg:
     ``samples`` defaults to one sample per document (sample id = its dense
     index), so the dataset grows with the corpus.  An empty corpus raises at
     run time, as in the reference."""
-    ids = dense_index(corpus.select(id_col), id_col, "idx")
+    # (doc_id, idx) is read three times (samples, count, lookup); it is two
+    # longs per row, so it is computed once into the checkpoint folder.
+    ensure_checkpoint_dir(corpus.sparkSession)
+    ids = dense_index(corpus.select(id_col), id_col, "idx").checkpoint(eager=True)
     if samples is None:
         samples = ids.select(F.col("idx").alias(sample_col))
     sid = F.col(sample_col)

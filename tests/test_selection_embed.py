@@ -146,3 +146,27 @@ def test_latest_checkpoint(spark):
                                "run string, path string")
     r = RD.latest_checkpoint(df).first()
     assert (r["step"], r["path"]) == (200, "o/adapter-step200.pt")
+
+
+def test_cross_domain_published_table(spark):
+    # cross-domain table of the reference's report (fixed values; "~0" as 0.0)
+    rows = [("MS-MARCO", "MS-MARCO", 47.99), ("MS-MARCO", "OpenWebText", 0.0),
+            ("OpenWebText", "OpenWebText", 0.012), ("OpenWebText", "MS-MARCO", 0.141)]
+    df = spark.createDataFrame(rows, "train string, eval string, bleu double")
+    m = {r["train"]: r.asDict() for r in RP.cross_domain_matrix(df, "train", "eval", "bleu").collect()}
+    assert m["MS-MARCO"]["MS-MARCO"] == 47.99 and m["OpenWebText"]["MS-MARCO"] == 0.141
+    assert m["OpenWebText"]["OpenWebText"] == 0.012 and m["MS-MARCO"]["OpenWebText"] == 0.0
+
+
+def test_reconstruction_report_with_buckets(spark):
+    from textbench.operators.bleu import bleu_row_stats
+    from textbench.operators.bootstrap import reconstruction_report
+
+    rows = [(i, "a b c d e f", "a b c d e f " * (1 + i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, prediction string, reference string")
+    df = df.withColumn("length", F.size(F.split("reference", " "))).withColumn("f1", F.lit(1.0))
+    st = bleu_row_stats(df, keep=["length", "f1"])
+    rep = reconstruction_report(st, prefix_tokens=0, n_boot=50, buckets=4).first()
+    assert rep["samples"] == 12 and rep["token_compression_ratio"] == 0.0
+    assert [b["samples"] for b in rep["length_buckets"]] == [3, 3, 3, 3]
+    assert rep["bleu_ci_lower"] <= rep["bleu"] <= rep["bleu_ci_upper"]

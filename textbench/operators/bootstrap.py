@@ -131,13 +131,16 @@ def bootstrap_ci(stats: DataFrame, metrics: list[str] | str, n_boot: int = 1000,
 
 
 def reconstruction_report(stats: DataFrame, prefix_tokens: int, n_boot: int = 1000, seed: int = 42,
-                          method: str = "poisson") -> DataFrame:
+                          method: str = "poisson", buckets: int | None = None,
+                          keys: DataFrame | None = None) -> DataFrame:
     """Bleu, its CI, token F1, its CI, average reference tokens,
     compression ratio and samples in one row, from one weighted pass.
-    ``stats`` = per-row ``id``, ``f1``, ``length`` and BLEU statistics."""
+    ``stats`` = per-row ``id``, ``f1``, ``length`` and BLEU statistics.
+    With ``buckets`` the record also carries ``length_buckets`` (A4, as an
+    ordered ``array<struct>``), like the reference's report file."""
     ci = bootstrap_ci(stats, ["bleu", "f1", "length", "samples"], n_boot, 0.95, seed, method)
     avg = F.coalesce(F.col("length"), F.lit(0.0))
-    return ci.select(
+    out = ci.select(
         "bleu", "bleu_ci_lower", "bleu_ci_upper",
         F.col("f1").alias("token_f1"), F.col("f1_ci_lower").alias("token_f1_ci_lower"),
         F.col("f1_ci_upper").alias("token_f1_ci_upper"),
@@ -145,3 +148,10 @@ def reconstruction_report(stats: DataFrame, prefix_tokens: int, n_boot: int = 10
         (avg / F.lit(prefix_tokens) if prefix_tokens else F.lit(0.0)).alias("token_compression_ratio"),
         F.coalesce(F.col("samples"), F.lit(0)).cast("long").alias("samples"),
     )
+    if buckets:
+        from textbench.functions.hashing import with_scalars
+        from textbench.operators.buckets import as_report_array, length_buckets
+
+        arr = as_report_array(length_buckets(stats, buckets, keys=keys))
+        out = with_scalars(out, arr)
+    return out

@@ -110,6 +110,12 @@ def compare_models(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     return metrics.withColumn("line", line)
 
 
+def comparison_header() -> str:
+    """Header and rule lines of the A9 table (fixed layout: name width 30, cells width 8)."""
+    head = f"{'Model':<30} {'Pass':>8} {'1st Try':>8} {'Steps':>8} {'Tools':>8} {'Spiral':>8}"
+    return head + "\n" + "-" * len(head)
+
+
 def dedupe_tasks(tasks: DataFrame, order_col: str | None = None) -> DataFrame:
     """One task row per id (the reference takes the first match).  An
     aggregation (``min_by``), not a window, so repeated ids are reduced

@@ -73,4 +73,7 @@ def partitions_for(df, bytes_per_partition: int = 32 << 20, max_partitions: int
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - statistics unavailable
         return base
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
+    if size >= unknown or size >= 2**62:  # no estimate (e.g. data from an RDD)
+        return base
     return max(base, min(max_partitions, -(-size // bytes_per_partition)))

@@ -80,3 +80,16 @@ def test_exact_match_subsets_and_empty_subset(spark):
     assert r["exact_match"] == 0.5 and r["refusal_accuracy"] == 0.0
     s = selection_report(df).first()
     assert s["positive_exact_match"] == 0.5
+
+
+def test_bootstrap_methods_agree_on_point_and_roughly_on_width(spark):
+    from textbench.operators.bootstrap import bootstrap_ci
+
+    rows = [(i, (i % 10) / 10.0) for i in range(3000)]
+    st = spark.createDataFrame(rows, "id long, f1 double")
+    got = {m: bootstrap_ci(st, "f1", n_boot=200, method=m, blocks=256).first() for m in ("poisson", "blocks", "multinomial")}
+    for r in got.values():
+        assert r["f1"] == pytest.approx(0.45)
+        assert r["f1_ci_lower"] < 0.45 < r["f1_ci_upper"]
+    widths = [r["f1_ci_upper"] - r["f1_ci_lower"] for r in got.values()]
+    assert max(widths) < 2.0 * min(widths)

@@ -12,6 +12,12 @@ n-gram counts) and a replicate is a weighted sum of them:
 * ``method="multinomial"``: the textbook resample of exactly ``n`` rows with
   replacement.  Needs the dense row index (P2) and a join of ``R * n`` draws,
   so it is meant for evaluation-sized inputs.
+* ``method="blocks"``: for corpus-sized inputs.  Statistics are additive,
+  so rows are first summed into ``blocks`` hash-assigned blocks (map-side
+  partial aggregation); the Poisson weights are then drawn per (block,
+  replicate).  Block sums of randomly assigned iid rows are iid, so the
+  interval estimates the same sampling variance while the replicate work
+  drops from ``n x R`` to ``blocks x R`` rows.
 
 Percentiles are exact and linearly interpolated (``percentile``), as in
 numpy's default.
@@ -66,16 +72,17 @@ def sql_replicate_uniform(seed, id_col: str, rep: str) -> str:
     return f"(CAST((({h1}) + CAST({rep} AS BIGINT) * {h2}) % 4294967296 AS DOUBLE) / 4294967296.0)"
 
 
-def _metric_aggs(metric: str, w: Column, tag: str = "") -> tuple[list[Column], Column]:
+def _metric_aggs(metric: str, w: Column, tag: str = "", rows: Column | None = None) -> tuple[list[Column], Column]:
+    n = w if rows is None else w * rows  # weighted row count (block rows carry their size)
     if metric == "f1":
         sf, sw = f"__sf{tag}", f"__sw{tag}"
-        return [F.sum(w * F.col("f1")).alias(sf), F.sum(w).alias(sw)], F.col(sf) / F.col(sw)
+        return [F.sum(w * F.col("f1")).alias(sf), F.sum(n).alias(sw)], F.col(sf) / F.col(sw)
     if metric == "length":
         sl, sw = f"__sl{tag}", f"__swl{tag}"
-        return [F.sum(w * F.col("length")).alias(sl), F.sum(w).alias(sw)], F.col(sl) / F.col(sw)
+        return [F.sum(w * F.col("length")).alias(sl), F.sum(n).alias(sw)], F.col(sl) / F.col(sw)
     if metric == "samples":
         sw = f"__n{tag}"
-        return [F.sum(w).alias(sw)], F.col(sw)
+        return [F.sum(n).alias(sw)], F.col(sw)
     if metric == "bleu":
         p = f"S{tag}_"
         return [F.sum(w * F.col(c)).cast("double").alias(f"{p}{c}") for c in STAT_COLS], bleu_from_sums(p)
@@ -83,7 +90,8 @@ def _metric_aggs(metric: str, w: Column, tag: str = "") -> tuple[list[Column], C
 
 
 def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, seed: int = 42,
-                     method: str = "poisson", id_col: str = "id") -> DataFrame:
+                     method: str = "poisson", id_col: str = "id", blocks: int = 4096,
+                     row_weight: str | None = None) -> DataFrame:
     """One row per replicate ``rep`` with a ``score_<metric>`` column per
     metric.  ``rep = -1`` is the full sample (weight 1 for every row), so a
     point estimate and its interval come out of the same pass."""
@@ -94,6 +102,13 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
         u = replicate_uniform_from(F.col("__h1"), F.col("__h2"), F.col("rep"))
         w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
         weighted = exploded.withColumn("__w", w).filter(F.col("__w") > 0)
+        if row_weight:  # block rows: per-row means need the block's row count
+            weighted = weighted.withColumn("__rw", F.col(row_weight))
+    elif method == "blocks":
+        cols = [c for c in ("f1", "length", *STAT_COLS) if c in stats.columns]
+        blk = stats.groupBy(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).alias("__blk")).agg(
+            *[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("__rows"))
+        return replicate_scores(blk, metrics, n_boot, seed, "poisson", id_col="__blk", row_weight="__rows")
     elif method == "multinomial":
         ranked = dense_index(stats, id_col, "__idx", total_col="__n")
         draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
@@ -105,20 +120,21 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
     else:
         raise ValueError(f"unknown method {method}")
     aggs, finishes = [], []
+    rows = F.col("__rw") if "__rw" in weighted.columns else None
     for m in metrics:
-        a, fin = _metric_aggs(m, F.col("__w"), tag=m)
+        a, fin = _metric_aggs(m, F.col("__w"), tag=m, rows=rows)
         aggs += a
         finishes.append(fin.alias(f"score_{m}"))
     return weighted.groupBy("rep").agg(*aggs).select("rep", *finishes)
 
 
 def bootstrap_ci(stats: DataFrame, metrics: list[str] | str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42,
-                 method: str = "poisson", id_col: str = "id") -> DataFrame:
+                 method: str = "poisson", id_col: str = "id", blocks: int = 4096) -> DataFrame:
     """A5: one row with ``<metric>`` (full-sample value), ``<metric>_ci_lower``
     and ``<metric>_ci_upper`` (percentiles of the replicate scores) per metric."""
     metrics = [metrics] if isinstance(metrics, str) else list(metrics)
     lo, hi = (1 - ci) / 2, (1 + ci) / 2
-    reps = replicate_scores(stats, metrics, n_boot, seed, method, id_col)
+    reps = replicate_scores(stats, metrics, n_boot, seed, method, id_col, blocks=blocks)
     out = []
     for m in metrics:
         sc, boot = F.col(f"score_{m}"), F.col("rep") >= 0

@@ -134,7 +134,7 @@ def test_read_tasks_object_and_array(spark, tmp_path):
     rows = RD.read_tasks(spark, str(tmp_path)).collect()
     assert [r["id"] for r in rows] == ["a", "b", "c"]
     assert rows[0]["max_steps"] == 20 and rows[1]["max_steps"] == 5
-    assert rows[0]["docker_image"] == "small-agent-base" and rows[0]["setup_commands"] == []
+    assert rows[0]["docker_image"] == "agent-base" and rows[0]["setup_commands"] == []
 
 
 def test_read_code_files_walk_rules(spark, tmp_path):

@@ -164,7 +164,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(
         F.concat(F.lit("task_"), F.col("k").cast("string")).alias("id"),
         F.concat(F.lit("Fix the bug in f"), F.col("k").cast("string"), F.lit(".py: "), F.col("p_name")).alias("description"),
-        F.lit("small-agent-base").alias("docker_image"),
+        F.lit("agent-base").alias("docker_image"),
         F.concat(F.lit("task_"), F.col("k").cast("string")).alias("files_dir"),
         F.array().cast("array<string>").alias("setup_commands"),
         F.lit("python -m pytest -q").alias("test_command"),

@@ -253,7 +253,7 @@ def src2_read_conversations(spark, sf_dir):
 
 
 @register("src3_read_tasks", f"""
-SELECT id, description, 'small-agent-base' AS docker_image, max_steps FROM ({SQL_TASKS})
+SELECT id, description, 'agent-base' AS docker_image, max_steps FROM ({SQL_TASKS})
 """)
 def src3_read_tasks(spark, sf_dir):
     """Task JSON (objects and arrays of objects, some fields absent) parsed with defaults."""

@@ -40,8 +40,8 @@ EVAL_REPORT_SCHEMA = T.StructType([
     T.StructField("length_buckets", T.ArrayType(BUCKET)),
 ])
 
-# Task defaults for absent fields (docker image, steps).
-TASK_DEFAULT_IMAGE = "small-agent-base"
+# Task defaults for absent fields: image name (configurable, neutral) and step budget (fixed value: 20).
+TASK_DEFAULT_IMAGE = "agent-base"
 TASK_DEFAULT_MAX_STEPS = 20
 
 

@@ -59,6 +59,10 @@ def sql_hash_bits(seed, *exprs: str) -> str:
 
 def with_scalars(df, scalars):
     """Attach the columns of a one-row aggregate (``groupBy().agg(...)``,
-    exactly one row by construction) to every row of ``df``.  The one row is
-    broadcast; no data-sized side is ever replicated."""
-    return df.crossJoin(F.broadcast(scalars))
+    exactly one row by construction) to every row of ``df`` as a scalar
+    subquery: Spark evaluates it once and inlines the value into the tasks,
+    so no join (and no data-sized side) is involved."""
+    cols = scalars.columns
+    packed = scalars.select(F.struct(*[F.col(c) for c in cols]).alias("__sv")).scalar()
+    out = df.withColumn("__sv", packed)
+    return out.select(*[F.col(c) for c in df.columns], *[F.col("__sv")[c].alias(c) for c in cols])

@@ -134,7 +134,9 @@ def dense_index(df: DataFrame, id_col: str, idx_col: str = "idx", per_bucket: in
     g = F.least(F.lit(float(MAX_COARSE)),
                 F.greatest(F.lit(1.0), F.ceil(F.col("__cnt") / F.lit(per_bucket)).cast("double")))
     coarse = F.floor((F.col(id_col) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1.0) * g)
-    tagged = df.crossJoin(F.broadcast(stats)).withColumn("__dcoarse", coarse.cast("long")).drop("__lo", "__hi", "__cnt")
+    from textbench.functions.hashing import with_scalars
+
+    tagged = with_scalars(df, stats).withColumn("__dcoarse", coarse.cast("long")).drop("__lo", "__hi", "__cnt")
     out = two_level_rank(tagged, id_col, id_col, idx_col, coarse=F.col("__dcoarse"), target_rows=target_rows,
                          total_col=total_col)
     return out.drop("__dcoarse")

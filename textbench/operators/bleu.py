@@ -49,32 +49,31 @@ def bleu_row_stats(
     toks = df.select(
         id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
     ).repartition(parts, id_col)
-    # One generator over positions 1..|h|+|r| (hypothesis first, then the
-    # reference); grams are slices taken inside the generated row (codegen),
-    # not arrays built by lambdas, and the aggregations keep fixed-width
-    # buffers, so both stay hash aggregations.
+    # One generator over positions 0..|h|+|r|: position 0 is a per-row
+    # sentinel (so rows without tokens keep their row), 1..|h| the
+    # hypothesis, the rest the reference.  Grams are slices taken inside the
+    # generated row (codegen), not arrays built by lambdas.  The other
+    # columns are grouping keys (any type is fine for a key), so both
+    # aggregations keep fixed-width buffers and stay hash aggregations, and
+    # everything happens inside the one exchange on id.
     nh, nr = F.size("__h"), F.size("__r")
-    pos = toks.select(id_col, "__h", "__r", F.explode(F.sequence(F.lit(1), nh + nr)).alias("__i"))
+    pos = toks.select(id_col, *keep, "__h", "__r", F.explode(F.sequence(F.lit(0), nh + nr)).alias("__i"))
     i = F.col("__i")
-    is_h = i <= nh
+    is_h = (i >= 1) & (i <= nh)
     arr = F.when(is_h, F.col("__h")).otherwise(F.col("__r"))
     j = F.when(is_h, i).otherwise(i - nh)
-    items = [F.struct(F.lit(n).alias("n"), F.slice(arr, F.greatest(j, F.lit(1)).cast("int"), n).alias("g"),
-                      ((nh + nr > 0) & (j + (n - 1) <= F.size(arr))).alias("ok"))
-             for n in range(1, MAX_ORDER + 1)]
-    grams = pos.select(id_col, F.when(is_h, 1).otherwise(0).alias("s"), F.inline(F.array(*items))).filter("ok")
-    per_gram = grams.groupBy(id_col, "n", "g").agg(F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr"))
+    items = [F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), (i == 0).alias("ok"))]
+    for n in range(1, MAX_ORDER + 1):
+        items.append(F.struct(F.lit(n).alias("n"), F.slice(arr, F.greatest(j, F.lit(1)).cast("int"), n).alias("g"),
+                              ((i >= 1) & (j + (n - 1) <= F.size(arr))).alias("ok")))
+    grams = pos.select(id_col, *keep, F.when(is_h, 1).otherwise(0).alias("s"), F.inline(F.array(*items))).filter("ok")
+    per_gram = grams.groupBy(id_col, *keep, "n", "g").agg(F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr"))
     match = F.least("ch", "cr")
     aggs = [
         F.sum(F.when(F.col("n") == 1, F.col("ch")).otherwise(0)).cast("long").alias("sys_len"),
         F.sum(F.when(F.col("n") == 1, F.col("cr")).otherwise(0)).cast("long").alias("ref_len"),
     ] + [F.sum(F.when(F.col("n") == n, match).otherwise(0)).cast("long").alias(f"m{n}") for n in range(1, 5)]
-    stats = per_gram.groupBy(id_col).agg(*aggs)
-    # every input row (also one without tokens) keeps its row and columns;
-    # both sides are partitioned by id, so the join adds no exchange
-    out = toks.select(id_col, *keep).join(stats, id_col, "left")
-    for c in ["sys_len", "ref_len"] + [f"m{n}" for n in range(1, 5)]:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("long")))
+    out = per_gram.groupBy(id_col, *keep).agg(*aggs)
     for n in range(1, 5):
         out = out.withColumn(f"t{n}", F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).cast("long"))
     return out.select(id_col, *keep, *STAT_COLS)

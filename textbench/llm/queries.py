@@ -20,11 +20,38 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("op8_minhash_near_dedup")
-def op8(spark, sf_dir):
-    from textbench.llm.neardup import near_duplicates
+@_query("op1_cross_entropy_difference")
+def op1(spark, sf_dir):
+    from textbench.llm.lmscore import cross_entropy_difference
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+@_query("op2_tool_call_links")
+def op2(spark, sf_dir):
+    from textbench.llm.toolcalls import SCHEMAS, derive_calls, link_tool_calls
+
+    return link_tool_calls(*derive_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+_OP3_SQL = """
+WITH RECURSIVE link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN deg ON vec_id = deg.a
+"""
+
+
+@_query("op3_collision_near_vectors", _OP3_SQL)
+def op3(spark, sf_dir):
+    from textbench.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 _OP4_SQL = r"""
@@ -92,6 +119,24 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+_OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM q)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
+@_query("op6_warc_zstd_archives", _OP6_SQL)
+def op6(spark, sf_dir):
+    from textbench.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 @_query("op7_benchmark_contamination", _OP7_SQL)
 def op7(spark, sf_dir):
     from textbench.llm.contamination import contamination
@@ -100,6 +145,21 @@ def op7(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@_query("op8_minhash_near_dedup")
+def op8(spark, sf_dir):
+    from textbench.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+@_query("op9_license_scan")
+def op9(spark, sf_dir):
+    from textbench.llm.licenses import document_files, license_scan
+
+    out = license_scan(document_files(table(spark, sf_dir, "documents")))
+    return out.withColumnRenamed("file_id", "doc_id").withColumn("score", F.round("score", 6))
+
+
 @_query("op10_fuzzy_line_dedup")
 def op10(spark, sf_dir):
     from textbench.llm.lines import dedup_lines

@@ -60,6 +60,29 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in cols.items()])
 
 
+FILTER_BITS = 26  # a bit table of 2^26 bits, broadcast as 2^20 longs at most
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a hash) may be among ``keys`` (one column of
+    such hashes): all that are, and few others.  It spares a join's shuffle the
+    rows that cannot match; the bit table that is broadcast has a fixed size,
+    however many keys there are (with very many, it just lets everything pass)."""
+    word, bit = unused_name(df, "word"), unused_name(df, "bits")
+
+    def place(c):
+        return F.shiftrightunsigned(c, 64 - bits)
+
+    k = place(F.col(keys.columns[0]))
+    one = F.lit(1).cast("long")
+    one_bit = F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))
+    table = keys.select(F.shiftright(k, 6).alias(word), one_bit.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
+    mine = place(F.col(key))
+    hit = df.withColumn(word, F.shiftright(mine, 6)).join(F.broadcast(table), word)
+    on = F.call_function("shiftrightunsigned", F.col(bit), mine.bitwiseAND(63).cast("int")).bitwiseAND(one) == 1
+    return hit.where(on).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets (n + 1, from 0) and bytes of an Arrow string column, without a copy."""
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)

@@ -29,17 +29,21 @@ def _slot(col, parts, salt: int = 0):
 
 
 def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], block_rows: int) -> DataFrame:
-    """``members``: id, grp and any payload, one row per id; ``verify`` takes
-    such rows with ``grp, blk, part`` naming a block and returns the links
-    (a, b) of each block, enough of them to connect what is linked there.
+    """``members``: id, grp and any payload, one row per id.  ``verify`` takes
+    such rows with ``block`` (the block's number) and ``asked``, and returns
+    links (a, b) of each block: enough to connect whatever is linked there, or,
+    where some rows are ``asked``, all that links these with the others.
     Returns (node, component) for linked ids, as ``connected_components``."""
     payload = [c for c in members.columns if c not in ("id", "grp")]
+
+    def blocks(df, *number, asked=False):
+        return df.select(F.xxhash64(*number).alias("block"), F.lit(asked).alias("asked"), "id", *payload)
+
     big = materialise(
         members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
         .select("grp", F.ceil(F.col("n") / block_rows).cast("int").alias("k")), "big")
-    first = members.join(big, "grp", "left").select(
-        "grp", _slot("id", F.coalesce("k", F.lit(1))).alias("blk"), F.lit(0).alias("part"), "id", *payload)
-    edges = materialise(verify(first), "links")
+    first = members.join(big, "grp", "left")
+    edges = materialise(verify(blocks(first, "grp", _slot("id", F.coalesce("k", F.lit(1))))), "links")
     if big.isEmpty():
         return connected_components(edges)
 
@@ -63,18 +67,18 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             rank = F.row_number().over(W.partitionBy("grp", "comp").orderBy(F.xxhash64("id", F.lit(step)), "id"))
             reps = label.withColumn("r", rank).where(F.col("r") <= REPS).select(
                 F.col("id").alias("rid"),
-                _slot("comp", F.ceil(F.col("comps") * REPS / block_rows).cast("int"), step).alias("blk"))
-            blocks = inside.join(reps, F.col("id") == F.col("rid")).select(
-                "grp", "blk", F.lit(0).alias("part"), "id", *payload)
-            edges = materialise(edges.unionAll(verify(blocks)), "links")
+                _slot("comp", F.ceil(F.col("comps") * REPS / block_rows).cast("int"), step).alias("slot"))
+            bridge = inside.join(reps, F.col("id") == F.col("rid"))
+            edges = materialise(edges.unionAll(verify(blocks(bridge, "grp", "slot"))), "links")
             continue
         rest = label.where(F.col("comp") != F.col("main"))
         parts = rest.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("p"))
-        data = inside.join(parts, "grp").select(
-            "grp", _slot("id", F.col("k")).alias("blk"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("part"),
-            "id", *payload)
+        data = inside.join(parts, "grp").withColumn("slot", _slot("id", F.col("k"))).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
         asked = rest.select(F.col("id").alias("rid")).join(inside, F.col("id") == F.col("rid")).join(parts, "grp")
-        asked = asked.select("grp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("blk"),
-                             _slot("id", F.col("p")).alias("part"), "id", *payload)
-        edges = materialise(edges.unionAll(verify(data.unionByName(asked))), "links")
+        asked = asked.withColumn("part", _slot("id", F.col("p"))).withColumn(
+            "slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        number = ["grp", "slot", "part"]
+        edges = materialise(edges.unionAll(verify(
+            blocks(data, *number).unionByName(blocks(asked, *number, asked=True)))), "links")
         return connected_components(edges)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.common import materialise, unused_name
+from textbench.llm.common import materialise, maybe_in, unused_name
 from textbench.llm.components import connected_components
 from textbench.llm.groups import link_components
 
@@ -44,19 +44,14 @@ def _constants() -> list[int]:
     return [_signed((j << 61) | (0x1D8E4E27C47D124F * (2 * j + 1) >> 3 & ((1 << 61) - 1))) for j in range(n)]
 
 
-def _with_units(df: DataFrame, q: int) -> DataFrame:
-    """Adds bin (UTF-16 code units, so that a shingle is a cut in constant time) and n (shingles)."""
-    bin_ = F.encode("line", "UTF-16BE")
-    return df.withColumn("bin", bin_).withColumn(
-        "n", F.greatest(F.expr("octet_length(bin) div 2").cast("int") - (q - 1), F.lit(1)))
-
-
 def band_keys(lines: DataFrame, q: int) -> DataFrame:
-    """``lines`` (lid, line), one row per line id -> (lid, key), one row per band."""
-    cut = f"xxhash64(substring(bin, 2 * i + 1, {2 * q}))"
-    x = _with_units(lines, q).select("lid", "bin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    x = x.select("lid", F.expr(cut).alias("h"))
-    x = x.select("lid", F.pmod(F.shiftrightunsigned("h", 32), F.lit(CLASSES)).alias("c"), "h")
+    """``lines`` (lid, line), one row per line id -> (lid, key), one row per band.
+    Lines are cut as UTF-16 code units, where a shingle is found in constant time."""
+    x = lines.select("lid", F.encode("line", "UTF-16BE").alias("u"))
+    last = F.greatest(F.expr("cast(octet_length(u) div 2 as int)") - q, F.lit(0))
+    x = x.select("lid", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    x = x.select("lid", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * q}))").alias("h"))
+    x = x.select("lid", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * CLASSES, 32).alias("c"), "h")
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants())]
     sig = x.groupBy("lid", "c").agg(*mins)
     keys = [F.xxhash64("c", F.lit(b), *[f"m{j}" for j in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS_PER_CLASS)]
@@ -64,24 +59,28 @@ def band_keys(lines: DataFrame, q: int) -> DataFrame:
 
 
 def verify_lines(q: int, num: int, den: int):
-    """Exact Jaccard of the lines of one block (at most a few dozen), on their full shingle sets."""
+    """Exact Jaccard of the lines of one block (some dozens), on their full shingle sets."""
+    # the code units are bound to a name, so that they are encoded once per line and not once per shingle
+    sh = ("element_at(transform(array(encode(line, 'UTF-16BE')), u -> array_distinct(transform("
+          f"sequence(0, greatest(cast(octet_length(u) div 2 as int) - {q}, 0)), i -> xxhash64(substring(u, 2 * i + 1, {2 * q}))))), 1)")
+
+    def linked(x, y):
+        a, b = F.size(x["sh"]), F.size(y["sh"])
+        both = F.size(F.array_intersect(x["sh"], y["sh"]))
+        return F.when((x["id"] == y["id"]) | (a * den < b * num) | (b * den < a * num), F.lit(False)).otherwise(
+            both * den >= (a + b - both) * num)
+
+    def pairs(left, right):
+        return F.flatten(F.transform(left, lambda x, i: F.transform(
+            F.filter(right(i), lambda y: linked(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
 
     def verify(df: DataFrame) -> DataFrame:
-        block = ["grp", "blk", "part"]
-        sh = f"array_distinct(transform(sequence(0, n - 1), i -> xxhash64(substring(bin, 2 * i + 1, {2 * q}))))"
-        s = _with_units(df.repartition(*block), q).select(*block, F.struct("id", F.expr(sh).alias("sh")).alias("m"))
-        rows = s.groupBy(*block).agg(F.collect_list("m").alias("ms"))
-
-        def linked(x, y):
-            a, b = F.size(x["sh"]), F.size(y["sh"])
-            both = F.size(F.array_intersect(x["sh"], y["sh"]))
-            return F.when((x["id"] == y["id"]) | (a * den < b * num) | (b * den < a * num), F.lit(False)).otherwise(
-                both * den >= (a + b - both) * num)
-
-        pairs = F.transform("ms", lambda x, i: F.transform(
-            F.filter(F.slice("ms", i + 2, F.size("ms")), lambda y: linked(x, y)),
-            lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"))))
-        return rows.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b")
+        s = df.repartition("block").select("block", "asked", F.struct("id", F.expr(sh).alias("sh")).alias("m"))
+        rows = s.groupBy("block").agg(F.collect_list(F.when(~F.col("asked"), F.col("m"))).alias("ms"),
+                                      F.collect_list(F.when(F.col("asked"), F.col("m"))).alias("qs"))
+        found = F.when(F.size("qs") > 0, pairs(F.col("qs"), lambda i: F.col("ms"))).otherwise(
+            pairs(F.col("ms"), lambda i: F.slice("ms", i + 2, F.size("ms"))))
+        return rows.select(F.explode(found).alias("p")).select("p.a", "p.b")
 
     return verify
 
@@ -91,11 +90,12 @@ def line_components(lines: DataFrame, q: int = Q, num: int = 80, den: int = 100)
     distinct = lines.groupBy("lid").agg(F.first("line").alias("line"))
     keyed = materialise(band_keys(distinct, q), "lines-bands")
     shared = keyed.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
-    near = keyed.join(shared.select("key", "low"), "key").where("lid != low").select(
+    shared = materialise(shared.select("key", "low"), "lines-shared")
+    near = maybe_in(keyed, "key", shared.select("key")).join(shared, "key").where("lid != low").select(
         F.col("lid").alias("a"), F.col("low").alias("b"))
     cand = materialise(connected_components(near), "lines-cand")
-    members = lines.join(cand, F.col("lid") == F.col("node")).groupBy(F.col("lid").alias("id")).agg(
-        F.first("component").alias("grp"), F.first("line").alias("line"))
+    members = maybe_in(lines, "lid", cand.select("node")).join(cand, F.col("lid") == F.col("node")).groupBy(
+        F.col("lid").alias("id")).agg(F.first("component").alias("grp"), F.first("line").alias("line"))
     return link_components(materialise(members, "lines-members"), verify_lines(q, num, den), BLOCK_ROWS)
 
 
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = base.select("id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
         F.length(F.btrim("line", F.lit(" \t\r\x0b\x0c"))) > 0)
     lid = F.xxhash64("line")
-    occ = materialise(lines.select("id", "h", "pos", lid.alias("lid")).distinct(), "lines-occ")
+    occ = materialise(lines.select("id", "h", "pos", lid.alias("lid")), "lines-occ")
     comp = materialise(line_components(lines.select(lid.alias("lid"), "line"), q, num, den), "lines-comp")
 
     node = occ.join(comp, F.col("lid") == F.col("node"), "left").select(

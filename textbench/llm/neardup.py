@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbench.llm.common import int64_list, materialise, pick, row_slices, text_buffers
+from textbench.llm.common import int64_list, materialise, maybe_in, pick, row_slices, text_buffers
 from textbench.llm.components import connected_components
 from textbench.llm.groups import link_components
 from textbench.llm.words import U64, WordScanner, mix64, shingle_set
@@ -111,10 +111,11 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, grp long, sh binary")
 
 
-def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def _forest(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that connect whatever is linked (den * inter >= num * union) among
-    ``sets``.  One set at a time is intersected with all others through an
-    inverted list; it stops once at most one component has members left."""
+    ``sets``, or whatever links the ``asked`` ones with any.  One set at a time
+    is intersected with all others through an inverted list; without asked
+    ones, it stops once at most one component has members left."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     ids, inv = np.unique(np.concatenate(sets), return_inverse=True)
@@ -124,12 +125,12 @@ def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     post = owner[order]
     start = np.concatenate(([0], np.cumsum(np.bincount(inv, minlength=len(ids)))))
     comp = np.arange(n)
-    todo = np.ones(n, bool)
+    todo = np.ones(n, bool) if asked is None else asked.copy()
     out = []
     while True:
         left = np.bincount(comp[todo], minlength=n)
         live = np.flatnonzero(left)
-        if len(live) < 2:
+        if len(live) < (2 if asked is None else 1) or (comp == comp[0]).all():
             return out
         c = live[np.argmin(left[live])]
         i = int(np.flatnonzero(todo & (comp == c))[0])
@@ -149,16 +150,16 @@ def verify_sets(num: int, den: int):
     """Exact Jaccard confirmation of one block of members."""
 
     def block(pdf):
-        pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
+        pdf = pdf.sort_values(["id", "asked"], ascending=[True, False]).drop_duplicates("id", ignore_index=True)
         sets = [np.frombuffer(x, U64) for x in pdf["sh"]]
-        ids = pdf["id"].to_numpy()
-        pairs = _forest(sets, num, den) if len(ids) > 1 else []
+        ids, asked = pdf["id"].to_numpy(), pdf["asked"].to_numpy(bool)
+        pairs = _forest(sets, num, den, asked if asked.any() else None) if len(ids) > 1 else []
         import pandas as pd
 
         return pd.DataFrame({"a": [int(ids[i]) for i, _ in pairs], "b": [int(ids[j]) for _, j in pairs]}, dtype="int64")
 
     def verify(df: DataFrame) -> DataFrame:
-        return df.groupBy("grp", "blk", "part").applyInPandas(block, "a long, b long")
+        return df.groupBy("block").applyInPandas(block, "a long, b long")
 
     return verify
 
@@ -189,7 +190,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = reps.select("cls", F.explode("bands").alias("key"))
     keyed = materialise(keyed, "bands")
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    near = keyed.join(shared.select("key", "low"), "key").where("cls != low").select(
+    shared = materialise(shared.select("key", "low"), "shared")
+    near = maybe_in(keyed, "key", shared.select("key")).join(shared, "key").where("cls != low").select(
         F.col("cls").alias("a"), F.col("low").alias("b"))
     cand = materialise(connected_components(near), "cand")
 

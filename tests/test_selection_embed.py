@@ -19,7 +19,7 @@ def _docs(spark, texts):
 
 def test_selection_invariants(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
-    idx = SEL.index_corpus(docs)
+    idx = SEL.index_ids(docs).join(docs, "doc_id")
     ex = SEL.selection_dataset(docs, seed=3)
     texts = {r["idx"]: r["text"] for r in idx.collect()}
     rows = ex.collect()
@@ -62,17 +62,60 @@ def test_selection_empty_corpus_errors(spark):
 def test_precompute_resume_is_idempotent(spark, tmp_path):
     docs = _docs(spark, [f"text number {i} with words" for i in range(30)])
     path = str(tmp_path / "vec")
-    EM.precompute_embeddings(spark, docs.filter("doc_id < 150"), path, dim=16)
-    assert spark.read.parquet(path).count() == 15
-    EM.precompute_embeddings(spark, docs, path, dim=16)
-    v = spark.read.parquet(path)
+    assert EM.precompute_embeddings(spark, docs.filter("doc_id < 150"), path, dim=16).count() == 15
+    v = EM.precompute_embeddings(spark, docs, path, dim=16)
     assert v.count() == 30 and v.select("doc_id").distinct().count() == 30
-    EM.precompute_embeddings(spark, docs, path, dim=16)
-    assert spark.read.parquet(path).count() == 30
-    cov = EM.embedding_coverage(docs, spark.read.parquet(path), 16).first()
-    assert cov["verdict"] == "complete"
-    EM.precompute_embeddings(spark, docs, path, dim=8)  # wrong shape -> rebuild
-    assert spark.read.parquet(path).select(F.size("embedding")).distinct().first()[0] == 8
+    files = sorted(str(f) for f in tmp_path.rglob("*.parquet"))
+    assert EM.precompute_embeddings(spark, docs, path, dim=16).count() == 30
+    # a run on a part of the corpus takes nothing away
+    assert EM.precompute_embeddings(spark, docs.filter("doc_id < 50"), path, dim=16).count() == 30
+    assert sorted(str(f) for f in tmp_path.rglob("*.parquet")) == files
+    assert EM.embedding_coverage(docs, EM.read_precomputed(spark, path), 16).first()["verdict"] == "complete"
+    # another dimension starts a new generation beside the old one
+    v = EM.precompute_embeddings(spark, docs, path, dim=8)
+    assert v.select(F.size("embedding")).distinct().first()[0] == 8 and v.count() == 30
+    assert set(files) < {str(f) for f in tmp_path.rglob("*.parquet")}
+
+
+def test_precompute_read_error_leaves_files_alone(spark, tmp_path):
+    docs = _docs(spark, [f"text number {i}" for i in range(10)])
+    path = tmp_path / "vec"
+    EM.precompute_embeddings(spark, docs, str(path), dim=16)
+    files = {str(f): f.read_bytes() for f in path.rglob("*.parquet")}
+    broken = path / "gen-0" / "stray" / "bucket=x" / "deep=1"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        EM.precompute_embeddings(spark, docs, str(path), dim=16).count()
+    assert {str(f): f.read_bytes() for f in path.rglob("*.parquet") if "stray" not in str(f)} == files
+
+
+def test_coverage_counts_duplicates_nulls_and_orphans(spark):
+    docs = _docs(spark, ["a", "b", "c", "d"])
+    ids = [r["doc_id"] for r in docs.collect()]
+    ok, schema = [1.0, 2.0], "doc_id long, embedding array<float>"
+    full = spark.createDataFrame([(i, ok) for i in ids] * 2 + [(-1, ok)], schema)
+    r = EM.embedding_coverage(docs, full, 2).first()
+    assert (r["rows"], r["covered"], r["missing"], r["orphans"], r["duplicates"], r["verdict"]) == (4, 4, 0, 1, 4, "duplicates")
+    r = EM.embedding_coverage(docs, spark.createDataFrame([(ids[0], None), (ids[1], ok)], schema), 2).first()
+    assert (r["covered"], r["missing"], r["bad_dims"], r["verdict"]) == (1, 3, 1, "rebuild")
+
+
+def test_native_and_python_encoder_agree(spark):
+    docs = _docs(spark, ["the cat the cat", "", "é ß 漢字 ñ ñ", "  one  "])
+    a = {r["doc_id"]: r["embedding"] for r in EM.embed_texts(docs, dim=32).collect()}
+    b = {r["doc_id"]: r["embedding"] for r in EM.embed_texts(docs, encoder=EM.HashedBagOfWords(32)).collect()}
+    assert a == b and len(a) == 4
+
+
+def test_gelu_matches_erf():
+    import math
+
+    import numpy as np
+
+    x = np.linspace(-6, 6, 401)
+    want = [v * 0.5 * (1 + math.erf(v / math.sqrt(2))) for v in x]
+    assert np.abs(EM._gelu(x) - want).max() < 1e-6
 
 
 def test_storage_estimate_gate(spark):

@@ -35,9 +35,9 @@ def test_metrics_stream_equals_batch(spark):
     t = trajectories(spark, SF_SMALL).select("task_id", "success", "steps", "model")
     for part in (0, 1, 2):
         t.filter(F.abs(F.hash("task_id")) % 3 == part).coalesce(1).write.mode("append").json(f"{base}/log")
-    from textbench.sources.readers import TRAJECTORY_SCHEMA
+    from textbench.sources.readers import TRAJECTORY_SCHEMA, extended
 
-    schema = TRAJECTORY_SCHEMA.add("model", "string")
+    schema = extended(TRAJECTORY_SCHEMA, model="string")
     q = trajectory_metrics_stream(spark, f"{base}/log", f"{base}/m", f"{base}/ckpt", group_cols=["model"], schema=schema)
     q.awaitTermination()
     got = {r["model"]: (r["total"], round(r["pass_rate"], 9)) for r in spark.read.parquet(f"{base}/m").collect()}

@@ -3,9 +3,10 @@
 Seeded RNG objects do not survive a distributed plan (task retries, AQE
 re-planning and partition order would all change the draws).  Every random
 decision is therefore a pure function of ``(seed, salt, key columns)``:
-``md5`` of the colon-joined values, first 32 bits, divided by 2**32.
-The same expression runs in DuckDB as
-``('0x' || substr(md5(concat_ws(':', ...)), 1, 8))::BIGINT / 4294967296.0``.
+``md5`` of the colon-joined values, first 52 bits, divided by 2**52 (so that
+every index of a corpus of more than 2**32 rows can be drawn).  The same
+expression runs in DuckDB as
+``('0x' || substr(md5(concat_ws(':', ...)), 1, 13))::BIGINT / 4503599627370496.0``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def _parts(seed, cols) -> list[Column]:
@@ -30,8 +31,9 @@ def hash_bits(seed, *cols) -> Column:
 
 
 def hash_uniform(seed, *cols) -> Column:
-    """Uniform double in [0, 1)."""
-    return hash_bits(seed, *cols) / F.lit(TWO_32)
+    """Uniform double in [0, 1), a multiple of 2**-52."""
+    digest = F.md5(F.concat_ws(":", *_parts(seed, cols)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(TWO_52)
 
 
 def hash_randint(lo, hi, seed, *cols) -> Column:
@@ -44,7 +46,7 @@ def hash_randint(lo, hi, seed, *cols) -> Column:
 def sql_hash_uniform(seed, *exprs: str) -> str:
     """DuckDB SQL text of :func:`hash_uniform` (for oracle queries)."""
     inner = ", ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
-    return f"(('0x' || substr(md5(concat_ws(':', {inner})), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5(concat_ws(':', {inner})), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def sql_hash_randint(lo: str, hi: str, seed, *exprs: str) -> str:

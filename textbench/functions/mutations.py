@@ -74,8 +74,10 @@ def _splice(code: Column, pattern: str, n: Column, replacement: Column) -> Colum
     )
 
 
-def rename_mutation(code, lang, seed, *keys) -> Column:
-    """TXT12: rename one assigned variable everywhere (substring replace)."""
+def rename_mutation(code, lang, seed, *keys, whole_word: bool = False) -> Column:
+    """TXT12: rename one assigned variable everywhere.  The default replaces the
+    name as a substring, also inside longer identifiers; ``whole_word`` leaves
+    those alone."""
     code_c, lang_c = _c(code), _c(lang)
     names = F.when(lang_c == "py", F.regexp_extract_all(code_c, F.lit(_JFLAGS + ASSIGN_PATTERNS["py"]), 2)) \
         .when(lang_c == "js", F.regexp_extract_all(code_c, F.lit(_JFLAGS + ASSIGN_PATTERNS["js"]), 2)) \
@@ -83,9 +85,11 @@ def rename_mutation(code, lang, seed, *keys) -> Column:
     name = F.element_at(names, _pick(names, seed, "rename", *keys) + 1)
     skip = name.isin(*SKIP_NAMES) | (F.length(name) < 2)
     new = F.concat(name, F.lit(RENAME_SUFFIX))
+    # names hold word characters only, so the name itself needs no escaping
+    whole = F.regexp_replace(code_c, F.concat(F.lit("(?U)\\b"), name, F.lit("\\b")), new)
     return F.when(
         names.isNotNull() & (F.size(names) > 0) & ~skip,
-        F.struct(code_c.alias("original"), F.replace(code_c, name, new).alias("mutated"),
+        F.struct(code_c.alias("original"), (whole if whole_word else F.replace(code_c, name, new)).alias("mutated"),
                  name.alias("old_text"), new.alias("new_text")),
     ).otherwise(F.lit(None).cast(MUTATION_TYPE))
 

@@ -44,11 +44,12 @@ def words(c) -> Column:
     return F.filter(F.split(_c(c), WS), lambda x: x != F.lit(""))
 
 
-TOKEN_RE = "\\w+|[^\\w\\s]"
+TOKEN_RE = "(?U)[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 
 
 def regex_tokens(c) -> Column:
-    """Default tokenizer: runs of word characters and single punctuation marks."""
+    """Default tokenizer: runs of letters, digits and ``_`` of any script, and
+    single other marks."""
     return F.regexp_extract_all(_c(c), F.lit(TOKEN_RE), 0)
 
 
@@ -154,6 +155,10 @@ def selection_user_content(query, user_prefix: str | None) -> Column:
     return _c(query)
 
 
+#: Fixed value: the default cap on target tokens.
+MAX_TOKENS = 512
+
+
 def label_layout(prefix_tokens, doc_mask, prompt_len, target_len, pad_len) -> Column:
     """TXT8: per-token loss mask: prefix (K per document, masked), prompt
     (masked), target (kept), padding (masked).  Returns ``array<int>`` of

@@ -62,7 +62,7 @@ def pad_batches(df: DataFrame, batch_col: str, tokens_col: str, pad_id: int = 0,
 def length_bucketed_batches(df: DataFrame, key: str, length_col: str, batch_size: int) -> DataFrame:
     """BAT3: batches of rows with similar length (rank by length // size);
     adds ``batch_id`` and ``padding`` (tokens wasted by padding this row)."""
-    ranked = two_level_rank(df, length_col, key, "__r")
+    ranked = two_level_rank(df, length_col, key, "__r", once=True)
     out = ranked.withColumn("batch_id", F.floor(F.col("__r") / batch_size).cast("long")).drop("__r")
     w = Window.partitionBy("batch_id")
     return out.withColumn("padding", (F.max(length_col).over(w) - F.col(length_col)).cast("long"))

@@ -26,15 +26,18 @@ numpy's default.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textbench.functions.hashing import hash_bits
+from textbench.functions.hashing import hash_bits, hash_uniform
 from textbench.operators.bleu import STAT_COLS, bleu_from_sums
 from textbench.operators.ranking import dense_index
 
-# Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (rule: e^-1 * sum 1/j!).
+# Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (rule: e^-1 * sum 1/j!);
+# a draw beyond the last one (probability 6e-11) counts as weight 12.
 POISSON1_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
@@ -72,8 +75,27 @@ def sql_replicate_uniform(seed, id_col: str, rep: str) -> str:
     return f"(CAST((({h1}) + CAST({rep} AS BIGINT) * {h2}) % 4294967296 AS DOUBLE) / 4294967296.0)"
 
 
-def _metric_aggs(metric: str, w: Column, tag: str = "", rows: Column | None = None) -> tuple[list[Column], Column]:
+@dataclass(frozen=True)
+class Metric:
+    """A caller's metric over additive statistics: the weighted sums of the
+    per-row ``columns`` are handed to ``finish`` as ``{column: Column}``, with
+    the weighted number of rows under ``"n"``."""
+
+    name: str
+    columns: tuple[str, ...]
+    finish: Callable[[dict[str, Column]], Column]
+
+
+def _name(metric: str | Metric) -> str:
+    return metric if isinstance(metric, str) else metric.name
+
+
+def _metric_aggs(metric: str | Metric, w: Column, tag: str = "", rows: Column | None = None) -> tuple[list[Column], Column]:
     n = w if rows is None else w * rows  # weighted row count (block rows carry their size)
+    if isinstance(metric, Metric):
+        sums = {c: f"__m{tag}_{i}" for i, c in enumerate(metric.columns)}
+        aggs = [F.sum(w * F.col(c)).alias(a) for c, a in sums.items()] + [F.sum(n).alias(f"__m{tag}_n")]
+        return aggs, metric.finish({**{c: F.col(a) for c, a in sums.items()}, "n": F.col(f"__m{tag}_n")})
     if metric == "f1":
         sf, sw = f"__sf{tag}", f"__sw{tag}"
         return [F.sum(w * F.col("f1")).alias(sf), F.sum(n).alias(sw)], F.col(sf) / F.col(sw)
@@ -89,7 +111,7 @@ def _metric_aggs(metric: str, w: Column, tag: str = "", rows: Column | None = No
     raise ValueError(f"unknown metric {metric}")
 
 
-def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, seed: int = 42,
+def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int = 1000, seed: int = 42,
                      method: str = "poisson", id_col: str = "id", blocks: int = 4096,
                      row_weight: str | None = None) -> DataFrame:
     """One row per replicate ``rep`` with a ``score_<metric>`` column per
@@ -105,14 +127,15 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
         if row_weight:  # block rows: per-row means need the block's row count
             weighted = weighted.withColumn("__rw", F.col(row_weight))
     elif method == "blocks":
-        cols = [c for c in ("f1", "length", *STAT_COLS) if c in stats.columns]
-        blk = stats.groupBy(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).alias("__blk")).agg(
+        own = [c for m in metrics if isinstance(m, Metric) for c in m.columns]
+        cols = [c for c in dict.fromkeys(["f1", "length", *STAT_COLS, *own]) if c in stats.columns]
+        blk = stats.groupBy(F.pmod(hash_bits(seed, F.col(id_col), F.lit("block")), F.lit(blocks)).alias("__blk")).agg(
             *[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("__rows"))
         return replicate_scores(blk, metrics, n_boot, seed, "poisson", id_col="__blk", row_weight="__rows")
     elif method == "multinomial":
         ranked = dense_index(stats, id_col, "__idx", total_col="__n")
         draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-        u = hash_bits(seed, F.col("rep"), F.col("__j")).cast("double") / F.lit(4294967296.0)
+        u = hash_uniform(seed, F.col("rep"), F.col("__j"))
         counts = draws.select("rep", F.floor(u * F.col("__n")).cast("long").alias("__idx")).groupBy("rep", "__idx").agg(
             F.count(F.lit(1)).alias("__w"))
         full = ranked.select("__idx", F.lit(-1).cast("long").alias("rep"), F.lit(1).cast("long").alias("__w"))
@@ -122,21 +145,21 @@ def replicate_scores(stats: DataFrame, metrics: list[str], n_boot: int = 1000, s
     aggs, finishes = [], []
     rows = F.col("__rw") if "__rw" in weighted.columns else None
     for m in metrics:
-        a, fin = _metric_aggs(m, F.col("__w"), tag=m, rows=rows)
+        a, fin = _metric_aggs(m, F.col("__w"), tag=_name(m), rows=rows)
         aggs += a
-        finishes.append(fin.alias(f"score_{m}"))
+        finishes.append(fin.alias(f"score_{_name(m)}"))
     return weighted.groupBy("rep").agg(*aggs).select("rep", *finishes)
 
 
-def bootstrap_ci(stats: DataFrame, metrics: list[str] | str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42,
+def bootstrap_ci(stats: DataFrame, metrics: list[str | Metric] | str | Metric, n_boot: int = 1000, ci: float = 0.95, seed: int = 42,
                  method: str = "poisson", id_col: str = "id", blocks: int = 4096) -> DataFrame:
     """A5: one row with ``<metric>`` (full-sample value), ``<metric>_ci_lower``
     and ``<metric>_ci_upper`` (percentiles of the replicate scores) per metric."""
-    metrics = [metrics] if isinstance(metrics, str) else list(metrics)
+    metrics = [metrics] if isinstance(metrics, (str, Metric)) else list(metrics)
     lo, hi = (1 - ci) / 2, (1 + ci) / 2
     reps = replicate_scores(stats, metrics, n_boot, seed, method, id_col, blocks=blocks)
     out = []
-    for m in metrics:
+    for m in map(_name, metrics):
         sc, boot = F.col(f"score_{m}"), F.col("rep") >= 0
         out += [
             F.max(F.when(~boot, sc)).alias(m),

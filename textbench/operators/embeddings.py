@@ -5,8 +5,9 @@ The reference keeps a float32 matrix aligned by row position plus a JSON
 progress file.  Here vectors are ``(doc_id, embedding: array<float>)`` rows:
 "what is still missing" is an anti-join (no position bookkeeping), a resumed
 run appends only the missing ids, and the Parquet commit protocol (or a
-streaming checkpoint, ST1) makes every batch atomic.  Encoders run in
-``mapInPandas`` on Arrow batches; they are the only Python in the plan.
+streaming checkpoint, ST1) makes every batch atomic.  The default encoder is a
+DataFrame aggregation; a caller's encoder runs in ``mapInPandas`` on Arrow
+batches.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textbench.functions.text import words
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 # Fixed values of the precompute gate: 768 dims, 4 bytes per value, 250 GB cap.
@@ -29,32 +32,60 @@ MAX_PRECOMPUTE_GB = 250.0
 
 
 class HashedBagOfWords:
-    """Deterministic default encoder: each whitespace token adds +-1 to the
-    bucket given by its md5 (first 32 bits mod ``dim``; sign from the next
-    byte's parity).  No normalisation (as the reference's encode call)."""
+    """The default encoder as a Python callable, for streams and callers that
+    want one: each whitespace token adds +-1 to the bucket given by its md5
+    (first 32 bits mod ``dim``; sign from the next byte's parity)."""
+
+    CACHE = 1 << 18  # remembered words; the memory is cleared when it is full
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def _place(self, word: str) -> tuple[int, float]:
+        hit = self.known.get(word)
+        if hit is None:
+            h = hashlib.md5(word.encode("utf-8")).hexdigest()
+            hit = (int(h[:8], 16) % self.dim, 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0)
+            if len(self.known) >= self.CACHE:
+                self.known.clear()
+            self.known[word] = hit
+        return hit
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        cache: dict[str, tuple[int, float]] = {}
         for r, t in enumerate(texts):
-            for w in (t or "").split():
-                hit = cache.get(w)
-                if hit is None:
-                    h = hashlib.md5(w.encode("utf-8")).hexdigest()
-                    hit = (int(h[:8], 16) % self.dim, 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0)
-                    cache[w] = hit
-                out[r, hit[0]] += hit[1]
+            placed = [self._place(w) for w in (t or "").split()]
+            if placed:
+                at, sign = zip(*placed)
+                out[r] = np.bincount(at, weights=sign, minlength=self.dim)
         return out
 
 
+def hashed_bag_of_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64) -> DataFrame:
+    """The default encoder in the JVM: words are exploded, summed per (row,
+    bucket) before the shuffle, and at most ``dim`` sums per row are gathered
+    into its vector.  One vector per id; an id's repeated rows add up."""
+    word = df.select(id_col, F.explode_outer(words(F.coalesce(F.col(text_col), F.lit("")))).alias("__w"))
+    digest = F.md5("__w")
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sums = word.select(id_col, bucket.alias("__b"), sign.alias("__s")).groupBy(id_col, "__b").agg(F.sum("__s").alias("__v"))
+    held = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("__b").isNotNull(), F.struct("__b", "__v")))).alias("__m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0)).cast("float"))
+    return held.select(id_col, vector.alias("embedding"))
+
+
 def embed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Encoder | None = None,
-                batch_rows: int = 64) -> DataFrame:
-    """``(id, embedding)`` for every row, encoded in Arrow batches of
-    ``batch_rows`` (the reference's encode batch size)."""
-    enc = encoder or HashedBagOfWords()
+                batch_rows: int = 64, dim: int = 64) -> DataFrame:
+    """``(id, embedding)`` for every row.  Without an ``encoder`` the default
+    one runs in the JVM; an encoder (or a stream, which cannot aggregate here)
+    runs on Arrow batches, ``batch_rows`` texts (the reference's encode batch
+    size) at a time."""
+    if encoder is None and not df.isStreaming:
+        return hashed_bag_of_words(df, id_col, text_col, dim)
+    enc = encoder or HashedBagOfWords(dim)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,66 +104,98 @@ def pending_embeddings(corpus: DataFrame, vectors: DataFrame, id_col: str = "doc
 
 
 def embedding_coverage(corpus: DataFrame, vectors: DataFrame, expected_dim: int | Column, id_col: str = "doc_id") -> DataFrame:
-    """JN6: one row: ``rows, vectors, covered, missing, orphans, bad_dims,
-    verdict`` where verdict is ``complete`` / ``resume`` / ``rebuild``
-    (wrong dimension or vectors for unknown rows force a rebuild)."""
+    """JN6: one row ``rows, vectors, covered, missing, orphans, duplicates,
+    bad_dims, verdict``.
+
+    Vectors are aggregated by id first, so a repeated id covers its row once.
+    ``covered``/``missing``: corpus rows with and without a usable vector;
+    ``orphans``: ids that the corpus does not have (they are kept);
+    ``duplicates``: vectors beyond the first of an id; ``bad_dims``: vectors
+    that are null or not of the expected length.  The verdict is ``rebuild``
+    for any bad vector, else ``resume`` if rows are missing, else
+    ``duplicates`` or ``complete``."""
     dim = expected_dim if isinstance(expected_dim, Column) else F.lit(expected_dim)
-    c = corpus.select(id_col, F.lit(1).alias("__c"))
-    v = vectors.select(id_col, F.lit(1).alias("__v"), (F.size("embedding") != dim).cast("int").alias("__bad"))
-    j = c.join(v, id_col, "full_outer")
+    bad = F.col("embedding").isNull() | (F.size("embedding") != dim)
+    c = corpus.groupBy(id_col).agg(F.count(F.lit(1)).alias("__c"))
+    v = vectors.select(id_col, bad.cast("int").alias("__bad")).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("__v"), F.sum("__bad").alias("__b"))
+    j = c.join(v, id_col, "full_outer").select(
+        *[F.coalesce(x, F.lit(0)).alias(x) for x in ("__c", "__v", "__b")])
+    usable = F.col("__v") > F.col("__b")
+    total = lambda x, n: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n)
     agg = j.groupBy().agg(
-        F.sum(F.coalesce("__c", F.lit(0))).cast("long").alias("rows"),
-        F.sum(F.coalesce("__v", F.lit(0))).cast("long").alias("vectors"),
-        F.sum(F.when(F.col("__c").isNotNull() & F.col("__v").isNotNull(), 1).otherwise(0)).cast("long").alias("covered"),
-        F.sum(F.when(F.col("__v").isNull(), 1).otherwise(0)).cast("long").alias("missing"),
-        F.sum(F.when(F.col("__c").isNull(), 1).otherwise(0)).cast("long").alias("orphans"),
-        F.sum(F.coalesce("__bad", F.lit(0))).cast("long").alias("bad_dims"),
-    )
-    verdict = (F.when((F.col("bad_dims") > 0) | (F.col("orphans") > 0), "rebuild")
-               .when(F.col("missing") > 0, "resume").otherwise("complete"))
+        total(F.col("__c"), "rows"), total(F.col("__v"), "vectors"),
+        total(F.when(usable, F.col("__c")).otherwise(0), "covered"),
+        total(F.when(usable, 0).otherwise(F.col("__c")), "missing"),
+        total(F.when((F.col("__c") == 0) & (F.col("__v") > 0), 1).otherwise(0), "orphans"),
+        total(F.greatest(F.col("__v") - 1, F.lit(0)), "duplicates"), total(F.col("__b"), "bad_dims"))
+    verdict = (F.when(F.col("bad_dims") > 0, "rebuild").when(F.col("missing") > 0, "resume")
+               .when(F.col("duplicates") > 0, "duplicates").otherwise("complete"))
     return agg.withColumn("verdict", verdict)
 
 
+def _generation(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest complete generation below ``path`` (a listing of
+    the folder on the driver), None without one.  Any error of the file system
+    is passed on; only a missing folder means that there is nothing yet."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    found = [s.getPath() for s in fs.listStatus(root)]
+    done = [int(p.getName()[4:]) for p in found if p.getName().startswith("gen-")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def read_precomputed(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors of the newest generation that :func:`precompute_embeddings` wrote."""
+    gen = _generation(spark, path)
+    if gen is None:
+        raise ValueError(f"no precomputed embeddings at {path}")
+    return spark.read.parquet(f"{path}/gen-{gen}")
+
+
 def precompute_embeddings(spark: SparkSession, corpus: DataFrame, path: str, encoder: Encoder | None = None,
                           dim: int = 64, id_col: str = "doc_id", text_col: str = "text", resume: bool = True,
                           buckets: int = 64) -> DataFrame:
-    """Resumable precompute into Parquet at ``path``.
-
-    With ``resume`` and an existing output of the right shape, only missing
-    ids are encoded and appended; a wrong dimension or unknown ids rebuild
-    from scratch (overwrite).  Output is partitioned by ``pmod(hash(id),
-    buckets)`` (SNK5) so later joins on the id can prune.  Re-running a
-    finished precompute writes nothing.
+    """Resumable precompute into Parquet below ``path``.
+
+    With ``resume`` and stored vectors of the right shape, only the ids that
+    miss one are encoded and appended to the newest generation; vectors of ids
+    outside ``corpus`` stay, so a run on a part of the corpus takes nothing
+    away.  A wrong dimension (or ``resume=False``) starts a new generation
+    folder and leaves the old one alone.  A folder that cannot be read is an
+    error, never an empty one.  Re-running a finished precompute writes nothing.
     """
-    enc = encoder or HashedBagOfWords(dim)
-    existing = None
-    if resume:
-        try:
-            existing = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - no output yet
-            existing = None
-    mode = "append"
-    todo = corpus
-    if existing is not None:
-        cov = embedding_coverage(corpus, existing.select(id_col, "embedding"), dim, id_col).first()
-        if cov["verdict"] == "complete":
-            return spark.read.parquet(path)
-        if cov["verdict"] == "rebuild":
-            mode = "overwrite"
-        else:
-            todo = pending_embeddings(corpus, existing, id_col)
+    gen, todo = _generation(spark, path), corpus
+    if gen is None:
+        gen = 0
+    elif not resume:
+        gen += 1
     else:
-        mode = "overwrite"
-    out = embed_texts(todo.select(id_col, text_col), id_col, text_col, enc)
-    write_embeddings(out, path, mode, id_col, buckets)
-    return spark.read.parquet(path)
+        existing = spark.read.parquet(f"{path}/gen-{gen}").select(id_col, "embedding")
+        verdict = embedding_coverage(corpus, existing, dim, id_col).first()["verdict"]
+        if verdict == "rebuild":
+            gen += 1
+        elif verdict == "resume":
+            todo = pending_embeddings(corpus, existing, id_col)
+        else:
+            return read_precomputed(spark, path)
+    out = embed_texts(todo.select(id_col, text_col), id_col, text_col, encoder, dim=dim)
+    write_embeddings(out, f"{path}/gen-{gen}", "append", id_col, buckets)
+    return read_precomputed(spark, path)
 
 
 def write_embeddings(vectors: DataFrame, path: str, mode: str = "append", id_col: str = "doc_id",
                      buckets: int = 64) -> None:
-    """SNK5: vectors to Parquet, partitioned by a hash bucket of the id."""
+    """SNK5: vectors to Parquet, partitioned by a hash bucket of the id.  A
+    bucket is written by as many tasks as its size asks for (the rebalance
+    splits it by the advisory partition size), so the number of buckets does
+    not bound the number of writers."""
     (vectors.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
-     .repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path))
+     .hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path))
 
 
 def random_adapter(embedding_dim: int, model_dim: int, prefix_tokens: int, layers: int = 0, hidden: int = 64,
@@ -147,10 +210,20 @@ def random_adapter(embedding_dim: int, model_dim: int, prefix_tokens: int, layer
     return [(rng.standard_normal(s) / math.sqrt(s[0]), rng.standard_normal(s[1]) * 0.01) for s in shapes]
 
 
-def _gelu(x: np.ndarray) -> np.ndarray:
-    from math import erf  # exact GELU: x * Phi(x)
+# erf by the rational approximation 7.1.26 of Abramowitz and Stegun (error below 1.5e-7).
+# Its constant and coefficients.
+ERF_P = 0.3275911
+ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    t = 1.0 / (1.0 + ERF_P * np.abs(x))
+    poly = t * (ERF_A[0] + t * (ERF_A[1] + t * (ERF_A[2] + t * (ERF_A[3] + t * ERF_A[4]))))
+    return np.sign(x) * (1.0 - poly * np.exp(-x * x))
 
-    return x * 0.5 * (1.0 + np.vectorize(erf)(x / math.sqrt(2.0)))
+
+def _gelu(x: np.ndarray) -> np.ndarray:
+    return x * 0.5 * (1.0 + _erf(x / math.sqrt(2.0)))
 
 
 def adapter_forward(vectors: DataFrame, weights, id_col: str = "doc_id", out_type: str = "float") -> DataFrame:
@@ -175,7 +248,9 @@ def adapter_forward(vectors: DataFrame, weights, id_col: str = "doc_id", out_typ
             if bc is not None:
                 ws = bc.value
             else:
-                ws = cache.setdefault(x.shape[1], factory(x.shape[1]))
+                if x.shape[1] not in cache:
+                    cache[x.shape[1]] = factory(x.shape[1])
+                ws = cache[x.shape[1]]
             for i, (w, b) in enumerate(ws):
                 x = x @ w + b
                 if i < len(ws) - 1:

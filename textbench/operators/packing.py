@@ -36,9 +36,14 @@ def packing_ratio(chunked: DataFrame, chunks_col: str, group_cols: list[str]) ->
     """PK3: tokens per embedding and embeddings per document, per configuration."""
     per_doc = chunked.select(*group_cols, F.size(chunks_col).alias("__m"),
                              F.aggregate(chunks_col, F.lit(0), lambda a, c: a + F.size(c)).alias("__t"))
-    return per_doc.groupBy(*group_cols).agg(
-        (F.sum("__t") / F.sum("__m")).alias("tokens_per_embedding"),
-        F.avg("__m").alias("embeddings_per_doc"),
+    return packing_ratio_of_counts(per_doc, "__t", "__m", group_cols)
+
+
+def packing_ratio_of_counts(counts: DataFrame, tokens_col: str, chunks_col: str, group_cols: list[str]) -> DataFrame:
+    """PK3 from token and chunk counts per document, without the chunks themselves."""
+    return counts.groupBy(*group_cols).agg(
+        (F.sum(tokens_col) / F.sum(chunks_col)).alias("tokens_per_embedding"),
+        F.avg(chunks_col).alias("embeddings_per_doc"),
         F.count(F.lit(1)).alias("docs"),
     )
 

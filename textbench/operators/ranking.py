@@ -3,17 +3,18 @@
 ``Window.orderBy(...)`` with no ``partitionBy`` pulls every row into one
 task.  Instead the rank is assembled from a small histogram:
 
-1. Rows are tagged with a ``coarse`` group (default: the key itself, which
-   must then have a bounded number of distinct values, e.g. a token
-   length; for high-cardinality keys pass an order-preserving coarsening
-   with at most ~2^20 values, e.g. ``hash >> 12`` of a 32-bit hash).
-2. A coarse group holding more than ``target_rows`` rows (a hot key may hold
-   a third of the table) is cut into ``ceil(count / target_rows)``
-   order-preserving sub-buckets: by key range if it spans several keys, by
-   tiebreak range if it is one key.  Every (coarse, sub) group is small.
-3. Offsets are a running sum over the (coarse, sub) histogram.  Its size is
-   bounded by ``#coarse values + rows / target_rows`` (about a million rows
-   for 10^11 input rows), so it is broadcast explicitly.
+1. Rows are tagged with a ``coarse`` group (default: the key itself; pass an
+   order-preserving coarsening with at most ~2^20 values for keys with many
+   distinct ones, e.g. ``hash >> 12`` of a 32-bit hash).  More groups than
+   MAX_COARSE are an error, since the group tables are broadcast.
+2. A group holding more than ``target_rows`` rows (a hot key may hold a third
+   of the table, alone or among other keys) is cut into order-preserving
+   sub-groups: by key range while it spans several keys, by tiebreak range
+   once it is one key.  Cutting is repeated until no group is too large, so a
+   hot key among others is first isolated and then split.
+3. Offsets are a running sum over the histogram of groups.  Its size is
+   bounded by the number of coarse values plus ``FAN * rows / target_rows``,
+   so it is broadcast explicitly.
 
 The histogram is built from a cheap key projection (``keys``); the rows to
 rank or label are read once more.  Callers that only need to know which
@@ -26,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.session import written
+
 DEFAULT_TARGET_ROWS = 1_000_000
 MAX_COARSE = 1 << 20
+FAN = 16  # sub-groups of a group that is too large, at least
 
 _C, _S = "__rk_coarse", "__rk_sub"
-_STATS = ["__rk_cnt", "__rk_kmin", "__rk_kmax", "__rk_tmin", "__rk_tmax"]
 
 
 def _as_col(c) -> Column:
@@ -41,58 +44,59 @@ def _coarse(key: str, coarse: Column | None) -> Column:
     return _as_col(key) if coarse is None else coarse
 
 
-def _sub(key: str, tiebreak: str, target_rows: int) -> Column:
-    nsub = F.ceil(F.col("__rk_cnt") / F.lit(target_rows))
-    by_tb = F.floor((F.col(tiebreak) - F.col("__rk_tmin")).cast("double") * nsub
-                    / ((F.col("__rk_tmax") - F.col("__rk_tmin")).cast("double") + 1.0))
-    by_key = F.floor((F.col(key) - F.col("__rk_kmin")).cast("double") * nsub
-                     / ((F.col("__rk_kmax") - F.col("__rk_kmin")).cast("double") + 1.0))
-    return (F.when(F.col("__rk_cnt") <= target_rows, F.lit(0))
-            .when(F.col("__rk_kmin") == F.col("__rk_kmax"), by_tb)
-            .otherwise(by_key).cast("long"))
-
-
 class RankLayout:
     """Histogram of order-preserving groups of a key projection.
 
-    ``stats``: one row per (partition, coarse) group with count and key /
-    tiebreak ranges.  ``groups``: one row per (partition, coarse, sub) with
-    ``__rk_n`` rows, ``__rk_off`` rows before it and ``__rk_total`` rows in
-    the partition, so a row's rank lies in ``[__rk_off, __rk_off + __rk_n)``.
+    A group is (partition, coarse, path): ``path`` has one number per cut that
+    the group went through, and paths compare in key order.  ``groups``: one row
+    per group with ``__rk_n`` rows, ``__rk_off`` rows before it and
+    ``__rk_total`` rows in the partition, so a row's rank lies in ``[__rk_off,
+    __rk_off + __rk_n)``.  The key projection is written to the shared folder
+    once (it may be derived from whole texts) and every pass reads that.
     """
 
     def __init__(self, keys: DataFrame, key: str, tiebreak: str, coarse: Column | None = None,
-                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None,
-                 materialize: bool = False):
+                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None):
         self.key, self.tiebreak, self.coarse = key, tiebreak, coarse
-        self.target_rows = target_rows
         self.pc = list(partition_cols or [])
-        base = keys.withColumn(_C, _coarse(key, coarse)).select(*self.pc, key, tiebreak, _C)
-        if materialize:
-            # The key projection is read by two histogram passes (and by the
-            # cut-point pass); when it is derived from expensive expressions
-            # (token counts over whole texts) it is computed once and written
-            # to the shared checkpoint folder instead of recomputed per pass.
-            from textbench.session import ensure_checkpoint_dir
-
-            ensure_checkpoint_dir(keys.sparkSession)
-            base = base.checkpoint(eager=True)
-        self.keys = base
-        self.stats = base.groupBy(*self.pc, _C).agg(
-            F.count(F.lit(1)).alias("__rk_cnt"), F.min(key).alias("__rk_kmin"), F.max(key).alias("__rk_kmax"),
-            F.min(tiebreak).alias("__rk_tmin"), F.max(tiebreak).alias("__rk_tmax"))
-        hist = self.tag(base).groupBy(*self.pc, _C, _S).agg(F.count(F.lit(1)).alias("__rk_n"))
-        # The histogram is small by construction; ordering it needs one task
+        self.keys = written(keys.withColumn(_C, _coarse(key, coarse)).select(*dict.fromkeys([*self.pc, key, tiebreak, _C])), "rank-keys")
+        self.cuts: list[DataFrame] = []
+        group = [*self.pc, _C, _S]
+        while True:
+            stats = self.tag(self.keys).groupBy(*group).agg(
+                F.count(F.lit(1)).alias("__rk_n"), F.min(key).alias("__k0"), F.max(key).alias("__k1"),
+                F.min(tiebreak).alias("__t0"), F.max(tiebreak).alias("__t1"))
+            stats = written(stats, "rank-groups")
+            # equal (key, tiebreak) pairs cannot be told apart, so such a group stays whole
+            large = stats.where((F.col("__rk_n") > target_rows) & ((F.col("__k0") < F.col("__k1")) | (F.col("__t0") < F.col("__t1"))))
+            if large.isEmpty():
+                break
+            self.cuts.append(large.select(*group, F.greatest(F.ceil(F.col("__rk_n") / target_rows), F.lit(FAN)).alias("__f"),
+                                          "__k0", "__k1", "__t0", "__t1"))
+        n = stats.count()
+        if n > 4 * MAX_COARSE:
+            raise ValueError(f"{n} rank groups: pass a coarser order-preserving key (at most {MAX_COARSE} values)")
+        # The histogram is small (checked above); ordering it needs one task
         # (one per partition value with ``partition_cols``).
         w = Window.partitionBy(*self.pc).orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.groups = hist.withColumn("__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
+        self.groups = stats.select(*group, "__rk_n").withColumn(
+            "__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
             "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*self.pc)))
 
-    def tag(self, df: DataFrame) -> DataFrame:  # noqa: D401
-        """Add ``__rk_coarse`` and ``__rk_sub`` to any DataFrame with the key columns."""
+    def tag(self, df: DataFrame) -> DataFrame:
+        """Add ``__rk_coarse`` and ``__rk_sub`` (the path) to any DataFrame with the key columns."""
         d = df if _C in df.columns else df.withColumn(_C, _coarse(self.key, self.coarse))
-        return (d.join(F.broadcast(self.stats), [*self.pc, _C], "inner")
-                .withColumn(_S, _sub(self.key, self.tiebreak, self.target_rows)).drop(*_STATS))
+        d = d.withColumn(_S, F.array().cast("array<long>"))
+        for cut in self.cuts:
+            def place(x, lo, hi):
+                return F.floor((F.col(x) - F.col(lo)).cast("double") * F.col("__f") / ((F.col(hi) - F.col(lo)).cast("double") + 1.0))
+
+            step = F.when(F.col("__k0") < F.col("__k1"), place(self.key, "__k0", "__k1")).otherwise(
+                place(self.tiebreak, "__t0", "__t1"))
+            d = d.join(F.broadcast(cut), [*self.pc, _C, _S], "left").withColumn(
+                "__path", F.when(F.col("__f").isNull(), F.col(_S)).otherwise(F.concat(_S, F.array(step.cast("long")))))
+            d = d.drop(_S, "__f", "__k0", "__k1", "__t0", "__t1").withColumnRenamed("__path", _S)
+        return d
 
     def with_groups(self, df: DataFrame) -> DataFrame:
         """Tag ``df`` and attach its group's ``__rk_n``, ``__rk_off``, ``__rk_total``."""
@@ -109,10 +113,15 @@ def two_level_rank(
     total_col: str | None = None,
     partition_cols: list[str] | None = None,
     keys: DataFrame | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Add ``rank_col``: exact 0-based position of each row in (key,
     tiebreak) order (within ``partition_cols``), and optionally the row count
-    as ``total_col``.  One shuffle of the rows, by their small group."""
+    as ``total_col``.  One shuffle of the rows, by their small group.  With
+    ``once`` the rows themselves are written to the shared folder first, for
+    inputs that are expensive to compute."""
+    if once:
+        df = written(df, "rank-rows")
     layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
     pc = layout.pc
     w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)

@@ -35,7 +35,7 @@ def short_long_export(table: DataFrame, threshold: float = 50.0) -> DataFrame:
     pts = F.struct("bucket", "avg_tokens", "bleu", "token_f1")
     g = table.withColumn("label", lab).groupBy("label", "experiment").agg(F.array_sort(F.collect_list(pts)).alias("s"))
     return g.select("label", "experiment", F.transform("s", lambda p: F.struct(
-        p["avg_tokens"].alias("avg_tokens"), p["bleu"].alias("bleu"), p["token_f1"].alias("token_f1"))).alias("series"))
+        p["bucket"].alias("bucket"), p["avg_tokens"].alias("avg_tokens"), p["bleu"].alias("bleu"), p["token_f1"].alias("token_f1"))).alias("series"))
 
 
 def bleu_trend(table: DataFrame) -> DataFrame:
@@ -61,6 +61,12 @@ def length_quality_corr(points: DataFrame, x: str = "avg_tokens", y: str = "bleu
     return points.groupBy(group_col).agg(F.corr(x, y).alias("pearson_r"), F.count(F.lit(1)).alias("points"))
 
 
+def cross_domain_cells(results: DataFrame, train_col: str, eval_col: str, value_col: str) -> DataFrame:
+    """A18 in long form: one row per (train, eval) pair that occurs, whatever
+    the number of domains."""
+    return results.groupBy(train_col, eval_col).agg(F.max(value_col).alias(value_col))
+
+
 def cross_domain_matrix(results: DataFrame, train_col: str, eval_col: str, value_col: str,
                         eval_values: list[str] | None = None) -> DataFrame:
     """Train domain x eval domain matrix of one metric (``pivot``; pass

@@ -143,25 +143,38 @@ def in_skipped_dir(path: Column) -> Column:
     return F.exists(parts, lambda p: p.isin(*SKIP_DIRS))
 
 
-def walk_filter(files: DataFrame, seed: int = 42, max_files: int = MAX_FILES) -> DataFrame:
+def worth_reading() -> Column:
+    """What the walk rules can tell from (path, size) alone, before a file is
+    opened: a source language, no vendor folder, and a size in bytes that 21 to
+    4999 characters of at most four bytes can have."""
+    return (language_of(F.col("path")).isNotNull() & ~in_skipped_dir(F.col("path"))
+            & (F.col("size") > 20) & (F.col("size") < 4 * 5000))
+
+
+def walk_filter(files: DataFrame, seed: int = 42, max_files: int | None = MAX_FILES) -> DataFrame:
     """SRC5 semantics on a (repo, path, content) DataFrame: language by
     extension, vendor directories skipped, 20 < chars < 5000, then a seeded
-    shuffle and at most ``max_files`` per repository.  Adds ``lang`` and
-    ``file_rank`` (position in the shuffled order)."""
+    shuffle and at most ``max_files`` per repository (None: all of them).  Adds
+    ``lang`` and ``file_order`` (the shuffled order)."""
     f = files.withColumn("lang", language_of(F.col("path")))
     f = f.filter(F.col("lang").isNotNull() & ~in_skipped_dir(F.col("path"))
                  & (F.length("content") > 20) & (F.length("content") < 5000))
     order = F.struct(hash_bits(seed, F.lit("walk"), F.col("repo"), F.col("path")).alias("h"), F.col("path").alias("p"))
-    return cap_per_group(f.withColumn("file_order", order), "repo", max_files, F.col("file_order"), rank_col="file_rank")
+    f = f.withColumn("file_order", order)
+    return f if max_files is None else cap_per_group(f, "repo", max_files, F.col("file_order"))
 
 
-def sft_from_repos(spark: SparkSession, files: DataFrame, seed: int = 42, max_per_repo: int = MAX_PER_REPO,
+def sft_from_repos(spark: SparkSession, files: DataFrame, seed: int = 42, max_per_repo: int | None = MAX_PER_REPO,
+                   max_files: int | None = MAX_FILES,
                    with_run_scenarios: bool = True, shuffle: bool = True) -> DataFrame:
     """SFT4: rename examples (py/js/rs) with a 30 % failure-recovery variant,
     string-literal examples (read-then-edit or direct, 50/50), strictly capped
-    at ``max_per_repo`` per repository in shuffled file order, plus the run
-    scenarios, then shuffled.  Columns: ``repo, kind, path, messages[, position]``."""
-    f = walk_filter(files, seed)
+    at ``max_per_repo`` per repository in shuffled file order (from at most
+    ``max_files`` files of each; None lifts either cap), plus the run
+    scenarios, then shuffled.  Columns: ``repo, kind, path, messages,
+    valid_recovery[, position]``; ``valid_recovery`` tells of a recovery
+    example whether its wrong guess would really fail (null for other kinds)."""
+    f = walk_filter(files, seed, max_files)
     key = [F.col("repo"), F.col("path")]
     ren = rename_mutation(F.col("content"), F.col("lang"), seed, *key)
     lit = string_literal_mutation(F.col("content"), seed, *key)
@@ -173,27 +186,34 @@ def sft_from_repos(spark: SparkSession, files: DataFrame, seed: int = 42, max_pe
                       F.lit(" in "), path)
     recover = hash_uniform(seed, F.lit("recovery"), *key) < RECOVERY_RATE
     read_first = hash_uniform(seed, F.lit("read"), *key) < READ_RATE
-    ex = lambda sub, kind, msgs: F.struct(F.lit(sub).alias("sub"), F.lit(kind).alias("kind"), msgs.alias("messages"))
+    wrong = F.upper(F.col("ren.old_text"))
+    # a guess that equals the name, or occurs in the file, would not fail
+    fails = (wrong != F.col("ren.old_text")) & ~F.contains(F.col("ren.original"), wrong)
+
+    def ex(sub, kind, msgs, valid=F.lit(None).cast("boolean")):
+        return F.struct(F.lit(sub).alias("sub"), F.lit(kind).alias("kind"), msgs.alias("messages"), valid.alias("valid_recovery"))
+
     cands = F.concat(
         F.when(F.col("ren").isNotNull(), F.array(ex(0, "rename", read_edit_conversation(
             path, r_desc, F.col("ren.original"), F.col("ren.old_text"), F.col("ren.new_text"))))).otherwise(F.array()),
         F.when(F.col("ren").isNotNull() & recover, F.array(ex(1, "rename_recovery", failure_recovery_conversation(
-            path, r_desc, F.col("ren.original"), F.upper(F.col("ren.old_text")), F.col("ren.old_text"),
-            F.col("ren.new_text"))))).otherwise(F.array()),
+            path, r_desc, F.col("ren.original"), wrong, F.col("ren.old_text"), F.col("ren.new_text")), fails))).otherwise(F.array()),
         F.when(F.col("lit").isNotNull() & read_first, F.array(ex(2, "string_read_edit", read_edit_conversation(
             path, s_desc, F.col("lit.original"), F.col("lit.old_text"), F.col("lit.new_text"))))).otherwise(F.array()),
         F.when(F.col("lit").isNotNull() & ~read_first, F.array(ex(2, "string_direct", direct_edit_conversation(
             path, s_desc, F.col("lit.old_text"), F.col("lit.new_text"))))).otherwise(F.array()),
     )
-    exploded = f.select("repo", "path", "file_rank", F.explode(cands).alias("e")).select(
-        "repo", "path", "file_rank", "e.sub", "e.kind", "e.messages")
-    capped = cap_per_group(exploded, "repo", max_per_repo, F.struct("file_rank", "sub")).select(
-        "repo", "kind", "path", "messages")
-    out = capped.unionByName(run_scenarios(spark)) if with_run_scenarios else capped
+    exploded = f.select("repo", "path", "file_order", F.explode(cands).alias("e")).select(
+        "repo", "path", "file_order", "e.sub", "e.kind", "e.messages", "e.valid_recovery")
+    if max_per_repo is not None:
+        exploded = cap_per_group(exploded, "repo", max_per_repo, F.struct("file_order", "sub"))
+    capped = exploded.select("repo", "kind", "path", "messages", "valid_recovery")
+    run = run_scenarios(spark).withColumn("valid_recovery", F.lit(None).cast("boolean"))
+    out = capped.unionByName(run) if with_run_scenarios else capped
     if shuffle:
         key_col = F.md5(F.concat_ws("\u0001", F.coalesce("repo", F.lit("")), F.col("path"), F.col("kind")))
         out = out.withColumn("__k", F.conv(F.substring(key_col, 1, 15), 16, 10).cast("long"))
-        out = seeded_shuffle(out, "__k", seed, salt="examples").drop("__k")
+        out = seeded_shuffle(out, "__k", seed, salt="examples", once=True).drop("__k")
     return out
 
 

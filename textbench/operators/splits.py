@@ -70,6 +70,15 @@ def limit_first(df: DataFrame, n: int | None, order_key: str) -> DataFrame:
     return df.orderBy(order_key).limit(n)
 
 
+def limit_splits(df: DataFrame, split_col: str, limits: dict[str, int | None], order_key: str) -> DataFrame:
+    """LIM1 per split: the first ``limits[split]`` rows of each split in dataset
+    order (``None``: all of it); splits without an entry keep all their rows."""
+    out = df.filter(F.col(split_col).isNull() | ~F.col(split_col).isin(*limits)) if limits else df
+    for split, n in limits.items():
+        out = out.unionByName(limit_first(df.filter(F.col(split_col) == split), n, order_key))
+    return out
+
+
 def cap_per_group(df: DataFrame, group: str, n: int, order: Column, salts: int = 64,
                   rank_col: str | None = None) -> DataFrame:
     """LIM2: at most ``n`` rows per group, the first by ``order`` (ties by
@@ -91,10 +100,11 @@ def cap_per_group(df: DataFrame, group: str, n: int, order: Column, salts: int =
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, position_col: str = "position",
-                   salt: str = "shuffle") -> DataFrame:
-    """SMP1: deterministic permutation: 0-based position in hash order."""
+                   salt: str = "shuffle", once: bool = False) -> DataFrame:
+    """SMP1: deterministic permutation: 0-based position in hash order
+    (``once``: for inputs that are expensive to compute)."""
     h = _shuffle_key(df, seed, key, salt)
-    return two_level_rank(h, "__h", key, position_col, coarse=F.shiftright(F.col("__h"), 12)).drop("__h")
+    return two_level_rank(h, "__h", key, position_col, coarse=F.shiftright(F.col("__h"), 12), once=once).drop("__h")
 
 
 def bernoulli(rate: float, seed, salt: str, *keys) -> Column:

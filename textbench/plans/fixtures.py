@@ -16,19 +16,7 @@ from textbench.functions.toolcalls import add_tool_call
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """An input with fewer scan splits than the cluster has cores (e.g. a
-    single-row-group Parquet file, which cannot be split) is spread
-    round-robin once, so the per-row text work that follows uses every core.
-    Large inputs already have many splits and are returned unchanged (no
-    extra shuffle at scale)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
@@ -38,10 +26,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     d = F.col("doc_id")
-    # keep word p (1-based) of the first 128 unless (p + doc_id) % 5 = 0; the
+    # every word p (1-based) of the whole text unless (p + doc_id) % 5 = 0; the
     # lambda walks the word array itself, so the text is split once per row
-    kept = F.filter(words(F.col("text")), lambda x, i: (i < 128) & ((i + 1 + d) % 5 != 0))
-    truncated = F.array_join(kept, " ")
+    thinned = F.array_join(F.filter(words(F.col("text")), lambda x, i: (i + 1 + d) % 5 != 0), " ")
     return docs.select(
         d.alias("id"),
         F.concat(F.lit("m"), (d % 2).cast("string")).alias("model"),
@@ -49,7 +36,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 7 == 0, F.lit("no match")).otherwise(F.col("text")).alias("reference"),
         F.when(d % 14 == 0, F.lit(" no  match "))
         .when(d % 4 == 0, F.concat(F.lit("  "), F.col("text")))
-        .otherwise(truncated).alias("prediction"),
+        .otherwise(thinned).alias("prediction"),
         F.col("lang"),
     )
 
@@ -58,7 +45,7 @@ SQL_PAIRS = r"""
 SELECT doc_id AS id, concat('m', CAST(doc_id % 2 AS VARCHAR)) AS model, doc_id % 7 = 0 AS is_refusal,
   CASE WHEN doc_id % 7 = 0 THEN 'no match' ELSE text END AS reference,
   CASE WHEN doc_id % 14 = 0 THEN ' no  match ' WHEN doc_id % 4 = 0 THEN concat('  ', text)
-    ELSE array_to_string(list_transform(list_filter(range(1, least(128, len(w)) + 1),
+    ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1),
          lambda p: (p + doc_id) % 5 <> 0), lambda p: w[p]), ' ') END AS prediction, lang
 FROM (SELECT doc_id, text, lang, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)
 """

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textbench.functions import mutations as M
@@ -13,8 +15,14 @@ from textbench.operators import trajectories as TR
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import (SQL_CODE_FILES, SQL_STEPS, SQL_TASKS, code_files, step_records, table,
                                       tasks, trajectories)
+from textbench.session import checkpoint_dir
 from textbench.sources import readers as RD
 
+
+def _scratch(spark, name):
+    """A fresh folder below the shared checkpoint folder; its last part is that of ``name``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}/{name}"
+
 P = TC.sql_parse_tool_call("model_output")
 
 # DuckDB: one row per step with the harness view (call null when done).
@@ -225,43 +233,47 @@ def sft7_flatten_trajectory(spark, sf_dir):
 SELECT run, task_id, success, CAST(n_steps AS INTEGER) AS n_steps, CAST(n_calls AS INTEGER) AS n_calls FROM ({SQL_TRAJ})
 """)
 def src4_read_trajectories(spark, sf_dir):
-    """Trajectories serialised to JSON lines and parsed back with the reader's schema."""
-    t = trajectories(spark, sf_dir)
-    js = t.select("run", F.to_json(F.struct("task_id", "success", "steps")).alias("line"))
-    back = js.select("run", RD.parse_trajectories(F.col("line")).alias("t")).select("run", "t.*")
-    return back.select("run", "task_id", "success", F.size("steps").alias("n_steps"),
+    """Trajectories written as JSON lines and read back by the reader."""
+    path = _scratch(spark, "trajectories")
+    t = trajectories(spark, sf_dir).select("run", F.to_json(F.struct("task_id", "success", "steps")).alias("value"))
+    # the run is the partition folder, the lines hold what the reader knows
+    t.write.partitionBy("run").text(path)
+    back = RD.read_trajectories(spark, path)
+    return back.select(F.col("run").cast("long").alias("run"), "task_id", "success", F.size("steps").alias("n_steps"),
                        TR.n_tool_calls(F.col("steps")).alias("n_calls"))
 
 
 @register("src2_read_conversations", """
-SELECT conv_id, count(*) AS n_messages, count(*) FILTER (WHERE role = 'assistant') AS n_assistant,
-       md5(string_agg(concat(role, ': ', text), chr(1) ORDER BY turn)) AS messages_md5
+SELECT md5(string_agg(concat(role, ': ', text), chr(1) ORDER BY turn)) AS messages_md5, count(*) AS n_messages,
+       count(*) FILTER (WHERE role = 'assistant') AS n_assistant
 FROM conversations GROUP BY conv_id
 """)
 def src2_read_conversations(spark, sf_dir):
-    """Conversations as {"messages": [...]} JSON lines, parsed with the reader's schema."""
+    """Conversations written as {"messages": [...]} JSON lines and read back by the reader."""
     c = table(spark, sf_dir, "conversations")
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         "turn", F.col("role"), F.col("text").alias("content")))).alias("m"))
-    js = g.select("conv_id", F.to_json(F.struct(F.transform("m", lambda x: F.struct(
-        x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("line"))
-    back = js.select("conv_id", RD.parse_conversations(F.col("line")).alias("c"))
-    msgs = F.col("c.messages")
-    return back.select("conv_id", F.size(msgs).alias("n_messages"),
-                       F.size(F.filter(msgs, lambda m: m["role"] == "assistant")).alias("n_assistant"),
-                       F.md5(SFT.conversation_text(msgs)).alias("messages_md5"))
+    path = _scratch(spark, "conversations")
+    g.select(F.to_json(F.struct(F.transform("m", lambda x: F.struct(
+        x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("value")).write.text(path)
+    msgs = F.col("messages")
+    return RD.read_conversations(spark, path).select(
+        F.md5(SFT.conversation_text(msgs)).alias("messages_md5"), F.size(msgs).alias("n_messages"),
+        F.size(F.filter(msgs, lambda m: m["role"] == "assistant")).alias("n_assistant"))
 
 
 @register("src3_read_tasks", f"""
 SELECT id, description, 'agent-base' AS docker_image, max_steps FROM ({SQL_TASKS})
 """)
 def src3_read_tasks(spark, sf_dir):
-    """Task JSON (objects and arrays of objects, some fields absent) parsed with defaults."""
+    """Task files (an object or an array each, some fields absent) written to a
+    folder and read back by the reader, with defaults."""
     t = tasks(spark, sf_dir)
     as_obj = F.to_json(F.struct("id", "description", "max_steps"))
     as_arr = F.to_json(F.array(F.struct("id", "description", "max_steps")))
-    js = t.select(F.when(F.col("max_steps") == 5, as_arr).otherwise(as_obj).alias("value"))
-    out = js.select(F.explode(RD.parse_tasks(F.col("value"))).alias("t")).select("t.*")
+    path = _scratch(spark, "tasks")
+    t.select("id", F.when(F.col("max_steps") == 5, as_arr).otherwise(as_obj).alias("value")).write.partitionBy("id").text(path)
+    out = RD.read_tasks(spark, path, pattern="part-*")
     return out.select("id", "description", "docker_image", "max_steps")
 
 
@@ -343,7 +355,7 @@ def txt14_typo_mutation(spark, sf_dir):
         "doc_id", "m.old_text", "m.new_text", F.md5("m.original").alias("broken_md5"))
 
 
-def _sql_walk() -> str:
+def _sql_walk(cap: bool = True) -> str:
     from textbench.functions.hashing import sql_hash_bits
 
     h = sql_hash_bits(42, "'walk'", "repo", "path")
@@ -351,17 +363,30 @@ def _sql_walk() -> str:
 WITH c0 AS ({SQL_CODE_FILES}),
 c1 AS (SELECT * FROM c0 WHERE length(content) > 20 AND length(content) < 5000
        AND NOT list_has_any(string_split(path, '/'), ['node_modules','vendor','.git','target','__pycache__'])),
-c AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {h}, path) AS file_rank FROM c1 QUALIFY file_rank <= 200)
+c AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {h}, path) AS file_rank FROM c1{' QUALIFY file_rank <= 200' if cap else ''})
 """
 
 
-@register("src5_read_code_files", _sql_walk() + """
-SELECT repo, lang, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS chars FROM c GROUP BY repo, lang
+_SRC5_PATH = "CASE doc_id % 5 WHEN 0 THEN '__init__' WHEN 1 THEN '_internal/code' WHEN 2 THEN '.hidden/m' ELSE 'src/code/f' END"
+
+
+@register("src5_read_code_files", _sql_walk().replace("WITH c0 AS (", "WITH c00 AS (").replace("c1 AS (SELECT * FROM c0 ", f"""c0 AS (SELECT doc_id, repo, lang, content,
+  concat({_SRC5_PATH}, doc_id, '.', lang) AS path FROM c00),
+c1 AS (SELECT * FROM c0 """) + """
+SELECT repo, lang, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS chars,
+       count(*) FILTER (WHERE starts_with(path, '_') OR starts_with(path, '.')) AS hidden FROM c GROUP BY repo, lang
 """)
 def src5_read_code_files(spark, sf_dir):
-    """Walk rules (language by extension, vendor dirs, size, 200 per repo) on the code-file view."""
-    f = SFT.walk_filter(code_files(spark, sf_dir).drop("lang"), seed=42)
-    return f.groupBy("repo", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("chars"))
+    """Repositories written as files (hidden names among them, and folders named
+    like the root), listed and read by the reader, then the walk rules."""
+    root = _scratch(spark, "code/mirror/code")
+    place = F.expr(_SRC5_PATH)
+    files = code_files(spark, sf_dir).select("repo", F.concat(place, F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("path"), "content")
+    RD.write_code_files(files, root)
+    f = SFT.walk_filter(RD.read_code_files(spark, root, keep=SFT.worth_reading()), seed=42)
+    return f.groupBy("repo", "lang").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("chars"),
+        F.count(F.when(F.col("path").startswith("_") | F.col("path").startswith("."), 1)).alias("hidden"))
 
 
 def _conv_len_sql(kind: str) -> str:
@@ -382,10 +407,10 @@ def _conv_len_sql(kind: str) -> str:
             f"length('Now I can see the exact text.') + 2 + {edit('old', 'new')} + {res(chr(39) + 'edited ' + chr(39) + ' || path')} + 7)")
 
 
-def _sql_candidates() -> str:
+def _sql_candidates(cap: bool = True) -> str:
     rec = sql_hash_uniform(42, "'recovery'", "repo", "path")
     rd = sql_hash_uniform(42, "'read'", "repo", "path")
-    return _sql_walk() + f"""
+    return _sql_walk(cap) + f"""
 , r AS ({_sql_rename().replace('FROM c))', 'FROM c WHERE lang IN (' + chr(39) + 'py' + chr(39) + ', ' + chr(39) + 'js' + chr(39) + ', ' + chr(39) + 'rs' + chr(39) + ')))')}),
 l AS ({_sql_literal()}),
 ren AS (SELECT repo, path, file_rank, content, ren_old AS old, concat(ren_old, '_renamed') AS new,
@@ -395,13 +420,14 @@ lit AS (SELECT repo, path, file_rank, content, lit_old AS old, lit_new AS new,
                concat('Change the string ', lit_old, ' to ', lit_new, ' in ', path) AS descr,
                {rd} < 0.5 AS read_first FROM l WHERE len(lits) > 0),
 cand AS (
-  SELECT repo, file_rank, 0 AS sub, 'rename' AS kind, 7 AS n_msgs, {_conv_len_sql('read_edit')} AS chars FROM ren
+  SELECT repo, file_rank, 0 AS sub, 'rename' AS kind, 7 AS n_msgs, {_conv_len_sql('read_edit')} AS chars, NULL AS valid FROM ren
   UNION ALL
-  SELECT repo, file_rank, 1, 'rename_recovery', 9, {_conv_len_sql('recovery')} FROM ren WHERE recover
+  SELECT repo, file_rank, 1, 'rename_recovery', 9, {_conv_len_sql('recovery')},
+         upper(old) <> old AND NOT contains(content, upper(old)) FROM ren WHERE recover
   UNION ALL
   SELECT repo, file_rank, 2, CASE WHEN read_first THEN 'string_read_edit' ELSE 'string_direct' END,
          CASE WHEN read_first THEN 7 ELSE 5 END,
-         CASE WHEN read_first THEN {_conv_len_sql('read_edit')} ELSE {_conv_len_sql('direct')} END FROM lit),
+         CASE WHEN read_first THEN {_conv_len_sql('read_edit')} ELSE {_conv_len_sql('direct')} END, NULL FROM lit),
 capped AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY repo ORDER BY file_rank, sub) <= 30)
 """
 
@@ -421,35 +447,37 @@ def sft4_sft_from_repos(spark, sf_dir):
         F.sum(chars).cast("long").alias("chars"))
 
 
-@register("sft1_read_edit_conversation", _sql_candidates() + """
+@register("sft1_read_edit_conversation", _sql_candidates(cap=False) + """
 SELECT repo, count(*) AS examples, CAST(sum(chars) AS BIGINT) AS chars FROM cand WHERE kind IN ('rename', 'string_read_edit') GROUP BY repo
 """)
 def sft1_read_edit_conversation(spark, sf_dir):
     """Read-then-edit conversations for every rename and read-first string mutation (no cap)."""
-    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=1 << 30,
+    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=None, max_files=None,
                             with_run_scenarios=False, shuffle=False)
     chars = F.aggregate(F.col("messages"), F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
     return ex.filter(F.col("kind").isin("rename", "string_read_edit")).groupBy("repo").agg(
         F.count(F.lit(1)).alias("examples"), F.sum(chars).cast("long").alias("chars"))
 
 
-@register("sft2_direct_edit_conversation", _sql_candidates() + """
+@register("sft2_direct_edit_conversation", _sql_candidates(cap=False) + """
 SELECT repo, count(*) AS examples, CAST(sum(chars) AS BIGINT) AS chars FROM cand WHERE kind = 'string_direct' GROUP BY repo
 """)
 def sft2_direct_edit_conversation(spark, sf_dir):
-    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=1 << 30,
+    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=None, max_files=None,
                             with_run_scenarios=False, shuffle=False)
     chars = F.aggregate(F.col("messages"), F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
     return ex.filter(F.col("kind") == "string_direct").groupBy("repo").agg(
         F.count(F.lit(1)).alias("examples"), F.sum(chars).cast("long").alias("chars"))
 
 
-@register("sft3_failure_recovery_conversation", _sql_candidates() + """
-SELECT repo, count(*) AS examples, CAST(sum(chars) AS BIGINT) AS chars FROM cand WHERE kind = 'rename_recovery' GROUP BY repo
+@register("sft3_failure_recovery_conversation", _sql_candidates(cap=False) + """
+SELECT repo, count(*) AS examples, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (WHERE valid) AS valid
+FROM cand WHERE kind = 'rename_recovery' GROUP BY repo
 """)
 def sft3_failure_recovery_conversation(spark, sf_dir):
-    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=1 << 30,
+    ex = SFT.sft_from_repos(spark, code_files(spark, sf_dir).drop("lang"), seed=42, max_per_repo=None, max_files=None,
                             with_run_scenarios=False, shuffle=False)
     chars = F.aggregate(F.col("messages"), F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
     return ex.filter(F.col("kind") == "rename_recovery").groupBy("repo").agg(
-        F.count(F.lit(1)).alias("examples"), F.sum(chars).cast("long").alias("chars"))
+        F.count(F.lit(1)).alias("examples"), F.sum(chars).cast("long").alias("chars"),
+        F.count(F.when(F.col("valid_recovery"), 1)).alias("valid"))

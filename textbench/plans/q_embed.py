@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textbench.operators import embeddings as EM
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import corpus, table, vectors
+from textbench.session import checkpoint_dir
 from textbench.sources.readers import read_embeddings
 
 K, MODEL_DIM = 4, 16
@@ -47,29 +50,33 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 @register("e1_embed_texts", SQL_BOW)
 def e1_embed_texts(spark, sf_dir):
-    """Hashed bag-of-words vectors (64 dims) for every document, via mapInPandas."""
-    v = EM.embed_texts(corpus(spark, sf_dir), encoder=EM.HashedBagOfWords(64))
+    """Hashed bag-of-words vectors (64 dims) for every document."""
+    v = EM.embed_texts(corpus(spark, sf_dir), dim=64)
     return v.select("doc_id", *_vec_stats())
 
 
-@register("e2_precompute_embeddings", f"""
-WITH have AS (SELECT vec_id AS doc_id FROM embeddings),
-todo AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM have))
-SELECT 'stored' AS origin, count(*) AS vectors FROM have WHERE doc_id IN (SELECT doc_id FROM documents)
-UNION ALL SELECT 'computed', count(*) FROM todo
+@register("e2_precompute_embeddings", """
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE doc_id % 3 = 0) AS third FROM documents)
+SELECT 'first' AS stage, third AS vectors, third AS ids, CAST(32 AS INTEGER) AS dim FROM n
+UNION ALL SELECT 'resume', a, a, 32 FROM n UNION ALL SELECT 'again', a, a, 32 FROM n
+UNION ALL SELECT 'part', a, a, 32 FROM n UNION ALL SELECT 'other_dim', a, a, 16 FROM n
 """)
 def e2_precompute_embeddings(spark, sf_dir):
-    """Resume plan against the stored vectors: keep what exists, encode only
-    the pending documents (JN5 + E1), and report where vectors come from."""
+    """A precompute's life in the shared folder: a third of the corpus, resumed
+    on all of it, run again, run on a part, and run with another dimension."""
     docs = corpus(spark, sf_dir)
-    stored = vectors(spark, sf_dir)
-    fresh = EM.embed_texts(EM.pending_embeddings(docs, stored), encoder=EM.HashedBagOfWords(64))
-    have = stored.join(docs.select("doc_id"), "doc_id", "left_semi")
-    both = have.select("doc_id", F.lit("stored").alias("origin")).unionByName(
-        fresh.select("doc_id", F.lit("computed").alias("origin")))
-    tot = both.groupBy().agg(*[F.count(F.when(F.col("origin") == o, 1)).alias(o) for o in ("stored", "computed")])
-    return tot.select(F.inline(F.array(*[F.struct(F.lit(o).alias("origin"), F.col(o).alias("vectors"))
-                                         for o in ("stored", "computed")])))
+    part = docs.where("doc_id % 3 = 0")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/precompute/{uuid.uuid4().hex}"
+    out = None
+    for stage, rows, dim in (("first", part, 32), ("resume", docs, 32), ("again", docs, 32), ("part", part, 32),
+                             ("other_dim", docs, 16)):
+        v = EM.precompute_embeddings(spark, rows, path, dim=dim)
+        # counted here: a later stage adds to the same folder
+        n = v.agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("doc_id").alias("ids"),
+                  F.max(F.size("embedding")).alias("dim")).first()
+        row = spark.createDataFrame([(stage, n["vectors"], n["ids"], n["dim"])], "stage string, vectors long, ids long, dim int")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 _DOT = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * CAST({r!r} AS DOUBLE)" for i, r in enumerate(_ROWSUM))
@@ -85,12 +92,36 @@ def e3_adapter_forward_linear(spark, sf_dir):
                     F.round(F.aggregate("prefix", F.lit(0.0).cast("double"), lambda a, x: a + x), 6).alias("prefix_sum"))
 
 
-@register("e3_adapter_forward_mlp")
+def _sql_mlp() -> str:
+    """The two-layer adapter in SQL: weights as rows, a layer as join and sum,
+    GELU with the same approximation of erf."""
+    layers = _mlp_factory(64)
+    ctes = ["x0 AS (SELECT vec_id AS doc_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"]
+    for n, (w, b) in enumerate(layers):
+        rows = ", ".join(f"[{', '.join(repr(float(v)) for v in col)}]" for col in w.T)
+        bias = ", ".join(repr(float(v)) for v in b)
+        ctes.append(f"w{n} AS (SELECT j, unnest(range({w.shape[0]})) AS i, CAST(unnest(r) AS DOUBLE) AS w FROM "
+                    f"(SELECT unnest(range({w.shape[1]})) AS j, unnest([{rows}]) AS r))")
+        ctes.append(f"b{n} AS (SELECT unnest(range({w.shape[1]})) AS j, CAST(unnest([{bias}]) AS DOUBLE) AS b)")
+        ctes.append(f"h{n} AS (SELECT doc_id, j AS i, sum(x * w) + any_value(b) AS z FROM x{n} JOIN w{n} USING (i) "
+                    f"JOIN b{n} USING (j) GROUP BY doc_id, j)")
+        if n < len(layers) - 1:
+            t = f"(1 / (1 + {EM.ERF_P} * abs(z) / sqrt(2)))"
+            a0, a1, a2, a3, a4 = EM.ERF_A
+            poly = f"{t} * ({a0} + {t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * {a4}))))"
+            ctes.append(f"x{n + 1} AS (SELECT doc_id, i, z * 0.5 * (1 + sign(z) * (1 - {poly} * exp(-z * z / 2))) AS x FROM h{n})")
+    last = len(layers) - 1
+    return (f"WITH {', '.join(ctes)} SELECT doc_id, CAST(count(*) AS INTEGER) AS prefix_size, "
+            f"round(sum(z), 5) AS prefix_sum, round(max(z), 5) AS prefix_max FROM h{last} GROUP BY doc_id")
+
+
+@register("e3_adapter_forward_mlp", _sql_mlp())
 def e3_adapter_forward_mlp(spark, sf_dir):
-    """Two-layer GELU adapter (no SQL form: DuckDB lacks erf)."""
-    p = EM.adapter_forward(vectors(spark, sf_dir), _mlp_factory)
+    """Two-layer GELU adapter to a K=4 x 16 prefix."""
+    p = EM.adapter_forward(vectors(spark, sf_dir), _mlp_factory, out_type="double")
     return p.select("doc_id", F.size("prefix").alias("prefix_size"),
-                    F.aggregate("prefix", F.lit(0.0).cast("double"), lambda a, x: a + x).alias("prefix_sum"))
+                    F.round(F.aggregate("prefix", F.lit(0.0).cast("double"), lambda a, x: a + x), 5).alias("prefix_sum"),
+                    F.round(F.array_max("prefix"), 5).alias("prefix_max"))
 
 
 @register("e4_no_adapter_check", """
@@ -113,15 +144,22 @@ def jn5_pending_embeddings(spark, sf_dir):
 
 
 @register("jn6_embedding_coverage", """
-WITH c AS (SELECT doc_id FROM documents), v AS (SELECT vec_id AS doc_id, len(embedding) <> 64 AS bad FROM embeddings),
-j AS (SELECT c.doc_id AS cd, v.doc_id AS vd, bad FROM c FULL OUTER JOIN v ON c.doc_id = v.doc_id),
-a AS (SELECT count(cd) AS rows, count(vd) AS vectors, count(*) FILTER (WHERE cd IS NOT NULL AND vd IS NOT NULL) AS covered,
-             count(*) FILTER (WHERE vd IS NULL) AS missing, count(*) FILTER (WHERE cd IS NULL) AS orphans,
-             count(*) FILTER (WHERE bad) AS bad_dims FROM j)
-SELECT *, CASE WHEN bad_dims > 0 OR orphans > 0 THEN 'rebuild' WHEN missing > 0 THEN 'resume' ELSE 'complete' END AS verdict FROM a
+WITH c AS (SELECT doc_id FROM documents),
+v0 AS (SELECT vec_id AS doc_id, CASE WHEN vec_id % 77 = 5 THEN NULL ELSE embedding END AS e FROM embeddings),
+v1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM v0 WHERE doc_id % 50 = 0),
+v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE e IS NULL OR len(e) <> 64) AS bad FROM v1 GROUP BY doc_id),
+j AS (SELECT c.doc_id AS cd, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM c FULL OUTER JOIN v ON c.doc_id = v.doc_id),
+a AS (SELECT count(cd) AS rows, CAST(sum(n) AS BIGINT) AS vectors, count(*) FILTER (WHERE cd IS NOT NULL AND n > bad) AS covered,
+             count(*) FILTER (WHERE cd IS NOT NULL AND n <= bad) AS missing, count(*) FILTER (WHERE cd IS NULL) AS orphans,
+             CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(bad) AS BIGINT) AS bad_dims FROM j)
+SELECT *, CASE WHEN bad_dims > 0 THEN 'rebuild' WHEN missing > 0 THEN 'resume' WHEN duplicates > 0 THEN 'duplicates'
+          ELSE 'complete' END AS verdict FROM a
 """)
 def jn6_embedding_coverage(spark, sf_dir):
-    return EM.embedding_coverage(corpus(spark, sf_dir), vectors(spark, sf_dir), 64)
+    """Coverage by stored vectors of which some are null and some repeated."""
+    v = vectors(spark, sf_dir)
+    v = v.withColumn("embedding", F.when(F.col("doc_id") % 77 != 5, F.col("embedding")))
+    return EM.embedding_coverage(corpus(spark, sf_dir), v.unionAll(v.where("doc_id % 50 = 0")), 64)
 
 
 @register("src7_read_embeddings", """
@@ -151,10 +189,6 @@ SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, round(sum(list_sum(em
 """)
 def snk5_write_embeddings(spark, sf_dir):
     """Vectors written as Parquet partitioned by id bucket, then read back."""
-    import uuid
-
-    from textbench.session import checkpoint_dir
-
     path = f"{checkpoint_dir(spark).rstrip('/')}/sinks/vectors-{uuid.uuid4().hex}"
     EM.write_embeddings(vectors(spark, sf_dir), path, "overwrite", buckets=16)
     back = spark.read.parquet(path)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbench.functions.hashing import sql_hash_uniform
+from textbench.functions.hashing import sql_hash_bits, sql_hash_uniform
 from textbench.functions.text import token_length
 from textbench.operators import bleu as B
-from textbench.operators.bootstrap import bootstrap_ci, reconstruction_report
+from textbench.operators.bootstrap import (Metric, bootstrap_ci, reconstruction_report, sql_poisson_weight,
+                                           sql_replicate_uniform)
 from textbench.operators.buckets import length_buckets
 from textbench.operators.metrics import exact_match, length_bias, selection_report, token_f1, token_f1_col
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import SQL_PAIRS, pairs
+from textbench.session import written
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -36,11 +38,6 @@ def pair_stats(spark: SparkSession, sf_dir: str, with_bleu: bool = True) -> Data
     return B.bleu_row_stats(p, keep=["model", "is_refusal", "length", "f1"])
 
 
-def length_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheap (id, length) projection for building the bucket histogram."""
-    return pairs(spark, sf_dir).select("id", token_length("reference").alias("length"))
-
-
 SQL_PAIR_SRC = f"""
 SELECT id, model, is_refusal, prediction, reference,
   CAST(len({S.regex_tokens('reference')}) AS BIGINT) AS length,
@@ -91,8 +88,8 @@ def a4_length_buckets_f1(spark, sf_dir):
 @register("a4_length_buckets", _sql_buckets(4, True))
 def a4_length_buckets(spark, sf_dir):
     """BLEU and token F1 by reference-length bucket (4 buckets, the reference default)."""
-    st = pair_stats(spark, sf_dir, with_bleu=True)
-    out = length_buckets(st, 4, with_bleu=True, keys=length_keys(spark, sf_dir))
+    st = written(pair_stats(spark, sf_dir, with_bleu=True), "pair-stats")  # narrow numbers: the texts are read once
+    out = length_buckets(st, 4, with_bleu=True)
     return out.select("bucket", "min_tokens", "max_tokens", R6("avg_ref_tokens"), "samples", R6("token_f1"), R6("bleu"))
 
 
@@ -177,21 +174,81 @@ def txt3_token_length(spark, sf_dir):
 
 # -- A5 / A6 ----------------------------------------------------------------
 
-def _sql_replicates(n_boot: int, seed: int = 42) -> str:
-    from textbench.operators.bootstrap import sql_poisson_weight, sql_replicate_uniform
-
-    u = sql_replicate_uniform(seed, "id", "rep")
+def _sql_scores(weighted: str) -> str:
+    """Scores per replicate from ``x`` rows (rep, w, rows, f1 and length sums, statistics)."""
     sums = ", ".join(f"CAST(sum(w * {c}) AS DOUBLE) AS S_{c}" for c in B.STAT_COLS)
-    return f"""
-WITH s AS ({SQL_PAIR_STATS}),
-x AS (SELECT s.*, rep, CASE WHEN rep < 0 THEN 1 ELSE {sql_poisson_weight(u)} END AS w
-      FROM s, range(-1, {n_boot}) r(rep)),
-g AS (SELECT rep, sum(w * f1) / sum(w) AS score_f1, sum(w * length) / sum(w) AS score_len, sum(w) AS score_n, {sums}
+    return f"""{weighted},
+g AS (SELECT rep, sum(w * f1) / sum(w * rows) AS score_f1, sum(w * length) / sum(w * rows) AS score_len, sum(w * rows) AS score_n, {sums}
       FROM x WHERE w > 0 GROUP BY rep),
 sc AS (SELECT rep, score_f1, score_len, score_n, {B.sql_bleu_from_sums()} AS score_bleu FROM g)
 """
 
 
+def _sql_replicates(n_boot: int, seed: int = 42) -> str:
+    u = sql_replicate_uniform(seed, "id", "rep")
+    return _sql_scores(f"""
+WITH s AS ({SQL_PAIR_STATS}),
+x AS (SELECT s.*, 1 AS rows, rep, CASE WHEN rep < 0 THEN 1 ELSE {sql_poisson_weight(u)} END AS w
+      FROM s, range(-1, {n_boot}) r(rep))""")
+
+
+def _sql_block_replicates(n_boot: int, blocks: int, seed: int = 42) -> str:
+    u = sql_replicate_uniform(seed, "blk", "rep")
+    sums = ", ".join(f"sum({c}) AS {c}" for c in B.STAT_COLS)
+    return _sql_scores(f"""
+WITH s0 AS ({SQL_PAIR_STATS}),
+s AS (SELECT {sql_hash_bits(seed, 'id', "'block'")} % {blocks} AS blk, count(*) AS rows, sum(f1) AS f1, sum(length) AS length, {sums}
+      FROM s0 GROUP BY 1),
+x AS (SELECT s.*, rep, CASE WHEN rep < 0 THEN 1 ELSE {sql_poisson_weight(u)} END AS w FROM s, range(-1, {n_boot}) r(rep))""")
+
+
+def _sql_multinomial_replicates(n_boot: int, seed: int = 42) -> str:
+    return _sql_scores(f"""
+WITH s AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM ({SQL_PAIR_STATS})),
+d AS (SELECT rep, CAST(floor({sql_hash_uniform(seed, 'rep', 'idx')} * n) AS BIGINT) AS idx FROM s, range(0, {n_boot}) r(rep)),
+x AS (SELECT s.*, 1 AS rows, rep, w FROM (SELECT rep, idx, count(*) AS w FROM d GROUP BY ALL
+                                          UNION ALL SELECT -1, idx, 1 FROM s) c JOIN s USING (idx))""")
+
+
+_SQL_CI = """
+SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
+  round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
+  round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
+  round(max(CASE WHEN rep < 0 THEN score_f1 END), 6) AS f1,
+  round(quantile_cont(score_f1, 0.025) FILTER (WHERE rep >= 0), 6) AS f1_ci_lower,
+  round(quantile_cont(score_f1, 0.975) FILTER (WHERE rep >= 0), 6) AS f1_ci_upper
+FROM sc
+"""
+
+
+@register("a5_bootstrap_ci_blocks", _sql_block_replicates(1000, 64) + _SQL_CI)
+def a5_bootstrap_ci_blocks(spark, sf_dir):
+    """95% intervals from 1000 replicates over 64 blocks of additive statistics (the form for a large corpus)."""
+    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1"], n_boot=1000, seed=42, method="blocks", blocks=64)
+    return out.select(*[R6(c) for c in out.columns])
+
+
+@register("a5_bootstrap_ci_multinomial", _sql_multinomial_replicates(50) + _SQL_CI)
+def a5_bootstrap_ci_multinomial(spark, sf_dir):
+    """95% intervals from 50 resamples of exactly n rows with replacement."""
+    st = written(pair_stats(spark, sf_dir), "pair-stats")
+    out = bootstrap_ci(st, ["bleu", "f1"], n_boot=50, seed=42, method="multinomial")
+    return out.select(*[R6(c) for c in out.columns])
+
+
+@register("a5_bootstrap_ci_metric", _sql_block_replicates(200, 64) + """
+SELECT round(max(CASE WHEN rep < 0 THEN score_len END), 6) AS brevity,
+  round(quantile_cont(score_len, 0.025) FILTER (WHERE rep >= 0), 6) AS brevity_ci_lower,
+  round(quantile_cont(score_len, 0.975) FILTER (WHERE rep >= 0), 6) AS brevity_ci_upper
+FROM (SELECT rep, S_sys_len / S_ref_len AS score_len FROM g)
+""")
+def a5_bootstrap_ci_metric(spark, sf_dir):
+    """95% interval of a metric that the caller defines: the ratio of system to reference length."""
+    brevity = Metric("brevity", ("sys_len", "ref_len"), lambda s: s["sys_len"] / s["ref_len"])
+    out = bootstrap_ci(pair_stats(spark, sf_dir), brevity, n_boot=200, seed=42, method="blocks", blocks=64)
+    return out.select(*[R6(c) for c in out.columns])
+
+
 @register("a5_bootstrap_ci", _sql_replicates(1000) + """
 SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
   round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
@@ -208,7 +265,11 @@ def a5_bootstrap_ci(spark, sf_dir):
     return out.select(*[R6(c) for c in out.columns])
 
 
-@register("a6_reconstruction_report", _sql_replicates(1000) + """
+def _rendered(scaled) -> str:
+    return " || ':' || ".join(f"CAST(CAST({x} AS BIGINT) AS VARCHAR)" for x in scaled)
+
+
+@register("a6_reconstruction_report", _sql_replicates(1000) + f"""
 SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
   round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
   round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
@@ -217,14 +278,22 @@ SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
   round(quantile_cont(score_f1, 0.975) FILTER (WHERE rep >= 0), 6) AS token_f1_ci_upper,
   round(max(CASE WHEN rep < 0 THEN score_len END), 6) AS avg_ref_tokens,
   round(max(CASE WHEN rep < 0 THEN score_len END) / 4.0, 6) AS token_compression_ratio,
-  CAST(max(CASE WHEN rep < 0 THEN score_n END) AS BIGINT) AS samples
+  CAST(max(CASE WHEN rep < 0 THEN score_n END) AS BIGINT) AS samples,
+  (SELECT string_agg({_rendered(["min_tokens", "max_tokens", "samples", "round(bleu * 10000)", "round(token_f1 * 10000)"])}, ','
+                     ORDER BY bucket) FROM ({_sql_buckets(4, True)})) AS length_buckets
 FROM sc
 """)
 def a6_reconstruction_report(spark, sf_dir):
-    """The evaluation record (K = 4 prefix tokens) without the bucket array."""
-    st = pair_stats(spark, sf_dir, with_bleu=True)
-    out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42)
-    return out.select(*[R6(c) if c != "samples" else c for c in out.columns])
+    """The evaluation record (K = 4 prefix tokens) with its 4 length buckets
+    (rendered as min:max:samples:bleu:f1, the last two times 10000)."""
+    st = written(pair_stats(spark, sf_dir, with_bleu=True), "pair-stats")
+    out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42, buckets=4)
+    scaled = lambda b, c: F.round(F.round(b[c], 6) * 10000).cast("long")
+    shown = F.array_join(F.transform("length_buckets", lambda b: F.concat_ws(
+        ":", *[b[c].cast("string") for c in ("min_tokens", "max_tokens", "samples")],
+        *[scaled(b, c).cast("string") for c in ("bleu", "token_f1")])), ",")
+    return out.select(*[R6(c) if c != "samples" else c for c in out.columns if c != "length_buckets"],
+                      shown.alias("length_buckets"))
 
 
 # -- JN3, P1-P3 -------------------------------------------------------------

@@ -16,12 +16,11 @@ from textbench.operators.metrics import token_f1_col
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import SQL_MANIFEST, SQL_PAIRS, corpus, manifest, pairs, table
-from textbench.session import checkpoint_dir
+from textbench.session import checkpoint_dir, written
 from textbench.sinks import writers as W
 from textbench.sources import readers as RD
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
-LANGS = ["de", "en", "es", "fr"]
 
 
 def exp_stats(spark, sf_dir, k_sweep: bool = False):
@@ -55,10 +54,8 @@ def sql_exp_stats(k_sweep: bool = False) -> str:
 
 
 def experiment_buckets(spark, sf_dir):
-    st = exp_stats(spark, sf_dir)
-    keys = pairs(spark, sf_dir).select("id", F.concat_ws("-", "lang", "model").alias("experiment"),
-                                       token_length("reference").alias("length"))
-    return length_buckets(st, 4, group_cols=["experiment"], keys=keys)
+    st = written(exp_stats(spark, sf_dir), "experiment-stats")  # narrow numbers: the texts are read once
+    return length_buckets(st, 4, group_cols=["experiment"])
 
 
 def reports(spark, sf_dir):
@@ -104,13 +101,11 @@ SELECT CASE WHEN avg_tokens < 50 THEN 'short_text' ELSE 'long_text' END AS label
 FROM t WHERE bleu IS NOT NULL GROUP BY ALL
 """)
 def a12_short_long_export(spark, sf_dir):
-    t = RP.bucket_table(reports(spark, sf_dir))
-    e = RP.short_long_export(t)
-    withb = t.withColumn("label", F.when(F.col("avg_tokens") < 50, "short_text").otherwise("long_text")).groupBy(
-        "label", "experiment").agg(F.array_join(F.array_sort(F.collect_list("bucket")), ",").alias("buckets"))
-    return e.join(withb, ["label", "experiment"]).select(
+    e = RP.short_long_export(RP.bucket_table(reports(spark, sf_dir)))
+    return e.select(
         "label", "experiment", F.size("series").alias("points"),
-        F.round(F.aggregate("series", F.lit(0.0), lambda a, p: a + p["bleu"]), 6).alias("bleu_sum"), "buckets")
+        F.round(F.aggregate("series", F.lit(0.0), lambda a, p: a + p["bleu"]), 6).alias("bleu_sum"),
+        F.array_join(F.transform("series", lambda p: p["bucket"].cast("string")), ",").alias("buckets"))
 
 
 @register("a13_bleu_trend", SQL_BUCKET_TABLE + """
@@ -158,15 +153,14 @@ def a14_best_k(spark, sf_dir):
 WITH s AS ({sql_exp_stats()}),
 g AS (SELECT model, lang, {B.sql_bleu_sums()} FROM s GROUP BY model, lang),
 b AS (SELECT model, lang, round({B.sql_bleu_from_sums()}, 6) AS bleu FROM g)
-SELECT model AS train, max(CASE WHEN lang = 'de' THEN bleu END) AS de, max(CASE WHEN lang = 'en' THEN bleu END) AS en,
-       max(CASE WHEN lang = 'es' THEN bleu END) AS es, max(CASE WHEN lang = 'fr' THEN bleu END) AS fr FROM b GROUP BY model
+SELECT model AS train, lang AS eval, bleu FROM b
 """)
 def a18_cross_domain_matrix(spark, sf_dir):
-    """BLEU of each "train" model (m0, m1) on each "eval" language."""
+    """BLEU of each "train" model (m0, m1) on each "eval" language, one row per cell."""
     st = exp_stats(spark, sf_dir)
     g = st.groupBy("model", "lang").agg(*B.bleu_sums()).select(
-        F.col("model").alias("train"), "lang", F.round(B.bleu_from_sums(), 6).alias("bleu"))
-    return RP.cross_domain_matrix(g, "train", "lang", "bleu", LANGS)
+        F.col("model").alias("train"), F.col("lang").alias("eval"), F.round(B.bleu_from_sums(), 6).alias("bleu"))
+    return RP.cross_domain_cells(g, "train", "eval", "bleu")
 
 
 # -- packing ----------------------------------------------------------------
@@ -203,49 +197,38 @@ def pk2_overlapping_chunks(spark, sf_dir):
 MS = [1, 2, 4, 8, 16, 32]
 
 
-def _packing_summary(spark, sf_dir):
-    t = _tokens(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(m) for m in MS])).alias("m"))
-    t = t.withColumn("chunks", PK.uniform_chunks(F.col("tok"), F.col("m")))
-    ratio = PK.packing_ratio(t, "chunks", ["lang", "m"])
-    # capacity model: each embedding holds 32 tokens; quality = covered fraction
-    q = t.groupBy("lang", "m").agg(F.avg(F.least(F.lit(1.0), F.col("m") * 32.0 / F.greatest(F.size("tok"), F.lit(1)))).alias("quality"))
-    return ratio.join(q, ["lang", "m"])
-
-
-SQL_PACKING = f"""
+@register("pk3_packing_ratio", f"""
 WITH t AS (SELECT doc_id, lang, len({S.words('text')}) AS n FROM documents),
-tm AS (SELECT * FROM t, (SELECT unnest({MS}) AS m)),
-s AS (SELECT lang, m, sum(n) / sum(m) AS tokens_per_embedding, avg(m) AS embeddings_per_doc, count(*) AS docs,
-             avg(least(1.0, m * 32.0 / greatest(n, 1))) AS quality FROM tm GROUP BY lang, m)
-"""
-
-
-@register("pk3_packing_ratio", SQL_PACKING + """
-SELECT lang, m, round(tokens_per_embedding, 6) AS tokens_per_embedding, round(embeddings_per_doc, 6) AS embeddings_per_doc, docs FROM s
+tm AS (SELECT * FROM t, (SELECT unnest({MS}) AS m))
+SELECT lang, m, round(sum(n) / sum(m), 6) AS tokens_per_embedding, round(avg(m), 6) AS embeddings_per_doc, count(*) AS docs
+FROM tm GROUP BY lang, m
 """)
 def pk3_packing_ratio(spark, sf_dir):
-    s = _packing_summary(spark, sf_dir)
+    """Tokens per embedding for m uniform chunks per document, from token counts."""
+    t = _tokens(spark, sf_dir).select("lang", F.size("tok").alias("n"), F.explode(F.array(*[F.lit(m) for m in MS])).alias("m"))
+    s = PK.packing_ratio_of_counts(t, "n", "m", ["lang", "m"])
     return s.select("lang", "m", R6("tokens_per_embedding"), R6("embeddings_per_doc"), "docs")
 
 
-@register("pk4_pareto_frontier", SQL_PACKING + """
-SELECT lang, m, round(quality, 6) AS quality FROM (
-  SELECT *, max(quality) OVER (PARTITION BY lang ORDER BY m, quality DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s)
-WHERE best IS NULL OR quality > best
+@register("pk4_pareto_frontier", SQL_SWEEP + """
+SELECT adapter, k, round(bleu, 6) AS bleu FROM (
+  SELECT *, max(bleu) OVER (PARTITION BY adapter ORDER BY k, bleu DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM sw)
+WHERE best IS NULL OR bleu > best
 """)
 def pk4_pareto_frontier(spark, sf_dir):
-    """Budgets (embeddings per document) not dominated on quality, per language."""
-    f = PK.pareto_frontier(_packing_summary(spark, sf_dir), "m", "quality", ["lang"])
-    return f.select("lang", "m", R6("quality"))
+    """Budgets K not dominated on the BLEU that the K sweep measured, per adapter."""
+    f = PK.pareto_frontier(_sweep(spark, sf_dir), "k", "bleu", ["adapter"])
+    return f.select("adapter", "k", R6("bleu"))
 
 
-@register("pk5_min_budget", SQL_PACKING + """
-SELECT lang, min(m) AS min_budget, round(max(base), 6) AS baseline_quality FROM (
-  SELECT *, max(quality) OVER (PARTITION BY lang) AS base FROM s) WHERE quality >= 0.95 * base GROUP BY lang
+@register("pk5_min_budget", SQL_SWEEP + """
+SELECT adapter, min(k) AS min_budget, round(max(base), 6) AS baseline_quality FROM (
+  SELECT *, max(bleu) OVER (PARTITION BY adapter) AS base FROM sw) WHERE bleu >= 0.95 * base GROUP BY adapter
 """)
 def pk5_min_budget(spark, sf_dir):
-    b = PK.min_budget(_packing_summary(spark, sf_dir), "m", "quality", 0.95, ["lang"])
-    return b.select("lang", "min_budget", R6("baseline_quality"))
+    """The smallest K that reaches 95 % of the best measured BLEU, per adapter."""
+    b = PK.min_budget(_sweep(spark, sf_dir), "k", "bleu", 0.95, ["adapter"])
+    return b.select("adapter", "min_budget", R6("baseline_quality"))
 
 
 # -- sources ----------------------------------------------------------------
@@ -292,7 +275,7 @@ def snk2_write_report(spark, sf_dir):
     """Eval reports (with bucket arrays) written as JSON and read back with the report schema."""
     path = _scratch(spark, "reports")
     W.write_report(reports(spark, sf_dir), path)
-    back = spark.read.schema(RD.EVAL_REPORT_SCHEMA.add("experiment", "string")).json(path)
+    back = spark.read.schema(RD.extended(RD.EVAL_REPORT_SCHEMA, experiment="string")).json(path)
     return back.select("experiment", F.size("length_buckets").alias("buckets"),
                        F.aggregate("length_buckets", F.lit(0).cast("long"), lambda a, b: a + b["samples"]).alias("samples"))
 
@@ -307,7 +290,7 @@ def snk3_write_jsonl(spark, sf_dir):
     js = c.select("conv_id", F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages"))
     W.write_jsonl(js, path)
     W.write_jsonl(js, path)
-    back = spark.read.schema(RD.CONVERSATION_SCHEMA.add("conv_id", "long")).json(path)
+    back = spark.read.schema(RD.extended(RD.CONVERSATION_SCHEMA, conv_id="long")).json(path)
     return back.groupBy().agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("conv_id").alias("conversations"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from textbench.functions import text as T
 from textbench.functions.hashing import hash_randint, sql_hash_bits, sql_hash_uniform
 from textbench.operators import selection as SEL
-from textbench.operators.ranking import dense_index
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import corpus, table
@@ -98,6 +97,40 @@ def sel1_selection_dataset(spark, sf_dir):
                     "query_kind", "query", F.md5("target_text").alias("target_md5"))
 
 
+SQL_SELECTION_EVAL = SQL_SELECTION.replace("'42'", "'43'").replace(
+    " AS k FROM d, n)", " AS k FROM (SELECT unnest(range(2000)) AS idx) e, n)")
+
+
+@register("sel1_selection_eval", SQL_SELECTION_EVAL + """
+SELECT sample_id, CAST(doc_count AS INTEGER) AS doc_count, array_to_string(doc_indices, ',') AS doc_indices,
+       is_refusal, query_kind, query, md5(target_text) AS target_md5 FROM sel
+""")
+def sel1_selection_eval(spark, sf_dir):
+    """The evaluation split: its fixed number of samples over the whole corpus, with the seed after the training one."""
+    samples, seed = SEL.split_samples(spark, CFG, "eval", 42)
+    s = SEL.selection_dataset(corpus(spark, sf_dir), samples, CFG, seed)
+    return s.select("sample_id", "doc_count", F.array_join("doc_indices", ",").alias("doc_indices"), "is_refusal",
+                    "query_kind", "query", F.md5("target_text").alias("target_md5"))
+
+
+PROMPT = {"system": "Answer from the documents.", "user_prefix": "Documents are attached."}
+
+
+@register("txt6_selection_prompt", SQL_SELECTION + f"""
+SELECT sample_id, md5(p) AS prompt_md5, md5(concat(p, '<s>assistant', chr(10), target_text, '</s>', chr(10))) AS full_md5
+FROM (SELECT sample_id, target_text, concat('<s>system', chr(10), '{PROMPT['system']}', '</s>', chr(10), '<s>user', chr(10),
+        '{PROMPT['user_prefix']}', chr(10), query, '</s>', chr(10)) AS p FROM sel)
+""")
+def txt6_selection_prompt(spark, sf_dir):
+    """System message, user prefix and query of each selection example, without and with the answer."""
+    s = _selection(spark, sf_dir)
+    ask = [T.message(F.lit("system"), F.lit(PROMPT["system"])),
+           T.message(F.lit("user"), T.selection_user_content(F.col("query"), PROMPT["user_prefix"]))]
+    answer = T.message(F.lit("assistant"), F.col("target_text"))
+    render = lambda m: F.md5(T.render_prompt(F.array(*m), bos="<s>", eos="</s>"))
+    return s.select("sample_id", render(ask).alias("prompt_md5"), render([*ask, answer]).alias("full_md5"))
+
+
 @register("txt7_render_queries", SQL_SELECTION + """
 SELECT query_kind, count(*) AS samples, CAST(sum(length(query)) AS BIGINT) AS query_chars FROM sel GROUP BY query_kind
 """)
@@ -114,13 +147,13 @@ FROM sel WHERE NOT is_refusal
 """)
 def txt5_phrase_in_docs(spark, sf_dir):
     """For each positive sample: is the target's phrase in another document of the group (and in any)?"""
-    idx = SEL.index_corpus(corpus(spark, sf_dir))
-    s = SEL.selection_dataset(corpus(spark, sf_dir), cfg=CFG, seed=42).filter(~F.col("is_refusal"))
-    texts = SEL.lookup_docs(s, idx, ["sample_id"], "doc_indices", "docs")
+    docs = corpus(spark, sf_dir)
+    ids = SEL.index_ids(docs)
+    s = SEL.selection_plan(ids, cfg=CFG, seed=42).filter(~F.col("is_refusal"))
+    texts = SEL.lookup_docs(s, ids, docs, ["sample_id", "target_pos"], "doc_indices", "docs")
     sid = F.col("sample_id")
-    j = s.select("sample_id", "doc_count").join(texts, "sample_id")
-    tpos = hash_randint(0, F.col("doc_count") - 1, 42, sid, F.lit("target"))
-    j = j.withColumn("tpos", tpos).withColumn("ttext", F.element_at("docs", (F.col("tpos") + 1).cast("int")))
+    j = texts.withColumnRenamed("target_pos", "tpos")
+    j = j.withColumn("ttext", F.element_at("docs", (F.col("tpos") + 1).cast("int")))
     j = j.withColumn("phrase", T.sample_phrase(F.col("ttext"), 42, sid, F.lit("tphrase")))
     return j.select("sample_id", "phrase",
                     T.phrase_in_docs(F.col("phrase"), F.col("docs"), F.col("tpos")).alias("found_elsewhere"),
@@ -135,9 +168,9 @@ FROM (SELECT sample_id, texts, unnest(texts) AS t FROM t2) GROUP BY sample_id, t
 """)
 def jn1_lookup_docs(spark, sf_dir):
     """Each sample's document indices resolved to its ordered texts."""
-    idx = SEL.index_corpus(corpus(spark, sf_dir))
-    s = SEL.selection_dataset(corpus(spark, sf_dir), cfg=CFG, seed=42)
-    t = SEL.lookup_docs(s, idx, ["sample_id"], "doc_indices", "texts")
+    docs = corpus(spark, sf_dir)
+    ids = SEL.index_ids(docs)
+    t = SEL.lookup_docs(SEL.selection_plan(ids, cfg=CFG, seed=42), ids, docs, ["sample_id"], "doc_indices", "texts")
     return t.select("sample_id", F.md5(F.array_join("texts", "\u0001")).alias("texts_md5"),
                     F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
@@ -158,13 +191,13 @@ def jn2_gather_embeddings(spark, sf_dir):
     from textbench.operators.splits import sample_k_of_n
 
     vec = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    iv = dense_index(vec, "vec_id", "idx")
+    iv = SEL.index_ids(vec, "vec_id")
     n = iv.groupBy().agg(F.count(F.lit(1)).alias("N"))
     s = with_scalars(iv.select(F.col("idx").alias("sample_id")), n)
     k = F.greatest(F.lit(1), F.least(hash_randint(2, 8, 42, F.col("sample_id"), F.lit("count")), F.col("N")))
     s = s.withColumn("k", k).withColumn("ind", sample_k_of_n(F.col("k"), F.col("N"), 42, F.col("sample_id")))
     dim = F.size(F.element_at("doc_embeddings", 1))
-    g = SEL.gather_embeddings(s, iv, ["sample_id"], "ind", max_docs=8)
+    g = SEL.gather_embeddings(s, iv, vec, ["sample_id"], "ind", max_docs=8, id_col="vec_id")
     total = F.aggregate("doc_embeddings", F.lit(0.0).cast("double"),
                         lambda a, e: a + F.aggregate(e, F.lit(0.0).cast("double"), lambda b, x: b + x))
     return g.select("sample_id", "doc_count", (F.lit(8) * dim).cast("int").alias("padded_values"),

@@ -67,6 +67,19 @@ def lim1_limit_first(spark, sf_dir):
     return SP.limit_first(docs, 100, "doc_id")
 
 
+@register("lim1_limit_splits", """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM d)
+SELECT split, doc_id FROM r WHERE split = 'test' OR rn <= CASE split WHEN 'train' THEN 50 ELSE 7 END
+""")
+def lim1_limit_splits(spark, sf_dir):
+    """Each split with its own limit (train 50, validation 7, test all)."""
+    m = F.col("doc_id") % 10
+    docs = table(spark, sf_dir, "documents").select(
+        F.when(m < 8, "train").when(m == 8, "validation").otherwise("test").alias("split"), "doc_id")
+    return SP.limit_splits(docs, "split", {"train": 50, "validation": 7, "test": None}, "doc_id")
+
+
 @register("lim2_cap_per_group", f"""
 WITH c AS ({SQL_CODE_FILES}),
 r AS (SELECT repo, doc_id, row_number() OVER (PARTITION BY repo ORDER BY {sql_hash_bits(42, "'files'", 'doc_id')}, doc_id) AS rn FROM c)

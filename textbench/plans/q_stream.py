@@ -26,13 +26,13 @@ def _scratch(spark, name):
 
 @register("st1_embed_stream", SQL_BOW)
 def st1_embed_stream(spark, sf_dir):
-    """Documents arriving in two files are embedded by a checkpointed stream."""
+    """Documents arriving in two lots are embedded by a checkpointed stream."""
     base = _scratch(spark, "embed")
     docs = corpus(spark, sf_dir)
     for part in (0, 1):
-        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{base}/landing")
     q = embed_stream(spark, f"{base}/landing", docs.schema, f"{base}/vectors", f"{base}/_checkpoint",
-                     encoder=HashedBagOfWords(64))
+                     encoder=HashedBagOfWords(64), max_files_per_trigger=4)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/vectors").select("doc_id", *_vec_stats())
 
@@ -43,9 +43,9 @@ def st2_trajectory_metrics_stream(spark, sf_dir):
     base = _scratch(spark, "traj")
     t = trajectories(spark, sf_dir)
     for part in (0, 1):
-        t.filter(F.col("run") % 2 == part).select("task_id", "success", "steps").coalesce(1).write.mode("append").json(
+        t.filter(F.col("run") % 2 == part).select("task_id", "success", "steps").write.mode("append").json(
             f"{base}/log")
-    q = trajectory_metrics_stream(spark, f"{base}/log", f"{base}/metrics", f"{base}/_checkpoint")
+    q = trajectory_metrics_stream(spark, f"{base}/log", f"{base}/metrics", f"{base}/_checkpoint", max_files_per_trigger=4)
     q.awaitTermination()
     m = spark.read.parquet(f"{base}/metrics")
     cols = ["pass_rate", "first_try_rate", "avg_steps", "avg_tool_calls", "death_spiral_rate"]

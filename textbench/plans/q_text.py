@@ -64,15 +64,15 @@ def txt6_render_prompt(spark, sf_dir):
 
 @register("txt8_label_layout", f"""
 WITH t AS (SELECT doc_id, 1 + doc_id % 8 AS docs, len({S.regex_tokens('text')}) AS tl FROM documents)
-SELECT doc_id, CAST(4 * 8 + 16 + least(tl, 128) + (128 - least(tl, 128)) AS INTEGER) AS seq_len,
-       CAST(least(tl, 128) AS INTEGER) AS supervised, CAST(4 * docs AS INTEGER) AS prefix_attended FROM t
+SELECT doc_id, CAST(4 * 8 + 16 + 512 AS INTEGER) AS seq_len,
+       CAST(least(tl, 512) AS INTEGER) AS supervised, CAST(4 * docs AS INTEGER) AS prefix_attended FROM t
 """)
 def txt8_label_layout(spark, sf_dir):
-    """K=4 prefix slots for up to 8 documents, 16 prompt tokens, target capped at 128, padded to 128."""
+    """K=4 prefix slots for up to 8 documents, 16 prompt tokens, target capped at and padded to the default length."""
     d = corpus(spark, sf_dir).select("doc_id", F.size(T.regex_tokens("text")).alias("tl"))
     mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i < (F.col("doc_id") % 8 + 1))
-    tl = F.least(F.col("tl"), F.lit(128))
-    layout = T.label_layout(F.lit(4), mask, F.lit(16), tl, F.lit(128) - tl)
+    tl = F.least(F.col("tl"), F.lit(T.MAX_TOKENS))
+    layout = T.label_layout(F.lit(4), mask, F.lit(16), tl, F.lit(T.MAX_TOKENS) - tl)
     att = T.prefix_attention(F.lit(4), mask)
     return d.select("doc_id", F.size(layout).alias("seq_len"),
                     F.aggregate(layout, F.lit(0), lambda a, x: a + x).alias("supervised"),
@@ -82,14 +82,14 @@ def txt8_label_layout(spark, sf_dir):
 @register("txt9_assistant_label_spans", f"""
 WITH t AS (SELECT conv_id, turn, role, len({S.regex_tokens('text')}) AS n FROM conversations),
 s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t)
-SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN least(e, 512) - least(e - n, 512) ELSE 0 END) AS BIGINT) AS supervised_tokens,
-       CAST(least(max(e), 512) AS BIGINT) AS seq_len, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns
+SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN least(e, 2048) - least(e - n, 2048) ELSE 0 END) AS BIGINT) AS supervised_tokens,
+       CAST(least(max(e), 2048) AS BIGINT) AS seq_len, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns
 FROM s GROUP BY conv_id
 """)
 def txt9_assistant_label_spans(spark, sf_dir):
-    """Supervised (assistant) token spans per conversation, clipped at 512 tokens."""
+    """Supervised (assistant) token spans per conversation, clipped at the default length."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.size(T.regex_tokens("text")).alias("n"))
-    sp = assistant_label_spans(c, "conv_id", "turn", "role", "n", max_len=512)
+    sp = assistant_label_spans(c, "conv_id", "turn", "role", "n")
     return sp.groupBy("conv_id").agg(
         F.sum("supervised_tokens").cast("long").alias("supervised_tokens"),
         F.max("end").cast("long").alias("seq_len"),

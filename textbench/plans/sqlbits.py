@@ -12,7 +12,7 @@ def normalize_ws(x: str) -> str:
 
 
 def regex_tokens(x: str) -> str:
-    return f"regexp_extract_all({x}, '\\w+|[^\\w\\s]')"
+    return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')"
 
 
 def token_f1(pred: str, ref: str) -> str:

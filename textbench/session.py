@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,27 +46,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Use the cluster's ``spark.checkpoint.dir``.  Where it is unset, a
+    ``local`` master gets a scratch folder of its own; any other master is an
+    error, because executors could not read the driver's disk."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="textbench-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", configured)
-        except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="textbench-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
 
 
-def partitions_for(df, bytes_per_partition: int = 32 << 20, max_partitions: int = 100_000) -> int:
+def written(df, tag: str = "table"):
+    """``df`` written once to the shared checkpoint folder and read back: what
+    several passes need is computed once, and lineage ends there."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/written/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(df, bytes_per_partition: int = 32 << 20) -> int:
     """Partition count for a shuffle that precedes a row-expanding step.
 
     ``max(spark.sql.shuffle.partitions, estimated input bytes /
-    bytes_per_partition)`` capped at ``max_partitions``; the estimate is
-    Catalyst's plan statistics (file sizes), so no job runs.  AQE cannot
-    size such a shuffle itself: it sees the bytes going in, not the n-gram
-    or replicate rows each task will generate from them.
+    bytes_per_partition)``; the estimate is Catalyst's plan statistics (file
+    sizes), so no job runs.  AQE cannot size such a shuffle itself: it sees
+    the bytes going in, not the n-gram or replicate rows each task will
+    generate from them.  Without an estimate (an input that was not read from
+    files) the session's shuffle partitions apply, as in any other shuffle.
     """
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,4 +87,4 @@ def partitions_for(df, bytes_per_partition: int = 32 << 20, max_partitions: int
     unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
     if size >= unknown or size >= 2**62:  # no estimate (e.g. data from an RDD)
         return base
-    return max(base, min(max_partitions, -(-size // bytes_per_partition)))
+    return max(base, -(-size // bytes_per_partition))

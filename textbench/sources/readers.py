@@ -40,6 +40,14 @@ EVAL_REPORT_SCHEMA = T.StructType([
     T.StructField("length_buckets", T.ArrayType(BUCKET)),
 ])
 
+def extended(schema: T.StructType, **fields: str) -> T.StructType:
+    """A copy of ``schema`` with more fields (``StructType.add`` would change the shared one)."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out.add(name, kind)
+    return out
+
+
 # Task defaults for absent fields: image name (configurable, neutral) and step budget (fixed value: 20).
 TASK_DEFAULT_IMAGE = "agent-base"
 TASK_DEFAULT_MAX_STEPS = 20
@@ -122,32 +130,101 @@ def parse_trajectories(json_col: Column) -> Column:
     return F.from_json(json_col, TRAJECTORY_SCHEMA)
 
 
-def read_code_files(spark: SparkSession, root: str) -> DataFrame:
-    """SRC5: every file under ``root/<repo>/...`` as (repo, path, content);
-    pair with :func:`textbench.operators.sft.walk_filter` for the language,
-    vendor, size and per-repo cap rules."""
-    files = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-             .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("__fp")))
-    rel = F.regexp_replace(F.col("__fp"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    return files.select(F.substring_index(rel, "/", 1).alias("repo"),
-                        F.regexp_replace(rel, "^[^/]*/", "").alias("path"), "content")
+FILE_SCHEMA = "repo string, path string, uri string, size long"
+
+
+def _open(uri: str):
+    """(file system, path) of a URI, on whichever machine this runs."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def list_code_files(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, path, uri, size) of every file below ``root/<repo>/``, names that
+    begin with ``_`` or ``.`` included (Spark's own file sources hide those).
+    The driver lists the repositories, tasks list the files of each."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, base = _open(root.rstrip("/"))
+    scheme = root[:root.index("://") + 3] if "://" in root else ""
+    repos = sorted(i.path for i in fs.get_file_info(FileSelector(base)) if i.type == FileType.Directory)
+
+    def walk(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for top in pdf["top"]:
+                there, _ = _open(root.rstrip("/"))
+                rows, folders = [], [top]
+                while folders:
+                    for i in there.get_file_info(FileSelector(folders.pop())):
+                        if i.type == FileType.Directory:
+                            folders.append(i.path)
+                        elif i.type == FileType.File:
+                            rows.append((top.rpartition("/")[2], i.path[len(top) + 1:], scheme + i.path, i.size))
+                yield pd.DataFrame(rows, columns=["repo", "path", "uri", "size"])
+
+    tops = spark.createDataFrame([(r,) for r in repos], "top string")
+    return tops.repartition(max(1, min(len(repos), 1000))).mapInPandas(walk, FILE_SCHEMA)
+
+
+def write_code_files(files: DataFrame, root: str) -> None:
+    """(repo, path, content) rows as files ``root/<repo>/<path>``."""
+
+    def save(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
+                uri = f"{root.rstrip('/')}/{repo}/{path}"
+                fs, at = _open(uri)
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write(content.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("repo", "path", "content").mapInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+def read_code_files(spark: SparkSession, root: str, keep: Column | None = None) -> DataFrame:
+    """SRC5: files under ``root/<repo>/...`` as (repo, path, content); pair with
+    :func:`textbench.operators.sft.walk_filter` for the language, vendor, size
+    and per-repo cap rules.  ``keep`` is a condition on (repo, path, size) that
+    is applied before any file is opened (``sft.worth_reading`` has that of the
+    walk rules).  Bytes that are not UTF-8 are replaced."""
+    files = list_code_files(spark, root)
+    files = files if keep is None else files.filter(keep)
+
+    def load(batches):
+        for pdf in batches:
+            text = []
+            for uri in pdf["uri"]:
+                fs, at = _open(uri)
+                with fs.open_input_stream(at, compression=None) as f:
+                    text.append(f.read().decode("utf-8", errors="replace"))
+            yield pdf[["repo", "path"]].assign(content=text)
+
+    return files.hint("rebalance").mapInPandas(load, "repo string, path string, content string")
 
 
 def read_eval_reports(spark: SparkSession, outputs_root: str, report_glob: str = "eval-report.json",
                       multi_line: bool = True, siblings: bool = True) -> DataFrame:
-    """SRC6: reports from ``outputs*/`` siblings and from ``outputs/*/``;
-    experiment = the report's directory name (a ``key=`` prefix, as in
-    Spark-written partition folders, is dropped); only reports with buckets."""
+    """SRC6: every report of ``outputs*/`` siblings and of ``outputs/*/`` that has
+    buckets, with its file as ``report_path``; experiment = the report's
+    directory name (a ``key=`` prefix, as in Spark-written partition folders,
+    is dropped)."""
     root = outputs_root.rstrip("/")
     parent = root.rsplit("/", 1)[0] if "/" in root else "."
     paths = existing_globs(spark, [f"{root}/*/{report_glob}"] + ([f"{parent}/outputs*/{report_glob}"] if siblings else []))
     if not paths:
-        return spark.createDataFrame([], EVAL_REPORT_SCHEMA).withColumn("experiment", F.lit(None).cast("string"))
+        return spark.createDataFrame([], EVAL_REPORT_SCHEMA).select(
+            "*", *[F.lit(None).cast("string").alias(c) for c in ("report_path", "experiment")])
     df = (spark.read.option("multiLine", multi_line).option("ignoreMissingFiles", True)
           .schema(EVAL_REPORT_SCHEMA).json(paths))
-    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1), "^[^=/]*=", "")
-    df = df.withColumn("experiment", name)
-    return df.filter(F.col("length_buckets").isNotNull()).dropDuplicates(["experiment"])
+    df = df.withColumn("report_path", F.col("_metadata.file_path"))
+    name = F.regexp_replace(F.regexp_extract("report_path", "([^/]+)/[^/]+$", 1), "^[^=/]*=", "")
+    return df.withColumn("experiment", name).filter(F.col("length_buckets").isNotNull())
 
 
 def existing_globs(spark: SparkSession, paths: list[str]) -> list[str]:

@@ -9,7 +9,7 @@
   one row per group) result through ``foreachBatch``.
 
 Both use ``trigger(availableNow=True)``: process everything present, in
-bounded micro-batches, then stop.  Checkpoints live under the cluster's
+micro-batches that ``max_files_per_trigger`` can bound, then stop.  Checkpoints live under the cluster's
 shared ``spark.checkpoint.dir``.
 """
 
@@ -23,12 +23,17 @@ from textbench.operators.trajectories import trajectory_metrics
 from textbench.sources.readers import TRAJECTORY_SCHEMA
 
 
+def _paced(reader, max_files: int | None):
+    """Bound the files of a micro-batch where the caller asks for it; otherwise
+    a batch takes all that has arrived, in parallel."""
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+
 def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str, checkpoint: str,
                  encoder: Encoder | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 max_files_per_trigger: int = 1, fmt: str = "parquet"):
+                 max_files_per_trigger: int | None = None, fmt: str = "parquet"):
     """ST1: start (and return) the streaming query that embeds ``source_dir``."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .format(fmt).load(source_dir))
+    src = _paced(spark.readStream.schema(schema), max_files_per_trigger).format(fmt).load(source_dir)
     vec = embed_texts(src.select(id_col, text_col), id_col, text_col, encoder)
     return (vec.writeStream.format("parquet").option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start(out_dir))
@@ -36,9 +41,9 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out
 
 def trajectory_metrics_stream(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str,
                               group_cols: list[str] | None = None, max_steps: int = 20,
-                              schema: T.StructType = TRAJECTORY_SCHEMA, max_files_per_trigger: int = 1):
+                              schema: T.StructType = TRAJECTORY_SCHEMA, max_files_per_trigger: int | None = None):
     """ST2: running A8 metrics over a JSON-lines trajectory log."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).json(log_dir)
+    src = _paced(spark.readStream.schema(schema), max_files_per_trigger).json(log_dir)
     agg = trajectory_metrics(src, max_steps=max_steps, group_cols=group_cols)
 
     def publish(batch: DataFrame, _epoch: int) -> None:

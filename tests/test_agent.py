@@ -151,6 +151,8 @@ def test_read_code_files_walk_rules(spark, tmp_path):
     put("repo2/main.rs", "let mut count = 3;\nlet label = \"a b c\";\n")
     put("repo2/README.md", body)
     files = RD.read_code_files(spark, str(tmp_path))
+    assert files.count() == 6
+    assert RD.read_code_files(spark, str(tmp_path), keep=SFT.worth_reading()).count() == 3
     kept = SFT.walk_filter(files).select("repo", "path", "lang").collect()
     assert sorted((r["repo"], r["path"], r["lang"]) for r in kept) == [
         ("repo1", "b.ts", "js"), ("repo1", "src/a.py", "py"), ("repo2", "main.rs", "rs")]
@@ -158,3 +160,26 @@ def test_read_code_files_walk_rules(spark, tmp_path):
     kinds = {r["kind"] for r in ex.collect()}
     assert "run" in kinds and "rename" in kinds
     assert ex.filter(F.col("kind") == "run").count() == 5
+
+
+def test_read_code_files_keeps_hidden_names_and_repeated_root(spark, tmp_path):
+    root = tmp_path / "code" / "mirror" / "code"
+    want = {("p3", "z.py"), ("p3", "__init__.py"), ("_private", "a/_util.py"), ("p3", ".cfg/b.py"), ("p3", "code/mirror/c.py"),
+            ("p 4%", "ünï.py")}
+    for repo, path in want:
+        f = root / repo / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(f"# {repo} {path} é")
+    rows = RD.read_code_files(spark, str(root)).collect()
+    assert {(r["repo"], r["path"]) for r in rows} == want
+    assert all(r["content"] == f"# {r['repo']} {r['path']} é" for r in rows)
+
+
+def test_whole_word_rename(spark):
+    from textbench.functions.mutations import rename_mutation
+
+    df = spark.createDataFrame([("total = 1\nsubtotal = total + 2\n",)], "code string")
+    sub, whole = df.select(*[rename_mutation("code", F.lit("py"), 1, F.lit("k"), whole_word=w)["mutated"] for w in (False, True)]).first()
+    assert whole.count("subtotal = ") == 1 or "total = 1" in whole  # the other name was drawn
+    if "total_renamed = 1" in whole:
+        assert "\nsubtotal = total_renamed + 2" in whole and "subtotal_renamed" in sub

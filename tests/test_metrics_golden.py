@@ -93,3 +93,30 @@ def test_bootstrap_methods_agree_on_point_and_roughly_on_width(spark):
         assert r["f1_ci_lower"] < 0.45 < r["f1_ci_upper"]
     widths = [r["f1_ci_upper"] - r["f1_ci_lower"] for r in got.values()]
     assert max(widths) < 2.0 * min(widths)
+
+
+@pytest.mark.parametrize("text,n", [("über", 1), ("el niño, aquí", 4), ("l'été déjà!", 5), ("Straße_1 ist naß", 3), ("漢字 x", 2), ("", 0)])
+def test_tokens_of_accented_words(spark, text, n):
+    from textbench.functions.text import regex_tokens, token_length
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(token_length("t")).first()[0] == n
+    assert len(df.select(regex_tokens("t")).first()[0]) == n
+
+
+def test_predictions_use_whole_texts(spark):
+    from textbench.plans.fixtures import pairs
+
+    p = pairs(spark, "/root/testdata/sf0.001").where("id % 4 <> 0 AND id % 14 <> 0 AND id % 7 <> 0")
+    rows = p.select("reference", "prediction").collect()
+    assert all(abs(len(r["prediction"].split()) - 0.8 * len(r["reference"].split())) <= 1 for r in rows)
+    assert max(len(r["prediction"].split()) for r in rows) > 128
+
+
+def test_caller_defined_bootstrap_metric(spark):
+    from textbench.operators.bootstrap import Metric, bootstrap_ci
+
+    df = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit(2.0).alias("y"))
+    ratio = Metric("ratio", ("x", "y"), lambda s: s["x"] / s["y"])
+    r = bootstrap_ci(df, ratio, n_boot=100, method="blocks", blocks=32).first()
+    assert r["ratio"] == pytest.approx(2.25) and r["ratio_ci_lower"] < 2.25 < r["ratio_ci_upper"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textbench.operators.buckets import assign_buckets
-from textbench.operators.ranking import dense_index, two_level_rank
+from textbench.operators.ranking import RankLayout, dense_index, two_level_rank
 from textbench.operators.splits import cap_per_group
 
 
@@ -82,3 +82,35 @@ def test_rank_plan_has_no_single_partition_window_on_rows(spark):
     # the only Window without partition keys is over the small histogram,
     # the row-level window is partitioned by the histogram group
     assert "__rk_coarse" in plan
+
+
+def test_hot_key_inside_a_mixed_group_is_split(spark):
+    """A third of the rows have one key, which shares its coarse group with many others."""
+    n, target = 30_000, 500
+    df = spark.range(n).select((F.col("id") * 7 + 3).alias("id"), F.when(F.col("id") % 3 == 0, 17).otherwise(
+        F.pmod(F.xxhash64("id"), F.lit(500))).alias("k"))
+    layout = RankLayout(df, "k", "id", coarse=F.floor(F.col("k") / 64), target_rows=target)
+    assert layout.groups.agg(F.max("__rk_n")).first()[0] <= 2 * target
+    got = two_level_rank(df, "k", "id", coarse=F.floor(F.col("k") / 64), target_rows=target)
+    want = df.withColumn("w", F.row_number().over(Window.orderBy("k", "id")) - 1)
+    assert got.join(want, ["id", "k"]).filter("rank <> w").count() == 0 and got.count() == n
+
+
+def test_far_outlier_id_does_not_crowd_the_dense_index(spark):
+    ids = spark.range(5000).union(spark.createDataFrame([(2 ** 55,)], "id long")).withColumnRenamed("id", "doc_id")
+    got = dense_index(ids, "doc_id", per_bucket=100, target_rows=200)
+    assert got.filter("doc_id < 5000 AND idx <> doc_id").count() == 0 and got.agg(F.max("idx")).first()[0] == 5000
+
+
+def test_too_many_groups_is_an_error(spark, monkeypatch):
+    from textbench.operators import ranking
+
+    monkeypatch.setattr(ranking, "MAX_COARSE", 8)
+    with pytest.raises(ValueError, match="rank groups"):
+        RankLayout(spark.range(100).withColumn("k", F.col("id")), "k", "id")
+
+
+def test_rows_are_read_once_when_asked(spark):
+    df = spark.range(50).withColumn("k", F.col("id") % 5)
+    plan = two_level_rank(df, "k", "id", once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "rank-rows" in plan

@@ -139,12 +139,18 @@ def sql_bleu_row_stats(src: str, id_col: str = "id", hyp: str = "prediction", re
     return f"""
 WITH tok AS (
   SELECT {id_col}, {kp}{SQL_13A.replace('{x}', hyp)} AS h, {SQL_13A.replace('{x}', ref)} AS r FROM ({src})
-), g AS (
-  SELECT {id_col}, {kp}n, list_slice(h, i, i + n - 1) AS g, 1 AS s
-  FROM tok, range(1, 5) o(n), range(1, greatest(len(h) - n + 2, 1)) p(i)
+), x AS (
+  SELECT {id_col}, {kp}1 AS s, unnest(h) AS w1, unnest(range(len(h))) AS i FROM tok
   UNION ALL
-  SELECT {id_col}, {kp}n, list_slice(r, i, i + n - 1) AS g, 0 AS s
-  FROM tok, range(1, 5) o(n), range(1, greatest(len(r) - n + 2, 1)) p(i)
+  SELECT {id_col}, {kp}0 AS s, unnest(r) AS w1, unnest(range(len(r))) AS i FROM tok
+), y AS (
+  SELECT *, lead(w1, 1) OVER win AS w2, lead(w1, 2) OVER win AS w3, lead(w1, 3) OVER win AS w4
+  FROM x WINDOW win AS (PARTITION BY {id_col}, s ORDER BY i)
+), g AS (
+  SELECT {id_col}, {kp}1 AS n, w1 AS g, s FROM y
+  UNION ALL SELECT {id_col}, {kp}2, concat_ws(chr(1), w1, w2), s FROM y WHERE w2 IS NOT NULL
+  UNION ALL SELECT {id_col}, {kp}3, concat_ws(chr(1), w1, w2, w3), s FROM y WHERE w3 IS NOT NULL
+  UNION ALL SELECT {id_col}, {kp}4, concat_ws(chr(1), w1, w2, w3, w4), s FROM y WHERE w4 IS NOT NULL
 ), pg AS (
   SELECT {id_col}, {kp}n, g, sum(s) AS ch, sum(1 - s) AS cr FROM g GROUP BY ALL
 ), per AS (

@@ -28,7 +28,7 @@ from textbench.llm.words import U64, mix64
 ORDERS = (3, 4, 5)
 BITS = 20
 MAX_PER_CLASS = 6000
-N_FEATURES = 16384
+N_FEATURES = 16384  # below 2^16
 THRESHOLD = 0.7
 
 
@@ -84,9 +84,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         F.col("lid").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("lid")))
     known = known.groupBy("lid").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("lid", F.lit(5)), F.col("lid")]
-    sample = known.where("y = 0").orderBy(*order).limit(max_per_class).unionAll(
-        known.where("y = 1").orderBy(*order).limit(max_per_class))
+    draw = F.shiftrightunsigned(F.xxhash64("lid", F.lit(5)), 24)
+
+    def drawn(y):  # the share by hash first, so that the sort behind the exact bound stays small
+        share = min(1.0, 1.1 * max_per_class / max(1, counts.get(y, 0)))
+        rows = known.where((F.col("y") == y) & (draw < int(share * (1 << 40))))
+        return rows.orderBy(draw, "lid").limit(max_per_class)
+
+    sample = drawn(0).unionAll(drawn(1))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(sample), F.col("id") == F.col("lid"))  # at most 2 * max_per_class ids
     return materialise(rows.select("id", "y", "text").dropDuplicates(["id"]), "train"), counts
@@ -118,7 +123,7 @@ def _features(train: DataFrame, slot_bc) -> DataFrame:
             rows = []
             for points in _texts(batch.column(2)):
                 f = slot[gram_buckets(points)]
-                rows.append(np.unique(f[f >= 0]).astype(np.int32).tobytes())
+                rows.append(np.unique(f[f >= 0]).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())],
                                              names=["id", "y", "f"])
 
@@ -129,16 +134,45 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(flat, length, y, scale, weight, l2, steps=300):
+class Sparse:
+    """Sets of feature numbers, row after row, walked in slices so that no
+    temporary is larger than a slice."""
+
+    SLICE = 500
+
+    def __init__(self, flat: np.ndarray, end: np.ndarray):
+        self.flat, self.end, self.n = flat, end, len(end) - 1
+
+    def slices(self, rows: np.ndarray):
+        """(row numbers, feature numbers, lengths) of the given rows."""
+        for i in range(0, len(rows), self.SLICE):
+            r = rows[i:i + self.SLICE]
+            parts = [self.flat[self.end[k]:self.end[k + 1]] for k in r]
+            yield slice(i, i + len(r)), np.concatenate(parts).astype(np.int64), self.end[r + 1] - self.end[r]
+
+    def scores(self, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(rows))
+        for at, f, length in self.slices(rows):
+            total = np.concatenate(([0.0], np.cumsum(w[f])))
+            stop = np.cumsum(length)
+            z[at] = total[stop] - total[stop - length]
+        return z
+
+
+def _fit(x: Sparse, rows: np.ndarray, y, scale, weight, l2, steps=300):
     """Weighted logistic regression by Adam on features ``scale`` (present) or 0."""
-    n, d = len(length), len(scale)
-    row = np.repeat(np.arange(n), length)
+    d = len(scale)
     w, b = np.zeros(d), 0.0
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=(w * scale)[flat], minlength=n) + b
-        g = weight * (_sigmoid(z) - y)
-        grad = np.append(np.bincount(flat, weights=g[row], minlength=d) * scale + l2 * w, g.sum())
+        ws, grad, bias = w * scale, np.zeros(d), 0.0
+        for at, f, length in x.slices(rows):
+            total = np.concatenate(([0.0], np.cumsum(ws[f])))
+            stop = np.cumsum(length)
+            g = weight[at] * (_sigmoid(total[stop] - total[stop - length] + b) - y[at])
+            grad += np.bincount(f, weights=np.repeat(g, length), minlength=d)
+            bias += g.sum()
+        grad = np.append(grad * scale + l2 * w, bias)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = 0.05 * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
@@ -150,7 +184,6 @@ def _fit(flat, length, y, scale, weight, l2, steps=300):
 def _calibrate(z, y, weight, steps=200):
     """Scale and shift that turn linear scores into probabilities (Newton)."""
     x = np.stack([z, np.ones_like(z)], axis=1)
-    t = (y * weight[y > 0].sum() + 1) / (weight[y > 0].sum() + 2) if (y > 0).any() else y
     t = np.where(y > 0, 1 - 1e-3, 1e-3)
     theta = np.array([1.0, 0.0])
     prior = np.array([1.0, 0.0])
@@ -186,25 +219,21 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return {"slot": slot, "weight": np.zeros(1), "bias": float(np.log((s1 + 1) / (s0 + 1)))}
     slot[[r["bucket"] for r in top]] = np.arange(len(top), dtype=np.int32)
     ratio = np.array([np.log((r["c1"] + 1) / (s1 + 2)) - np.log((r["c0"] + 1) / (s0 + 2)) for r in top])
-    rows = _features(train, spark.sparkContext.broadcast(slot)).orderBy(F.xxhash64("id", F.lit(7)), "id").collect()
-    sets = [np.frombuffer(r["f"], np.int32) for r in rows]
-    y = np.array([r["y"] for r in rows], np.float64)
+    sample = _features(train, spark.sparkContext.broadcast(slot)).orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
+    y = sample.column("y").to_numpy().astype(np.float64)
+    parts = [text_buffers(c) for c in sample.column("f").chunks]
+    flat = np.concatenate([data.view(np.uint16) for _, data in parts])
+    end = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for o, _ in parts]) // 2)))
+    x = Sparse(flat, end)
+    del sample, parts
     weight = np.where(y > 0, n1 / s1, n0 / s0)  # the class ratio of all training labels
     weight = weight / weight.mean()
-    length = np.array([len(x) for x in sets])
     late = np.arange(len(y)) % 4 == 3
-
-    def part(mask):
-        chosen = [x for x, ok in zip(sets, mask) if ok]
-        return (np.concatenate(chosen) if chosen else np.zeros(0, np.int32)), length[mask]
-
-    flat, ln = part(~late)
-    w, b = _fit(flat, ln, y[~late], ratio, weight[~late] / max(1, (~late).sum()), l2)
+    early = np.flatnonzero(~late)
+    w, b = _fit(x, early, y[early], ratio, weight[early] / max(1, len(early)), l2)
     a, shift = 1.0, 0.0
     if late.any() and 0 < y[late].sum() < late.sum():
-        flat, ln = part(late)
-        z = np.bincount(np.repeat(np.arange(len(ln)), ln), weights=(w * ratio)[flat], minlength=len(ln)) + b
-        a, shift = _calibrate(z, y[late], weight[late])
+        a, shift = _calibrate(x.scores(np.flatnonzero(late), w * ratio) + b, y[late], weight[late])
     return {"slot": slot, "weight": a * w * ratio, "bias": float(a * b + shift)}
 
 

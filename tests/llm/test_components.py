@@ -4,7 +4,7 @@ from helpers import components, similar_pairs
 from pyspark.sql import functions as F
 from textbench.llm.components import connected_components
 from textbench.llm.groups import link_components
-from textbench.llm.lines import verify_lines
+from textbench.llm.lines import verify_lines, with_bits
 
 
 def _got(df):
@@ -45,7 +45,7 @@ def test_groups_larger_than_a_block_lose_no_link(spark):
     lines += [" ".join(rnd.choice(word) + str(rnd.random())[2:5] for _ in range(14)) for _ in range(15)]
     rows = list(enumerate(lines))
     members = spark.createDataFrame([(i, 1, x) for i, x in rows], "id long, grp long, line string")
-    got = _got(link_components(members, verify_lines(5, 80, 100), 8))
+    got = _got(link_components(with_bits(members, 5), verify_lines(5, 80, 100), 8))
     sets = {i: {x[j:j + 5] for j in range(len(x) - 4)} for i, x in rows}
     want = components(sets, list(similar_pairs(sets)))
     assert {i: got.get(i, i) for i in sets} == want

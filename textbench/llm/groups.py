@@ -28,16 +28,16 @@ def _slot(col, parts, salt: int = 0):
     return F.pmod(F.xxhash64(col, F.lit(salt)), parts).cast("int")
 
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], block_rows: int) -> DataFrame:
-    """``members``: id, grp and any payload, one row per id.  ``verify`` takes
-    such rows with ``block`` (the block's number) and ``asked``, and returns
-    links (a, b) of each block: enough to connect whatever is linked there, or,
-    where some rows are ``asked``, all that links these with the others.
+def link_components(members: DataFrame, verify: Callable[..., DataFrame], block_rows: int) -> DataFrame:
+    """``members``: id, grp and any payload, one row per id.  ``verify(rows)``
+    takes such rows with ``block`` (a block's number) and returns links (a, b)
+    that connect whatever is linked in a block; ``verify(rows, asked)`` returns
+    what links the asked rows of a block with its others.
     Returns (node, component) for linked ids, as ``connected_components``."""
     payload = [c for c in members.columns if c not in ("id", "grp")]
 
-    def blocks(df, *number, asked=False):
-        return df.select(F.xxhash64(*number).alias("block"), F.lit(asked).alias("asked"), "id", *payload)
+    def blocks(df, *number):
+        return df.select(F.xxhash64(*number).alias("block"), "id", *payload)
 
     big = materialise(
         members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
@@ -79,6 +79,5 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         asked = asked.withColumn("part", _slot("id", F.col("p"))).withColumn(
             "slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         number = ["grp", "slot", "part"]
-        edges = materialise(edges.unionAll(verify(
-            blocks(data, *number).unionByName(blocks(asked, *number, asked=True)))), "links")
+        edges = materialise(edges.unionAll(verify(blocks(data, *number), blocks(asked, *number))), "links")
         return connected_components(edges)

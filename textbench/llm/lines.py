@@ -31,7 +31,8 @@ from textbench.llm.groups import link_components
 
 Q = 8
 CLASSES, BANDS_PER_CLASS, ROWS = 5, 2, 4
-BLOCK_ROWS = 48
+WORDS = 32  # 64-bit words of a line's bit table
+BLOCK_ROWS = 64
 
 
 def _signed(x: int) -> int:
@@ -58,29 +59,72 @@ def band_keys(lines: DataFrame, q: int) -> DataFrame:
     return sig.select("lid", F.explode(F.array(*keys)).alias("key"))
 
 
+def with_bits(members: DataFrame, q: int) -> DataFrame:
+    """Adds b0 .. b31: a line's shingles as a table of 2048 bits.  Where two
+    tables differ, the sets differ: the number of different bits bounds the
+    size of the symmetric difference from below."""
+    x = members.select("id", F.encode("line", "UTF-16BE").alias("u"))
+    last = F.greatest(F.expr("cast(octet_length(u) div 2 as int)") - q, F.lit(0))
+    x = x.select("id", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    x = x.select("id", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * q}))").alias("h"))
+    x = x.select("id", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"),
+                 F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("w"))
+    bits = x.groupBy("id").agg(*[F.bit_or(F.when(F.col("w") == j, F.col("bit")).otherwise(F.lit(0))).alias(f"b{j}")
+                                 for j in range(WORDS)])
+    return members.join(bits, "id")
+
+
 def verify_lines(q: int, num: int, den: int):
-    """Exact Jaccard of the lines of one block (some dozens), on their full shingle sets."""
+    """Exact Jaccard of the lines of one block (some dozens), on their full
+    shingle sets.
+
+    A fold over the pairs of the block keeps a label per line; a pair of equal
+    labels is connected already and is skipped, a linked pair merges its
+    labels.  A block so returns one link per line at most, however dense it is.
+    Jaccard >= num / den asks for a symmetric difference of at most (den - num)
+    / (den + num) of both sizes, so pairs whose bit tables differ in more bits
+    are settled without a look at the sets."""
     # the code units are bound to a name, so that they are encoded once per line and not once per shingle
     sh = ("element_at(transform(array(encode(line, 'UTF-16BE')), u -> array_distinct(transform("
           f"sequence(0, greatest(cast(octet_length(u) div 2 as int) - {q}, 0)), i -> xxhash64(substring(u, 2 * i + 1, {2 * q}))))), 1)")
+    words = [f"b{j}" for j in range(WORDS)]
+
+    def differ(x, y, names):
+        out = F.lit(0)
+        for n in names:
+            out = out + F.bit_count(x[n].bitwiseXOR(y[n]))
+        return out * (den + num)
 
     def linked(x, y):
-        a, b = F.size(x["sh"]), F.size(y["sh"])
+        a, b = x["size"], y["size"]
         both = F.size(F.array_intersect(x["sh"], y["sh"]))
-        return F.when((x["id"] == y["id"]) | (a * den < b * num) | (b * den < a * num), F.lit(False)).otherwise(
-            both * den >= (a + b - both) * num)
-
-    def pairs(left, right):
-        return F.flatten(F.transform(left, lambda x, i: F.transform(
-            F.filter(right(i), lambda y: linked(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-
-    def verify(df: DataFrame) -> DataFrame:
-        s = df.repartition("block").select("block", "asked", F.struct("id", F.expr(sh).alias("sh")).alias("m"))
-        rows = s.groupBy("block").agg(F.collect_list(F.when(~F.col("asked"), F.col("m"))).alias("ms"),
-                                      F.collect_list(F.when(F.col("asked"), F.col("m"))).alias("qs"))
-        found = F.when(F.size("qs") > 0, pairs(F.col("qs"), lambda i: F.col("ms"))).otherwise(
-            pairs(F.col("ms"), lambda i: F.slice("ms", i + 2, F.size("ms"))))
-        return rows.select(F.explode(found).alias("p")).select("p.a", "p.b")
+        return (F.when((a * den < b * num) | (b * den < a * num), F.lit(False))
+                .when(differ(x, y, words) > (a + b) * (den - num), F.lit(False))
+                .otherwise(both * den >= (a + b - both) * num))
+
+    def verify(df: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+        df = df.withColumn("asked", F.lit(asked is None))
+        if asked is not None:
+            df = df.unionByName(asked.withColumn("asked", F.lit(True)))
+        s = df.repartition("block").select("block", "asked", "id", F.expr(sh).alias("sh"), *words)
+        s = s.select("block", F.struct(~F.col("asked"), F.col("id"), F.col("asked"), F.size("sh").alias("size"), "sh", *words).alias("m"))
+        rows = s.groupBy("block").agg(F.collect_list("m").alias("ms"))
+        n = F.size("ms")
+        # asked lines come first; each is compared with all that follow it
+        rows = rows.select(F.sort_array("ms").alias("ms")).where(n > 1)
+        first = F.size(F.filter("ms", lambda m: m["asked"]))
+
+        def visit(acc, p):
+            i, j = (p / n).cast("int"), (p % n).cast("int")
+            li, lj = F.get(acc, i), F.get(acc, j)
+            low, high = F.least(li, lj), F.greatest(li, lj)
+            merge = F.transform(acc, lambda c: F.when(c == high, low).otherwise(c))
+            open_ = (j > i) & (li != lj)
+            return F.when(F.when(open_, linked(F.get("ms", i), F.get("ms", j))).otherwise(F.lit(False)), merge).otherwise(acc)
+
+        label = F.aggregate(F.sequence(F.lit(0), first * n - 1), F.sequence(F.lit(0), n - 1), visit)
+        ends = F.transform(label, lambda c, i: F.struct(F.get("ms", i)["id"].alias("a"), F.get("ms", c)["id"].alias("b")))
+        return rows.select(F.explode(F.filter(ends, lambda e: e["a"] != e["b"])).alias("p")).select("p.a", "p.b")
 
     return verify
 
@@ -96,7 +140,8 @@ def line_components(lines: DataFrame, q: int = Q, num: int = 80, den: int = 100)
     cand = materialise(connected_components(near), "lines-cand")
     members = maybe_in(lines, "lid", cand.select("node")).join(cand, F.col("lid") == F.col("node")).groupBy(
         F.col("lid").alias("id")).agg(F.first("component").alias("grp"), F.first("line").alias("line"))
-    return link_components(materialise(members, "lines-members"), verify_lines(q, num, den), BLOCK_ROWS)
+    members = materialise(with_bits(members, q), "lines-members")
+    return link_components(members, verify_lines(q, num, den), BLOCK_ROWS)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q,

@@ -158,7 +158,10 @@ def verify_sets(num: int, den: int):
 
         return pd.DataFrame({"a": [int(ids[i]) for i, _ in pairs], "b": [int(ids[j]) for _, j in pairs]}, dtype="int64")
 
-    def verify(df: DataFrame) -> DataFrame:
+    def verify(df: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+        df = df.withColumn("asked", F.lit(False))
+        if asked is not None:
+            df = df.unionByName(asked.withColumn("asked", F.lit(True)))
         return df.groupBy("block").applyInPandas(block, "a long, b long")
 
     return verify

@@ -6,13 +6,13 @@ penalty ``exp(1 - ref/sys)`` when ``sys < ref``, ``exp`` smoothing (each
 order with zero matches doubles the divisor), score 0 when nothing matches
 at all or when some order has no hypothesis n-grams.
 
-Physical plan: the (id, hyp, ref) rows are hash-partitioned on ``id`` once;
-n-grams are exploded inside that partitioning and aggregated on
-``(id, n, gram)`` and then on ``id`` without another exchange, because
-``hashpartitioning(id)`` satisfies both groupings.  Only the rows' own text
-moves across the network, never the (4x larger) n-gram multiset.  A row's
-grams stay in one task, so one very long document costs one task its size,
-never a third of the table.
+Physical plan: the (id, hyp, ref) rows are spread by a hash of ``id`` once, and
+each row's statistics are computed from its own two texts: the hashed n-grams
+of both sides are sorted together and one fold counts the runs, so no n-gram
+ever becomes a row or crosses the network.  A very long document costs one task
+its own size, never a third of the table.  Two different grams share a 64-bit
+(here 63-bit) hash within one pair of texts of a million words with a chance
+below 1e-6.
 """
 
 from __future__ import annotations
@@ -40,45 +40,52 @@ def bleu_row_stats(
     carried through to the output.
     """
     keep = keep or []
-    # An explicit partition count sized from the input bytes: the n-gram
-    # explode multiplies the rows ~25x after this exchange, so AQE must not
-    # coalesce it by its input size.
+    # An explicit partition count sized from the input bytes: the work per byte
+    # after this exchange is large, so AQE must not coalesce it by its input size.
     from textbench.session import partitions_for
 
     parts = partitions_for(df.select(hyp_col, ref_col))
     toks = df.select(
         id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
     ).repartition(parts, id_col)
-    # One generator over positions 0..|h|+|r|: position 0 is a per-row
-    # sentinel (so rows without tokens keep their row), 1..|h| the
-    # hypothesis, the rest the reference.  Grams are slices taken inside the
-    # generated row (codegen), not arrays built by lambdas.  The other
-    # columns are grouping keys (any type is fine for a key), so both
-    # aggregations keep fixed-width buffers and stay hash aggregations, and
-    # everything happens inside the one exchange on id.
     nh, nr = F.size("__h"), F.size("__r")
-    pos = toks.select(id_col, *keep, "__h", "__r", F.explode(F.sequence(F.lit(0), nh + nr)).alias("__i"))
-    i = F.col("__i")
-    is_h = (i >= 1) & (i <= nh)
-    arr = F.when(is_h, F.col("__h")).otherwise(F.col("__r"))
-    j = F.when(is_h, i).otherwise(i - nh)
-    items = [F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("g"), (i == 0).alias("ok"))]
+    out = toks.select(
+        id_col, *keep, F.greatest(nh, F.lit(0)).cast("long").alias("sys_len"), F.greatest(nr, F.lit(0)).cast("long").alias("ref_len"),
+        *[_clipped_matches("__h", "__r", n).alias(f"m{n}") for n in range(1, MAX_ORDER + 1)])
     for n in range(1, MAX_ORDER + 1):
-        items.append(F.struct(F.lit(n).alias("n"), F.slice(arr, F.greatest(j, F.lit(1)).cast("int"), n).alias("g"),
-                              ((i >= 1) & (j + (n - 1) <= F.size(arr))).alias("ok")))
-    grams = pos.select(id_col, *keep, F.when(is_h, 1).otherwise(0).alias("s"), F.inline(F.array(*items))).filter("ok")
-    per_gram = grams.groupBy(id_col, *keep, "n", "g").agg(F.sum("s").alias("ch"), F.sum(F.lit(1) - F.col("s")).alias("cr"))
-    match = F.least("ch", "cr")
-    aggs = [
-        F.sum(F.when(F.col("n") == 1, F.col("ch")).otherwise(0)).cast("long").alias("sys_len"),
-        F.sum(F.when(F.col("n") == 1, F.col("cr")).otherwise(0)).cast("long").alias("ref_len"),
-    ] + [F.sum(F.when(F.col("n") == n, match).otherwise(0)).cast("long").alias(f"m{n}") for n in range(1, 5)]
-    out = per_gram.groupBy(id_col, *keep).agg(*aggs)
-    for n in range(1, 5):
         out = out.withColumn(f"t{n}", F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).cast("long"))
     return out.select(id_col, *keep, *STAT_COLS)
 
 
+def _clipped_matches(h: str, r: str, n: int) -> Column:
+    """Sum over the n-grams of both sides of the smaller of their two counts.
+
+    A gram is the hash of its words with its last bit telling the side; the
+    grams of both sides are sorted together, so that equal ones lie in a row,
+    and one fold counts the runs."""
+
+    def grams(c: str, side: int) -> Column:
+        words = F.col(c)
+        hashed = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(
+            *[F.get(words, i + d) for d in range(n)]).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
+        return F.when(F.size(words) >= n, hashed).otherwise(F.array().cast("array<long>"))
+
+    zero = F.lit(0).cast("long")
+    both = F.array_sort(F.concat(grams(h, 0), grams(r, 1)))
+    # at: the gram of the run; ch, cr: its count on either side; m: matches of the runs that are over
+    start = F.struct(zero.alias("at"), zero.alias("ch"), zero.alias("cr"), zero.alias("m"))
+
+    def step(acc, x):
+        gram, ref = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1))
+        same = acc["at"] == gram
+        return F.struct(
+            gram.alias("at"), (F.when(same, acc["ch"]).otherwise(zero) + 1 - ref).alias("ch"),
+            (F.when(same, acc["cr"]).otherwise(zero) + ref).alias("cr"),
+            (acc["m"] + F.when(same, zero).otherwise(F.least(acc["ch"], acc["cr"]))).alias("m"))
+
+    return F.aggregate(both, start, step, lambda acc: acc["m"] + F.least(acc["ch"], acc["cr"]))
+
+
 def bleu_sums() -> list[Column]:
     """Aggregations that turn per-row statistics into corpus totals."""
     return [F.sum(c).cast("double").alias(f"S_{c}") for c in STAT_COLS]

@@ -2,9 +2,10 @@
 
 Whole texts are cut into passages (sentences of lines).  A passage that has an
 anchor word of licence texts is a header candidate; of a licence file (LICENSE,
-LICENCE, COPYING, NOTICE, with any suffix) the whole text is one more.  Every
-candidate and every template is a sparse TF-IDF vector, document frequencies
-being counted over all words of all files; a file's own licence is the template
+LICENCE, COPYING, NOTICE, with any suffix) that has one, the whole text is one
+more.  Every candidate and every template is a sparse TF-IDF vector, the
+document frequencies of its words being counted over all files (other words
+are left out of the count before its shuffle, by a bit table of fixed size); a file's own licence is the template
 of the highest cosine, if that reaches the threshold.  Files without one take
 the licence of the nearest directory above them that has a licence file: the
 directories of a path are exploded and joined with those of licence files.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbench.llm.common import materialise, pick
+from textbench.llm.common import materialise, maybe_in, pick
 
 THRESHOLD = 0.7
 
@@ -57,20 +58,25 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     """``files`` (rid, path, text) -> rid, license, score of the files with a licence of their own."""
     spark: SparkSession = files.sparkSession
     n_files = files.count()
-    words = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    df = materialise(words.groupBy("term").agg(F.count("*").alias("n")), "license-df")
-
     sentence = F.flatten(F.transform(F.split("text", r"[\n\r]"), lambda line: F.split(line, r"(?<=[.!?;])[ \t]+")))
     hit = files.where(F.lower("text").rlike(ANCHORS))
     passages = hit.select("rid", F.posexplode(F.filter(
         sentence, lambda s: F.lower(s).rlike(ANCHORS))).alias("no", "passage"))
-    whole = files.where(F.col("path").rlike(LICENCE_FILE) & F.col("text").isNotNull()).select(
+    whole = hit.where(F.col("path").rlike(LICENCE_FILE)).select(
         "rid", F.lit(-1).alias("no"), F.col("text").alias("passage"))
     terms = passages.unionAll(whole).select("rid", "no", F.explode(_terms(F.col("passage"))).alias("term"))
-    mine = _vectors(terms, ["rid", "no"], df, n_files)
+    terms = materialise(terms, "license-terms")
 
     fixed = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
-    theirs = _vectors(fixed.select("t", F.explode(_terms(F.col("text"))).alias("term")), ["t"], df, n_files)
+    words = fixed.select("t", F.explode(_terms(F.col("text"))).alias("term"))
+    asked = terms.select("term").unionAll(words.select("term")).distinct()
+    used = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).withColumn("k", F.xxhash64("term"))
+    used = maybe_in(used, "k", asked.select(F.xxhash64("term").alias("k")))
+    df = used.groupBy("term").agg(F.count("*").alias("n")).join(asked, "term", "left_semi")
+    df = materialise(df, "license-df")
+
+    mine = _vectors(terms, ["rid", "no"], df, n_files)
+    theirs = _vectors(words, ["t"], df, n_files)
     theirs = materialise(theirs.join(fixed.select("t", "license"), "t"), "license-templates")
     # as many rows as the templates have words
     dot = mine.join(F.broadcast(theirs.withColumnRenamed("w", "tw")), "term").groupBy("rid", "no", "t", "license").agg(

@@ -181,8 +181,11 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     """
     spark = df.sparkSession
     pages = pick(df, page_id=id_col, url=url_col, payload=html_col).withColumn("payload", F.coalesce("payload", F.lit("")))
-    sample = pages.where((F.octet_length("payload") > 0) & (F.octet_length("payload") <= DICT_SAMPLE_BYTES)).orderBy(
-        F.xxhash64("page_id", F.lit(3)), "page_id").limit(DICT_SAMPLES).select("payload").collect()
+    # a share of the rows by hash, so that no task hands the driver more than its part of the sample
+    share = min(1.0, 2 * DICT_SAMPLES / max(1, pages.count()))
+    drawn = F.shiftrightunsigned(F.xxhash64("page_id", "url", F.lit(3)), 24) < int(share * (1 << 40))
+    fits = (F.octet_length("payload") > 0) & (F.octet_length("payload") <= DICT_SAMPLE_BYTES)
+    sample = pages.where(drawn & fits).select("payload").limit(DICT_SAMPLES).collect()
     dictionary = spark.sparkContext.broadcast(train_dictionary([r["payload"].encode() for r in sample]))
 
     def run(batches):
@@ -268,10 +271,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Raises if a revisit names none, or one with another payload digest."""
     target = records.where("record_type = 'response'").select(
         F.col("record_id").alias("rid"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("rd")).dropDuplicates(["rid"])
-    out = records.join(target, F.col("refers_to_id") == F.col("rid"), "left")
-    wrong = F.col("refers_to_id").isNotNull() & (F.col("rd").isNull() | (F.col("rd") != F.col("payload_digest")))
+    # only revisits are joined: the nulls of all other records would meet in one task
+    out = records.where("refers_to_id IS NOT NULL").join(target, F.col("refers_to_id") == F.col("rid"), "left")
+    wrong = F.col("rd").isNull() | (F.col("rd") != F.col("payload_digest"))
     problem = F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("record_id"))).cast("long")
-    return out.withColumn("refers_to", F.when(wrong, problem).otherwise(F.col("refers_to"))).drop("rid", "rd")
+    out = out.withColumn("refers_to", F.when(wrong, problem).otherwise(F.col("refers_to"))).drop("rid", "rd")
+    rest = records.where("refers_to_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    return out.unionByName(rest)
 
 
 def archive_round_trip(df: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -32,7 +32,7 @@ from textbench.llm.groups import link_components
 Q = 8
 CLASSES, BANDS_PER_CLASS, ROWS = 5, 2, 4
 WORDS = 32  # 64-bit words of a line's bit table
-BLOCK_ROWS = 64
+BLOCK_ROWS = 512
 
 
 def _signed(x: int) -> int:
@@ -109,21 +109,22 @@ def verify_lines(q: int, num: int, den: int):
         s = df.repartition("block").select("block", "asked", "id", F.expr(sh).alias("sh"), *words)
         s = s.select("block", F.struct(~F.col("asked"), F.col("id"), F.col("asked"), F.size("sh").alias("size"), "sh", *words).alias("m"))
         rows = s.groupBy("block").agg(F.collect_list("m").alias("ms"))
-        n = F.size("ms")
-        # asked lines come first; each is compared with all that follow it
-        rows = rows.select(F.sort_array("ms").alias("ms")).where(n > 1)
-        first = F.size(F.filter("ms", lambda m: m["asked"]))
-
-        def visit(acc, p):
-            i, j = (p / n).cast("int"), (p % n).cast("int")
-            li, lj = F.get(acc, i), F.get(acc, j)
-            low, high = F.least(li, lj), F.greatest(li, lj)
-            merge = F.transform(acc, lambda c: F.when(c == high, low).otherwise(c))
-            open_ = (j > i) & (li != lj)
-            return F.when(F.when(open_, linked(F.get("ms", i), F.get("ms", j))).otherwise(F.lit(False)), merge).otherwise(acc)
-
-        label = F.aggregate(F.sequence(F.lit(0), first * n - 1), F.sequence(F.lit(0), n - 1), visit)
-        ends = F.transform(label, lambda c, i: F.struct(F.get("ms", i)["id"].alias("a"), F.get("ms", c)["id"].alias("b")))
+        # asked lines come first; each is compared with all lines of the block that
+        # follow it, or, if only some are asked, with those that are not
+        rows = rows.select(F.sort_array("ms").alias("ms")).where(F.size("ms") > 1)
+        rows = rows.select(F.transform("ms", lambda m, i: F.struct(i.alias("i"), m.alias("m"))).alias("ms"))
+
+        def visit(acc, x, y):
+            li, lj = F.get(acc, x["i"]), F.get(acc, y["i"])
+            merge = F.transform(acc, lambda c: F.when(c == F.greatest(li, lj), F.least(li, lj)).otherwise(c))
+            hit = F.when((y["i"] > x["i"]) & (li != lj), linked(x["m"], y["m"])).otherwise(F.lit(False))
+            return F.when(hit, merge).otherwise(acc)
+
+        others = F.col("ms") if asked is None else F.filter("ms", lambda y: ~y["m"]["asked"])
+        label = F.aggregate(
+            F.filter("ms", lambda x: x["m"]["asked"]), F.sequence(F.lit(0), F.size("ms") - 1),
+            lambda acc, x: F.aggregate(others, acc, lambda inner, y: visit(inner, x, y)))
+        ends = F.transform(label, lambda c, i: F.struct(F.get("ms", i)["m"]["id"].alias("a"), F.get("ms", c)["m"]["id"].alias("b")))
         return rows.select(F.explode(F.filter(ends, lambda e: e["a"] != e["b"])).alias("p")).select("p.a", "p.b")
 
     return verify

@@ -208,7 +208,8 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
 
         try:
             for batch in batches:
-                for r in batch.to_pylist():
+                # a few rows at a time become Python objects
+                for r in (r for k in range(0, batch.num_rows, 64) for r in batch.slice(k, 64).to_pylist()):
                     if out is None:
                         out, n, size = fs.open_output_stream(f"{name}-{part}.tmp"), 0, len(lead)
                         out.write(lead)

@@ -72,3 +72,22 @@ def test_bounds_and_empty_tables(spark):
     assert all(math.isfinite(r["score"]) for r in cross_entropy_difference(docs, none).collect())
     assert all(math.isfinite(r["score"]) for r in cross_entropy_difference(docs, docs, vocabulary=2, model=1).collect())
     assert cross_entropy_difference(docs.where("false"), docs).count() == 0
+
+
+def test_models_have_no_size_limit(spark):
+    # 80,000 words, each of which has evidence: more than the 65,000 of a capped vocabulary
+    texts = [f"a{i % 40_000} b{i % 40_000} a{i % 40_000}" for i in range(80_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    target = spark.createDataFrame([("a1 b1",)], "text string")
+    got = [r["loss_background"] for r in cross_entropy_difference(docs, target, keep=["doc_id"]).collect()]
+    # all documents have the same counts in the background, so none may be scored by back-off alone
+    assert len(got) == 80_000 and max(got) == pytest.approx(min(got))
+
+
+def test_joined_values_against_dictionaries(spark):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(BG)], "doc_id long, text string")
+    target, want = spark.createDataFrame([(t,) for t in TG], "text string"), _want([t for _, t in BG], TG)
+    for r in cross_entropy_difference(docs, target, hot=1, hot_rows=1).collect():
+        n, lt, lb = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        assert not n or (r["loss_target"], r["loss_background"]) == pytest.approx((lt, lb), rel=1e-9)

@@ -1,19 +1,22 @@
 """Operator 1: cross-entropy difference scores from matched n-gram models.
 
 Two bigram models, of a target and of a background corpus, share one vocabulary
-(the most frequent words of both, everything else is one unknown word), one
-order, one discount and one way of backing off, so that the loss of a token
-under the one can be compared with its loss under the other.  A document's
-score is the mean over its tokens of loss(target) - loss(background), in bits:
-the lower, the more it is like the target.
-
-Counts cover both corpora whole.  Every task counts its own words and bigrams
-and hands over the distinct ones; the sums are one aggregation each, whose size
-follows the input.  Target counts are scaled to the background's size before
-the two are compared ("matched"), and the model keeps the vocabulary_size words
-and at most model_size bigrams of the highest matched counts; bigrams that are
-not kept are scored through their words, with the mass that the kept ones leave.
-So what reaches the tasks for scoring has a fixed size (two numbers a bigram).
+(the words of both, those without evidence are one unknown word), one order,
+one discount and one way of backing off, so that the loss of a token under the
+one can be compared with its loss under the other.  A document's score is the
+mean over its tokens of loss(target) - loss(background), in bits: the lower,
+the more it is like the target.
+
+Counts cover both corpora whole, and so do the models: target counts are scaled
+to the background's size ("matched"), and every word and every bigram of a
+matched count of MIN_COUNT at least belongs to them, however many those are.
+All tables stay on Spark.  As
+
+    -log2(part(v, w) + back(v) p1(w)) = -log2 back(v) - log2 p1(w) - log2(1 + part(v, w) / (back(v) p1(w))),
+
+a document's loss is a sum of values of its words and of its bigrams.  Values
+of the most frequent ones are broadcast (a fixed number, so that no key of the
+join is hot); the other words and bigrams of a document are joined with theirs.
 """
 
 from __future__ import annotations
@@ -24,149 +27,257 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textbench.llm.common import materialise, row_slices, text_buffers
+from textbench.llm.common import FILTER_BITS, int64_list, materialise, row_slices, text_buffers, unused_name
 from textbench.llm.words import U64, WordScanner
 
-VOCABULARY = 65_000
-MODEL = 1 << 20
 DISCOUNT = 0.75
 MIN_COUNT = 2  # a matched count below this is no evidence; it may be the scored text's own
 FLUSH = 1 << 20  # distinct entries that a task counts before it hands them over
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]):
-    k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
-
-
-def _count(docs: DataFrame, extract) -> DataFrame:
-    """key, n: partial sums of what ``extract(hashes, first)`` returns."""
+HOT = 1 << 20  # values that are broadcast, not joined; changes no result
+HOT_ROWS = 1 << 16  # rows of a table that are joined by broadcast; changes no result
+BEGIN, UNKNOWN = 1, 2  # in place of a word's hash
+INNER, LAST = 1, 2  # in place of a bigram's second word: the value of a word in a text, and at its end
+
+
+def pair_hash(v: np.ndarray, w) -> np.ndarray:
+    """What Spark's ``xxhash64(v, w)`` gives for two longs."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                           0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(v), 42, U64)
+    for x in (v, np.broadcast_to(np.asarray(w, U64), v.shape)):
+        x = x * p2
+        h = (h + p5 + U64(8)) ^ (((x << U64(31)) | (x >> U64(33))) * p1)
+        h = ((h << U64(27)) | (h >> U64(37))) * p1 + p4
+        h = (h ^ (h >> U64(33))) * p2
+        h = (h ^ (h >> U64(29))) * p3
+        h = h ^ (h >> U64(32))
+    return h
+
+
+def _fold(keys, cols, counts):
+    """Rows of equal key as one: their first ``cols``, the sums of their ``counts``."""
+    k, at, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    cols = [np.concatenate(c)[at] for c in zip(*cols)]
+    return k, cols, [np.bincount(inv, np.concatenate(c), len(k)).astype(np.int64) for c in zip(*counts)]
+
+
+def _count(docs: DataFrame, extract, schema: str) -> DataFrame:
+    """Partial sums of the rows (key, columns, counts) that ``extract()(hashes, first)`` returns."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         scanner = WordScanner("space")
-        state = extract()
-        keys, counts, held = [], [], 0
+        state, finish = extract()
+        keys, cols, counts, held = [], [], [], 0
+
+        def rows(k, c, n):
+            out = [x.view(np.int64) for x in finish(k, c)] + n
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
             for i, j in row_slices(offsets):
-                found = state(*scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
-                k, n = np.unique(found, return_counts=True)
+                k, c, n = _fold(*([x] for x in state(*scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))))
                 keys.append(k)
+                cols.append(c)
                 counts.append(n)
                 held += len(k)
                 if held > 2 * FLUSH:
-                    k, n = _summed(keys, counts)
-                    keys, counts, held = [k], [n], len(k)
+                    k, c, n = _fold(keys, cols, counts)
+                    keys, cols, counts, held = [k], [c], [n], len(k)
                     if held > FLUSH:
-                        yield pa.RecordBatch.from_pydict({"key": k.view(np.int64), "n": n})
-                        keys, counts, held = [], [], 0
+                        yield rows(k, c, n)
+                        keys, cols, counts, held = [], [], [], 0
         if keys:
-            k, n = _summed(keys, counts)
-            yield pa.RecordBatch.from_pydict({"key": k.view(np.int64), "n": n})
+            yield rows(*_fold(keys, cols, counts))
+
+    return docs.select("text").mapInArrow(run, schema)
 
-    return docs.select("text").mapInArrow(run, "key long, n long")
 
+def _both(background: DataFrame, target: DataFrame, extract, schema: str, keys: list[str], counts: list[str]) -> DataFrame:
+    """Sums of ``counts`` by ``keys``, as b_... of the background and t_... of the target."""
+    zero = F.lit(0).cast("long")
 
-def _both(background: DataFrame, target: DataFrame, extract) -> DataFrame:
-    parts = _count(background, extract).select("key", F.col("n").alias("b"), F.lit(0).cast("long").alias("t")).unionAll(
-        _count(target, extract).select("key", F.lit(0).cast("long").alias("b"), F.col("n").alias("t")))
-    return parts.groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    def side(df, name):
+        return _count(df, extract, schema).select(*keys, *[
+            (F.col(c) if m == name else zero).alias(f"{m}_{c}") for c in counts for m in "bt"])
 
+    return side(background, "b").unionAll(side(target, "t")).groupBy(*keys).agg(
+        *[F.sum(f"{m}_{c}").alias(f"{m}_{c}") for c in counts for m in "bt"])
 
-def _largest(counts: DataFrame, ratio: float, size: int) -> DataFrame:
-    """The rows of the highest matched count b + ratio * t, MIN_COUNT at least: the
-    lowest bound whose rows are at most ``size``, found from a histogram of rounded-down
+
+def _hottest(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` as the rows of the highest ``n`` (at most ``size``) and the others:
+    the lowest bound of which that holds, from a histogram of rounded-down
     logarithms (and of the values themselves, up to 1024)."""
-    value = F.col("b") + F.col("t") * F.lit(float(ratio))
-    step = F.when(value < 1024, F.floor(value)).otherwise(F.floor(F.log2(value) * 64) + 384)
-    counts = counts.where(value >= MIN_COUNT)
-    hist = sorted(counts.select(step.cast("long").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect(), reverse=True)
+    n = F.col("n")
+    step = F.when(n < 1024, n).otherwise(F.floor(F.log2(n.cast("double")) * 64) + 384)
+    hist = sorted(df.select(step.cast("long").alias("s")).groupBy("s").agg(F.count("*").alias("c")).collect(), reverse=True)
     total, low = 0, None
     for r in hist:
-        if total + r["n"] > size:
+        if total + r["c"] > size:
             break
-        total, low = total + r["n"], r["s"]
-    return counts.where(step >= low) if low is not None else counts.where(F.lit(False))
+        total, low = total + r["c"], r["s"]
+    if low is None:
+        return df.where(F.lit(False)), df
+    return df.where(step >= low), df.where(step < low)
+
+
+def _join(df: DataFrame, table: DataFrame, on: list[str], size: int = HOT_ROWS) -> DataFrame:
+    """Inner join; the rows of ``table`` with the highest ``n`` reach ``df`` by broadcast."""
+    hot, rest = _hottest(table, size)
+    cold = df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.drop("n"), on)
+    return df.join(F.broadcast(hot.drop("n")), on).unionByName(cold)
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A table of 2^FILTER_BITS bits, those of the hashes in ``keys`` set."""
+    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - FILTER_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    rows = keys.select(F.shiftright(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U64)
+    out[rows.column("at").to_numpy()] = rows.column("bit").to_numpy().view(U64)
+    return out
 
 
-class Vocabulary:
-    """Word hashes -> ids from 2; 0 begins a text, 1 is any other word."""
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> U64(64 - FILTER_BITS)
+    return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.ones(len(h), np.uint64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 2, 1).astype(np.uint64)
+def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``h`` in the sorted ``table``, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
 
-def bigram_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(previous << 32 | word) of every token; the first of a text follows 0."""
-    before = np.empty(len(ids), U64)
-    before[1:] = ids[:-1]
-    start = first[:-1][np.diff(first) > 0]
-    before[start] = 0
-    return (before << U64(32)) | ids
+def _before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word; BEGIN before the first of a text."""
+    v = np.empty(len(h), U64)
+    v[1:] = h[:-1]
+    v[first[:-1][np.diff(first) > 0]] = BEGIN
+    return v
 
 
-def fit(background: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, model: int = MODEL,
-        discount: float = DISCOUNT) -> dict:
-    """Both models as arrays over the shared vocabulary and the kept bigrams."""
-    spark = background.sparkSession
-    words = materialise(_both(background, target, lambda: lambda h, first: h), "lm-words")
-    size = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
-    nb, nt = float(size["b"] or 0), float(size["t"] or 0)
-    ratio = nb / nt if nt else 0.0
-    top = _largest(words, ratio, vocabulary).select("key").collect()
-    voc = Vocabulary(np.sort(np.array([r["key"] for r in top], np.int64).view(U64)))
-    shared = spark.sparkContext.broadcast(voc.words)
-
-    def pairs():
-        v = Vocabulary(shared.value)
-        return lambda h, first: bigram_keys(v.ids(h), first)
-
-    grams = materialise(_both(background, target, pairs), "lm-bigrams")
-    # how often each word occurs, and how often it has a successor
-    sums = grams.select(F.shiftrightunsigned("key", 32).alias("v"), F.col("key").bitwiseAND((1 << 32) - 1).alias("w"), "b", "t")
-    uni = {r["w"]: (r["b"], r["t"]) for r in sums.groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).collect()}
-    ctx = {r["v"]: (r["b"], r["t"]) for r in sums.groupBy("v").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).collect()}
-    kept = _largest(grams, ratio, model).select("key", "b", "t").toArrow()
-    key = kept.column("key").to_numpy().view(U64)
-    order = np.argsort(key)
-    key = key[order]
-    n = len(voc.words) + 2
-    out = {"words": voc.words, "key": key}
-    prev = (key >> U64(32)).astype(np.int64)
-    for m, name in enumerate(("b", "t")):
-        c1 = np.array([uni.get(i, (0, 0))[m] for i in range(n)], np.float64)
-        cv = np.array([ctx.get(i, (0, 0))[m] for i in range(n)], np.float64)
-        p1 = (c1 + 1) / (c1.sum() + n - 1)  # add one; id 0 is never a word
-        count = kept.column(name).to_numpy()[order].astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part = np.where(cv[prev] > 0, np.maximum(count - discount, 0) / cv[prev], 0.0)
-        back = 1.0 - np.bincount(prev, weights=part, minlength=n)
-        out[name] = {"p1": p1.astype(np.float32), "back": np.maximum(back, 1e-12).astype(np.float32),
-                     "part": part.astype(np.float32)}
-    return out
+def _last(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    last = np.zeros(len(h), bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    return last
+
+
+def _top(counts: DataFrame, value, size: int | None, keys: list[str]) -> DataFrame:
+    """The rows of a matched count of MIN_COUNT at least; if the caller asks for
+    fewer, the ``size`` highest (the smaller key first among equal ones)."""
+    rows = counts.where(value >= MIN_COUNT)
+    return rows if size is None else rows.orderBy(value.desc(), *keys).limit(size)
 
 
-def losses(model: dict, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits per token under the background and the target model."""
-    prev = (keys >> U64(32)).astype(np.int64)
-    word = ids.astype(np.int64)
-    if len(model["key"]):
-        at = np.minimum(np.searchsorted(model["key"], keys), len(model["key"]) - 1)
-        has = model["key"][at] == keys
-    out = []
-    for name in ("b", "t"):
-        m = model[name]
-        p = m["back"][prev].astype(np.float64) * m["p1"][word]
-        if len(model["key"]):
-            p = p + np.where(has, m["part"][at], 0)
-        out.append(-np.log2(p))
-    return out[0], out[1]
+def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None, model: int | None = None,
+        discount: float = DISCOUNT, hot: int = HOT, hot_rows: int = HOT_ROWS) -> dict:
+    """Both models as a table of values (key, n, b, t), and what holds for words that are not in it."""
+    spark = background.sparkSession
+
+    def words_of():
+        def found(h, first):
+            last = _last(h, first)
+            return h, [], [np.ones(len(h), np.int64), last.astype(np.int64)]
+
+        return found, lambda k, c: [k]
+
+    words = materialise(_both(background, target, words_of, "v long, n long, last long", ["v"], ["n", "last"]), "lm-words")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b_n", "t_n", "b_last", "t_last")]
+    size = words.agg(*sums).first()
+    ratio = float(size["b_n"]) / size["t_n"] if size["t_n"] else 0.0
+    matched = F.col("b_n") + F.col("t_n") * F.lit(ratio)
+    total = F.col("b_n") + F.col("t_n")
+    voc = _top(words, matched, vocabulary, ["v"])
+    voc = voc if vocabulary is None else materialise(voc, "lm-vocabulary")
+    others = words.where(matched < MIN_COUNT) if vocabulary is None else words.join(voc.select("v"), "v", "left_anti")
+    others = others.select("v")
+    n_voc = voc.agg(F.count("*").alias("n"), *sums).first()
+    common = _hottest(voc.withColumn("n", total), hot_rows)[0].select("v").toArrow().column("v").to_numpy()
+    shared = spark.sparkContext.broadcast((_bits(others), np.sort(common.view(U64))))
+
+    def pairs_of():
+        bits, known = shared.value
+
+        def found(h, first):
+            v = _before(h, first)
+            return pair_hash(v, h), [v, h], [np.ones(len(h), np.int64)]
+
+        def finish(k, cols):
+            # which of the two words may be unknown: 1 the first, 2 the second
+            v, w = ((_maybe(bits, x) & ~_find(known, x)[1] & (x != BEGIN)).astype(U64) for x in cols)
+            return [*cols, v + U64(2) * w]
+
+        return found, finish
+
+    grams = _both(background, target, pairs_of, "v long, w long, open long, n long", ["v", "w", "open"], ["n"])
+    grams = materialise(grams.where((matched >= MIN_COUNT) | (F.col("open") > 0)), "lm-bigrams")
+    # bigrams of which a word may be unknown: v1, w1 are the words as the models know them
+    unknown = F.lit(UNKNOWN).cast("long")
+    asked = grams.where(F.col("open") > 0)
+    for c, bit in (("v", 1), ("w", 2)):
+        mine = asked.where(F.col("open").bitwiseAND(bit) > 0)
+        rest = asked.where(F.col("open").bitwiseAND(bit) == 0).withColumn(f"{c}1", F.col(c))
+        mine = mine.join(others.select(F.col("v").alias(c), unknown.alias(f"{c}1")), c, "left").withColumn(
+            f"{c}1", F.coalesce(f"{c}1", c))
+        asked = materialise(mine.unionByName(rest), f"lm-open-{c}")
+    is_open = (F.col("v1") == UNKNOWN) | (F.col("w1") == UNKNOWN)
+    counts = grams.where(F.col("open") == 0).select("v", "w", "b_n", "t_n").unionAll(
+        asked.where(~is_open).select("v", "w", "b_n", "t_n")).unionAll(
+        asked.where(is_open).groupBy(F.col("v1").alias("v"), F.col("w1").alias("w")).agg(
+            F.sum("b_n").alias("b_n"), F.sum("t_n").alias("t_n")))
+    kept = materialise(_top(counts, matched, model, ["v", "w"]), "lm-kept")
+
+    # of each word: the share that its kept successors leave, and its own probability
+    zero = F.lit(0.0)
+    parts = {m: F.greatest(F.col(f"{m}_n") - discount, zero) for m in "bt"}
+    given = kept.groupBy("v").agg(*[F.sum(parts[m]).alias(f"{m}_given") for m in "bt"])
+    left = {c: size[c] - n_voc[c] for c in ("b_n", "t_n", "b_last", "t_last")}
+    fixed = spark.createDataFrame([(BEGIN, 0, 0, -size["b_last"], -size["t_last"]),
+                                   (UNKNOWN, left["b_n"], left["t_n"], left["b_last"], left["t_last"])],
+                                  "v long, b_n long, t_n long, b_last long, t_last long")
+    of = voc.select(*fixed.columns).unionAll(fixed).join(given, "v", "left")
+    cols = [F.col("v"), total.alias("n")]
+    for m in "bt":
+        ctx = F.col(f"{m}_n") - F.col(f"{m}_last")
+        back = F.when(ctx > 0, 1.0 - F.coalesce(f"{m}_given", zero) / F.when(ctx > 0, ctx)).otherwise(1.0)
+        cols += [ctx.alias(f"{m}_ctx"), F.greatest(back, F.lit(1e-12)).alias(f"{m}_back"),
+                 ((F.col(f"{m}_n") + 1) / F.lit(float(size[f"{m}_n"] + n_voc["n"] + 1))).alias(f"{m}_p")]
+    of = materialise(of.select(*cols), "lm-word-values")
+    base = {r["v"]: r for r in of.where(F.col("v").isin(BEGIN, UNKNOWN)).collect()}
+
+    rows = kept.withColumn("count", total)
+    rows = _join(rows, of.select("v", "n", *[f"{m}_{c}" for c in ("ctx", "back") for m in "bt"]), ["v"], hot_rows)
+    rows = _join(rows, of.select(F.col("v").alias("w"), "n", "b_p", "t_p"), ["w"], hot_rows)
+    gain = {m: -F.log2(1.0 + F.when(F.col(f"{m}_ctx") > 0, parts[m] / F.when(F.col(f"{m}_ctx") > 0, F.col(f"{m}_ctx"))).otherwise(0.0)
+                       / (F.col(f"{m}_back") * F.col(f"{m}_p"))) for m in "bt"}
+    rows = materialise(rows.select("v", "w", F.col("count").alias("n"), gain["b"].alias("b"), gain["t"].alias("t")), "lm-bigram-values")
+
+    key = F.xxhash64("v", "w")
+    closed = rows.where((F.col("v") != UNKNOWN) & (F.col("w") != UNKNOWN)).select(key.alias("key"), "n", "b", "t")
+    opened = asked.where(is_open).select(key.alias("key"), F.col("v1").alias("v"), F.col("w1").alias("w"), total.alias("count"))
+    opened = _join(opened, rows.where((F.col("v") == UNKNOWN) | (F.col("w") == UNKNOWN)), ["v", "w"], hot_rows)
+    opened = opened.select("key", F.col("count").alias("n"), "b", "t")
+    loss = {}
+    for m in "bt":
+        u = base[UNKNOWN]
+        loss[m] = {"begin": -np.log2(base[BEGIN][f"{m}_back"]), "back": -np.log2(u[f"{m}_back"]), "word": -np.log2(u[f"{m}_p"])}
+    known = of.where((F.col("v") != BEGIN) & (F.col("v") != UNKNOWN))
+    single = []
+    for at in (INNER, LAST):
+        value = [(-F.log2(f"{m}_p") - F.lit(float(loss[m]["word"])) + (
+            -F.log2(f"{m}_back") - F.lit(float(loss[m]["back"])) if at == INNER else zero)).alias(m) for m in "bt"]
+        single.append(known.select(F.xxhash64("v", F.lit(at).cast("long")).alias("key"), "n", *value))
+    values = materialise(closed.unionAll(opened).unionAll(single[0]).unionAll(single[1]), "lm-values")
+    top, rest = _hottest(values, hot)
+    top = top.select("key", "b", "t").toArrow()
+    at = np.argsort(top.column("key").to_numpy().view(U64))
+    return {"loss": loss, "key": top.column("key").to_numpy().view(U64)[at], "bits": _bits(rest.select("key")),
+            "rest": rest.select("key", "b", "t"), **{m: top.column(m).to_numpy()[at] for m in "bt"}}
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str = "text", target_text: str = "text",
@@ -179,38 +290,58 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
     wordless text has n_tokens 0 and null losses and score.  Repeated rows count
     each time.  An empty target leaves its model uniform over the vocabulary;
     empty documents give an empty result.  Extra columns pass through; those
-    named like a result are left out.
+    named like a result are left out.  ``vocabulary`` and ``model`` ask for
+    smaller models (the words and bigrams of the highest matched counts).
     """
     results = ["n_tokens", "loss_target", "loss_background", "score"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     text = F.col(f"`{text_col}`")
-    model = docs.sparkSession.sparkContext.broadcast(
-        fit(docs.select(text.alias("text")), target.select(F.col(f"`{target_text}`").alias("text")), **options))
+    model = fit(docs.select(text.alias("text")), target.select(F.col(f"`{target_text}`").alias("text")), **options)
+    rest = model.pop("rest")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("n_tokens"))
+    tail, rid = unused_name(source, "tail"), unused_name(source, "rid")
     schema = T.StructType(source.schema.fields[:-1])
     schema = schema.add("n_tokens", "long").add("loss_target", "double").add("loss_background", "double")
+    schema = schema.add(tail, T.ArrayType(T.LongType(), False))
 
     def run(batches):
-        m = model.value
-        scanner, voc = WordScanner("space"), Vocabulary(m["words"])
+        m = shared.value
+        scanner = WordScanner("space")
         for batch in batches:
             offsets, data = text_buffers(batch.column(batch.num_columns - 1))
-            n, t, b = [], [], []
+            n, sums, open_keys, open_counts = [], {"t": [], "b": []}, [], []
             for i, j in row_slices(offsets):
                 h, first = scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                ids = voc.ids(h)
-                lb, lt = losses(m, ids, bigram_keys(ids, first))
                 size = np.diff(first)
                 n.append(size)
-                for loss, out in ((lb, b), (lt, t)):
-                    total = np.concatenate(([0.0], np.cumsum(loss)))
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        out.append((total[first[1:]] - total[first[:-1]]) / size)
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            size = cat(n).astype(np.int64)
+                # the values of a word stand beside each other: its bigram's and its own
+                keys = np.empty(2 * len(h), U64)
+                keys[::2] = pair_hash(_before(h, first), h)
+                keys[1::2] = pair_hash(h, np.where(_last(h, first), U64(LAST), U64(INNER)))
+                at, has = _find(m["key"], keys)
+                for name, out in sums.items():
+                    value = np.where(has, m[name][at], 0.0) if len(m["key"]) else np.zeros(len(keys))
+                    total = np.concatenate(([0.0], np.cumsum(value)))
+                    c = m["loss"][name]
+                    out.append(total[2 * first[1:]] - total[2 * first[:-1]] + c["begin"] + c["word"] * size + c["back"] * (size - 1))
+                wanted = ~has & _maybe(m["bits"], keys)
+                upto = np.concatenate(([0], np.cumsum(wanted)))
+                open_keys.append(keys[wanted])
+                open_counts.append(upto[2 * first[1:]] - upto[2 * first[:-1]])
+            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
             cols = [batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(size), pa.array(cat(t), mask=size == 0), pa.array(cat(b), mask=size == 0)],
-                names=schema.fieldNames())
-
-    return source.mapInArrow(run, schema).withColumn("score", F.col("loss_target") - F.col("loss_background"))
+                [*cols, pa.array(cat(n, np.int64).astype(np.int64)), pa.array(cat(sums["t"], float)), pa.array(cat(sums["b"], float)),
+                 int64_list(cat(open_keys, U64), cat(open_counts, np.int64))], names=schema.fieldNames())
+
+    # written once, so that row ids stay
+    rows = materialise(source.mapInArrow(run, schema).withColumn(rid, F.monotonically_increasing_id()), "lm-scored")
+    found = rows.select(F.col(rid).alias("rid"), F.explode(tail).alias("key")).join(rest, "key").groupBy("rid").agg(
+        F.sum("b").alias("b"), F.sum("t").alias("t"))
+    more = materialise(found, "lm-tails").toDF(rid, unused_name(rows, "more_b"), unused_name(rows, "more_t"))
+    out = rows.join(more, rid, "left")
+    for c, extra in (("loss_target", more.columns[2]), ("loss_background", more.columns[1])):
+        out = out.withColumn(c, F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(extra, F.lit(0.0))) / F.col("n_tokens")))
+    out = out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *results)

@@ -79,3 +79,26 @@ def test_documents_against_plain_code(spark):
     files = [tuple(r) for r in df.collect()]
     _check(df, files)
     assert "Python" not in license_scan(df)._jdf.queryExecution().toString()
+
+
+def test_notices_without_an_anchor_word(spark):
+    """Passages and licence files whose wording has none of ANCHORS: cosines of all of them, by plain code."""
+    filler = "words licensed or released under nothing in particular " * 30
+    files = [(1, "a/LICENSE", "CC BY 4.0"), (2, "a/x.py", filler), (3, "b/COPYING", "CC BY-NC 4.0"), (4, "b/c/x.py", filler),
+             (5, "c/x.py", filler + "\nReleased under the MIT\n"), (6, "d/x.py", "GNU General Public, version 3"), (7, "e/x.py", filler)]
+    files += [(10 + i, f"f/{i}.py", filler) for i in range(10)]
+    got = {r["file_id"]: (r["license"], r["found"]) for r in
+           license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    df = Counter(t for _, _, text in files for t in set(_terms(text)))
+
+    def vec(text):
+        w = {t: c * (math.log((1 + len(files)) / (1 + df[t])) + 1) for t, c in Counter(_terms(text)).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    for i, path, text in files:
+        cand = [s for line in text.split("\n") for s in re.split(r"(?<=[.!?;])[ \t]+", line)] + ([text] if re.search(LICENCE_FILE, path) else [])
+        best = max(((sum(w * vec(t).get(x, 0) for x, w in vec(c).items()), -k, n) for c in cand for k, (n, t) in enumerate(TEMPLATES)))
+        assert (got[i][1] == "own") == (best[0] >= 0.7) and (best[0] < 0.7 or got[i][0] == best[2])
+    assert got[1] == ("CC-BY-4.0", "own") and got[2] == ("CC-BY-4.0", "inherited") and got[4] == ("CC-BY-NC-4.0", "inherited")
+    assert got[5] == ("MIT", "own")

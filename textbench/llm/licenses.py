@@ -1,11 +1,13 @@
 """Operator 9: licence scan of files, in DataFrame operations only.
 
-Whole texts are cut into passages (sentences of lines).  A passage that has an
-anchor word of licence texts is a header candidate; of a licence file (LICENSE,
-LICENCE, COPYING, NOTICE, with any suffix) that has one, the whole text is one
-more.  Every candidate and every template is a sparse TF-IDF vector, the
-document frequencies of its words being counted over all files (other words
-are left out of the count before its shuffle, by a bit table of fixed size); a file's own licence is the template
+Whole texts are cut into passages (sentences of lines); of a licence file
+(LICENSE, LICENCE, COPYING, NOTICE, with any suffix) the whole text is one more.
+Every passage and every template is a sparse TF-IDF vector, the document
+frequencies of template words being counted over all files first.  A passage is
+a candidate if it has a word of some template's prefix: its heaviest words, as
+many as leave the others a length below the threshold.  A passage without any
+of them has a cosine below it, whatever else it holds, so none is lost.  Only
+candidates' other words are counted too; a file's own licence is the template
 of the highest cosine, if that reaches the threshold.  Files without one take
 the licence of the nearest directory above them that has a licence file: the
 directories of a path are exploded and joined with those of licence files.
@@ -36,7 +38,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
-ANCHORS = "licen[cs]e|permission|redistribution"
+ANCHORS = "licen[cs]e|permission|redistribution"  # words by which most notices are known; not what is scanned
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.\-_][^/]*)?$"
 
 
@@ -54,33 +56,55 @@ def _vectors(terms: DataFrame, keys: list[str], df: DataFrame, n_files: int) ->
     return w.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _frequencies(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, n: the files that have it, of the distinct terms ``asked``."""
+    used = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).withColumn("k", F.xxhash64("term"))
+    used = maybe_in(used, "k", asked.select(F.xxhash64("term").alias("k")))
+    return used.groupBy("term").agg(F.count("*").alias("n")).join(asked, "term", "left_semi")
+
+
+def _prefixes(vectors: list, threshold: float) -> list[str]:
+    """Of each template (t, term, w; unit length) the heaviest terms: those after
+    them have a length below ``threshold``, so (Cauchy-Schwarz) a cosine too."""
+    out = set()
+    for t in {r["t"] for r in vectors}:
+        rest = sorted(((r["w"], r["term"]) for r in vectors if r["t"] == t))
+        total = 0.0
+        for w, term in rest:
+            total += w * w
+            if total >= threshold * threshold * (1 - 1e-9):
+                out.add(term)
+    return sorted(out)
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``files`` (rid, path, text) -> rid, license, score of the files with a licence of their own."""
     spark: SparkSession = files.sparkSession
     n_files = files.count()
+    fixed = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
+    words = fixed.select("t", F.explode(_terms(F.col("text"))).alias("term"))
+    known = materialise(_frequencies(files, words.select("term").distinct()), "license-template-df")
+    theirs = materialise(_vectors(words, ["t"], known, n_files).join(fixed.select("t", "license"), "t"), "license-templates")
+    # as many as the templates have words
+    prefix = F.array(*[F.lit(x) for x in _prefixes(theirs.select("t", "term", "w").collect(), threshold)]).cast("array<string>")
+
+    def marked(passage):
+        return F.arrays_overlap(_terms(passage), prefix)
+
     sentence = F.flatten(F.transform(F.split("text", r"[\n\r]"), lambda line: F.split(line, r"(?<=[.!?;])[ \t]+")))
-    hit = files.where(F.lower("text").rlike(ANCHORS))
-    passages = hit.select("rid", F.posexplode(F.filter(
-        sentence, lambda s: F.lower(s).rlike(ANCHORS))).alias("no", "passage"))
+    hit = files.where(marked(F.col("text")))
+    passages = hit.select("rid", F.posexplode(sentence).alias("no", "passage"))
     whole = hit.where(F.col("path").rlike(LICENCE_FILE)).select(
         "rid", F.lit(-1).alias("no"), F.col("text").alias("passage"))
-    terms = passages.unionAll(whole).select("rid", "no", F.explode(_terms(F.col("passage"))).alias("term"))
+    cut = passages.unionAll(whole).select("rid", "no", _terms(F.col("passage")).alias("terms"))
+    terms = cut.where(F.arrays_overlap("terms", prefix)).select("rid", "no", F.explode("terms").alias("term"))
     terms = materialise(terms, "license-terms")
-
-    fixed = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
-    words = fixed.select("t", F.explode(_terms(F.col("text"))).alias("term"))
-    asked = terms.select("term").unionAll(words.select("term")).distinct()
-    used = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).withColumn("k", F.xxhash64("term"))
-    used = maybe_in(used, "k", asked.select(F.xxhash64("term").alias("k")))
-    df = used.groupBy("term").agg(F.count("*").alias("n")).join(asked, "term", "left_semi")
-    df = materialise(df, "license-df")
+    df = materialise(_frequencies(files, terms.select("term").distinct()), "license-df")
 
     mine = _vectors(terms, ["rid", "no"], df, n_files)
-    theirs = _vectors(words, ["t"], df, n_files)
-    theirs = materialise(theirs.join(fixed.select("t", "license"), "t"), "license-templates")
-    # as many rows as the templates have words
+    # as many rows as the templates have words; rounded, so that equal cosines are equal however they are summed
     dot = mine.join(F.broadcast(theirs.withColumnRenamed("w", "tw")), "term").groupBy("rid", "no", "t", "license").agg(
-        F.sum(F.col("w") * F.col("tw")).alias("score"))
+        F.round(F.sum(F.col("w") * F.col("tw")), 9).alias("score"))
     best = dot.where(F.col("score") >= threshold).groupBy("rid").agg(
         F.max(F.struct("score", (-F.col("t")).alias("first"), "license")).alias("best"))
     return best.select("rid", F.col("best.license").alias("license"), F.col("best.score").alias("score"))

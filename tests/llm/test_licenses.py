@@ -102,3 +102,24 @@ def test_notices_without_an_anchor_word(spark):
         assert (got[i][1] == "own") == (best[0] >= 0.7) and (best[0] < 0.7 or got[i][0] == best[2])
     assert got[1] == ("CC-BY-4.0", "own") and got[2] == ("CC-BY-4.0", "inherited") and got[4] == ("CC-BY-NC-4.0", "inherited")
     assert got[5] == ("MIT", "own")
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    import textwrap
+
+    filler = "\n".join(["words licensed or released under nothing in particular"] * 20)
+    named = [("MPL-2.0", TEMPLATES[6][1]), ("BSD-3-Clause", TEMPLATES[7][1]), ("MIT", TEMPLATES[2][1])]
+    files, want = [], []
+    for name, text in named:
+        for mark in ("# ", " * ", "// ", ""):
+            lines = textwrap.wrap(text, 70)
+            files.append((len(files), f"s/{len(files)}.py", "\n".join(mark + x for x in lines) + "\n\n" + filler))
+            want.append(name)
+    mit = [t for n, t in TEMPLATES if n == "MIT" and t.startswith("MIT License")][0]
+    files.append((len(files), "m/LICENSE", "MIT License\r\n\r\nCopyright (c) 2024 A. Name\r\n\r\n" + "\r\n".join(textwrap.wrap(mit[12:], 76))))
+    want.append("MIT")
+    files += [(100 + i, f"f/{i}.py", filler) for i in range(10)]
+    got = {r["file_id"]: r["own_license"] for r in
+           license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert not any(got[100 + i] for i in range(10))

@@ -1,10 +1,11 @@
 """Operator 9: licence scan of files, in DataFrame operations only.
 
-Whole texts are cut into passages (sentences of lines); of a licence file
+Whole texts are cut into passages: sentences of lines, paragraphs of several
+lines (joined, without comment marks) and their sentences; of a licence file
 (LICENSE, LICENCE, COPYING, NOTICE, with any suffix) the whole text is one more.
 Every passage and every template is a sparse TF-IDF vector, the document
 frequencies of template words being counted over all files first.  A passage is
-a candidate if it has a word of some template's prefix: its heaviest words, as
+a candidate if it has a word of some template's prefix: its rarest words, as
 many as leave the others a length below the threshold.  A passage without any
 of them has a cosine below it, whatever else it holds, so none is lost.  Only
 candidates' other words are counted too; a file's own licence is the template
@@ -22,6 +23,34 @@ from textbench.llm.common import materialise, maybe_in, pick
 
 THRESHOLD = 0.7
 
+# whole licence texts
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions:")
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+    "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+    "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY "
+    "THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+    "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+    "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
 # fixed values: notices by which licences are commonly declared, and words of which each has one
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -37,6 +66,15 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    # the opening words of long licence texts
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MIT", _MIT),
+    ("MIT", f"MIT License {_MIT} {_MIT_REST}"),
+    ("BSD-3-Clause", _BSD),
 ]
 ANCHORS = "licen[cs]e|permission|redistribution"  # words by which most notices are known; not what is scanned
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.\-_][^/]*)?$"
@@ -64,19 +102,33 @@ def _frequencies(files: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _prefixes(vectors: list, threshold: float) -> list[str]:
-    """Of each template (t, term, w; unit length) the heaviest terms: those after
-    them have a length below ``threshold``, so (Cauchy-Schwarz) a cosine too."""
+    """Of each template (t, term, w, n; unit length) the rarest terms: the others,
+    most frequent first, have a length below ``threshold``, so (Cauchy-Schwarz) a
+    cosine too."""
     out = set()
     for t in {r["t"] for r in vectors}:
-        rest = sorted(((r["w"], r["term"]) for r in vectors if r["t"] == t))
         total = 0.0
-        for w, term in rest:
+        for n, term, w in sorted(((r["n"], r["term"], r["w"]) for r in vectors if r["t"] == t), reverse=True):
             total += w * w
-            if total >= threshold * threshold * (1 - 1e-9):
+            if total >= threshold * threshold * (1 - 1e-6):
                 out.add(term)
     return sorted(out)
 
 
+def _sentences(text) -> F.Column:
+    return F.split(text, r"(?<=[.!?;])[ \t]+")
+
+
+def _passages(text) -> F.Column:
+    """Sentences of lines, paragraphs of several lines and their sentences."""
+    lines = F.flatten(F.transform(F.split(text, r"[\n\r]"), _sentences))
+    bare = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)[ \t]*(?:\*+/|-->)?[ \t]*$", "")
+    bare = F.regexp_replace(bare, r"(?m)^[ \t]*(?:<!--|/\*+|\*+|//+!?|#+|--+|;+|%+|\"{3}|'{3})?[ \t]*", "")
+    blocks = F.filter(F.split(bare, r"\n(?:[ \t]*\n)+"), lambda b: b.contains("\n"))
+    blocks = F.transform(blocks, lambda b: F.regexp_replace(b, r"\n", " "))
+    return F.array_distinct(F.concat(lines, blocks, F.flatten(F.transform(blocks, _sentences))))
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``files`` (rid, path, text) -> rid, license, score of the files with a licence of their own."""
     spark: SparkSession = files.sparkSession
@@ -85,15 +137,15 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     words = fixed.select("t", F.explode(_terms(F.col("text"))).alias("term"))
     known = materialise(_frequencies(files, words.select("term").distinct()), "license-template-df")
     theirs = materialise(_vectors(words, ["t"], known, n_files).join(fixed.select("t", "license"), "t"), "license-templates")
-    # as many as the templates have words
-    prefix = F.array(*[F.lit(x) for x in _prefixes(theirs.select("t", "term", "w").collect(), threshold)]).cast("array<string>")
+    # as many rows as the templates have words
+    weighed = theirs.join(known, "term", "left").select("t", "term", "w", F.coalesce("n", F.lit(0)).alias("n"))
+    prefix = F.array(*[F.lit(x) for x in _prefixes(weighed.collect(), threshold)]).cast("array<string>")
 
     def marked(passage):
         return F.arrays_overlap(_terms(passage), prefix)
 
-    sentence = F.flatten(F.transform(F.split("text", r"[\n\r]"), lambda line: F.split(line, r"(?<=[.!?;])[ \t]+")))
     hit = files.where(marked(F.col("text")))
-    passages = hit.select("rid", F.posexplode(sentence).alias("no", "passage"))
+    passages = hit.select("rid", F.posexplode(_passages(F.col("text"))).alias("no", "passage"))
     whole = hit.where(F.col("path").rlike(LICENCE_FILE)).select(
         "rid", F.lit(-1).alias("no"), F.col("text").alias("passage"))
     cut = passages.unionAll(whole).select("rid", "no", _terms(F.col("passage")).alias("terms"))

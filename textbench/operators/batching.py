@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +22,7 @@ def batch_plan(df: DataFrame, key: str, batch_size: int, epochs: int, seed: int
     ep = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     # one global order over (epoch, hash): epoch in the high bits
     ep = ep.withColumn("__ok", F.col("epoch").cast("long") * F.lit(1 << 32) + hash_bits(seed, F.col("epoch"), F.col(key)))
-    # coarse groups: the top ~20 bits of (epoch, hash), so the histogram
-    # stays below ~2^20 rows whatever the number of epochs
-    shift = 12 + max(0, math.ceil(math.log2(max(epochs, 1))))
-    ranked = two_level_rank(ep, "__ok", key, "__r", coarse=F.shiftright(F.col("__ok"), shift), total_col="__nn")
+    ranked = two_level_rank(ep, "__ok", key, "__r", total_col="__nn")
     n = F.col("__nn") / F.lit(epochs)
     pos = F.col("__r") - F.col("epoch") * n
     spe = F.ceil(n / F.lit(batch_size))
@@ -62,7 +57,7 @@ def pad_batches(df: DataFrame, batch_col: str, tokens_col: str, pad_id: int = 0,
 def length_bucketed_batches(df: DataFrame, key: str, length_col: str, batch_size: int) -> DataFrame:
     """BAT3: batches of rows with similar length (rank by length // size);
     adds ``batch_id`` and ``padding`` (tokens wasted by padding this row)."""
-    ranked = two_level_rank(df, length_col, key, "__r", once=True)
+    ranked = two_level_rank(df, length_col, key, "__r")
     out = ranked.withColumn("batch_id", F.floor(F.col("__r") / batch_size).cast("long")).drop("__r")
     w = Window.partitionBy("batch_id")
     return out.withColumn("padding", (F.max(length_col).over(w) - F.col(length_col)).cast("long"))

@@ -5,23 +5,19 @@ near-equal contiguous parts: part ``i`` holds ranks ``[i*n//b, (i+1)*n//b)``,
 so row of rank ``r`` lands in ``floor(((r + 1) * b - 1) / n)`` (``ntile``
 would put the larger parts first, which is not the same cut).
 
-Plan: the P2 histogram gives every order-preserving group its rank range.
-A group whose whole range falls into one bucket is labelled without knowing
-the rows' exact positions, in a map-only pass that feeds partial
-aggregation.  Only the at most ``b - 1`` groups that straddle a boundary
-(each at most ``target_rows`` rows) go through a window for exact ranks.
-No full-table shuffle or sort is needed.
+Plan: only (length, id) is ranked, by the range slices of P2.  The rows at
+which a bucket begins (at most ``b`` per experiment) are all that the label of
+any other row needs, so the rows themselves are labelled in a map-only pass that
+feeds partial aggregation: no shuffle and no sort of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textbench.operators.bleu import bleu_from_sums, bleu_sums, STAT_COLS
-from textbench.operators.ranking import DEFAULT_TARGET_ROWS, RankLayout
-
-_C, _S = "__rk_coarse", "__rk_sub"
+from textbench.operators.ranking import DEFAULT_TARGET_ROWS, attach_cuts, label_at, rank_cuts
 
 
 def bucket_of(rank: Column, n: Column, b: Column) -> Column:
@@ -34,7 +30,6 @@ def label_by_rank(
     tiebreak: str,
     label_fn,
     label_col: str,
-    coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
     partition_cols: list[str] | None = None,
     keys: DataFrame | None = None,
@@ -42,37 +37,14 @@ def label_by_rank(
     """Add ``label_col = label_fn(rank, n)`` for a label that is monotone in
     the (key, tiebreak) rank (bucket numbers, split names by cut point).
 
-    The rank histogram is built from ``keys`` (default: the key columns of
-    ``df``; pass a cheap projection when ``df`` is expensive to compute).
-    Groups whose first and last rank get the same label need nothing more.
-    For the few groups that straddle a label boundary, the exact boundary
-    rows ("cuts", at most one per label change) are found by a window over
-    those groups' keys only.  ``df`` itself is then labelled in one map-side
-    pass against three broadcast tables (group stats, groups, cuts): the
-    rows are never shuffled or sorted.
+    The key columns (of ``keys``, by default ``df``; pass a cheap projection
+    when ``df`` is expensive to compute) are ranked alone, and only the first
+    row of each label goes on.  ``df`` is then labelled in one map-side pass
+    against those cuts: its rows are never shuffled or sorted.
     """
-    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
-    pc = layout.pc
-    n = F.col("__rk_total")
-    g = (layout.groups
-         .withColumn("__first", label_fn(F.col("__rk_off"), n))
-         .withColumn("__last", label_fn(F.col("__rk_off") + F.col("__rk_n") - 1, n)))
-    straddle = g.filter(F.col("__first") != F.col("__last")).select(*pc, _C, _S, "__rk_off", "__rk_total")
-    ranked = (layout.tag(layout.keys).join(F.broadcast(straddle), [*pc, _C, _S], "inner")
-              .withColumn("__r", F.col("__rk_off") + F.row_number().over(
-                  Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)) - 1))
-    cut_rows = ranked.withColumn("__lab", label_fn(F.col("__r"), n)).filter(
-        (F.col("__r") > F.col("__rk_off")) & (F.col("__lab") != label_fn(F.col("__r") - 1, n)))
-    cuts = cut_rows.groupBy(*pc, _C, _S).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(key).alias("k"), F.col(tiebreak).alias("t"), F.col("__lab").alias("lab")))).alias("__cuts"))
-    groups = g.join(cuts, [*pc, _C, _S], "left").select(*pc, _C, _S, "__first", "__last", "__cuts")
-    tagged = layout.tag(df).join(F.broadcast(groups), [*pc, _C, _S], "inner")
-    k, t = F.col(key), F.col(tiebreak)
-    walked = F.aggregate(
-        F.col("__cuts"), F.col("__first"),
-        lambda acc, c: F.when((k > c["k"]) | ((k == c["k"]) & (t >= c["t"])), c["lab"]).otherwise(acc))
-    label = F.when(F.col("__first") == F.col("__last"), F.col("__first")).otherwise(F.coalesce(walked, F.col("__first")))
-    return tagged.withColumn(label_col, label).drop(_C, _S, "__first", "__last", "__cuts")
+    pc = list(partition_cols or [])
+    cuts = rank_cuts(keys if keys is not None else df, key, tiebreak, label_fn, pc, target_rows)
+    return attach_cuts(df, cuts, pc).withColumn(label_col, label_at(F.col(key), F.col(tiebreak), F.col("__cuts"))).drop("__cuts")
 
 
 def assign_buckets(

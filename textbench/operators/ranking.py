@@ -1,25 +1,21 @@
 """Exact, dense, 0-based ranks without a one-partition window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` pulls every row into one
-task.  Instead the rank is assembled from a small histogram:
-
-1. Rows are tagged with a ``coarse`` group (default: the key itself; pass an
-   order-preserving coarsening with at most ~2^20 values for keys with many
-   distinct ones, e.g. ``hash >> 12`` of a 32-bit hash).  More groups than
-   MAX_COARSE are an error, since the group tables are broadcast.
-2. A group holding more than ``target_rows`` rows (a hot key may hold a third
-   of the table, alone or among other keys) is cut into order-preserving
-   sub-groups: by key range while it spans several keys, by tiebreak range
-   once it is one key.  Cutting is repeated until no group is too large, so a
-   hot key among others is first isolated and then split.
-3. Offsets are a running sum over the histogram of groups.  Its size is
-   bounded by the number of coarse values plus ``FAN * rows / target_rows``,
-   so it is broadcast explicitly.
-
-The histogram is built from a cheap key projection (``keys``); the rows to
-rank or label are read once more.  Callers that only need to know which
-contiguous rank range a row falls in use :func:`label_by_rank` in
-``buckets``, which needs no shuffle of the rows at all.
+task.  Instead the rows are cut at sampled range bounds
+(``repartitionByRange``), sorted inside each slice and written once to the
+shared folder with their place in the slice.  A row's position is that place
+plus the rows of all earlier slices; the offsets are one number per slice, so
+what is broadcast is as small as the number of partitions.
+
+The order is any list of orderable columns (numbers of any spread, doubles,
+strings, dates, binary), ascending with nulls first.  The bounds are drawn from
+the whole order, tiebreaks included, and rows equal in all of it are told
+apart by their place in the stored input; so a key that a third of the rows
+hold is cut like any other stretch, and a rank among its rows is as exact as
+elsewhere.
+
+Callers that only need to know which contiguous rank range a row falls in use
+:func:`label_by_rank` in ``buckets``, which needs no shuffle of the rows at all.
 """
 
 from __future__ import annotations
@@ -27,80 +23,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textbench.functions.hashing import with_scalars
 from textbench.session import written
 
 DEFAULT_TARGET_ROWS = 1_000_000
-MAX_COARSE = 1 << 20
-FAN = 16  # sub-groups of a group that is too large, at least
-
-_C, _S = "__rk_coarse", "__rk_sub"
-
-
-def _as_col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _coarse(key: str, coarse: Column | None) -> Column:
-    return _as_col(key) if coarse is None else coarse
-
-
-class RankLayout:
-    """Histogram of order-preserving groups of a key projection.
-
-    A group is (partition, coarse, path): ``path`` has one number per cut that
-    the group went through, and paths compare in key order.  ``groups``: one row
-    per group with ``__rk_n`` rows, ``__rk_off`` rows before it and
-    ``__rk_total`` rows in the partition, so a row's rank lies in ``[__rk_off,
-    __rk_off + __rk_n)``.  The key projection is written to the shared folder
-    once (it may be derived from whole texts) and every pass reads that.
-    """
-
-    def __init__(self, keys: DataFrame, key: str, tiebreak: str, coarse: Column | None = None,
-                 target_rows: int = DEFAULT_TARGET_ROWS, partition_cols: list[str] | None = None):
-        self.key, self.tiebreak, self.coarse = key, tiebreak, coarse
-        self.pc = list(partition_cols or [])
-        self.keys = written(keys.withColumn(_C, _coarse(key, coarse)).select(*dict.fromkeys([*self.pc, key, tiebreak, _C])), "rank-keys")
-        self.cuts: list[DataFrame] = []
-        group = [*self.pc, _C, _S]
-        while True:
-            stats = self.tag(self.keys).groupBy(*group).agg(
-                F.count(F.lit(1)).alias("__rk_n"), F.min(key).alias("__k0"), F.max(key).alias("__k1"),
-                F.min(tiebreak).alias("__t0"), F.max(tiebreak).alias("__t1"))
-            stats = written(stats, "rank-groups")
-            # equal (key, tiebreak) pairs cannot be told apart, so such a group stays whole
-            large = stats.where((F.col("__rk_n") > target_rows) & ((F.col("__k0") < F.col("__k1")) | (F.col("__t0") < F.col("__t1"))))
-            if large.isEmpty():
-                break
-            self.cuts.append(large.select(*group, F.greatest(F.ceil(F.col("__rk_n") / target_rows), F.lit(FAN)).alias("__f"),
-                                          "__k0", "__k1", "__t0", "__t1"))
-        n = stats.count()
-        if n > 4 * MAX_COARSE:
-            raise ValueError(f"{n} rank groups: pass a coarser order-preserving key (at most {MAX_COARSE} values)")
-        # The histogram is small (checked above); ordering it needs one task
-        # (one per partition value with ``partition_cols``).
-        w = Window.partitionBy(*self.pc).orderBy(_C, _S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.groups = stats.select(*group, "__rk_n").withColumn(
-            "__rk_off", F.sum("__rk_n").over(w) - F.col("__rk_n")).withColumn(
-            "__rk_total", F.sum("__rk_n").over(Window.partitionBy(*self.pc)))
-
-    def tag(self, df: DataFrame) -> DataFrame:
-        """Add ``__rk_coarse`` and ``__rk_sub`` (the path) to any DataFrame with the key columns."""
-        d = df if _C in df.columns else df.withColumn(_C, _coarse(self.key, self.coarse))
-        d = d.withColumn(_S, F.array().cast("array<long>"))
-        for cut in self.cuts:
-            def place(x, lo, hi):
-                return F.floor((F.col(x) - F.col(lo)).cast("double") * F.col("__f") / ((F.col(hi) - F.col(lo)).cast("double") + 1.0))
-
-            step = F.when(F.col("__k0") < F.col("__k1"), place(self.key, "__k0", "__k1")).otherwise(
-                place(self.tiebreak, "__t0", "__t1"))
-            d = d.join(F.broadcast(cut), [*self.pc, _C, _S], "left").withColumn(
-                "__path", F.when(F.col("__f").isNull(), F.col(_S)).otherwise(F.concat(_S, F.array(step.cast("long")))))
-            d = d.drop(_S, "__f", "__k0", "__k1", "__t0", "__t1").withColumnRenamed("__path", _S)
-        return d
-
-    def with_groups(self, df: DataFrame) -> DataFrame:
-        """Tag ``df`` and attach its group's ``__rk_n``, ``__rk_off``, ``__rk_total``."""
-        return self.tag(df).join(F.broadcast(self.groups), [*self.pc, _C, _S], "inner")
+PLACE_BITS = 33  # of monotonically_increasing_id: the number of a row in its partition
+
+_AT, _SLICE, _TIE = "__rk_at", "__rk_slice", "__rk_tie"
+
+
+def range_sorted(df: DataFrame, order: list[str], target_rows: int = DEFAULT_TARGET_ROWS, stored: bool = False) -> DataFrame:
+    """The rows of ``df`` in slices of ``order``, written to the shared folder,
+    with ``__rk_slice`` (ascending with the order) and ``__rk_at`` (a row's
+    place in its slice).  Slices hold about ``target_rows`` rows or fewer: there are
+    at least as many as ``spark.sql.shuffle.partitions``.
+
+    The input is written first, so that sampling does not compute it twice and
+    the last tiebreak (a row's place in the input) is the same whenever a task
+    is repeated; with ``stored`` it is such a table already."""
+    if not stored:
+        df = written(df, "rank-rows")
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // target_rows))
+    rows = df.withColumn(_TIE, F.monotonically_increasing_id())
+    cols = [F.col(f"`{c}`") for c in order] + [F.col(_TIE)]
+    rows = rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).drop(_TIE)
+    rows = written(rows.withColumn(_AT, F.monotonically_increasing_id()), "rank-sorted")
+    return rows.withColumn(_SLICE, F.shiftright(_AT, PLACE_BITS).cast("int")).withColumn(
+        _AT, F.col(_AT).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+
+
+def with_position(rows: DataFrame, rank_col: str, total_col: str | None = None) -> DataFrame:
+    """``range_sorted`` rows with their position in the whole order (and the
+    number of all rows) in place of the slice columns."""
+    counts = rows.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per slice: its size is the number of partitions
+    w = Window.orderBy(_SLICE)
+    offsets = counts.select(F.col(_SLICE), (F.sum("__n").over(w) - F.col("__n")).alias("__off"),
+                            F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    out = rows.join(F.broadcast(offsets), _SLICE).withColumn(rank_col, F.col("__off") + F.col(_AT))
+    if total_col:
+        out = out.withColumn(total_col, F.col("__total"))
+    return out.drop(_SLICE, _AT, "__off", "__total")
+
+
+def range_rank(df: DataFrame, order: list[str], rank_col: str = "rank", total_col: str | None = None,
+               partition_cols: list[str] | None = None, target_rows: int = DEFAULT_TARGET_ROWS,
+               stored: bool = False) -> DataFrame:
+    """Add ``rank_col``: the exact 0-based position of each row in ``order``
+    (within ``partition_cols``, where nulls are a partition), and optionally
+    the number of rows as ``total_col``.  A partition's rows are consecutive in
+    the whole order, so its ranks are positions less its first position: a hot
+    partition is spread over slices as any other rows."""
+    pc = list(partition_cols or [])
+    rows = range_sorted(df, [*pc, *order], target_rows, stored)
+    if not pc:
+        return with_position(rows, rank_col, total_col)
+    at = with_position(rows, "__pos")
+    first = at.groupBy(*[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(pc)]).agg(
+        F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__count"))
+    same = F.lit(True)
+    for i, c in enumerate(pc):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__p{i}"))
+    out = at.join(first, same).withColumn(rank_col, F.col("__pos") - F.col("__first"))
+    if total_col:
+        out = out.withColumn(total_col, F.col("__count"))
+    return out.drop("__pos", "__first", "__count", *[f"__p{i}" for i in range(len(pc))])
 
 
 def two_level_rank(
@@ -108,44 +96,48 @@ def two_level_rank(
     key: str,
     tiebreak: str,
     rank_col: str = "rank",
-    coarse: Column | None = None,
     target_rows: int = DEFAULT_TARGET_ROWS,
     total_col: str | None = None,
     partition_cols: list[str] | None = None,
-    keys: DataFrame | None = None,
-    once: bool = False,
 ) -> DataFrame:
-    """Add ``rank_col``: exact 0-based position of each row in (key,
-    tiebreak) order (within ``partition_cols``), and optionally the row count
-    as ``total_col``.  One shuffle of the rows, by their small group.  With
-    ``once`` the rows themselves are written to the shared folder first, for
-    inputs that are expensive to compute."""
-    if once:
-        df = written(df, "rank-rows")
-    layout = RankLayout(keys if keys is not None else df, key, tiebreak, coarse, target_rows, partition_cols)
-    pc = layout.pc
-    w = Window.partitionBy(*pc, _C, _S).orderBy(key, tiebreak)
-    out = layout.with_groups(df).withColumn(rank_col, F.col("__rk_off") + F.row_number().over(w) - 1)
-    if total_col:
-        out = out.withColumn(total_col, F.col("__rk_total"))
-    return out.drop(_C, _S, "__rk_n", "__rk_off", "__rk_total")
+    """Ranks by (key, tiebreak): slices first, places inside a slice second."""
+    return range_rank(df, [key, tiebreak], rank_col, total_col, partition_cols, target_rows)
 
 
-def dense_index(df: DataFrame, id_col: str, idx_col: str = "idx", per_bucket: int = 4096,
-                target_rows: int = DEFAULT_TARGET_ROWS, total_col: str | None = None) -> DataFrame:
+def dense_index(df: DataFrame, id_col: str, idx_col: str = "idx", target_rows: int = DEFAULT_TARGET_ROWS,
+                total_col: str | None = None) -> DataFrame:
     """0-based dense position of each row in ``id_col`` order, for ids of any
-    spread: the coarse key cuts the observed id range into
-    ``min(ceil(n / per_bucket), 2^20)`` equal-width buckets (from one
-    min/max/count aggregate, a single row), so the histogram stays bounded
-    however sparse the ids are; crowded buckets are sub-bucketed as usual."""
-    stats = df.groupBy().agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"),
-                             F.count(F.lit(1)).alias("__cnt"))
-    g = F.least(F.lit(float(MAX_COARSE)),
-                F.greatest(F.lit(1.0), F.ceil(F.col("__cnt") / F.lit(per_bucket)).cast("double")))
-    coarse = F.floor((F.col(id_col) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1.0) * g)
-    from textbench.functions.hashing import with_scalars
-
-    tagged = with_scalars(df, stats).withColumn("__dcoarse", coarse.cast("long")).drop("__lo", "__hi", "__cnt")
-    out = two_level_rank(tagged, id_col, id_col, idx_col, coarse=F.col("__dcoarse"), target_rows=target_rows,
-                         total_col=total_col)
-    return out.drop("__dcoarse")
+    type and spread."""
+    return range_rank(df, [id_col], idx_col, total_col, target_rows=target_rows)
+
+
+def rank_cuts(keys: DataFrame, key: str, tiebreak: str, label_fn, partition_cols: list[str] | None = None,
+              target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Where a label that is monotone in the (key, tiebreak) rank begins: per
+    partition one row with ``__cuts``, the ordered array of (k, t, lab) of the
+    first row of each label.  ``label_fn(rank, total)`` gives the label; there
+    are as many cuts as labels, however many rows."""
+    pc = list(partition_cols or [])
+    ranked = range_rank(keys.select(*dict.fromkeys([*pc, key, tiebreak])), [key, tiebreak], "__r", "__n", pc, target_rows)
+    lab = label_fn(F.col("__r"), F.col("__n"))
+    begins = (F.col("__r") == 0) | (lab != label_fn(F.col("__r") - 1, F.col("__n")))
+    cut = F.struct(F.col(key).alias("k"), F.col(tiebreak).alias("t"), lab.alias("lab"))
+    return ranked.where(begins).groupBy(*pc).agg(F.array_sort(F.collect_list(cut)).alias("__cuts"))
+
+
+def label_at(key: Column, tiebreak: Column, cuts: Column) -> Column:
+    """The label of the last cut that is not after (key, tiebreak)."""
+    me = F.struct(key.alias("k"), tiebreak.alias("t"))
+    upto = F.filter(cuts, lambda c: F.struct(c["k"].alias("k"), c["t"].alias("t")) <= me)
+    return F.try_element_at(upto, F.lit(-1))["lab"]
+
+
+def attach_cuts(df: DataFrame, cuts: DataFrame, partition_cols: list[str]) -> DataFrame:
+    """``df`` with the ``__cuts`` of its partition (of all rows without one)."""
+    if not partition_cols:
+        return with_scalars(df, cuts)
+    side = cuts.select("__cuts", *[F.col(f"`{c}`").alias(f"__p{i}") for i, c in enumerate(partition_cols)])
+    same = F.lit(True)
+    for i, c in enumerate(partition_cols):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__p{i}"))
+    return df.join(side, same).drop(*[f"__p{i}" for i in range(len(partition_cols))])

@@ -38,7 +38,7 @@ def auto_split(df: DataFrame, key: str, validation_ratio: float | None, test_rat
         return F.when(r < n_test, "test").when(r < n_hold, "validation").otherwise("train")
 
     h = _shuffle_key(df, seed, key)
-    out = label_by_rank(h, "__h", key, label, split_col, coarse=F.shiftright(F.col("__h"), 12))
+    out = label_by_rank(h, "__h", key, label, split_col)
     return out.drop("__h")
 
 
@@ -100,11 +100,10 @@ def cap_per_group(df: DataFrame, group: str, n: int, order: Column, salts: int =
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, position_col: str = "position",
-                   salt: str = "shuffle", once: bool = False) -> DataFrame:
-    """SMP1: deterministic permutation: 0-based position in hash order
-    (``once``: for inputs that are expensive to compute)."""
+                   salt: str = "shuffle") -> DataFrame:
+    """SMP1: deterministic permutation: 0-based position in hash order."""
     h = _shuffle_key(df, seed, key, salt)
-    return two_level_rank(h, "__h", key, position_col, coarse=F.shiftright(F.col("__h"), 12), once=once).drop("__h")
+    return two_level_rank(h, "__h", key, position_col).drop("__h")
 
 
 def bernoulli(rate: float, seed, salt: str, *keys) -> Column:

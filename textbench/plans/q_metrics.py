@@ -334,12 +334,52 @@ def p1_hash_uniform(spark, sf_dir):
 SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents
 """)
 def p2_two_level_rank(spark, sf_dir):
-    """Exact global rank of documents by length (ties by id) from the histogram, not a one-task window."""
+    """Exact global rank of documents by length (ties by id) from range slices, not a one-task window."""
     from textbench.operators.ranking import two_level_rank
     from textbench.plans.fixtures import table
 
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return two_level_rank(d, "n_chars", "doc_id", "rank", coarse=F.floor(F.col("n_chars") / 64)).select("doc_id", "rank")
+    return two_level_rank(d, "n_chars", "doc_id", "rank").select("doc_id", "rank")
+
+
+@register("p2_rank_double", """
+SELECT event_id, row_number() OVER (ORDER BY value NULLS FIRST, event_id) - 1 AS rank FROM events
+""")
+def p2_rank_double(spark, sf_dir):
+    """Exact rank of events by a fractional value (ties by id)."""
+    from textbench.operators.ranking import two_level_rank
+    from textbench.plans.fixtures import table
+
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    return two_level_rank(e, "value", "event_id", "rank").select("event_id", "rank")
+
+
+@register("p2_rank_string", """
+SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY text NULLS FIRST, doc_id) - 1 AS rank,
+       count(*) OVER (PARTITION BY lang) AS docs FROM documents
+""")
+def p2_rank_string(spark, sf_dir):
+    """Exact rank of documents by their text within each language."""
+    from textbench.operators.ranking import two_level_rank
+    from textbench.plans.fixtures import table
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return two_level_rank(d, "text", "doc_id", "rank", total_col="docs", partition_cols=["lang"]).select("doc_id", "rank", "docs")
+
+
+@register("p2_dense_index", """
+SELECT doc_id, hash_id, row_number() OVER (ORDER BY hash_id, doc_id) - 1 AS idx FROM (
+  SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) * 8 * (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) AS hash_id
+  FROM documents)
+""")
+def p2_dense_index(spark, sf_dir):
+    """Dense index over hash ids of both signs that span the 64-bit range."""
+    from textbench.operators.ranking import range_rank
+    from textbench.plans.fixtures import table
+
+    half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long") * 8
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, half).otherwise(-half).alias("hash_id"))
+    return range_rank(d, ["hash_id", "doc_id"], "idx")
 
 
 @register("p3_ngram_stats", SQL_PAIR_STATS.replace("SELECT t.id, t.model, t.is_refusal, t.length, t.f1,", "SELECT t.id,"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textbench.llm import merkle
 from textbench.llm.common import table
 
 QUERIES: dict = {}
@@ -165,3 +166,8 @@ def op10(spark, sf_dir):
     from textbench.llm.lines import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "removed")
+
+
+@_query("op13_merkle_manifest", merkle.SQL)
+def op13(spark, sf_dir):
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))

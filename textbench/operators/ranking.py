@@ -32,7 +32,8 @@ PLACE_BITS = 33  # of monotonically_increasing_id: the number of a row in its pa
 _AT, _SLICE, _TIE = "__rk_at", "__rk_slice", "__rk_tie"
 
 
-def range_sorted(df: DataFrame, order: list[str], target_rows: int = DEFAULT_TARGET_ROWS, stored: bool = False) -> DataFrame:
+def range_sorted(df: DataFrame, order: list[str], target_rows: int = DEFAULT_TARGET_ROWS, stored: bool = False,
+                 without: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``df`` in slices of ``order``, written to the shared folder,
     with ``__rk_slice`` (ascending with the order) and ``__rk_at`` (a row's
     place in its slice).  Slices hold about ``target_rows`` rows or fewer: there are
@@ -40,14 +41,15 @@ def range_sorted(df: DataFrame, order: list[str], target_rows: int = DEFAULT_TAR
 
     The input is written first, so that sampling does not compute it twice and
     the last tiebreak (a row's place in the input) is the same whenever a task
-    is repeated; with ``stored`` it is such a table already."""
+    is repeated; with ``stored`` it is such a table already.  Columns ``without``
+    take part in the order and are then left out."""
     if not stored:
         df = written(df, "rank-rows")
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // target_rows))
     rows = df.withColumn(_TIE, F.monotonically_increasing_id())
     cols = [F.col(f"`{c}`") for c in order] + [F.col(_TIE)]
-    rows = rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).drop(_TIE)
+    rows = rows.repartitionByRange(n, *cols).sortWithinPartitions(*cols).drop(_TIE, *without)
     rows = written(rows.withColumn(_AT, F.monotonically_increasing_id()), "rank-sorted")
     return rows.withColumn(_SLICE, F.shiftright(_AT, PLACE_BITS).cast("int")).withColumn(
         _AT, F.col(_AT).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
@@ -69,14 +71,14 @@ def with_position(rows: DataFrame, rank_col: str, total_col: str | None = None)
 
 def range_rank(df: DataFrame, order: list[str], rank_col: str = "rank", total_col: str | None = None,
                partition_cols: list[str] | None = None, target_rows: int = DEFAULT_TARGET_ROWS,
-               stored: bool = False) -> DataFrame:
+               stored: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
     """Add ``rank_col``: the exact 0-based position of each row in ``order``
     (within ``partition_cols``, where nulls are a partition), and optionally
     the number of rows as ``total_col``.  A partition's rows are consecutive in
     the whole order, so its ranks are positions less its first position: a hot
     partition is spread over slices as any other rows."""
     pc = list(partition_cols or [])
-    rows = range_sorted(df, [*pc, *order], target_rows, stored)
+    rows = range_sorted(df, [*pc, *order], target_rows, stored, without)
     if not pc:
         return with_position(rows, rank_col, total_col)
     at = with_position(rows, "__pos")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textbench.llm import merkle
+from textbench.llm import merkle, prefixtrie
 from textbench.llm.common import table
 
 QUERIES: dict = {}
@@ -171,3 +171,8 @@ def op10(spark, sf_dir):
 @_query("op13_merkle_manifest", merkle.SQL)
 def op13(spark, sf_dir):
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_conversation_trie", prefixtrie.SQL)
+def op11(spark, sf_dir):
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))

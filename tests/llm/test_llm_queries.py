@@ -10,7 +10,7 @@ NAMES = sorted(n for n in E.queries() if n.startswith("op"))
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 12)) + [13] and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in E.oracle_sql()])

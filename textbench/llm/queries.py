@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textbench.llm import merkle, prefixtrie
+from textbench.llm import merkle, prefixtrie, quality
 from textbench.llm.common import table
 
 QUERIES: dict = {}
@@ -176,3 +176,8 @@ def op13(spark, sf_dir):
 @_query("op11_conversation_trie", prefixtrie.SQL)
 def op11(spark, sf_dir):
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_random_index_quality")
+def op12(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])

@@ -57,16 +57,29 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bleu_stats_single_exchange(spark):
+def test_bleu_stats_and_sweep_shuffle_no_texts(spark):
     from textbench.plans.q_metrics import pair_stats
+    from textbench.plans.q_reports import _sweep
 
-    plan = _plan(pair_stats(spark, SF_SMALL))
-    # the spread of the single-row-group input plus the one exchange by id
-    assert plan.count("Exchange hashpartitioning") == 1
+    stats, sweep = _plan(pair_stats(spark, SF_SMALL)), _plan(_sweep(spark, SF_SMALL))
+    for plan in (stats, sweep):
+        # the one small file is dealt out by rows; nothing is shuffled by a key but the sums per adapter
+        assert plan.count("Exchange RoundRobinPartitioning") == 1 and plan.count("MapInArrow") == 1
+    assert "hashpartitioning" not in stats and sweep.count("hashpartitioning(adapter") == 1
+    # pairs are not multiplied by the budgets: the only explode stands after the sums
+    assert sweep.count("Generate explode") == 1 and sweep.index("Generate explode") < sweep.index("Exchange hashpartitioning")
+
+
+def test_large_inputs_are_not_dealt_out_anew(spark, tmp_path):
+    from textbench.session import spread
+
+    spark.range(100).repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "t"))
+    assert "Exchange" not in _plan(spread(spark.read.parquet(str(tmp_path / "t"))))
+    assert "Exchange" not in _plan(spread(spark.createDataFrame([(1,)], "a int")))
 
 
 def test_no_python_udf_in_native_operators(spark):
-    for name in ("a4_length_buckets", "a5_bootstrap_ci", "sel1_selection_dataset", "sft4_sft_from_repos",
+    for name in ("a2_token_f1", "a4_length_buckets_f1", "sel1_selection_dataset", "sft4_sft_from_repos",
                  "txt10_parse_tool_call", "a8_trajectory_metrics", "bat1_batch_plan"):
         plan = _plan(QUERIES[name](spark, SF_SMALL))
         assert "PythonUDF" not in plan and "EvalPython" not in plan and "MapInPandas" not in plan, name

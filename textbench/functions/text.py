@@ -72,8 +72,9 @@ _13A_RULES = [
 _13A_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
-def tokens_13a(c) -> Column:
-    """Tokens of a segment as BLEU sees them (13a tokenizer, right-stripped)."""
+def spaced_13a(c) -> Column:
+    """The 13a tokens of a segment in one string, with one space between them
+    (and perhaps one before and after)."""
     line = F.regexp_replace(_c(c), "(?U)\\s+$", "")
     line = F.replace(line, F.lit("<skipped>"), F.lit(""))
     line = F.replace(line, F.lit("-\n"), F.lit(""))
@@ -83,7 +84,12 @@ def tokens_13a(c) -> Column:
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for pat, rep in _13A_RULES:
         line = F.regexp_replace(line, pat, rep)
-    return words(line)
+    return F.regexp_replace(line, WS, " ")
+
+
+def tokens_13a(c) -> Column:
+    """Tokens of a segment as BLEU sees them (13a tokenizer, right-stripped)."""
+    return F.filter(F.split(spaced_13a(c), " "), lambda x: x != F.lit(""))
 
 
 def sample_phrase(text, seed, *keys, min_words: int = 3, max_words: int = 6) -> Column:

@@ -6,23 +6,23 @@ penalty ``exp(1 - ref/sys)`` when ``sys < ref``, ``exp`` smoothing (each
 order with zero matches doubles the divisor), score 0 when nothing matches
 at all or when some order has no hypothesis n-grams.
 
-Physical plan: the (id, hyp, ref) rows are spread by a hash of ``id`` once, and
-each row's statistics are computed from its own two texts: the hashed n-grams
-of both sides are sorted together and one fold counts the runs, so no n-gram
-ever becomes a row or crosses the network.  A very long document costs one task
-its own size, never a third of the table.  Two different grams share a 64-bit
-(here 63-bit) hash within one pair of texts of a million words with a chance
-below 1e-6.
+Physical plan: no exchange.  The JVM tokenises each text into one string, and
+a numpy kernel over Arrow batches counts the grams of many pairs at once
+(``functions/grams.py``); a row's statistics come from its own two texts, so no
+n-gram ever becomes a row or crosses the network.  A very long document costs
+one task its own size, never a third of the table.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textbench.functions.text import tokens_13a
+from textbench.functions.grams import MARK, MAX_ORDER, batch_stats
+from textbench.functions.text import spaced_13a, tokens_13a, words
 
-MAX_ORDER = 4
 STAT_COLS = ["sys_len", "ref_len"] + [f"m{n}" for n in range(1, 5)] + [f"t{n}" for n in range(1, 5)]
 
 
@@ -36,54 +36,49 @@ def bleu_row_stats(
 ) -> DataFrame:
     """Per-row BLEU statistics: ``sys_len, ref_len, m1..m4, t1..t4``.
 
-    ``keep`` lists extra columns of ``df`` (functionally dependent on the id)
-    carried through to the output.
+    ``tokenizer``: a column function from text to an array of tokens (a token
+    of the caller's that holds U+001F counts as several).  ``keep`` lists
+    extra columns of ``df`` carried through to the output.  A null text has no tokens.
     """
-    keep = keep or []
-    # An explicit partition count sized from the input bytes: the work per byte
-    # after this exchange is large, so AQE must not coalesce it by its input size.
-    from textbench.session import partitions_for
-
-    parts = partitions_for(df.select(hyp_col, ref_col))
-    toks = df.select(
-        id_col, *keep, tokenizer(F.col(hyp_col)).alias("__h"), tokenizer(F.col(ref_col)).alias("__r")
-    ).repartition(parts, id_col)
-    nh, nr = F.size("__h"), F.size("__r")
-    out = toks.select(
-        id_col, *keep, F.greatest(nh, F.lit(0)).cast("long").alias("sys_len"), F.greatest(nr, F.lit(0)).cast("long").alias("ref_len"),
-        *[_clipped_matches("__h", "__r", n).alias(f"m{n}") for n in range(1, MAX_ORDER + 1)])
-    for n in range(1, MAX_ORDER + 1):
-        out = out.withColumn(f"t{n}", F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).cast("long"))
-    return out.select(id_col, *keep, *STAT_COLS)
-
-
-def _clipped_matches(h: str, r: str, n: int) -> Column:
-    """Sum over the n-grams of both sides of the smaller of their two counts.
-
-    A gram is the hash of its words with its last bit telling the side; the
-    grams of both sides are sorted together, so that equal ones lie in a row,
-    and one fold counts the runs."""
-
-    def grams(c: str, side: int) -> Column:
-        words = F.col(c)
-        hashed = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(
-            *[F.get(words, i + d) for d in range(n)]).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
-        return F.when(F.size(words) >= n, hashed).otherwise(F.array().cast("array<long>"))
-
-    zero = F.lit(0).cast("long")
-    both = F.array_sort(F.concat(grams(h, 0), grams(r, 1)))
-    # at: the gram of the run; ch, cr: its count on either side; m: matches of the runs that are over
-    start = F.struct(zero.alias("at"), zero.alias("ch"), zero.alias("cr"), zero.alias("m"))
-
-    def step(acc, x):
-        gram, ref = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1))
-        same = acc["at"] == gram
-        return F.struct(
-            gram.alias("at"), (F.when(same, acc["ch"]).otherwise(zero) + 1 - ref).alias("ch"),
-            (F.when(same, acc["cr"]).otherwise(zero) + ref).alias("cr"),
-            (acc["m"] + F.when(same, zero).otherwise(F.least(acc["ch"], acc["cr"]))).alias("m"))
-
-    return F.aggregate(both, start, step, lambda acc: acc["m"] + F.least(acc["ch"], acc["cr"]))
+    spaced, separator = (spaced_13a, 0x20) if tokenizer is tokens_13a else (lambda c: F.array_join(tokenizer(c), "\x1f"), 0x1F)
+    return _counted(df, [id_col, *(keep or [])], spaced(F.col(hyp_col)), spaced(F.col(ref_col)), separator, None, STAT_COLS)
+
+
+def bleu_prefix_stats(
+    df: DataFrame,
+    budgets: list[int],
+    id_col: str = "id",
+    hyp_col: str = "prediction",
+    ref_col: str = "reference",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Per-row BLEU statistics of the first ``b`` words of the hypothesis for
+    every budget ``b``, as columns ``b<b>_sys_len`` ... ``b<b>_t4``.
+
+    Both texts are tokenised once, the hypothesis up to the largest budget; one
+    walk over it gives all prefixes (a prefix's 13a tokens are the first tokens
+    of the longer text, since every word ends at a space)."""
+    budgets = sorted(set(budgets))
+    mark = chr(MARK)
+    head = F.slice(words(F.replace(F.col(hyp_col), F.lit(mark), F.lit(" "))), 1, budgets[-1])
+    names = [f"b{b}_{c}" for b in budgets for c in STAT_COLS]
+    return _counted(df, [id_col, *(keep or [])], spaced_13a(F.array_join(head, f" {mark} ")), spaced_13a(F.col(ref_col)), 0x20, budgets, names)
+
+
+def _counted(df: DataFrame, keep: list[str], hyp: Column, ref: Column, separator: int, budgets: list[int] | None,
+             names: list[str]) -> DataFrame:
+    """Columns ``keep`` and the statistics ``names`` of each row."""
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(hyp, F.lit("")).alias("__h"), F.coalesce(ref, F.lit("")).alias("__r"))
+    schema = T.StructType([*src.schema.fields[:-2], *[T.StructField(c, T.LongType()) for c in names]])
+
+    def run(batches):
+        for batch in batches:
+            k = batch.num_columns - 2
+            stats = batch_stats(batch.column(k), batch.column(k + 1), separator, budgets)
+            cols = [batch.column(c) for c in range(k)] + [pa.array(stats[:, c]) for c in range(stats.shape[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def bleu_sums() -> list[Column]:

@@ -31,6 +31,24 @@ def token_f1_col(pred, ref) -> Column:
     )
 
 
+def f1_of_counts(common: Column, pred: Column, ref: Column) -> Column:
+    """F1 from the sizes of two sets and of what they share; 0 if any is 0."""
+    precision, recall = common.cast("double") / pred, common.cast("double") / ref
+    return F.when((pred == 0) | (ref == 0) | (common == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+
+def prefix_token_f1(df: DataFrame, budgets: list[int], pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """``df`` with ``b<b>_f1``: token F1 of the first ``b`` words of ``pred`` for
+    every budget.  The two word sets meet once, for the largest budget; the
+    smaller ones are compared with what that left."""
+    out = df.withColumn("__w", F.slice(words(_c(pred)), 1, max(budgets))).withColumn("__r", F.array_distinct(words(_c(ref))))
+    out = out.withColumn("__n", F.size("__r")).withColumn("__r", F.array_intersect("__w", "__r"))
+    for b in budgets:
+        own = F.array_distinct(F.slice("__w", 1, b))
+        out = out.withColumn(f"b{b}_f1", f1_of_counts(F.size(F.array_intersect(own, "__r")), F.size(own), F.col("__n")))
+    return out.drop("__w", "__r", "__n")
+
+
 def exact_match_col(pred, ref) -> Column:
     """A1 per row: equality after whitespace normalisation."""
     return normalize_ws(_c(pred)) == normalize_ws(_c(ref))

@@ -48,6 +48,31 @@ def bleu_trend(table: DataFrame) -> DataFrame:
                     trend.alias("trend"))
 
 
+def prefix_sweep(pairs: DataFrame, ks: list[int], words_per_k: int = 8, group_col: str = "adapter",
+                 length_col: str = "length") -> DataFrame:
+    """A14's input: per (adapter, K) the BLEU and token F1 of predictions cut to
+    their first ``words_per_k * K`` words, and the compression (mean reference
+    length / K).
+
+    ``pairs``: id, prediction, reference, ``length_col`` and ``group_col``.  All
+    budgets come out of one pass over the texts, as columns of one row per
+    pair; they are summed side by side and become rows only as one row per
+    (adapter, K)."""
+    from textbench.operators.bleu import STAT_COLS, bleu_from_sums, bleu_prefix_stats
+    from textbench.operators.metrics import prefix_token_f1
+
+    budgets = {k: k * words_per_k for k in ks}
+    f1 = [f"b{b}_f1" for b in budgets.values()]
+    p = prefix_token_f1(pairs, list(budgets.values()))
+    st = bleu_prefix_stats(p, list(budgets.values()), keep=[group_col, length_col, *f1])
+    sums = [F.sum(f"b{b}_{c}").cast("double").alias(f"b{b}_{c}") for b in budgets.values() for c in STAT_COLS]
+    g = st.groupBy(group_col).agg(*sums, *[F.avg(c).alias(c) for c in f1], F.avg(length_col).alias("__len"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{b}_f1").alias("token_f1"),
+                                        *[F.col(f"b{b}_{c}").alias(f"S_{c}") for c in STAT_COLS]) for k, b in budgets.items()]))
+    x = g.select(group_col, "__len", rows.alias("s")).select(group_col, "__len", "s.*")
+    return x.select(group_col, "k", bleu_from_sums().alias("bleu"), "token_f1", (F.col("__len") / F.col("k")).alias("compression"))
+
+
 def best_k(sweep: DataFrame, group_col: str = "adapter") -> DataFrame:
     """Per adapter type the K with the best BLEU, with its F1 and compression."""
     best = F.max_by(F.struct("k", "bleu", "token_f1", "compression"), "bleu")

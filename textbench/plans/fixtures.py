@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textbench.functions.text import words
 from textbench.functions.toolcalls import add_tool_call
+from textbench.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     d = F.col("doc_id")
     # every word p (1-based) of the whole text unless (p + doc_id) % 5 = 0; the
     # lambda walks the word array itself, so the text is split once per row

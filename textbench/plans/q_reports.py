@@ -23,20 +23,12 @@ from textbench.sources import readers as RD
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 
-def exp_stats(spark, sf_dir, k_sweep: bool = False):
-    """Per-pair statistics tagged with ``experiment = lang-model``; with
-    ``k_sweep`` one copy per prefix budget K in (1, 2, 4, 8) whose
-    prediction keeps only its first 8*K words."""
+def exp_stats(spark, sf_dir):
+    """Per-pair statistics tagged with ``experiment = lang-model``."""
     p = pairs(spark, sf_dir).withColumn("experiment", F.concat_ws("-", "lang", "model"))
-    keep = ["experiment", "model", "lang", "length", "f1"]
-    if k_sweep:
-        p = p.select("*", F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8)])).alias("k"))
-        p = p.withColumn("prediction", F.array_join(F.slice(words("prediction"), 1, F.col("k") * 8), " "))
-        p = p.withColumn("id", F.col("id") * 16 + F.col("k"))
-        keep.append("k")
-    p = p.select("id", "prediction", "reference", *[c for c in keep if c not in ("length", "f1")],
+    p = p.select("id", "prediction", "reference", "experiment", "model", "lang",
                  token_length("reference").alias("length"), token_f1_col("prediction", "reference").alias("f1"))
-    return B.bleu_row_stats(p, keep=keep)
+    return B.bleu_row_stats(p, keep=["experiment", "model", "lang", "length", "f1"])
 
 
 def sql_exp_stats(k_sweep: bool = False) -> str:
@@ -125,11 +117,9 @@ def a15_length_quality_corr(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir):
-    st = exp_stats(spark, sf_dir, k_sweep=True)
-    g = st.groupBy(F.col("model").alias("adapter"), "k").agg(*B.bleu_sums(), F.avg("f1").alias("token_f1"),
-                                                             F.avg("length").alias("avg_len"))
-    return g.select("adapter", "k", B.bleu_from_sums().alias("bleu"), "token_f1",
-                    (F.col("avg_len") / F.col("k")).alias("compression"))
+    """K in (1, 2, 4, 8), a budget of 8 words each, per adapter (= model)."""
+    p = pairs(spark, sf_dir).select("id", F.col("model").alias("adapter"), "prediction", "reference", token_length("reference").alias("length"))
+    return RP.prefix_sweep(p, [1, 2, 4, 8])
 
 
 SQL_SWEEP = f"""

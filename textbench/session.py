@@ -68,23 +68,16 @@ def written(df, tag: str = "table"):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df, bytes_per_partition: int = 32 << 20) -> int:
-    """Partition count for a shuffle that precedes a row-expanding step.
-
-    ``max(spark.sql.shuffle.partitions, estimated input bytes /
-    bytes_per_partition)``; the estimate is Catalyst's plan statistics (file
-    sizes), so no job runs.  AQE cannot size such a shuffle itself: it sees
-    the bytes going in, not the n-gram or replicate rows each task will
-    generate from them.  Without an estimate (an input that was not read from
-    files) the session's shuffle partitions apply, as in any other shuffle.
-    """
+def spread(df):
+    """``df``, dealt out anew if it is read in fewer splits than the session has
+    cores (a small file of one row group would be one task's work).  Such an
+    input is smaller than cores * ``spark.sql.files.maxPartitionBytes``, so this
+    exchange has a bound; a larger one is left as it is read."""
     spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable
-        return base
-    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
-    if size >= unknown or size >= 2**62:  # no estimate (e.g. data from an RDD)
-        return base
-    return max(base, -(-size // bytes_per_partition))
+    cores = spark.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    most = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most))
+    return df.repartition(2 * cores) if files and max(files, size // most) < cores else df

@@ -87,7 +87,7 @@ def test_bootstrap_methods_agree_on_point_and_roughly_on_width(spark):
 
     rows = [(i, (i % 10) / 10.0) for i in range(3000)]
     st = spark.createDataFrame(rows, "id long, f1 double")
-    got = {m: bootstrap_ci(st, "f1", n_boot=200, method=m, blocks=256).first() for m in ("poisson", "blocks", "multinomial")}
+    got = {m: bootstrap_ci(st, "f1", n_boot=200, method=m, blocks=256).first() for m in ("poisson", "blocks", "multinomial", "exact")}
     for r in got.values():
         assert r["f1"] == pytest.approx(0.45)
         assert r["f1_ci_lower"] < 0.45 < r["f1_ci_upper"]
@@ -114,9 +114,52 @@ def test_predictions_use_whole_texts(spark):
 
 
 def test_caller_defined_bootstrap_metric(spark):
-    from textbench.operators.bootstrap import Metric, bootstrap_ci
+    from textbench.operators.bootstrap import bootstrap_ci
+    from textbench.operators.metric import Metric
 
     df = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit(2.0).alias("y"))
     ratio = Metric("ratio", ("x", "y"), lambda s: s["x"] / s["y"])
     r = bootstrap_ci(df, ratio, n_boot=100, method="blocks", blocks=32).first()
     assert r["ratio"] == pytest.approx(2.25) and r["ratio_ci_lower"] < 2.25 < r["ratio_ci_upper"]
+
+
+def test_draws_of_every_replicate_sum_to_n_and_are_uniform():
+    import numpy as np
+    from textbench.functions.resample import DrawTree
+
+    sizes = [0, 37, 5, 0, 100, 1]
+    tree = DrawTree(sizes, 400, 7, block=8)
+    blocks = [tree.number(s, at) for s, n in enumerate(sizes) for at in range(0, n, 8)]
+    assert blocks == list(range(len(blocks)))
+    w = np.concatenate([tree.weights(b) for b in blocks], axis=1)
+    assert w.shape == (400, 143) and (w.sum(axis=1) == 143).all()
+    assert abs(w.mean(axis=0) - 1).max() < 0.3 and abs(w.var() - (1 - 1 / 143)) < 0.03  # multinomial: variance 1 - 1/n
+    other = DrawTree(sizes, 400, 7, block=8)  # in another order, as in another task
+    for b in reversed(blocks):
+        assert (other.weights(b) == tree.weights(b)).all()
+
+
+def test_exact_resample_multiplies_no_rows_and_agrees_with_the_joined_draws(spark):
+    from textbench.operators.bootstrap import bootstrap_ci, replicate_scores
+
+    st = spark.range(4000).select("id", ((F.col("id") * 7919) % 101 / 101.0).alias("f1"), F.lit(3).alias("length"))
+    reps = replicate_scores(st, ["samples", "f1"], 1000, method="exact")
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+    rows = reps.collect()
+    assert sorted(r["rep"] for r in rows) == list(range(-1, 1000)) and {r["score_samples"] for r in rows} == {4000.0}
+    assert len({r["score_f1"] for r in rows}) > 900
+    a, b = (bootstrap_ci(st, "f1", 1000, method=m).first() for m in ("exact", "multinomial"))
+    width = b["f1_ci_upper"] - b["f1_ci_lower"]
+    assert a["f1"] == pytest.approx(b["f1"]) and abs(a["f1_ci_lower"] - b["f1_ci_lower"]) < 0.1 * width
+    assert abs(a["f1_ci_upper"] - b["f1_ci_upper"]) < 0.1 * width
+
+
+def test_exact_resample_of_one_row_nulls_and_none(spark):
+    from textbench.operators.bootstrap import bootstrap_ci
+
+    one = spark.createDataFrame([(1, 0.5)], "id long, f1 double")
+    assert tuple(bootstrap_ci(one, "f1", 20, method="exact").first()) == (0.5, 0.5, 0.5)
+    some = spark.createDataFrame([(1, 0.5), (2, None)], "id long, f1 double")
+    assert bootstrap_ci(some, "f1", 20, method="exact").first()["f1"] == 0.25
+    assert bootstrap_ci(one.limit(0), "f1", 20, method="exact").first()["f1"] is None

@@ -88,7 +88,11 @@ def bleu_sums() -> list[Column]:
 
 def bleu_from_sums(prefix: str = "S_") -> Column:
     """Corpus BLEU (0-100) from summed statistics columns ``{prefix}m1`` etc."""
-    g = lambda c: F.col(prefix + c)
+    return bleu_from(lambda c: F.col(prefix + c))
+
+
+def bleu_from(g) -> Column:
+    """Corpus BLEU (0-100) from ``g(name)``, the sum of each statistic."""
     sys_len, ref_len = g("sys_len"), g("ref_len")
     bp = F.when(sys_len < ref_len, F.when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(0.0)).otherwise(1.0)
     zeros = F.lit(0)

@@ -4,20 +4,20 @@ The reference recomputes the metric from text for each of 1000 resamples.
 Here every row contributes its sufficient statistics once (F1 value, BLEU
 n-gram counts) and a replicate is a weighted sum of them:
 
-* ``method="poisson"`` (default, the scalable one): each row gets an
-  independent Poisson(1) weight per replicate, drawn from P1 hashes.  Rows
-  are exploded to (row, replicate) and summed per replicate with map-side
-  partial aggregation, so the only exchange carries ``R`` partial rows per
-  task.  No join, no dense index, no per-replicate pass over the data.
-* ``method="multinomial"``: the textbook resample of exactly ``n`` rows with
-  replacement.  Needs the dense row index (P2) and a join of ``R * n`` draws,
-  so it is meant for evaluation-sized inputs.
-* ``method="blocks"``: for corpus-sized inputs.  Statistics are additive,
-  so rows are first summed into ``blocks`` hash-assigned blocks (map-side
-  partial aggregation); the Poisson weights are then drawn per (block,
-  replicate).  Block sums of randomly assigned iid rows are iid, so the
-  interval estimates the same sampling variance while the replicate work
-  drops from ``n x R`` to ``blocks x R`` rows.
+* ``method="blocks"`` (default): statistics are additive, so rows are first
+  summed into ``blocks`` hash-assigned blocks (map-side partial aggregation) and
+  Poisson(1) weights are drawn per (block, replicate).  Block sums of
+  randomly assigned iid rows are iid, so the interval estimates the same
+  sampling variance with ``blocks x R`` rows in place of ``n x R``.
+* ``method="exact"``: the textbook resample of exactly ``n`` rows with
+  replacement at corpus size.  Rows get places in range slices (P2); the draws of
+  each replicate are split down a tree of blocks by conditional binomials
+  (``functions/resample.py``), and a task multiplies the weights of a block with
+  its statistics.  No row is multiplied: what leaves a task is one row per replicate.
+* ``method="poisson"``: each row gets an independent Poisson(1) weight per
+  replicate, drawn from P1 hashes; rows are exploded to (row, replicate).
+* ``method="multinomial"``: exactly ``n`` rows by joining ``R * n`` draws with
+  the dense row index; reproducible in SQL, for evaluation-sized inputs.
 
 Percentiles are exact and linearly interpolated (``percentile``), as in
 numpy's default.
@@ -26,15 +26,16 @@ numpy's default.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textbench.functions.hashing import hash_bits, hash_uniform
-from textbench.operators.bleu import STAT_COLS, bleu_from_sums
-from textbench.operators.ranking import dense_index
+from textbench.functions.resample import DrawTree
+from textbench.operators.metric import Metric, finished, resolve, statistics, sums
+from textbench.operators.ranking import dense_index, range_sorted
 
 # Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (rule: e^-1 * sum 1/j!);
 # a draw beyond the last one (probability 6e-11) counts as weight 12.
@@ -75,48 +76,14 @@ def sql_replicate_uniform(seed, id_col: str, rep: str) -> str:
     return f"(CAST((({h1}) + CAST({rep} AS BIGINT) * {h2}) % 4294967296 AS DOUBLE) / 4294967296.0)"
 
 
-@dataclass(frozen=True)
-class Metric:
-    """A caller's metric over additive statistics: the weighted sums of the
-    per-row ``columns`` are handed to ``finish`` as ``{column: Column}``, with
-    the weighted number of rows under ``"n"``."""
-
-    name: str
-    columns: tuple[str, ...]
-    finish: Callable[[dict[str, Column]], Column]
-
-
-def _name(metric: str | Metric) -> str:
-    return metric if isinstance(metric, str) else metric.name
-
-
-def _metric_aggs(metric: str | Metric, w: Column, tag: str = "", rows: Column | None = None) -> tuple[list[Column], Column]:
-    n = w if rows is None else w * rows  # weighted row count (block rows carry their size)
-    if isinstance(metric, Metric):
-        sums = {c: f"__m{tag}_{i}" for i, c in enumerate(metric.columns)}
-        aggs = [F.sum(w * F.col(c)).alias(a) for c, a in sums.items()] + [F.sum(n).alias(f"__m{tag}_n")]
-        return aggs, metric.finish({**{c: F.col(a) for c, a in sums.items()}, "n": F.col(f"__m{tag}_n")})
-    if metric == "f1":
-        sf, sw = f"__sf{tag}", f"__sw{tag}"
-        return [F.sum(w * F.col("f1")).alias(sf), F.sum(n).alias(sw)], F.col(sf) / F.col(sw)
-    if metric == "length":
-        sl, sw = f"__sl{tag}", f"__swl{tag}"
-        return [F.sum(w * F.col("length")).alias(sl), F.sum(n).alias(sw)], F.col(sl) / F.col(sw)
-    if metric == "samples":
-        sw = f"__n{tag}"
-        return [F.sum(n).alias(sw)], F.col(sw)
-    if metric == "bleu":
-        p = f"S{tag}_"
-        return [F.sum(w * F.col(c)).cast("double").alias(f"{p}{c}") for c in STAT_COLS], bleu_from_sums(p)
-    raise ValueError(f"unknown metric {metric}")
-
-
 def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int = 1000, seed: int = 42,
-                     method: str = "poisson", id_col: str = "id", blocks: int = 4096,
+                     method: str = "blocks", id_col: str = "id", blocks: int = 4096,
                      row_weight: str | None = None) -> DataFrame:
     """One row per replicate ``rep`` with a ``score_<metric>`` column per
     metric.  ``rep = -1`` is the full sample (weight 1 for every row), so a
     point estimate and its interval come out of the same pass."""
+    ms = resolve(metrics)
+    rows = None
     if method == "poisson":
         h1, h2 = replicate_seeds(seed, id_col)
         seeded = stats.select("*", h1.alias("__h1"), h2.alias("__h2"))
@@ -124,14 +91,13 @@ def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int
         u = replicate_uniform_from(F.col("__h1"), F.col("__h2"), F.col("rep"))
         w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
         weighted = exploded.withColumn("__w", w).filter(F.col("__w") > 0)
-        if row_weight:  # block rows: per-row means need the block's row count
-            weighted = weighted.withColumn("__rw", F.col(row_weight))
+        rows = F.col(row_weight) if row_weight else None  # block rows: per-row means need the block's row count
     elif method == "blocks":
-        own = [c for m in metrics if isinstance(m, Metric) for c in m.columns]
-        cols = [c for c in dict.fromkeys(["f1", "length", *STAT_COLS, *own]) if c in stats.columns]
         blk = stats.groupBy(F.pmod(hash_bits(seed, F.col(id_col), F.lit("block")), F.lit(blocks)).alias("__blk")).agg(
-            *[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("__rows"))
-        return replicate_scores(blk, metrics, n_boot, seed, "poisson", id_col="__blk", row_weight="__rows")
+            *[F.sum(c).alias(c) for c in statistics(ms)], F.count(F.lit(1)).alias("__rows"))
+        return replicate_scores(blk, ms, n_boot, seed, "poisson", id_col="__blk", row_weight="__rows")
+    elif method == "exact":
+        return _exact_sums(stats, ms, n_boot, seed, id_col).select("rep", *finished(ms, "score_"))
     elif method == "multinomial":
         ranked = dense_index(stats, id_col, "__idx", total_col="__n")
         draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
@@ -142,24 +108,51 @@ def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int
         weighted = counts.unionByName(full).join(ranked.drop("__n"), "__idx")
     else:
         raise ValueError(f"unknown method {method}")
-    aggs, finishes = [], []
-    rows = F.col("__rw") if "__rw" in weighted.columns else None
-    for m in metrics:
-        a, fin = _metric_aggs(m, F.col("__w"), tag=_name(m), rows=rows)
-        aggs += a
-        finishes.append(fin.alias(f"score_{_name(m)}"))
-    return weighted.groupBy("rep").agg(*aggs).select("rep", *finishes)
+    return weighted.groupBy("rep").agg(*sums(ms, F.col("__w"), rows)).select("rep", *finished(ms, "score_"))
+
+
+def _exact_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str) -> DataFrame:
+    """rep and the weighted sums of the metrics' statistics, the weights being
+    ``n`` draws with replacement (rep -1: each row once)."""
+    cols = statistics(metrics)
+    placed = range_sorted(stats.select(F.col(id_col).alias("__id"), *cols), ["__id"], without=("__id",))
+    # one number per slice: as many as there are partitions
+    sizes = {r["__rk_slice"]: r["n"] for r in placed.groupBy("__rk_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [sizes.get(k, 0) for k in range(max(sizes, default=-1) + 1)]
+    names = ["rep", *[f"__sum_{c}" for c in cols], "__sum_n"]
+
+    def run(batches):
+        tree = DrawTree(sizes, n_boot, seed)
+        total, seen = np.zeros((n_boot + 1, len(cols) + 1)), False
+        block, weights = -1, None
+        for batch in batches:
+            slices, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = np.column_stack([*[batch.column(2 + k).to_numpy() for k in range(len(cols))], np.ones(batch.num_rows)])
+            key = tree.blocks_before[slices] + at // tree.block
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else []
+            for i, j in zip(cut[:-1], cut[1:]):
+                if key[i] != block:  # a block that goes on in another batch (or task) has the same weights there
+                    block, weights = int(key[i]), tree.weights(int(key[i]))
+                total[1:] += weights[:, at[i:j] % tree.block] @ x[i:j]
+                total[0] += x[i:j].sum(axis=0)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_boot)), *[pa.array(total[:, k].copy()) for k in range(total.shape[1])]], names=names)
+
+    part = placed.select("__rk_slice", "__rk_at", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    part = part.mapInArrow(run, ", ".join(f"`{c}` {'long' if c == 'rep' else 'double'}" for c in names))
+    return part.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def bootstrap_ci(stats: DataFrame, metrics: list[str | Metric] | str | Metric, n_boot: int = 1000, ci: float = 0.95, seed: int = 42,
-                 method: str = "poisson", id_col: str = "id", blocks: int = 4096) -> DataFrame:
+                 method: str = "blocks", id_col: str = "id", blocks: int = 4096) -> DataFrame:
     """A5: one row with ``<metric>`` (full-sample value), ``<metric>_ci_lower``
     and ``<metric>_ci_upper`` (percentiles of the replicate scores) per metric."""
-    metrics = [metrics] if isinstance(metrics, (str, Metric)) else list(metrics)
+    metrics = resolve(metrics)
     lo, hi = (1 - ci) / 2, (1 + ci) / 2
     reps = replicate_scores(stats, metrics, n_boot, seed, method, id_col, blocks=blocks)
     out = []
-    for m in map(_name, metrics):
+    for m in (m.name for m in metrics):
         sc, boot = F.col(f"score_{m}"), F.col("rep") >= 0
         out += [
             F.max(F.when(~boot, sc)).alias(m),
@@ -170,7 +163,7 @@ def bootstrap_ci(stats: DataFrame, metrics: list[str | Metric] | str | Metric, n
 
 
 def reconstruction_report(stats: DataFrame, prefix_tokens: int, n_boot: int = 1000, seed: int = 42,
-                          method: str = "poisson", buckets: int | None = None,
+                          method: str = "blocks", buckets: int | None = None,
                           keys: DataFrame | None = None) -> DataFrame:
     """Bleu, its CI, token F1, its CI, average reference tokens,
     compression ratio and samples in one row, from one weighted pass.

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textbench.operators.bleu import bleu_from_sums, bleu_sums, STAT_COLS
+from textbench.operators.metric import Metric, finished, resolve, sums
 from textbench.operators.ranking import DEFAULT_TARGET_ROWS, attach_cuts, label_at, rank_cuts
 
 
@@ -79,14 +80,16 @@ def length_buckets(
     target_rows: int = DEFAULT_TARGET_ROWS,
     group_cols: list[str] | None = None,
     keys: DataFrame | None = None,
+    metrics: list[str | Metric] | None = None,
 ) -> DataFrame:
     """Per-bucket min/max/mean reference length, BLEU, token F1 and samples.
 
     ``stats`` holds one row per pair with ``id``, ``length``, optional ``f1``
     and (when ``with_bleu``) the BLEU statistics of :func:`bleu_row_stats`.
     ``group_cols`` buckets every group (experiment) separately.  ``keys``:
-    a cheap projection with the id, length (and group) columns to build the
-    rank histogram from, so ``stats`` itself is computed once.
+    a cheap projection with the id, length (and group) columns to rank, so
+    ``stats`` itself is computed once.  ``metrics``: the metrics of a bucket in place of
+    BLEU and token F1, each a name or the caller's own :class:`Metric`.
     """
     gc = list(group_cols or [])
     tagged = assign_buckets(stats, buckets, length_col, id_col, "bucket", target_rows, gc, keys)
@@ -96,6 +99,10 @@ def length_buckets(
         F.avg(length_col).alias("avg_ref_tokens"),
         F.count(F.lit(1)).cast("int").alias("samples"),
     ]
+    if metrics is not None:
+        ms = resolve(metrics)
+        out = tagged.groupBy(*gc, "bucket").agg(*aggs, *sums(ms))
+        return out.select(*[c for c in out.columns if not c.startswith("__sum_")], *finished(ms))
     if f1_col:
         aggs.append(F.avg(f1_col).alias("token_f1"))
     if with_bleu:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from textbench.functions.hashing import sql_hash_bits, sql_hash_uniform
 from textbench.functions.text import token_length
 from textbench.operators import bleu as B
-from textbench.operators.bootstrap import (Metric, bootstrap_ci, reconstruction_report, sql_poisson_weight,
-                                           sql_replicate_uniform)
+from textbench.operators.bootstrap import bootstrap_ci, reconstruction_report, sql_poisson_weight, sql_replicate_uniform
 from textbench.operators.buckets import length_buckets
+from textbench.operators.metric import Metric
 from textbench.operators.metrics import exact_match, length_bias, selection_report, token_f1, token_f1_col
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
@@ -19,6 +19,9 @@ from textbench.session import written
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
+#: a caller's metric: system by reference length; the same object runs in buckets (A4), bootstrap (A5) and streams (ST2)
+BREVITY = Metric("brevity", ("sys_len", "ref_len"), lambda s: s["sys_len"] / s["ref_len"])
+
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with their reference length (tokens) and token F1."""
@@ -93,6 +96,20 @@ def a4_length_buckets(spark, sf_dir):
     return out.select("bucket", "min_tokens", "max_tokens", R6("avg_ref_tokens"), "samples", R6("token_f1"), R6("bleu"))
 
 
+@register("a4_length_buckets_metric", f"""
+WITH s AS ({SQL_PAIR_STATS}),
+r AS (SELECT *, row_number() OVER (ORDER BY length, id) - 1 AS rk, count(*) OVER () AS n FROM s),
+b AS (SELECT *, CAST(floor(((rk + 1) * least(4, n) - 1) / n) AS INTEGER) AS bucket FROM r)
+SELECT bucket, CAST(count(*) AS INTEGER) AS samples, round(CAST(sum(sys_len) AS DOUBLE) / sum(ref_len), 6) AS brevity,
+       round(avg(f1), 6) AS f1 FROM b GROUP BY bucket
+""")
+def a4_length_buckets_metric(spark, sf_dir):
+    """Length buckets of a metric that the caller defines, beside a built-in one."""
+    st = written(pair_stats(spark, sf_dir), "pair-stats")
+    out = length_buckets(st, 4, metrics=[BREVITY, "f1"])
+    return out.select("bucket", "samples", R6("brevity"), R6("f1"))
+
+
 # -- A3 ---------------------------------------------------------------------
 
 @register("a3_corpus_bleu", f"""
@@ -221,22 +238,29 @@ FROM sc
 """
 
 
-@register("a5_bootstrap_ci_blocks", _sql_block_replicates(1000, 64) + _SQL_CI)
+@register("a5_bootstrap_ci_blocks", _sql_block_replicates(1000, 4096) + _SQL_CI)
 def a5_bootstrap_ci_blocks(spark, sf_dir):
-    """95% intervals from 1000 replicates over 64 blocks of additive statistics (the form for a large corpus)."""
-    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1"], n_boot=1000, seed=42, method="blocks", blocks=64)
+    """95% intervals from 1000 replicates over 4096 blocks of additive statistics (the defaults, by name)."""
+    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1"], n_boot=1000, seed=42, method="blocks", blocks=4096)
     return out.select(*[R6(c) for c in out.columns])
 
 
-@register("a5_bootstrap_ci_multinomial", _sql_multinomial_replicates(50) + _SQL_CI)
+@register("a5_bootstrap_ci_multinomial", _sql_multinomial_replicates(1000) + _SQL_CI)
 def a5_bootstrap_ci_multinomial(spark, sf_dir):
-    """95% intervals from 50 resamples of exactly n rows with replacement."""
+    """95% intervals from 1000 resamples of exactly n rows with replacement, drawn by hash."""
     st = written(pair_stats(spark, sf_dir), "pair-stats")
-    out = bootstrap_ci(st, ["bleu", "f1"], n_boot=50, seed=42, method="multinomial")
+    out = bootstrap_ci(st, ["bleu", "f1"], n_boot=1000, seed=42, method="multinomial")
     return out.select(*[R6(c) for c in out.columns])
 
 
-@register("a5_bootstrap_ci_metric", _sql_block_replicates(200, 64) + """
+@register("a5_bootstrap_ci_exact")
+def a5_bootstrap_ci_exact(spark, sf_dir):
+    """95% intervals from 1000 resamples of exactly n rows, the draws split down a tree of blocks (any size)."""
+    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1", "samples"], n_boot=1000, seed=42, method="exact")
+    return out.select(*[R6(c) for c in out.columns])
+
+
+@register("a5_bootstrap_ci_metric", _sql_block_replicates(1000, 4096) + """
 SELECT round(max(CASE WHEN rep < 0 THEN score_len END), 6) AS brevity,
   round(quantile_cont(score_len, 0.025) FILTER (WHERE rep >= 0), 6) AS brevity_ci_lower,
   round(quantile_cont(score_len, 0.975) FILTER (WHERE rep >= 0), 6) AS brevity_ci_upper
@@ -244,24 +268,21 @@ FROM (SELECT rep, S_sys_len / S_ref_len AS score_len FROM g)
 """)
 def a5_bootstrap_ci_metric(spark, sf_dir):
     """95% interval of a metric that the caller defines: the ratio of system to reference length."""
-    brevity = Metric("brevity", ("sys_len", "ref_len"), lambda s: s["sys_len"] / s["ref_len"])
-    out = bootstrap_ci(pair_stats(spark, sf_dir), brevity, n_boot=200, seed=42, method="blocks", blocks=64)
+    out = bootstrap_ci(pair_stats(spark, sf_dir), BREVITY)
     return out.select(*[R6(c) for c in out.columns])
 
 
-@register("a5_bootstrap_ci", _sql_replicates(1000) + """
-SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
-  round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
-  round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
-  round(max(CASE WHEN rep < 0 THEN score_f1 END), 6) AS f1,
-  round(quantile_cont(score_f1, 0.025) FILTER (WHERE rep >= 0), 6) AS f1_ci_lower,
-  round(quantile_cont(score_f1, 0.975) FILTER (WHERE rep >= 0), 6) AS f1_ci_upper
-FROM sc
-""")
+@register("a5_bootstrap_ci_poisson", _sql_replicates(1000) + _SQL_CI)
+def a5_bootstrap_ci_poisson(spark, sf_dir):
+    """95% intervals from 1000 replicates with a Poisson weight of its own for every row."""
+    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1"], n_boot=1000, seed=42, method="poisson")
+    return out.select(*[R6(c) for c in out.columns])
+
+
+@register("a5_bootstrap_ci", _sql_block_replicates(1000, 4096) + _SQL_CI)
 def a5_bootstrap_ci(spark, sf_dir):
-    """95% bootstrap intervals of corpus BLEU and token F1 (1000 Poisson replicates)."""
-    st = pair_stats(spark, sf_dir, with_bleu=True)
-    out = bootstrap_ci(st, ["bleu", "f1"], n_boot=1000, ci=0.95, seed=42)
+    """95% bootstrap intervals of corpus BLEU and token F1 with the defaults: 1000 replicates, 4096 blocks."""
+    out = bootstrap_ci(pair_stats(spark, sf_dir), ["bleu", "f1"])
     return out.select(*[R6(c) for c in out.columns])
 
 
@@ -269,7 +290,7 @@ def _rendered(scaled) -> str:
     return " || ':' || ".join(f"CAST(CAST({x} AS BIGINT) AS VARCHAR)" for x in scaled)
 
 
-@register("a6_reconstruction_report", _sql_replicates(1000) + f"""
+@register("a6_reconstruction_report", _sql_block_replicates(1000, 4096) + f"""
 SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
   round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
   round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,

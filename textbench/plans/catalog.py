@@ -32,5 +32,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from textbench.plans import (  # noqa: F401
-        q_metrics, q_splits, q_text, q_agent, q_selection, q_embed, q_reports, q_stream,
+        q_metrics, q_splits, q_text, q_agent, q_selection, q_embed, q_reports, q_stream, q_collate,
     )

@@ -98,9 +98,53 @@ def test_coverage_counts_duplicates_nulls_and_orphans(spark):
     r = EM.embedding_coverage(docs, full, 2).first()
     assert (r["rows"], r["covered"], r["missing"], r["orphans"], r["duplicates"], r["verdict"]) == (4, 4, 0, 1, 4, "duplicates")
     r = EM.embedding_coverage(docs, spark.createDataFrame([(ids[0], None), (ids[1], ok)], schema), 2).first()
+    assert (r["covered"], r["missing"], r["null_vectors"], r["bad_dims"], r["verdict"]) == (1, 3, 1, 0, "resume")
+    r = EM.embedding_coverage(docs, spark.createDataFrame([(ids[0], [1.0]), (ids[1], ok)], schema), 2).first()
     assert (r["covered"], r["missing"], r["bad_dims"], r["verdict"]) == (1, 3, 1, "rebuild")
 
 
+def test_one_vector_per_row_whatever_the_encoder(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "d"), (None, "d"), (2, None)], "doc_id long, text string")
+    want = sorted((str(i), EM.HashedBagOfWords(8)([t])[0].tolist()) for i, t in [(1, "a b"), (1, "c"), (None, "d"), (None, "d"), (2, "")])
+    for enc in (None, EM.HashedBagOfWords(8)):
+        got = sorted((str(r["doc_id"]), r["embedding"]) for r in EM.embed_texts(df, encoder=enc, dim=8).collect())
+        assert got == want
+
+
+def test_a_text_without_a_vector_is_asked_for_again_and_rebuilds_nothing(spark, tmp_path):
+    docs = _docs(spark, ["a", "bad", "c"])
+    path = str(tmp_path / "v")
+
+    def enc(texts):
+        return [None if t == "bad" else [1.0, 2.0] for t in texts]
+
+    for _ in range(3):
+        v = EM.precompute_embeddings(spark, docs, path, encoder=enc, dim=2)
+        assert v.count() == 2 and EM._generation(spark, path) == 0
+    assert EM.precompute_embeddings(spark, docs, path, encoder=lambda ts: [[3.0, 4.0] for _ in ts], dim=2).count() == 3
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    vec = docs.where("doc_id % 3 = 0").select("doc_id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = EM.write_bucketed(docs, "t_corpus_b", str(tmp_path / "c"), buckets=8)
+        EM.write_bucketed(vec, "t_vec_b", str(tmp_path / "v"), buckets=8)
+        v = EM.open_bucketed(spark, "t_vec_again", str(tmp_path / "v"), "doc_id BIGINT, embedding ARRAY<FLOAT>", buckets=8)
+        pending, coverage = EM.pending_embeddings(c, v), EM.embedding_coverage(c, v, 1)
+        plan = pending._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        plan = coverage._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and plan.count("Exchange") == 1  # the sums of the one result row
+        assert pending.count() == 333 and coverage.first()["missing"] == 333
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for t in ("t_corpus_b", "t_vec_b", "t_vec_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
 def test_native_and_python_encoder_agree(spark):
     docs = _docs(spark, ["the cat the cat", "", "é ß 漢字 ñ ñ", "  one  "])
     a = {r["doc_id"]: r["embedding"] for r in EM.embed_texts(docs, dim=32).collect()}

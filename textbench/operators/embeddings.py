@@ -5,9 +5,8 @@ The reference keeps a float32 matrix aligned by row position plus a JSON
 progress file.  Here vectors are ``(doc_id, embedding: array<float>)`` rows:
 "what is still missing" is an anti-join (no position bookkeeping), a resumed
 run appends only the missing ids, and the Parquet commit protocol (or a
-streaming checkpoint, ST1) makes every batch atomic.  The default encoder is a
-DataFrame aggregation; a caller's encoder runs in ``mapInPandas`` on Arrow
-batches.
+streaming checkpoint, ST1) makes every batch atomic.  Encoders run on Arrow
+batches where the texts are read.
 """
 
 from __future__ import annotations
@@ -18,11 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbench.functions.text import words
-
 Encoder = Callable[[list[str]], np.ndarray]
 
 # Fixed values of the precompute gate: 768 dims, 4 bytes per value, 250 GB cap.
@@ -32,9 +30,8 @@ MAX_PRECOMPUTE_GB = 250.0
 
 
 class HashedBagOfWords:
-    """The default encoder as a Python callable, for streams and callers that
-    want one: each whitespace token adds +-1 to the bucket given by its md5
-    (first 32 bits mod ``dim``; sign from the next byte's parity)."""
+    """The default encoder: each whitespace token adds +-1 to the bucket given by
+    its md5 (first 32 bits mod ``dim``; sign from the next byte's parity)."""
 
     CACHE = 1 << 18  # remembered words; the memory is cleared when it is full
 
@@ -62,65 +59,59 @@ class HashedBagOfWords:
         return out
 
 
-def hashed_bag_of_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64) -> DataFrame:
-    """The default encoder in the JVM: words are exploded, summed per (row,
-    bucket) before the shuffle, and at most ``dim`` sums per row are gathered
-    into its vector.  One vector per id; an id's repeated rows add up."""
-    word = df.select(id_col, F.explode_outer(words(F.coalesce(F.col(text_col), F.lit("")))).alias("__w"))
-    digest = F.md5("__w")
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = word.select(id_col, bucket.alias("__b"), sign.alias("__s")).groupBy(id_col, "__b").agg(F.sum("__s").alias("__v"))
-    held = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(
-        F.when(F.col("__b").isNotNull(), F.struct("__b", "__v")))).alias("__m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0)).cast("float"))
-    return held.select(id_col, vector.alias("embedding"))
+def _vector_column(vectors, n: int) -> pa.Array:
+    """An encoder's answer as an Arrow list column; entries may be None."""
+    if isinstance(vectors, np.ndarray):
+        flat = np.ascontiguousarray(vectors, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+    return pa.array([None if v is None else np.asarray(v, np.float32) for v in vectors], pa.list_(pa.float32()))
 
 
 def embed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Encoder | None = None,
                 batch_rows: int = 64, dim: int = 64) -> DataFrame:
-    """``(id, embedding)`` for every row.  Without an ``encoder`` the default
-    one runs in the JVM; an encoder (or a stream, which cannot aggregate here)
-    runs on Arrow batches, ``batch_rows`` texts (the reference's encode batch
-    size) at a time."""
-    if encoder is None and not df.isStreaming:
-        return hashed_bag_of_words(df, id_col, text_col, dim)
+    """``(id, embedding)``, one row for every row of ``df`` (repeated and null
+    ids included), whatever the encoder and for a stream as for a table.  Texts go
+    to the encoder where they are read, ``batch_rows`` (the reference's encode
+    batch size) at a time; no shuffle.  An encoder may return None for a text, whose
+    vector is then null."""
     enc = encoder or HashedBagOfWords(dim)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[start:start + batch_rows]
-                vecs = enc(part[text_col].tolist())
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "embedding": list(vecs.astype(np.float32))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(start, batch_rows)
+                vectors = _vector_column(enc(part.column(1).to_pylist()), part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=[id_col, "embedding"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<float>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, embedding array<float>")
 
 
 def pending_embeddings(corpus: DataFrame, vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """JN5: corpus rows that have no vector yet (the resume point)."""
-    return corpus.join(vectors.select(id_col), id_col, "left_anti")
+    """JN5: corpus rows that have no vector yet, or a null one (the resume point)."""
+    return corpus.join(vectors.where(F.col("embedding").isNotNull()).select(id_col), id_col, "left_anti")
 
 
 def embedding_coverage(corpus: DataFrame, vectors: DataFrame, expected_dim: int | Column, id_col: str = "doc_id") -> DataFrame:
     """JN6: one row ``rows, vectors, covered, missing, orphans, duplicates,
-    bad_dims, verdict``.
+    null_vectors, bad_dims, verdict``.
 
     Vectors are aggregated by id first, so a repeated id covers its row once.
-    ``covered``/``missing``: corpus rows with and without a usable vector;
-    ``orphans``: ids that the corpus does not have (they are kept);
+    A null vector is one that is still to come: it counts under ``null_vectors``
+    alone.  ``covered``/``missing``: corpus rows with and without a usable
+    vector; ``orphans``: ids that the corpus does not have (they are kept);
     ``duplicates``: vectors beyond the first of an id; ``bad_dims``: vectors
-    that are null or not of the expected length.  The verdict is ``rebuild``
-    for any bad vector, else ``resume`` if rows are missing, else
-    ``duplicates`` or ``complete``."""
+    that are not of the expected length.  The verdict is ``rebuild`` for any
+    wrong length, else ``resume`` if rows are missing, else ``duplicates`` or
+    ``complete``."""
     dim = expected_dim if isinstance(expected_dim, Column) else F.lit(expected_dim)
-    bad = F.col("embedding").isNull() | (F.size("embedding") != dim)
+    there = F.col("embedding").isNotNull()
     c = corpus.groupBy(id_col).agg(F.count(F.lit(1)).alias("__c"))
-    v = vectors.select(id_col, bad.cast("int").alias("__bad")).groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("__v"), F.sum("__bad").alias("__b"))
+    v = vectors.groupBy(id_col).agg(
+        F.count(F.when(there, 1)).alias("__v"), F.count(F.when(there & (F.size("embedding") != dim), 1)).alias("__b"),
+        F.count(F.when(~there, 1)).alias("__z"))
     j = c.join(v, id_col, "full_outer").select(
-        *[F.coalesce(x, F.lit(0)).alias(x) for x in ("__c", "__v", "__b")])
+        *[F.coalesce(x, F.lit(0)).alias(x) for x in ("__c", "__v", "__b", "__z")])
     usable = F.col("__v") > F.col("__b")
     total = lambda x, n: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n)
     agg = j.groupBy().agg(
@@ -128,12 +119,31 @@ def embedding_coverage(corpus: DataFrame, vectors: DataFrame, expected_dim: int
         total(F.when(usable, F.col("__c")).otherwise(0), "covered"),
         total(F.when(usable, 0).otherwise(F.col("__c")), "missing"),
         total(F.when((F.col("__c") == 0) & (F.col("__v") > 0), 1).otherwise(0), "orphans"),
-        total(F.greatest(F.col("__v") - 1, F.lit(0)), "duplicates"), total(F.col("__b"), "bad_dims"))
+        total(F.greatest(F.col("__v") - 1, F.lit(0)), "duplicates"), total(F.col("__z"), "null_vectors"),
+        total(F.col("__b"), "bad_dims"))
     verdict = (F.when(F.col("bad_dims") > 0, "rebuild").when(F.col("missing") > 0, "resume")
                .when(F.col("duplicates") > 0, "duplicates").otherwise("complete"))
     return agg.withColumn("verdict", verdict)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, id_col: str = "doc_id", buckets: int = 64, mode: str = "overwrite") -> DataFrame:
+    """``df`` as the table ``name``, stored in ``path`` in ``buckets`` buckets of
+    ``id_col`` with one file each per write.  Tables of one bucketing (a corpus and its
+    vectors) are joined and counted by id bucket by bucket, without a shuffle:
+    JN2, JN5 and JN6 of such tables read each side once, where it lies."""
+    dealt = df.repartition(buckets, F.col(f"`{id_col}`"))
+    dealt.write.format("parquet").bucketBy(buckets, id_col).sortBy(id_col).option("path", path).mode(mode).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, id_col: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """Name a folder that :func:`write_bucketed` wrote in an earlier session
+    (``schema``: its columns as DDL); its files already carry their buckets."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet "
+              f"CLUSTERED BY ({id_col}) SORTED BY ({id_col}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def _generation(spark: SparkSession, path: str) -> int | None:
     """Number of the newest complete generation below ``path`` (a listing of
     the folder on the driver), None without one.  Any error of the file system
@@ -163,7 +173,8 @@ def precompute_embeddings(spark: SparkSession, corpus: DataFrame, path: str, enc
     """Resumable precompute into Parquet below ``path``.
 
     With ``resume`` and stored vectors of the right shape, only the ids that
-    miss one are encoded and appended to the newest generation; vectors of ids
+    miss one are encoded and appended to the newest generation (a text for which the
+    encoder has no vector is not stored and is asked for again); vectors of ids
     outside ``corpus`` stay, so a run on a part of the corpus takes nothing
     away.  A wrong dimension (or ``resume=False``) starts a new generation
     folder and leaves the old one alone.  A folder that cannot be read is an
@@ -183,7 +194,7 @@ def precompute_embeddings(spark: SparkSession, corpus: DataFrame, path: str, enc
             todo = pending_embeddings(corpus, existing, id_col)
         else:
             return read_precomputed(spark, path)
-    out = embed_texts(todo.select(id_col, text_col), id_col, text_col, encoder, dim=dim)
+    out = embed_texts(todo.select(id_col, text_col), id_col, text_col, encoder, dim=dim).where(F.col("embedding").isNotNull())
     write_embeddings(out, f"{path}/gen-{gen}", "append", id_col, buckets)
     return read_precomputed(spark, path)
 

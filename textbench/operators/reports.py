@@ -43,7 +43,7 @@ def bleu_trend(table: DataFrame) -> DataFrame:
     g = table.groupBy("experiment").agg(
         F.min("min_tokens").alias("lo"), F.max("max_tokens").alias("hi"),
         F.array_sort(F.collect_list(F.struct("bucket", "bleu"))).alias("s"))
-    trend = F.array_join(F.transform("s", lambda p: F.format_number(p["bleu"], 1)), " -> ")
+    trend = F.array_join(F.transform("s", lambda p: F.replace(F.format_number(p["bleu"], 1), F.lit(","), F.lit(""))), " -> ")
     return g.select("experiment", F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("tokens_range"),
                     trend.alias("trend"))
 
@@ -86,14 +86,24 @@ def length_quality_corr(points: DataFrame, x: str = "avg_tokens", y: str = "bleu
     return points.groupBy(group_col).agg(F.corr(x, y).alias("pearson_r"), F.count(F.lit(1)).alias("points"))
 
 
+def cross_domain(stats: DataFrame, train_col: str, eval_col: str, metrics=("bleu", "f1")) -> DataFrame:
+    """A18 from per-row statistics: one row per (train, eval) pair with the metrics
+    of its rows (any of the library's contract) and their number."""
+    from textbench.operators.metric import metric_table
+
+    return metric_table(stats, [*metrics, "samples"], [train_col, eval_col])
+
+
 def cross_domain_cells(results: DataFrame, train_col: str, eval_col: str, value_col: str) -> DataFrame:
     """A18 in long form: one row per (train, eval) pair that occurs, whatever
     the number of domains."""
     return results.groupBy(train_col, eval_col).agg(F.max(value_col).alias(value_col))
 
 
-def cross_domain_matrix(results: DataFrame, train_col: str, eval_col: str, value_col: str,
+def cross_domain_matrix(results: DataFrame, train_col: str, eval_col: str, value_col: str | list[str],
                         eval_values: list[str] | None = None) -> DataFrame:
-    """Train domain x eval domain matrix of one metric (``pivot``; pass
-    ``eval_values`` to skip the job that lists the distinct domains)."""
-    return results.groupBy(train_col).pivot(eval_col, eval_values).agg(F.first(value_col))
+    """Train domain x eval domain matrix of one metric, or of several with a
+    list (columns ``<eval>_<metric>``).  Pass ``eval_values`` to skip the job
+    that lists the distinct domains."""
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    return results.groupBy(train_col).pivot(eval_col, eval_values).agg(*[F.first(v).alias(v) for v in values])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textbench.functions.hashing import hash_bits, hash_randint, hash_uniform
 from textbench.operators.buckets import label_by_rank
-from textbench.operators.ranking import two_level_rank
+from textbench.operators.ranking import range_rank, two_level_rank
 
 
 def _shuffle_key(df: DataFrame, seed, key: str, salt: str = "shuffle") -> DataFrame:
@@ -63,11 +63,31 @@ def group_split(df: DataFrame, group: Column, validation_ratio: float, test_rati
     )
 
 
-def limit_first(df: DataFrame, n: int | None, order_key: str) -> DataFrame:
-    """LIM1: first ``n`` rows in dataset order (``None`` = all)."""
+FEW = 10_000  # rows that a limit may gather in one task
+
+
+def limit_first(df: DataFrame, n: int | None, order_key: str, few: int = FEW) -> DataFrame:
+    """LIM1: first ``n`` rows in dataset order (``None`` = all).
+
+    Up to ``few`` rows meet in one task (``orderBy.limit``).  For more, only the
+    keys are ranked (P2's range slices) and the key of the n-th row is a
+    threshold: rows before it are filtered where they lie, and of the rows
+    that share it as many are taken as are missing."""
     if n is None:
         return df
-    return df.orderBy(order_key).limit(n)
+    if n <= few:
+        return df.orderBy(order_key).limit(n)
+    key = F.col(order_key)
+    ranked = range_rank(df.select(order_key), [order_key], "__r")
+    last = ranked.where(F.col("__r") == n - 1).select(order_key).collect()
+    if not last:  # fewer rows than asked for
+        return df
+    cut = F.lit(last[0][0]).cast(df.schema[order_key].dataType)
+    before = (key < cut) | (key.isNull() & cut.isNotNull())  # nulls first
+    before = F.coalesce(before, F.lit(False))
+    missing = n - df.where(before).count()
+    same = range_rank(df.where(key.eqNullSafe(cut)), [order_key], "__r").where(F.col("__r") < missing).drop("__r")
+    return df.where(before).unionByName(same)
 
 
 def limit_splits(df: DataFrame, split_col: str, limits: dict[str, int | None], order_key: str) -> DataFrame:

@@ -97,7 +97,7 @@ def _rjust(c: Column, n: int) -> Column:
 def compare_models(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     """A8 per model rendered as the reference's fixed-width table line
     (name left-justified to 30, then five right-justified width-7 cells)."""
-    num = lambda c: F.format_number(F.col(c), 1)
+    num = lambda c: F.replace(F.format_number(F.col(c), 1), F.lit(","), F.lit(""))
     line = F.concat_ws(
         " ",
         _ljust(F.col(model_col), 30),

@@ -10,7 +10,7 @@ from textbench.operators import embeddings as EM
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
 from textbench.plans.fixtures import corpus, table, vectors
-from textbench.session import checkpoint_dir
+from textbench.session import checkpoint_dir, spread
 from textbench.sources.readers import read_embeddings
 
 K, MODEL_DIM = 4, 16
@@ -51,7 +51,7 @@ FROM documents d LEFT JOIN s USING (doc_id)
 @register("e1_embed_texts", SQL_BOW)
 def e1_embed_texts(spark, sf_dir):
     """Hashed bag-of-words vectors (64 dims) for every document."""
-    v = EM.embed_texts(corpus(spark, sf_dir), dim=64)
+    v = EM.embed_texts(spread(corpus(spark, sf_dir)), dim=64)
     return v.select("doc_id", *_vec_stats())
 
 
@@ -147,11 +147,11 @@ def jn5_pending_embeddings(spark, sf_dir):
 WITH c AS (SELECT doc_id FROM documents),
 v0 AS (SELECT vec_id AS doc_id, CASE WHEN vec_id % 77 = 5 THEN NULL ELSE embedding END AS e FROM embeddings),
 v1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM v0 WHERE doc_id % 50 = 0),
-v AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE e IS NULL OR len(e) <> 64) AS bad FROM v1 GROUP BY doc_id),
-j AS (SELECT c.doc_id AS cd, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM c FULL OUTER JOIN v ON c.doc_id = v.doc_id),
+v AS (SELECT doc_id, count(e) AS n, count(*) FILTER (WHERE len(e) <> 64) AS bad, count(*) - count(e) AS z FROM v1 GROUP BY doc_id),
+j AS (SELECT c.doc_id AS cd, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(z, 0) AS z FROM c FULL OUTER JOIN v ON c.doc_id = v.doc_id),
 a AS (SELECT count(cd) AS rows, CAST(sum(n) AS BIGINT) AS vectors, count(*) FILTER (WHERE cd IS NOT NULL AND n > bad) AS covered,
-             count(*) FILTER (WHERE cd IS NOT NULL AND n <= bad) AS missing, count(*) FILTER (WHERE cd IS NULL) AS orphans,
-             CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(bad) AS BIGINT) AS bad_dims FROM j)
+             count(*) FILTER (WHERE cd IS NOT NULL AND n <= bad) AS missing, count(*) FILTER (WHERE cd IS NULL AND n > 0) AS orphans,
+             CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS duplicates, CAST(sum(z) AS BIGINT) AS null_vectors, CAST(sum(bad) AS BIGINT) AS bad_dims FROM j)
 SELECT *, CASE WHEN bad_dims > 0 THEN 'rebuild' WHEN missing > 0 THEN 'resume' WHEN duplicates > 0 THEN 'duplicates'
           ELSE 'complete' END AS verdict FROM a
 """)
@@ -162,6 +162,38 @@ def jn6_embedding_coverage(spark, sf_dir):
     return EM.embedding_coverage(corpus(spark, sf_dir), v.unionAll(v.where("doc_id % 50 = 0")), 64)
 
 
+def _bucketed(spark, sf_dir):
+    """Documents and vectors as tables of one bucketing."""
+    tag = uuid.uuid4().hex
+    root = f"{checkpoint_dir(spark).rstrip('/')}/bucketed/{tag}"
+    docs = EM.write_bucketed(corpus(spark, sf_dir), f"corpus_{tag}", f"{root}/corpus", buckets=16)
+    v = vectors(spark, sf_dir).withColumn("embedding", F.when(F.col("doc_id") % 77 != 5, F.col("embedding")))
+    return docs, EM.write_bucketed(v, f"vectors_{tag}", f"{root}/vectors", buckets=16)
+
+
+@register("jn5_pending_bucketed", """
+SELECT count(*) AS pending, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM documents
+WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 77 <> 5)
+""")
+def jn5_pending_bucketed(spark, sf_dir):
+    """The resume point of bucketed tables (vectors that are null are pending): no shuffle of either side."""
+    p = EM.pending_embeddings(*_bucketed(spark, sf_dir))
+    return p.groupBy().agg(F.count(F.lit(1)).alias("pending"), F.sum("doc_id").cast("long").alias("id_sum"))
+
+
+@register("jn6_coverage_bucketed", """
+WITH v AS (SELECT vec_id AS doc_id, CASE WHEN vec_id % 77 <> 5 THEN embedding END AS e FROM embeddings),
+j AS (SELECT d.doc_id AS cd, v.doc_id AS vd, e FROM documents d FULL OUTER JOIN v ON d.doc_id = v.doc_id),
+a AS (SELECT count(cd) AS rows, count(e) AS vectors, count(*) FILTER (WHERE cd IS NOT NULL AND e IS NOT NULL) AS covered,
+             count(*) FILTER (WHERE cd IS NOT NULL AND e IS NULL) AS missing, count(*) FILTER (WHERE cd IS NULL AND e IS NOT NULL) AS orphans,
+             CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (WHERE vd IS NOT NULL AND e IS NULL) AS null_vectors, CAST(0 AS BIGINT) AS bad_dims FROM j)
+SELECT *, CASE WHEN missing > 0 THEN 'resume' ELSE 'complete' END AS verdict FROM a
+""")
+def jn6_coverage_bucketed(spark, sf_dir):
+    """Coverage of bucketed tables: counted and joined bucket by bucket."""
+    return EM.embedding_coverage(*_bucketed(spark, sf_dir), 64)
+
+
 @register("src7_read_embeddings", """
 SELECT count(*) AS vectors, min(len(embedding)) AS dim, round(sum(list_sum(embedding)), 3) AS value_sum FROM embeddings
 """)

@@ -15,7 +15,8 @@ from textbench.operators.buckets import as_report_array, length_buckets
 from textbench.operators.metrics import token_f1_col
 from textbench.plans import sqlbits as S
 from textbench.plans.catalog import register
-from textbench.plans.fixtures import SQL_MANIFEST, SQL_PAIRS, corpus, manifest, pairs, table
+from textbench.plans.q_agent import SQL_TRAJ
+from textbench.plans.fixtures import SQL_MANIFEST, SQL_PAIRS, manifest, pairs, table, trajectories
 from textbench.session import checkpoint_dir, written
 from textbench.sinks import writers as W
 from textbench.sources import readers as RD
@@ -139,18 +140,32 @@ def a14_best_k(spark, sf_dir):
     return b.select("adapter", "k", R6("bleu"), R6("token_f1"), R6("compression"))
 
 
-@register("a18_cross_domain_matrix", f"""
+SQL_CELLS = f"""
 WITH s AS ({sql_exp_stats()}),
-g AS (SELECT model, lang, {B.sql_bleu_sums()} FROM s GROUP BY model, lang),
-b AS (SELECT model, lang, round({B.sql_bleu_from_sums()}, 6) AS bleu FROM g)
-SELECT model AS train, lang AS eval, bleu FROM b
-""")
+g AS (SELECT model, lang, avg(f1) AS f1, count(*) AS samples, {B.sql_bleu_sums()} FROM s GROUP BY model, lang),
+cells AS (SELECT model AS train, lang AS eval, round({B.sql_bleu_from_sums()}, 6) AS bleu, round(f1, 6) AS f1, samples FROM g)
+"""
+
+
+def _cells(spark, sf_dir):
+    c = RP.cross_domain(exp_stats(spark, sf_dir), "model", "lang")
+    return c.select(F.col("model").alias("train"), F.col("lang").alias("eval"), R6("bleu"), R6("f1"), "samples")
+
+
+@register("a18_cross_domain_cells", SQL_CELLS + "SELECT * FROM cells")
+def a18_cross_domain_cells(spark, sf_dir):
+    """BLEU and token F1 of each "train" model (m0, m1) on each "eval" language, one row per cell."""
+    return _cells(spark, sf_dir)
+
+
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@register("a18_cross_domain_matrix", SQL_CELLS + "SELECT train, " + ", ".join(
+    f"max({v}) FILTER (WHERE eval = '{x}') AS {x}_{v}" for x in _LANGS for v in ("bleu", "f1")) + " FROM cells GROUP BY train")
 def a18_cross_domain_matrix(spark, sf_dir):
-    """BLEU of each "train" model (m0, m1) on each "eval" language, one row per cell."""
-    st = exp_stats(spark, sf_dir)
-    g = st.groupBy("model", "lang").agg(*B.bleu_sums()).select(
-        F.col("model").alias("train"), F.col("lang").alias("eval"), F.round(B.bleu_from_sums(), 6).alias("bleu"))
-    return RP.cross_domain_cells(g, "train", "eval", "bleu")
+    """The same as a matrix: a row per model, BLEU and token F1 per language as columns."""
+    return RP.cross_domain_matrix(_cells(spark, sf_dir), "train", "eval", ["bleu", "f1"], _LANGS)
 
 
 # -- packing ----------------------------------------------------------------
@@ -317,8 +332,35 @@ SELECT lang, count(*) AS files, count(*) FILTER (WHERE length(text) > 20 AND len
 FROM documents GROUP BY lang
 """)
 def prj1_predicates(spark, sf_dir):
-    """The size, language and length predicates of the walk and report filters, pushed to the scan."""
+    """How many rows the size, language and length predicates keep, side by side in one pass (conditional counts, not filters)."""
     d = table(spark, sf_dir, "documents").select("lang", "text", "n_chars")
     size_ok = (F.length("text") > 20) & (F.length("text") < 5000)
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(size_ok, 1)).alias("kept_by_size"),
                                  F.count(F.when((F.col("n_chars") < 1000) & (F.col("lang") != "en"), 1)).alias("short_non_en"))
+
+
+def pruned_scan(spark, sf_dir):
+    """Documents laid out by language, then the predicates as filters on what is stored."""
+    root = _scratch(spark, "by-lang")
+    W.write_layout(table(spark, sf_dir, "documents"), root, ["lang"], ["n_chars", "doc_id"])
+    d = spark.read.parquet(root)
+    return d.where(F.col("lang").isin("de", "fr") & (F.col("n_chars") > 20) & (F.col("n_chars") < 5000)).select("doc_id", "lang", "n_chars")
+
+
+@register("prj1_pruned_scan", """
+SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('de', 'fr') AND n_chars > 20 AND n_chars < 5000
+""")
+def prj1_pruned_scan(spark, sf_dir):
+    """Language and size predicates answered by the layout: other languages' folders are not listed, and row
+    groups of other sizes are skipped by their statistics."""
+    return pruned_scan(spark, sf_dir)
+
+
+@register("prj1_success_filter", f"""
+SELECT run, task_id, model FROM ({SQL_TRAJ}) WHERE success
+""")
+def prj1_success_filter(spark, sf_dir):
+    """The success predicate on stored trajectories, as a filter that the scan gets."""
+    root = _scratch(spark, "trajectories")
+    trajectories(spark, sf_dir).write.parquet(root)
+    return spark.read.parquet(root).where("success").select("run", "task_id", "model")

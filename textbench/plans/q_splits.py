@@ -67,6 +67,16 @@ def lim1_limit_first(spark, sf_dir):
     return SP.limit_first(docs, 100, "doc_id")
 
 
+@register("lim1_limit_many", """
+WITH e AS (SELECT event_id, value, count(*) OVER () AS n, row_number() OVER (ORDER BY event_id) AS rn FROM events)
+SELECT event_id, value FROM e WHERE rn <= n // 2
+""")
+def lim1_limit_many(spark, sf_dir):
+    """Half of the events in order of their id, a limit that grows with the table: by threshold, not in one task."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    return SP.limit_first(e, e.count() // 2, "event_id", few=0)
+
+
 @register("lim1_limit_splits", """
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM d)

@@ -35,3 +35,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         w.json(path)
     else:
         raise ValueError(f"unsupported table format {fmt}")
+
+
+def write_layout(df: DataFrame, path: str, folders: list[str], sort: list[str], mode: str = "overwrite") -> None:
+    """Parquet laid out for pruned scans: a folder per value of ``folders`` (a
+    filter on them lists only its own) and files sorted by ``sort``, whose row
+    groups have narrow ranges that a filter can skip.  A large folder is written
+    by many tasks, each with a range of its own."""
+    order = [*folders, *sort]
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode(mode).partitionBy(*folders).parquet(path))

@@ -104,6 +104,7 @@ def test_replay_edits_sequence(spark):
                                "snap string, edits array<struct<old_text:string,new_text:string>>")
     r = df.select(TR.replay_edits(F.col("edits"), F.col("snap"), F.lit("f")).alias("r")).first()["r"]
     assert (r["content"], r["applied"], r["failed"]) == ("c b d", 2, 1)
+    assert [tuple(o) for o in r["outcomes"]] == [(True, "edited f"), (False, "text not found in f"), (True, "edited f")]
 
 
 def test_mutations_semantics(spark):
@@ -183,3 +184,37 @@ def test_whole_word_rename(spark):
     assert whole.count("subtotal = ") == 1 or "total = 1" in whole  # the other name was drawn
     if "total_renamed = 1" in whole:
         assert "\nsubtotal = total_renamed + 2" in whole and "subtotal_renamed" in sub
+
+
+def test_listing_spreads_one_repository_over_tasks(spark, tmp_path, monkeypatch):
+    """One repository has almost all files, many folders deep; no task lists it alone."""
+    import os
+
+    from textbench.sources import readers as RD
+
+    monkeypatch.setattr(RD, "ROWS_PER_BATCH", 3)
+    want = set()
+    for d in range(40):
+        folder = tmp_path / "big" / f"d{d % 8}" / f"e{d}" / ".hidden"
+        os.makedirs(folder)
+        for k in range(5):
+            (folder / f"_f{k}.py").write_text("x = 1")
+            want.add(("big", f"d{d % 8}/e{d}/.hidden/_f{k}.py"))
+    (tmp_path / "small").mkdir()
+    (tmp_path / "small" / "a.py").write_text("x")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "stray.py").write_text("not in a repository")
+    want.add(("small", "a.py"))
+    files = RD.list_code_files(spark, str(tmp_path))
+    assert {(r["repo"], r["path"]) for r in files.collect()} == want and files.count() == len(want)
+    deepest = files.withColumn("p", F.input_file_name()).where("repo = 'big'").select("p").distinct().count()
+    assert deepest > 4  # written by so many tasks
+    assert all(r["uri"].endswith(r["path"]) and r["size"] > 0 for r in files.collect())
+
+
+def test_rename_replay_reports_what_the_first_edit_leaves(spark):
+    df = spark.createDataFrame([("ab = 1\nuse(ab)\nab2 = ab\n",), ("ab = 1\n",)], "c string")
+    m = F.struct(F.col("c").alias("original"), F.replace("c", F.lit("ab"), F.lit("ab_renamed")).alias("mutated"),
+                 F.lit("ab").alias("old_text"), F.lit("ab_renamed").alias("new_text"))
+    rows = [tuple(r["r"]) for r in df.select(TR.rename_replay(F.col("c"), m, F.lit("f")).alias("r")).collect()]
+    assert rows == [(True, False, 3), (True, True, 0)]

@@ -181,9 +181,11 @@ def flatten_trajectory(traj: DataFrame, id_cols: list[str]) -> DataFrame:
 
 def replay_edits(edits: Column, snapshot: Column, path: Column) -> Column:
     """SFT8: apply an ordered ``array<struct<old_text,new_text>>`` of edits to
-    a file snapshot: ``struct<content, applied, failed>``.  A fold with
-    ``aggregate``; each step is TXT15 (first occurrence only)."""
-    init = F.struct(snapshot.alias("content"), F.lit(0).alias("applied"), F.lit(0).alias("failed"))
+    a file snapshot: ``struct<content, applied, failed, outcomes>``, where
+    ``outcomes`` has ``struct<success, output>`` for every edit in order.  A fold
+    with ``aggregate``; each step is TXT15 (first occurrence only)."""
+    none = F.expr("cast(array() as array<struct<success: boolean, output: string>>)")
+    init = F.struct(snapshot.alias("content"), F.lit(0).alias("applied"), F.lit(0).alias("failed"), none.alias("outcomes"))
 
     def step(acc, e):
         r = apply_edit(acc["content"], e["old_text"], e["new_text"], path)
@@ -191,6 +193,20 @@ def replay_edits(edits: Column, snapshot: Column, path: Column) -> Column:
             r["content"].alias("content"),
             (acc["applied"] + F.when(r["success"], 1).otherwise(0)).alias("applied"),
             (acc["failed"] + F.when(r["success"], 0).otherwise(1)).alias("failed"),
+            F.concat(acc["outcomes"], F.array(F.struct(F.coalesce(r["success"], F.lit(False)).alias("success"), r["output"].alias("output")))).alias("outcomes"),
         )
 
     return F.aggregate(edits, init, step)
+
+
+def rename_replay(content: Column, mutation: Column, path: Column) -> Column:
+    """SFT8 for a rename conversation: its one edit replayed against what the
+    description asks for (every occurrence renamed).  ``struct<success,
+    matches, left>``: the edit applied; the edited file is the fully renamed one;
+    occurrences that the edit, which changes only the first, leaves behind."""
+    edit = F.struct(mutation["old_text"].alias("old_text"), mutation["new_text"].alias("new_text"))
+    r = replay_edits(F.array(edit), content, path)
+    old = mutation["old_text"]
+    times = (F.length(content) - F.length(F.replace(content, old, F.lit("")))) / F.length(old)
+    return F.struct((r["applied"] == 1).alias("success"), (r["content"] == mutation["mutated"]).alias("matches"),
+                    (times.cast("long") - r["applied"]).alias("left"))

@@ -107,19 +107,20 @@ r AS (SELECT conv_id, list_reduce(edits, lambda acc, x: {{
                                     substr(acc.content, strpos(acc.content, x.old_text) + length(x.old_text)))
                         ELSE acc.content END,
         'applied': acc.applied + CASE WHEN strpos(acc.content, x.old_text) > 0 THEN 1 ELSE 0 END,
-        'failed': acc.failed + CASE WHEN strpos(acc.content, x.old_text) > 0 THEN 0 ELSE 1 END}},
-        {{'content': snapshot, 'applied': 0, 'failed': 0}}) AS res FROM j)
-SELECT conv_id, res.applied AS applied, res.failed AS failed, md5(res.content) AS final_md5 FROM r
+        'failed': acc.failed + CASE WHEN strpos(acc.content, x.old_text) > 0 THEN 0 ELSE 1 END,
+        'outcomes': concat(acc.outcomes, CASE WHEN strpos(acc.content, x.old_text) > 0 THEN '+edited f;' ELSE '-text not found in f;' END)}},
+        {{'content': snapshot, 'applied': 0, 'failed': 0, 'outcomes': ''}}) AS res FROM j)
+SELECT conv_id, res.applied AS applied, res.failed AS failed, res.outcomes AS outcomes, md5(res.content) AS final_md5 FROM r
 """)
 def sft8_replay_edits(spark, sf_dir):
-    """Every run's edits, in step order, replayed on its file snapshot."""
+    """Every run's edits, in step order, replayed on its file snapshot: the outcome of each and the final text."""
     e = step_records(spark, sf_dir).filter(F.col("call.tool") == "edit")
     edits = e.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         "s", F.col("call.old_text").alias("old_text"), F.col("call.new_text").alias("new_text")))).alias("edits"))
     j = edits.join(_snapshots(spark, sf_dir), "conv_id")
-    r = TR.replay_edits(F.col("edits"), F.col("snapshot"), F.lit("f"))
-    return j.select("conv_id", r["applied"].alias("applied"), r["failed"].alias("failed"),
-                    F.md5(r["content"]).alias("final_md5"))
+    j = j.select("conv_id", TR.replay_edits(F.col("edits"), F.col("snapshot"), F.lit("f")).alias("r"))
+    shown = F.transform("r.outcomes", lambda o: F.concat(F.when(o["success"], "+").otherwise("-"), o["output"], F.lit(";")))
+    return j.select("conv_id", "r.applied", "r.failed", F.array_join(shown, "").alias("outcomes"), F.md5("r.content").alias("final_md5"))
 
 
 def _sql_metrics(group: str = "", max_steps: str = "20", join_tasks: bool = False) -> str:
@@ -318,6 +319,25 @@ def txt12_rename_mutation(spark, sf_dir):
         "doc_id", "m.old_text", "m.new_text", F.md5("m.mutated").alias("mutated_md5"))
 
 
+@register("sft8_rename_mismatch", f"""
+WITH c AS ({SQL_CODE_FILES}), r AS ({_sql_rename()}),
+x AS (SELECT repo, content, ren_old AS old, concat(ren_old, '_renamed') AS new,
+        (length(content) - length(replace(content, ren_old, ''))) // length(ren_old) AS times FROM r WHERE ren_old IS NOT NULL),
+y AS (SELECT repo, times, concat(substr(content, 1, strpos(content, old) - 1), new, substr(content, strpos(content, old) + length(old)))
+        = replace(content, old, new) AS matches FROM x)
+SELECT repo, count(*) AS renames, count(*) AS applied, count(*) FILTER (WHERE matches) AS complete,
+       CAST(sum(times - 1) AS BIGINT) AS left_over FROM y GROUP BY repo
+""")
+def sft8_rename_mismatch(spark, sf_dir):
+    """Rename conversations whose one edit (first occurrence) does not give the fully renamed file, per repository."""
+    m = M.rename_mutation(F.col("content"), F.col("lang"), 42, F.col("repo"), F.col("path"))
+    f = code_files(spark, sf_dir).withColumn("m", m).where(F.col("m").isNotNull())
+    f = f.select("repo", TR.rename_replay(F.col("content"), F.col("m"), F.col("path")).alias("r"))
+    return f.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("renames"), F.count(F.when(F.col("r.success"), 1)).alias("applied"),
+        F.count(F.when(F.col("r.matches"), 1)).alias("complete"), F.sum("r.left").cast("long").alias("left_over"))
+
+
 @register("txt13_string_literal_mutation", f"""
 WITH c AS ({SQL_CODE_FILES}), l AS ({_sql_literal()})
 SELECT doc_id, lit_old AS old_text, lit_new AS new_text,

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textbench.session import written
+
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 CONVERSATION_SCHEMA = T.StructType([T.StructField("messages", MESSAGES)])
 
@@ -130,9 +132,6 @@ def parse_trajectories(json_col: Column) -> Column:
     return F.from_json(json_col, TRAJECTORY_SCHEMA)
 
 
-FILE_SCHEMA = "repo string, path string, uri string, size long"
-
-
 def _open(uri: str):
     """(file system, path) of a URI, on whichever machine this runs."""
     from pyarrow import fs
@@ -140,33 +139,63 @@ def _open(uri: str):
     return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-def list_code_files(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, path, uri, size) of every file below ``root/<repo>/``, names that
-    begin with ``_`` or ``.`` included (Spark's own file sources hide those).
-    The driver lists the repositories, tasks list the files of each."""
-    from pyarrow.fs import FileSelector, FileType
+LISTED = "repo string, path string, uri string, size long, folder boolean"
+FOLDERS_PER_TASK = 256
+ROWS_PER_BATCH = 2000
 
-    fs, base = _open(root.rstrip("/"))
-    scheme = root[:root.index("://") + 3] if "://" in root else ""
-    repos = sorted(i.path for i in fs.get_file_info(FileSelector(base)) if i.type == FileType.Directory)
 
-    def walk(batches):
+def _list_folders(root: str):
+    """Tasks that list folders (repo, path, uri; no repo: the root itself) one by
+    one, giving their files and folders on as rows as they are found."""
+
+    def run(batches):
         import pandas as pd
+        from pyarrow.fs import FileSelector, FileType
 
+        scheme = root[:root.index("://") + 3] if "://" in root else ""
         for pdf in batches:
-            for top in pdf["top"]:
-                there, _ = _open(root.rstrip("/"))
-                rows, folders = [], [top]
-                while folders:
-                    for i in there.get_file_info(FileSelector(folders.pop())):
-                        if i.type == FileType.Directory:
-                            folders.append(i.path)
-                        elif i.type == FileType.File:
-                            rows.append((top.rpartition("/")[2], i.path[len(top) + 1:], scheme + i.path, i.size))
-                yield pd.DataFrame(rows, columns=["repo", "path", "uri", "size"])
-
-    tops = spark.createDataFrame([(r,) for r in repos], "top string")
-    return tops.repartition(max(1, min(len(repos), 1000))).mapInPandas(walk, FILE_SCHEMA)
+            for repo, path, uri in zip(pdf["repo"], pdf["path"], pdf["uri"]):
+                fs, at = _open(uri)
+                rows = []
+                for i in fs.get_file_info(FileSelector(at)):
+                    folder = i.type == FileType.Directory
+                    if not folder and (i.type != FileType.File or repo is None):
+                        continue
+                    name = i.path.rpartition("/")[2]
+                    inside = "" if repo is None else f"{path}/{name}" if path else name
+                    rows.append((name if repo is None else repo, inside, scheme + i.path, i.size or 0, folder))
+                    if len(rows) == ROWS_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=["repo", "path", "uri", "size", "folder"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["repo", "path", "uri", "size", "folder"])
+
+    return run
+
+
+def list_code_files(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, path, uri, size) of every file below ``root/<repo>/``, names that
+    begin with ``_`` or ``.`` included (Spark's own file sources hide those).
+
+    Folders are a frontier of rows: one round of tasks lists all folders of a
+    depth, wherever they lie, and the folders found are dealt out again as the next
+    round's.  So a repository with a third of all files is listed by as many
+    tasks as it has folders, and there are as many rounds as the tree is deep.  One
+    folder is one call of the file system."""
+    root = root.rstrip("/")
+    frontier = spark.createDataFrame([(None, "", root)], "repo string, path string, uri string")
+    levels = []
+    while True:
+        found = written(frontier.mapInPandas(_list_folders(root), LISTED), "listed")
+        levels.append(found.where(~F.col("folder")).select("repo", "path", "uri", "size"))
+        folders = found.where("folder").select("repo", "path", "uri")
+        n = folders.count()
+        if not n:
+            break
+        frontier = folders.repartition(min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FOLDERS_PER_TASK))))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionAll(level)
+    return out
 
 
 def write_code_files(files: DataFrame, root: str) -> None:

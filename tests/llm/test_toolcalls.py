@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from textbench.llm import toolcalls
 from textbench.llm.toolcalls import SCHEMAS, canonical, derive_calls, link_tool_calls, parse_json, schema_error
 
 
@@ -38,7 +39,10 @@ def _ref(i):
     return json.dumps({"after": {"$ref": i}})
 
 
-def test_links_order_and_status(spark):
+@pytest.mark.parametrize("group", [100_000, 1])
+def test_links_order_and_status(spark, monkeypatch, group):
+    """Conversations ordered in a task, and (with a bound of 1) by joins."""
+    monkeypatch.setattr(toolcalls, "GROUP", group)
     calls = [(1, 1, "a", "f", '{"x": 1}'), (1, 3, "b", "f", _ref("a")), (1, 5, "c", "f", json.dumps([{"$ref": "a"}, {"$ref": "b"}])),
              (1, 0, "late", "f", _ref("c")), (1, 7, "p", "f", _ref("q")), (1, 7, "q", "f", _ref("p")), (1, 9, "r", "f", _ref("q")),
              (1, 2, "m", "f", _ref("nowhere")), (2, 1, "a", "f", '{"x": "no"}'), (2, 2, "a", "f", "{}"), (2, 3, None, "f", "{}"),
@@ -85,3 +89,37 @@ def test_conversations_against_plain_code(spark):
         assert r["level"] == level(key) and r["status"] == ("linked" if key in results else "pending")
         want = {"arguments": json.loads(c["arguments"]), "id": key[1], "name": c["name"], "result": results.get(key)}
         assert r["canonical"] == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_calls_without_an_id_are_nodes_of_their_own(spark):
+    calls = [(1, 1, "a", "f", "{}"), (1, 2, None, "f", _ref("nowhere")), (1, 3, None, "f", _ref("a")), (1, 4, None, "f", "{}"),
+             (1, 4, None, "f", "{}"), (1, 5, "b", "f", _ref("a"))]
+    got = {(r["call_id"], r["turn"]): r for r in _link(spark, calls, [])}
+    assert (got[(None, 2)]["level"], got[(None, 2)]["error"]) == (0, "names a call that is not there")
+    assert (got[(None, 3)]["level"], got[(None, 3)]["valid"]) == (1, True)
+    assert (got[(None, 4)]["level"], got[(None, 4)]["valid"], got[(None, 4)]["status"]) == (0, True, "pending")
+    assert sorted(r["seq"] for r in _link(spark, calls, [])) == list(range(6))
+
+
+def test_escaped_references_find_their_call(spark):
+    calls = [(1, 1, "café", "f", "{}"), (1, 2, 'q"x\\', "f", "{}"), (1, 3, "u", "f", '{"after": {"$ref": "caf\\u00e9"}}'),
+             (1, 4, "v", "f", json.dumps({"after": {"$ref": 'q"x\\'}})), (1, 5, "w", "f", json.dumps({"x": 1, "s": '{"$ref": "no"}'}))]
+    got = {r["call_id"]: r for r in _link(spark, calls, [])}
+    assert (got["u"]["level"], got["u"]["error"]) == (1, None) and (got["v"]["level"], got["v"]["error"]) == (1, None)
+    assert (got["w"]["level"], got["w"]["error"]) == (0, None)
+
+
+def test_a_long_chain_takes_no_round_per_level(spark, monkeypatch):
+    made = []
+    real = toolcalls.materialise
+    monkeypatch.setattr(toolcalls, "materialise", lambda df, tag: made.append(tag) or real(df, tag))
+    calls = [(1, i, f"c{i}", "f", _ref(f"c{i - 1}") if i else "{}") for i in range(5000)]
+    got = {r["call_id"]: r for r in _link(spark, calls, [])}
+    assert all(got[f"c{i}"]["level"] == i == got[f"c{i}"]["seq"] for i in range(5000)) and len(made) < 20
+
+
+def test_one_turn_for_all_calls_and_very_long_texts(spark):
+    calls = [(1, None, f"c{i:03d}", "f", "{}") for i in range(300)] + [(1, 7, "long", "f", json.dumps({"s": "x" * 3_000_000}))]
+    got = {r["call_id"]: r for r in _link(spark, calls, [(1, 8, "long", "y" * 3_000_000)])}
+    assert [got[f"c{i:03d}"]["seq"] for i in range(300)] == list(range(300)) and got["long"]["seq"] == 300
+    assert len(got["long"]["canonical"]) > 6_000_000

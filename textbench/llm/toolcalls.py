@@ -4,10 +4,12 @@ Calls and results are joined by (conversation, call id) after results are
 aggregated per id, so a repeated id never multiplies rows.  Arguments may name
 earlier calls (``{"$ref": "<call id>"}``); calls are ordered topologically:
 level 0 names no call, any other is one above the highest call it names, and
-within a conversation calls go by level, turn and id.  Levels are found for all
-conversations at once, one join per level.  Arguments are validated against the
-JSON schema of their tool, and every linked call is serialised as canonical JSON
-(sorted keys, no spaces, UTF-8).
+within a conversation calls go by level, turn and id.  The references of a
+conversation (at most GROUP of them) are ordered in one task, so chains of any
+length cost no extra round; a conversation with more is ordered by joins, one
+round per level.  Arguments are validated against the JSON schema of their tool,
+and every linked call is serialised as canonical JSON (sorted keys, no spaces,
+UTF-8).
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from __future__ import annotations
 import json
 import math
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textbench.llm.common import materialise
+from textbench.operators.ranking import range_rank
 
 REF = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
+GROUP = 100_000  # references of a conversation that one task orders
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -97,49 +102,74 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _conversation_levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of the calls of one conversation that name others (ck, key, ref);
+    null on a cycle or above one."""
+    waits, named_by = defaultdict(int), defaultdict(list)
+    for key, ref in zip(pdf["key"], pdf["ref"]):
+        waits[key] += 1
+        named_by[ref].append(key)
+    level = dict.fromkeys(waits)
+    ready = [(ref, 0) for ref in named_by if ref not in waits]
+    while ready:
+        done, at = ready.pop()
+        for key in named_by[done]:
+            level[key] = max(level[key] or 0, at + 1)
+            waits[key] -= 1
+            if not waits[key]:
+                ready.append((key, level[key]))
+    rows = [(key, n if waits[key] == 0 else None) for key, n in level.items()]
+    return pd.DataFrame({"ck": pdf["ck"].iloc[0], "key": [k for k, _ in rows],
+                         "level": pd.array([n for _, n in rows], dtype="Int64")})
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, missing): ``level`` is null on a cycle or above
-    one; ``missing`` counts named calls that the conversation does not have."""
-    node = materialise(calls.groupBy("conv_id", "call_id").agg(F.flatten(F.collect_set("refs")).alias("refs")), "calls")
-    wants = node.select("conv_id", "call_id", F.explode(F.array_distinct("refs")).alias("ref"))
-    have = node.select(F.col("conv_id").alias("c"), F.col("call_id").alias("r"))
-    wants = wants.join(have, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("ref") == F.col("r")), "left")
-    wants = materialise(wants.select("conv_id", "call_id", "ref", F.col("r").isNotNull().alias("there")), "refs")
-    absent = wants.where("not there").groupBy("conv_id", "call_id").agg(F.count("*").alias("missing"))
-    left = wants.where("there").select("conv_id", "call_id", "ref")
-    blocked = left.select("conv_id", "call_id").distinct()
-
-    def minus(a, b):
-        return a.alias("a").join(b.alias("b"), F.expr("a.conv_id <=> b.conv_id and a.call_id <=> b.call_id"), "left_anti")
-
-    done = materialise(minus(node.select("conv_id", "call_id"), blocked).withColumn("level", F.lit(0)), "levels")
-    fresh, depth = done, 0
-    while not left.isEmpty() and not fresh.isEmpty():
-        depth += 1
-        # references to calls that are done no longer count; whoever has none left comes next
-        rest = left.alias("l").join(fresh.alias("f"), F.expr("l.conv_id <=> f.conv_id and l.ref = f.call_id"), "left_anti")
-        rest = materialise(rest, "refs")
-        waiting = left.select("conv_id", "call_id").distinct()
-        fresh = materialise(minus(waiting, rest.select("conv_id", "call_id").distinct()).withColumn("level", F.lit(depth)), "levels")
-        done, left = done.unionAll(fresh), rest
-    out = node.select("conv_id", "call_id").alias("n").join(
-        done.alias("d"), F.expr("n.conv_id <=> d.conv_id and n.call_id <=> d.call_id"), "left").select("n.*", "d.level")
-    return out.alias("n").join(absent.alias("m"), F.expr("n.conv_id <=> m.conv_id and n.call_id <=> m.call_id"), "left").select(
-        "n.*", F.coalesce("m.missing", F.lit(0)).alias("missing"))
-
-
-def _dense_order(df: DataFrame, span: int = 64) -> DataFrame:
-    """``seq``: position of a call in its conversation, from 0.  Positions come
-    from counts per slice of ``span`` turns, so that a conversation of any
-    length is never one window over its calls."""
-    # null ids and turns are part of the key, so all keys compare null-safe
-    x = df.withColumn("slice", F.floor(F.coalesce("turn", F.lit(-1)) / span)).withColumn("lv", F.coalesce("level", F.lit(2 ** 30)))
-    per = x.groupBy("conv_id", "lv", "slice").agg(F.count("*").alias("c"))
-    before = per.withColumn("before", F.sum("c").over(W.partitionBy("conv_id").orderBy("lv", "slice")) - F.col("c"))
-    inside = W.partitionBy("conv_id", "lv", "slice").orderBy("turn", "call_id", "nth")
-    x = x.withColumn("at", F.row_number().over(inside) - 1)
-    x = x.alias("x").join(before.alias("b"), F.expr("x.conv_id <=> b.conv_id and x.lv = b.lv and x.slice = b.slice"))
-    return x.select("x.*", (F.col("b.before") + F.col("x.at")).alias("seq")).drop("slice", "lv", "at")
+    """(ck, key, level, missing) of calls (ck, key, refs): ``level`` is null on
+    a cycle or above one; ``missing`` counts named calls that the conversation
+    does not have.  ``ck`` and ``key`` name conversations and calls and are
+    never null; a call without an id has a key that no reference names."""
+    node = materialise(calls.select("ck", "key", "refs"), "calls")  # one row per call already
+    wants = node.select("ck", "key", F.explode(F.array_distinct("refs")).alias("ref"))
+    have = node.select(F.col("ck").alias("hc"), F.col("key").alias("hk"))
+    wants = wants.join(have, (F.col("ck") == F.col("hc")) & (F.col("ref") == F.col("hk")), "left")
+    wants = materialise(wants.select("ck", "key", "ref", F.col("hk").isNotNull().alias("there")), "refs")
+    absent = wants.where("not there").groupBy("ck", "key").agg(F.count("*").alias("missing"))
+    edges = wants.where("there").select("ck", "key", "ref")
+    large = materialise(edges.groupBy("ck").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("ck"), "large")
+    small = edges.join(large, "ck", "left_anti").groupBy("ck").applyInPandas(_conversation_levels, "ck string, key string, level long")
+    levels = [materialise(small, "levels")]
+
+    left = edges.join(large, "ck")
+    if not large.isEmpty():
+        left = materialise(left, "refs")
+        waiting = left.select("ck", "key").distinct()
+        fresh, depth = node.select("ck", "key").join(large, "ck").join(waiting, ["ck", "key"], "left_anti"), 0
+        while not left.isEmpty() and not fresh.isEmpty():
+            depth += 1
+            # references to calls that are done no longer count; whoever has none left comes next
+            rest = left.join(fresh.select("ck", F.col("key").alias("ref")), ["ck", "ref"], "left_anti")
+            rest = materialise(rest, "refs")
+            fresh = left.select("ck", "key").distinct().join(rest.select("ck", "key").distinct(), ["ck", "key"], "left_anti")
+            fresh = materialise(fresh, "levels")
+            levels.append(fresh.withColumn("level", F.lit(depth).cast("long")))
+            left = rest
+        levels.append(left.select("ck", "key").distinct().withColumn("level", F.lit(None).cast("long")))
+    found = levels[0]
+    for part in levels[1:]:
+        found = found.unionAll(part)
+    found = found.withColumn("named", F.lit(True))
+    out = node.select("ck", "key").join(found, ["ck", "key"], "left").join(absent, ["ck", "key"], "left")
+    return out.select("ck", "key", F.when(F.col("named"), F.col("level")).otherwise(F.lit(0)).cast("int").alias("level"),
+                      F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+def _dense_order(df: DataFrame) -> DataFrame:
+    """``seq``: position of a call in its conversation, from 0, by level (null
+    last), turn and id.  Only these are sorted, in ranges, so a conversation of any
+    length, or with one turn for all, is spread over tasks."""
+    keys = df.select("rid", "ck", F.coalesce("level", F.lit(2 ** 30)).alias("lv"), "turn", "call_id", "nth")
+    seq = range_rank(keys, ["lv", "turn", "call_id", "nth", "rid"], "seq", partition_cols=["ck"]).select(F.col("rid").alias("sr"), "seq")
+    return df.join(seq, F.col("rid") == F.col("sr")).drop("sr")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -152,7 +182,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     level, seq and canonical null); 'repeated' (a later call with an id that the
     conversation already used).  An id's first result (by turn, then content)
     counts.  Null conversation or call ids: a null conversation is one of its
-    own; a call without an id is pending and its results are orphans.  A call
+    own; a call without an id is pending, a node of its own that no reference
+    names, and results without an id are orphans.  References are read as JSON
+    strings, escapes resolved.  A call
     that is on a cycle of references, or above one, has level null and goes
     last.  ``valid`` is false, with the reason in ``error``, if the arguments
     are null, not strict JSON, break the schema, name a call that is not there,
@@ -160,8 +192,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     not read.  ``schemas`` is a parameter of the program, one entry per tool.
     """
     c = calls.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "name", "arguments")
-    refs = F.coalesce(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1)), F.array().cast("array<string>"))
-    c = c.withColumn("refs", F.array_distinct(refs))
+    raw = F.coalesce(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1)), F.array().cast("array<string>"))
+    # what the expression found are the insides of JSON strings
+    refs = F.from_json(F.concat(F.lit('["'), F.array_join(raw, '","'), F.lit('"]')), "array<string>")
+    refs = F.transform(F.coalesce(refs, F.array().cast("array<string>")), lambda x: F.concat(F.lit("i"), x))
+    c = c.withColumn("refs", F.when(F.size(raw) > 0, F.array_distinct(refs)).otherwise(F.array().cast("array<string>")))
     same = ["conv_id", "call_id", "turn", "name", "arguments", "refs"]
     c = c.groupBy(*same).agg(F.count("*").alias("m")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     # the first call of an id is found by aggregation, not by a window over the id
@@ -169,7 +204,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     c = c.alias("x").join(first.alias("y"), F.expr("x.conv_id <=> y.conv_id and x.call_id <=> y.call_id")).select(
         "x.*", (~F.struct("x.turn", "x.name", "x.arguments", "x.i").eqNullSafe(F.col("y.first"))).cast("int").alias("later"))
     c = c.withColumn("nth", F.when(F.col("call_id").isNull(), F.lit(0)).otherwise(F.col("later")) * F.col("i")).drop("m", "i", "later")
-    c = materialise(c, "tool-calls")
+    rid = F.monotonically_increasing_id()
+    c = c.withColumn("rid", rid).withColumn("ck", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")))
+    # a later call of an id shares its key; a call without an id has its own
+    c = materialise(c.withColumn("key", F.coalesce(F.concat(F.lit("i"), F.col("call_id")), F.concat(F.lit("r"), F.col("rid").cast("string")))), "tool-calls")
 
     r = results.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "content")
     r = r.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("res"))
@@ -180,8 +218,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         "conv_id", "call_id", F.col("res.turn").alias("turn"))
 
     levels = call_levels(c.where(F.col("nth") == 0))
-    linked = linked.alias("x").join(levels.alias("l"), F.expr("x.conv_id <=> l.conv_id and x.call_id <=> l.call_id"), "left").select(
-        "x.*", "l.level", F.coalesce("l.missing", F.lit(0)).alias("missing"))
+    linked = linked.join(levels, ["ck", "key"], "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
     linked = _dense_order(linked)
 
     def finish(batches):

@@ -66,3 +66,30 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = mix_sources(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_third_of_equal_rows_and_a_third_of_null_ids_are_spread_and_hit_their_target(spark):
+    """Every repeat has its own place: a kind that is most of its source is taken in part."""
+    rows = [(7, "same old words", "a")] * 400 + [(None, f"text number {i}", "a") for i in range(400)]
+    rows += [(1000 + i, f"other text {i} of b", "b") for i in range(400)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 4), bucket_rows=50).collect()
+    assert len(got) == 1200
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 6 for s in target), (taken, target)
+    equal = [r["copies"] for r in got if r["doc_id"] == 7]
+    nulls = [r["copies"] for r in got if r["doc_id"] is None]
+    share = target["a"] / 2400
+    for part in (equal, nulls):  # both kinds lie all along the queue
+        assert abs(sum(part) / 400 - share) < 0.12
+    again = mix_sources(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string"), weights=(1, 4)).collect()
+    count = lambda rs: sorted((str(r["doc_id"]), r["text"], r["copies"]) for r in rs)
+    assert count(again) == count(got)
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "w " * (500_000 if i == 0 else 10), "s") for i in range(20)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["size"] for r in got} == {500_000, 10} and sum(r["taken"] for r in got) <= 1.5 * sum(r["size"] for r in got)

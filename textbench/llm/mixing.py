@@ -2,7 +2,8 @@
 DataFrame operations only.
 
 Every source has a target number of words (``source_targets``).  Its documents
-are shuffled by a hash and may be taken up to ``repeats`` times, one whole round
+are shuffled by a hash of id and text (and of their number among equal rows, so
+that each repeat has a place of its own) and may be taken up to ``repeats`` times, one whole round
 after another.  A copy's virtual finish time is the words its source has put out
 up to and including it, divided by the source's weight in the queue, its target.
 All copies are sorted by finish time over all sources and the sequence is cut
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textbench.llm.common import materialise
+from textbench.llm.common import materialise, unused_name
+from textbench.operators.ranking import range_rank
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -71,8 +73,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     * A null or wordless text has size 0: it adds no words, whatever its copies.
     * A null source is a source of its own, the last; null ids and repeated
-      rows are documents like others (ties in the shuffle go by id, then by
-      size; equal rows are interchangeable).
+      rows are documents like others.  Rows that repeat id, source and text are
+      numbered; each has its own place in the shuffle and its own copies, and
+      which of them gets which is left open.
     * Documents are taken whole or not at all; one that is longer than twice its
       source's target is not.
     * Extra columns pass through; those named like a result are replaced.  An
@@ -80,13 +83,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "taken")])
     text, src, did = F.col(f"`{text_col}`"), F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
-    shuffle = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), did.cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = docs.select(did.alias("id"), src.alias("source"), word_count(text).alias("size"),
-                       F.xxhash64(text).alias("h"), shuffle.alias("r"))
-    # one row per kind of document: equal rows are counted and share their fate
-    key = ["id", "source", "size", "h"]
-    rows = rows.groupBy(*key, "r").agg(F.count("*").alias("m"))
-    rows = materialise(rows.withColumn("words", F.col("size") * F.col("m")), "mix-rows")
+    rid = unused_name(docs, "rid")
+    # written once, so that row ids stay
+    docs = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-documents")
+    rows = docs.select(F.col(rid).alias("rid"), did.alias("id"), src.alias("source"), word_count(text).alias("words"), F.md5(text).alias("h"))
+    rows = materialise(rows, "mix-sizes")
+    kind = ["id", "source", "h"]
+    several = rows.groupBy(*kind).agg(F.count("*").alias("m")).where(F.col("m") > 1).select(*[F.col(c).alias(f"k_{c}") for c in kind])
+    several = materialise(several, "mix-repeated")
+    same = F.expr(" and ".join(f"{c} <=> k_{c}" for c in kind))
+    # numbered in ranges: one kind may be a third of all rows
+    repeated = range_rank(rows.join(several, same, "left_semi"), ["rid"], "nth", partition_cols=kind)
+    rows = rows.join(several, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(repeated)
+    value = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("h"), F.when(F.col("nth") > 0, F.col("nth"))))
+    rows = rows.withColumn("r", F.conv(F.substring(value, 1, 15), 16, 10).cast("long"))
+    rows = materialise(rows.select("rid", "id", "source", "words", "r", "h", "nth"), "mix-rows")
     k = max(1, -(-rows.count() // bucket_rows))
     sizes = rows.groupBy("source").agg(F.sum("words").alias("size"))
     sizes = materialise(source_targets(sizes, weights, budget, repeats), "mix-sources")
@@ -96,7 +107,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = rows.withColumn("b", F.floor(F.col("r") / float(SHUFFLE_RANGE) * k))
     per = wide.groupBy("source", "b").agg(F.sum("words").alias("bw"))
     before = per.select("source", "b", (F.sum("bw").over(W.partitionBy("source").orderBy("b")) - F.col("bw")).alias("off"))
-    inside = W.partitionBy("source", "b").orderBy("r", "id", "size", "h").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "b").orderBy("r", "id", "h", "nth").rowsBetween(W.unboundedPreceding, 0)
     run = wide.withColumn("cum", F.sum("words").over(inside)).alias("x").join(
         before.alias("y"), F.expr("x.source <=> y.source and x.b = y.b")).select(
         "x.*", (F.col("cum") + F.col("off")).alias("upto")).drop("cum", "b")
@@ -108,19 +119,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("r") / float(SHUFFLE_RANGE))
     seq = run.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("finish", finish)
     seq = seq.where(F.col("finish") < LATEST).withColumn("v", F.floor(F.col("finish") * k)).select(
-        *key, "r", "words", "turn", "finish", "v")
+        "rid", "id", "h", "nth", "r", "words", "turn", "finish", "v")
     per = seq.groupBy("v").agg(F.sum("words").alias("vw"))
     before = per.select(F.col("v").alias("pv"), (F.sum("vw").over(W.orderBy("v")) - F.col("vw")).alias("off"))
-    order = W.partitionBy("v").orderBy("finish", "r", "id", "size", "h", "turn").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("v").orderBy("finish", "r", "id", "h", "nth", "turn").rowsBetween(W.unboundedPreceding, 0)
     state = seq.join(before, F.col("v") == F.col("pv")).withColumn("total", F.sum("words").over(order) + F.col("off"))
-    chosen = state.where(F.col("total") <= goal).groupBy(*key).agg(F.count("*").cast("int").alias("copies"))
-
-    same = " and ".join(f"f.{c} <=> c.{c}" for c in key)
-    facts = run.alias("f").join(chosen.alias("c"), F.expr(same), "left").select(
-        *[F.col(f"f.{c}").alias(f"_{c}") for c in key], "f.source_size", "f.target",
-        F.coalesce("c.copies", F.lit(0)).alias("copies"))
-    out = docs.withColumn("size", word_count(text)).join(
-        facts, did.eqNullSafe(F.col("_id")) & src.eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-        & F.xxhash64(text).eqNullSafe(F.col("_h")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "copies",
-                      (F.col("size") * F.col("copies")).alias("taken"))
+    chosen = state.where(F.col("total") <= goal).groupBy("rid").agg(F.count("*").cast("int").alias("copies"))
+
+    facts = run.join(chosen, "rid", "left").select(
+        F.col("rid").alias("_rid"), F.col("words").alias("_size"), "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
+    out = docs.join(facts, F.col(rid) == F.col("_rid"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != rid], F.col("_size").alias("size"), "source_size", "target", "copies",
+                      (F.col("_size") * F.col("copies")).alias("taken"))

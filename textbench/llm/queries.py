@@ -58,7 +58,7 @@ def op3(spark, sf_dir):
 _OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         CAST('0x' || substr(md5('11:' || doc_id), 1, 15) AS BIGINT) AS r
+         CAST('0x' || substr(md5(concat_ws(':', '11', doc_id, md5(text))), 1, 15) AS BIGINT) AS r
   FROM documents),
 s0 AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s0),

@@ -65,3 +65,17 @@ def test_whole_small_table(spark):
     want = _want([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
     assert _got(contamination(docs, bench, keep=["doc_id"])) == want
     assert any(x[4] for x in want.values())
+
+
+def test_items_repeated_in_most_rows_fill_no_block(spark, monkeypatch):
+    """All copies of an item meet in its block once, and results are those of one copy."""
+    from textbench.llm import contamination as C
+
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five six"), (3, "seven")], "doc_id long, text string")
+    items = [("a", "two three")] * 200 + [("b", "six")] * 50 + [("c", None), ("d", "nothing here")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    sizes = []
+    real = C.Windows
+    monkeypatch.setattr(C, "Windows", lambda rows, size: sizes.append(len(rows)) or real(rows, size))
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in C.contamination(docs, bench, block_words=2).collect()}
+    assert got == {1: (2, ["a"]), 2: (1, ["b"]), 3: (0, [])} and sum(sizes) <= 4

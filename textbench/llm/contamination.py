@@ -231,8 +231,9 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10, text_col: s
     spark = docs.sparkSession
     results = ["n_words", "n_hit", "hit_spans", "n_items", "item_ids", "items_sha256", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
-    items = materialise(_item_words(bench.select(F.col(item_col).cast("string").alias("item"),
-                                                 F.col(item_text).alias("text"))), "items")
+    # repeated rows of an item go before blocks are dealt, so that a block holds each once
+    wanted = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct()
+    items = materialise(_item_words(wanted), "items")
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     hits = unused_name(docs, "hits")

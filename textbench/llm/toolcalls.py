@@ -20,6 +20,7 @@ import math
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +103,11 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def _conversation_levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Levels of the calls of one conversation that name others (ck, key, ref);
-    null on a cycle or above one."""
+def _levels_of(edges: list[tuple[str, str]]) -> list[tuple[str, int | None]]:
+    """Levels of the calls of one conversation that name others (key, ref);
+    None on a cycle or above one."""
     waits, named_by = defaultdict(int), defaultdict(list)
-    for key, ref in zip(pdf["key"], pdf["ref"]):
+    for key, ref in edges:
         waits[key] += 1
         named_by[ref].append(key)
     level = dict.fromkeys(waits)
@@ -118,9 +119,31 @@ def _conversation_levels(pdf: pd.DataFrame) -> pd.DataFrame:
             waits[key] -= 1
             if not waits[key]:
                 ready.append((key, level[key]))
-    rows = [(key, n if waits[key] == 0 else None) for key, n in level.items()]
-    return pd.DataFrame({"ck": pdf["ck"].iloc[0], "key": [k for k, _ in rows],
-                         "level": pd.array([n for _, n in rows], dtype="Int64")})
+    return [(key, n if waits[key] == 0 else None) for key, n in level.items()]
+
+
+def _conversation_levels(batches):
+    """Arrow batches of references (ck, key, ref), sorted by ck, as rows ck, key,
+    level: one conversation in memory at a time."""
+    at, edges, done = None, [], []
+
+    def rows():
+        cols = list(zip(*done))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))],
+                                          names=["ck", "key", "level"])
+
+    for batch in batches:
+        for ck, key, ref in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+            if ck != at:
+                done += [(at, *r) for r in _levels_of(edges)]
+                at, edges = ck, []
+                if len(done) > 10_000:
+                    yield rows()
+                    done = []
+            edges.append((key, ref))
+    done += [(at, *r) for r in _levels_of(edges)]
+    if done:
+        yield rows()
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -136,7 +159,8 @@ def call_levels(calls: DataFrame) -> DataFrame:
     absent = wants.where("not there").groupBy("ck", "key").agg(F.count("*").alias("missing"))
     edges = wants.where("there").select("ck", "key", "ref")
     large = materialise(edges.groupBy("ck").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("ck"), "large")
-    small = edges.join(large, "ck", "left_anti").groupBy("ck").applyInPandas(_conversation_levels, "ck string, key string, level long")
+    small = edges.join(large, "ck", "left_anti").repartition("ck").sortWithinPartitions("ck")
+    small = small.select("ck", "key", "ref").mapInArrow(_conversation_levels, "ck string, key string, level long")
     levels = [materialise(small, "levels")]
 
     left = edges.join(large, "ck")

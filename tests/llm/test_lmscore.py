@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from helpers import space_words
@@ -91,3 +92,40 @@ def test_joined_values_against_dictionaries(spark):
         n, lt, lb = want[r["doc_id"]]
         assert r["n_tokens"] == n
         assert not n or (r["loss_target"], r["loss_background"]) == pytest.approx((lt, lb), rel=1e-9)
+
+
+@pytest.mark.parametrize("bits", [6, 8, 26])
+def test_words_that_bit_tables_leave_open(spark, bits):
+    """With 64 bits most words seem to be inside the vocabulary and outside it;
+    the values are those of the dictionaries all the same."""
+    texts = [t for _, t in BG] + [f"rare{i} the cat once{i} sat rare{i} on once{i + 1}" for i in range(40)] + ["alone" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _want(texts, TG)
+    got = cross_entropy_difference(docs, spark.createDataFrame([(t,) for t in TG], "text string"), filter_bits=bits, hot=8).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, lt, lb = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        assert not n or (r["loss_target"], r["loss_background"]) == pytest.approx((lt, lb), rel=1e-9)
+
+
+def test_consumed_tables_are_deleted(spark):
+    from textbench.session import checkpoint_dir
+
+    def tables():
+        found = (Path(checkpoint_dir(spark).removeprefix("file:")) / "llm").glob("lm-*")
+        return {p.name.rsplit("-", 1)[0]: p for p in found if p not in old}
+
+    old = set((Path(checkpoint_dir(spark).removeprefix("file:")) / "llm").glob("lm-*"))
+    docs = spark.createDataFrame(list(enumerate(["a b a b c"] * 20)), "doc_id long, text string")
+    out = cross_entropy_difference(docs, docs)
+    assert set(tables()) == {"lm-scored", "lm-tails"}
+    assert out.count() == 20
+
+
+def test_very_long_text(spark):
+    text = "alpha beta gamma " * 200_000 + "z" * 300_000
+    docs = spark.createDataFrame([(1, text), (2, "alpha beta"), (3, "z" * 300_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in cross_entropy_difference(docs, docs.where("doc_id = 2"), keep=["doc_id"]).collect()}
+    assert got[1]["n_tokens"] == 600_001 and got[3]["n_tokens"] == 1
+    assert all(math.isfinite(r["score"]) for r in got.values())

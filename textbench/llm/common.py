@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textbench.session import checkpoint_dir
 
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # where a table of materialise() lies
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,7 +45,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     with _conf(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` returned, once all that
+    was made of them is written."""
+    for t in tables:
+        spark, path = t.sparkSession, _PATHS.pop(t)
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused_name(df: DataFrame, base: str) -> str:

@@ -17,6 +17,12 @@ All tables stay on Spark.  As
 a document's loss is a sum of values of its words and of its bigrams.  Values
 of the most frequent ones are broadcast (a fixed number, so that no key of the
 join is hot); the other words and bigrams of a document are joined with theirs.
+
+Every word is in the vocabulary or outside it, and a bit table of either side is
+broadcast.  Where only one of them has a word, that settles it: a word outside is
+replaced by the unknown one before its bigrams are counted or looked up.  Words
+that both tables seem to have stay as they are and are settled by joins, so the
+size of the tables changes the work, never the result.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textbench.llm.common import FILTER_BITS, int64_list, materialise, row_slices, text_buffers, unused_name
+from textbench.llm.common import FILTER_BITS, int64_list, materialise, release, row_slices, text_buffers, unused_name
 from textbench.llm.words import U64, WordScanner
 
 DISCOUNT = 0.75
@@ -36,7 +42,7 @@ FLUSH = 1 << 20  # distinct entries that a task counts before it hands them over
 HOT = 1 << 20  # values that are broadcast, not joined; changes no result
 HOT_ROWS = 1 << 16  # rows of a table that are joined by broadcast; changes no result
 BEGIN, UNKNOWN = 1, 2  # in place of a word's hash
-INNER, LAST = 1, 2  # in place of a bigram's second word: the value of a word in a text, and at its end
+INNER, LAST = 3, 4  # in place of a bigram's second word: the value of a word in a text, and at its end
 
 
 def pair_hash(v: np.ndarray, w) -> np.ndarray:
@@ -130,21 +136,33 @@ def _join(df: DataFrame, table: DataFrame, on: list[str], size: int = HOT_ROWS)
     return df.join(F.broadcast(hot.drop("n")), on).unionByName(cold)
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A table of 2^FILTER_BITS bits, those of the hashes in ``keys`` set."""
-    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - FILTER_BITS)
+def _bits(keys: DataFrame, size: int) -> np.ndarray:
+    """A table of 2^size bits, those of the hashes in ``keys`` set."""
+    place = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - size)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
     rows = keys.select(F.shiftright(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), U64)
+    out = np.zeros(1 << (size - 6), U64)
     out[rows.column("at").to_numpy()] = rows.column("bit").to_numpy().view(U64)
     return out
 
 
 def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> U64(64 - FILTER_BITS)
+    place = h >> U64(64 - (64 * len(bits) - 1).bit_length())
     return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
 
 
+def _settle(words: tuple, h: np.ndarray) -> np.ndarray:
+    """``h`` with UNKNOWN for the words that are outside the vocabulary beyond doubt."""
+    outside, inside, _ = words
+    return np.where(_maybe(outside, h) & ~_maybe(inside, h), U64(UNKNOWN), h)
+
+
+def _in_doubt(words: tuple, h: np.ndarray) -> np.ndarray:
+    """Which of the settled words ``h`` the bit tables leave open."""
+    outside, inside, common = words
+    return (h != BEGIN) & (h != UNKNOWN) & _maybe(outside, h) & _maybe(inside, h) & ~_find(common, h)[1]
+
+
 def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``h`` in the sorted ``table``, and whether they are there."""
     if not len(table):
@@ -175,7 +193,7 @@ def _top(counts: DataFrame, value, size: int | None, keys: list[str]) -> DataFra
 
 
 def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None, model: int | None = None,
-        discount: float = DISCOUNT, hot: int = HOT, hot_rows: int = HOT_ROWS) -> dict:
+        discount: float = DISCOUNT, hot: int = HOT, hot_rows: int = HOT_ROWS, filter_bits: int = FILTER_BITS) -> dict:
     """Both models as a table of values (key, n, b, t), and what holds for words that are not in it."""
     spark = background.sparkSession
 
@@ -198,39 +216,45 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
     others = others.select("v")
     n_voc = voc.agg(F.count("*").alias("n"), *sums).first()
     common = _hottest(voc.withColumn("n", total), hot_rows)[0].select("v").toArrow().column("v").to_numpy()
-    shared = spark.sparkContext.broadcast((_bits(others), np.sort(common.view(U64))))
+    sides = (_bits(others, filter_bits), _bits(voc.select("v"), filter_bits), np.sort(common.view(U64)))
+    shared = spark.sparkContext.broadcast(sides)
 
     def pairs_of():
-        bits, known = shared.value
+        sides = shared.value
 
         def found(h, first):
+            h = _settle(sides, h)
             v = _before(h, first)
             return pair_hash(v, h), [v, h], [np.ones(len(h), np.int64)]
 
         def finish(k, cols):
-            # which of the two words may be unknown: 1 the first, 2 the second
-            v, w = ((_maybe(bits, x) & ~_find(known, x)[1] & (x != BEGIN)).astype(U64) for x in cols)
+            # which of the two words may still be unknown: 1 the first, 2 the second
+            v, w = (_in_doubt(sides, x).astype(U64) for x in cols)
             return [*cols, v + U64(2) * w]
 
         return found, finish
 
     grams = _both(background, target, pairs_of, "v long, w long, open long, n long", ["v", "w", "open"], ["n"])
-    grams = materialise(grams.where((matched >= MIN_COUNT) | (F.col("open") > 0)), "lm-bigrams")
-    # bigrams of which a word may be unknown: v1, w1 are the words as the models know them
+    has_unknown = (F.col("v") == UNKNOWN) | (F.col("w") == UNKNOWN)
+    grams = materialise(grams.where((matched >= MIN_COUNT) | (F.col("open") > 0) | has_unknown), "lm-bigrams")
+    # bigrams with a word in doubt: v1, w1 are the words as the models know them
     unknown = F.lit(UNKNOWN).cast("long")
-    asked = grams.where(F.col("open") > 0)
+    asked, before = grams.where(F.col("open") > 0), []
     for c, bit in (("v", 1), ("w", 2)):
         mine = asked.where(F.col("open").bitwiseAND(bit) > 0)
         rest = asked.where(F.col("open").bitwiseAND(bit) == 0).withColumn(f"{c}1", F.col(c))
         mine = mine.join(others.select(F.col("v").alias(c), unknown.alias(f"{c}1")), c, "left").withColumn(
             f"{c}1", F.coalesce(f"{c}1", c))
         asked = materialise(mine.unionByName(rest), f"lm-open-{c}")
-    is_open = (F.col("v1") == UNKNOWN) | (F.col("w1") == UNKNOWN)
-    counts = grams.where(F.col("open") == 0).select("v", "w", "b_n", "t_n").unionAll(
-        asked.where(~is_open).select("v", "w", "b_n", "t_n")).unionAll(
-        asked.where(is_open).groupBy(F.col("v1").alias("v"), F.col("w1").alias("w")).agg(
-            F.sum("b_n").alias("b_n"), F.sum("t_n").alias("t_n")))
+        release(*before)
+        before = [asked]
+    settled = grams.where(F.col("open") == 0).select("v", "w", "b_n", "t_n").unionAll(
+        asked.select(F.col("v1").alias("v"), F.col("w1").alias("w"), "b_n", "t_n"))
+    # only bigrams with the unknown word come together from several rows
+    counts = settled.where(~has_unknown).unionAll(settled.where(has_unknown).groupBy("v", "w").agg(
+        F.sum("b_n").alias("b_n"), F.sum("t_n").alias("t_n")))
     kept = materialise(_top(counts, matched, model, ["v", "w"]), "lm-kept")
+    release(grams)
 
     # of each word: the share that its kept successors leave, and its own probability
     zero = F.lit(0.0)
@@ -248,6 +272,9 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
         cols += [ctx.alias(f"{m}_ctx"), F.greatest(back, F.lit(1e-12)).alias(f"{m}_back"),
                  ((F.col(f"{m}_n") + 1) / F.lit(float(size[f"{m}_n"] + n_voc["n"] + 1))).alias(f"{m}_p")]
     of = materialise(of.select(*cols), "lm-word-values")
+    release(words)
+    if vocabulary is not None:
+        release(voc)
     base = {r["v"]: r for r in of.where(F.col("v").isin(BEGIN, UNKNOWN)).collect()}
 
     rows = kept.withColumn("count", total)
@@ -256,11 +283,14 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
     gain = {m: -F.log2(1.0 + F.when(F.col(f"{m}_ctx") > 0, parts[m] / F.when(F.col(f"{m}_ctx") > 0, F.col(f"{m}_ctx"))).otherwise(0.0)
                        / (F.col(f"{m}_back") * F.col(f"{m}_p"))) for m in "bt"}
     rows = materialise(rows.select("v", "w", F.col("count").alias("n"), gain["b"].alias("b"), gain["t"].alias("t")), "lm-bigram-values")
+    release(kept)
 
+    # texts are asked with the words that the bit tables settle, so the others have keys of their own
     key = F.xxhash64("v", "w")
-    closed = rows.where((F.col("v") != UNKNOWN) & (F.col("w") != UNKNOWN)).select(key.alias("key"), "n", "b", "t")
-    opened = asked.where(is_open).select(key.alias("key"), F.col("v1").alias("v"), F.col("w1").alias("w"), total.alias("count"))
-    opened = _join(opened, rows.where((F.col("v") == UNKNOWN) | (F.col("w") == UNKNOWN)), ["v", "w"], hot_rows)
+    closed = rows.select(key.alias("key"), "n", "b", "t")
+    opened = asked.where((F.col("v") != F.col("v1")) | (F.col("w") != F.col("w1"))).select(
+        key.alias("key"), F.col("v1").alias("v"), F.col("w1").alias("w"), total.alias("count"))
+    opened = _join(opened, rows.where(has_unknown), ["v", "w"], hot_rows)
     opened = opened.select("key", F.col("count").alias("n"), "b", "t")
     loss = {}
     for m in "bt":
@@ -273,11 +303,12 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
             -F.log2(f"{m}_back") - F.lit(float(loss[m]["back"])) if at == INNER else zero)).alias(m) for m in "bt"]
         single.append(known.select(F.xxhash64("v", F.lit(at).cast("long")).alias("key"), "n", *value))
     values = materialise(closed.unionAll(opened).unionAll(single[0]).unionAll(single[1]), "lm-values")
+    release(of, rows, asked)
     top, rest = _hottest(values, hot)
     top = top.select("key", "b", "t").toArrow()
     at = np.argsort(top.column("key").to_numpy().view(U64))
-    return {"loss": loss, "key": top.column("key").to_numpy().view(U64)[at], "bits": _bits(rest.select("key")),
-            "rest": rest.select("key", "b", "t"), **{m: top.column(m).to_numpy()[at] for m in "bt"}}
+    return {"loss": loss, "words": sides, "key": top.column("key").to_numpy().view(U64)[at],
+            "bits": _bits(rest.select("key"), filter_bits), "rest": rest.select("key", "b", "t"), "values": values, **{m: top.column(m).to_numpy()[at] for m in "bt"}}
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str = "text", target_text: str = "text",
@@ -297,7 +328,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     text = F.col(f"`{text_col}`")
     model = fit(docs.select(text.alias("text")), target.select(F.col(f"`{target_text}`").alias("text")), **options)
-    rest = model.pop("rest")
+    rest, values = model.pop("rest"), model.pop("values")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("n_tokens"))
     tail, rid = unused_name(source, "tail"), unused_name(source, "rid")
@@ -313,6 +344,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
             n, sums, open_keys, open_counts = [], {"t": [], "b": []}, [], []
             for i, j in row_slices(offsets):
                 h, first = scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                h = _settle(m["words"], h)
                 size = np.diff(first)
                 n.append(size)
                 # the values of a word stand beside each other: its bigram's and its own
@@ -340,6 +372,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
     found = rows.select(F.col(rid).alias("rid"), F.explode(tail).alias("key")).join(rest, "key").groupBy("rid").agg(
         F.sum("b").alias("b"), F.sum("t").alias("t"))
     more = materialise(found, "lm-tails").toDF(rid, unused_name(rows, "more_b"), unused_name(rows, "more_t"))
+    release(values)
     out = rows.join(more, rid, "left")
     for c, extra in (("loss_target", more.columns[2]), ("loss_background", more.columns[1])):
         out = out.withColumn(c, F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(extra, F.lit(0.0))) / F.col("n_tokens")))

@@ -2,8 +2,10 @@ import math
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from helpers import space_words
+from textbench.llm import lmscore
 from textbench.llm.lmscore import cross_entropy_difference
 
 BG = [(1, "the cat sat on the mat the end"), (2, "THE dog sat on the log"), (3, None), (4, ""), (5, "the cat the cat zebra"),
@@ -129,3 +131,23 @@ def test_very_long_text(spark):
     got = {r["doc_id"]: r for r in cross_entropy_difference(docs, docs.where("doc_id = 2"), keep=["doc_id"]).collect()}
     assert got[1]["n_tokens"] == 600_001 and got[3]["n_tokens"] == 1
     assert all(math.isfinite(r["score"]) for r in got.values())
+
+
+def test_packed_bigrams_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        words = rng.integers(0, 2**64 - 1, max(n // 3, 1), dtype=np.uint64, endpoint=True)
+        v, w, c = rng.choice(words, n), rng.choice(words, n), rng.integers(1, 2**40, n)
+        for a, b in zip((v, w, c), lmscore._unpack(lmscore._pack(v, w, c))):
+            assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_bigrams_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BUCKET", 7)
+    texts = [t for _, t in BG] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = _want(texts, TG)
+    for r in cross_entropy_difference(docs, spark.createDataFrame([(t,) for t in TG], "text string")).collect():
+        n, lt, lb = want[r["doc_id"]]
+        assert r["n_tokens"] == n
+        assert not n or (r["loss_target"], r["loss_background"]) == pytest.approx((lt, lb), rel=1e-9)

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,8 @@ from textbench.llm.words import U64, WordScanner
 
 DISCOUNT = 0.75
 MIN_COUNT = 2  # a matched count below this is no evidence; it may be the scored text's own
-FLUSH = 1 << 20  # distinct entries that a task counts before it hands them over
+FLUSH = 1 << 19  # distinct entries that a task counts before it hands them over
+BUCKET = 1 << 19  # tokens whose bigrams are summed at a time; changes no result
 HOT = 1 << 20  # values that are broadcast, not joined; changes no result
 HOT_ROWS = 1 << 16  # rows of a table that are joined by broadcast; changes no result
 BEGIN, UNKNOWN = 1, 2  # in place of a word's hash
@@ -68,7 +70,8 @@ def _fold(keys, cols, counts):
 
 
 def _count(docs: DataFrame, extract, schema: str) -> DataFrame:
-    """Partial sums of the rows (key, columns, counts) that ``extract()(hashes, first)`` returns."""
+    """Partial sums of the rows (key, columns, counts) that the first function of ``extract()`` makes
+    of (hashes, first), as its second one returns them."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -77,8 +80,7 @@ def _count(docs: DataFrame, extract, schema: str) -> DataFrame:
         keys, cols, counts, held = [], [], [], 0
 
         def rows(k, c, n):
-            out = [x.view(np.int64) for x in finish(k, c)] + n
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+            return pa.RecordBatch.from_arrays(finish(k, c, n), names=names)
 
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
@@ -112,6 +114,94 @@ def _both(background: DataFrame, target: DataFrame, extract, schema: str, keys:
         *[F.sum(f"{m}_{c}").alias(f"{m}_{c}") for c in counts for m in "bt"])
 
 
+def _longs(*cols) -> list[pa.Array]:
+    return [pa.array(x.view(np.int64)) for x in cols]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, the lowest of all numbers first, then the next ones."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _pack(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams and their counts: distinct words as differences, then places among them."""
+    words, at = np.unique(np.concatenate((v, w)), return_inverse=True)
+    parts = [np.array([len(words), len(v)], "<u8").tobytes(), _planes(np.diff(words, prepend=U64(0)).astype("<u8")),
+             _planes(at.astype("<u4")), _planes(n.astype("<u8"))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    size, n = (int(x) for x in data[:16].view("<u8"))
+
+    def numbers(start, count, kind):
+        width = np.dtype(kind).itemsize
+        return np.ascontiguousarray(data[start:start + count * width].reshape(width, count).T).view(kind).ravel()
+
+    words = np.cumsum(numbers(16, size, "<u8"), dtype=U64)
+    at = numbers(16 + 8 * size, 2 * n, "<u4")
+    return words[at[:n]], words[at[n:]], numbers(16 + 8 * size + 8 * n, n, "<u8").astype(np.int64)
+
+
+def _bigrams(background: DataFrame, target: DataFrame, shared, tokens: int, ratio: float) -> DataFrame:
+    """v, w, open, b_n, t_n of the bigrams that reach MIN_COUNT, have a word in
+    doubt (``open``: 1 the first, 2 the second) or the unknown word.
+
+    Tasks hand over packed blocks of bigrams by a share of their hash.  There is
+    a share for every BUCKET tokens, so that the bigrams of one, which one task
+    sums, stay few at every size; a frequent bigram is one entry of a block."""
+    buckets = max(1, -(-tokens // BUCKET))
+
+    def pairs_of():
+        sides = shared.value
+
+        def found(h, first):
+            h = _settle(sides, h)
+            v = _before(h, first)
+            return pair_hash(v, h), [v, h], [np.ones(len(h), np.int64)]
+
+        def finish(k, cols, counts):
+            share = (k % U64(buckets)).astype(np.int64)
+            order = np.argsort(share, kind="stable")
+            share, (v, w, n) = share[order], (x[order] for x in (*cols, *counts))
+            cut = np.flatnonzero(np.diff(share, prepend=-1))
+            ends = np.append(cut[1:], len(share))
+            return [pa.array(share[cut]), pa.array([_pack(v[i:j], w[i:j], n[i:j]) for i, j in zip(cut, ends)], pa.binary())]
+
+        return found, finish
+
+    def merged(held):
+        sides = shared.value
+        keys, cols, counts = [], [], []
+        for side, block in held:
+            v, w, n = _unpack(block)
+            keys.append(pair_hash(v, w))
+            cols.append([v, w])
+            counts.append([n * (1 - side), n * side])
+        _, (v, w), (b, t) = _fold(keys, cols, counts)
+        doubt = _in_doubt(sides, v).astype(np.int64) + 2 * _in_doubt(sides, w).astype(np.int64)
+        keep = (b + t * ratio >= MIN_COUNT) | (doubt > 0) | (v == UNKNOWN) | (w == UNKNOWN)
+        return pa.RecordBatch.from_arrays(_longs(*(x[keep] for x in (v, w, doubt, b, t))), names=["v", "w", "open", "b_n", "t_n"])
+
+    def merge(batches):
+        held, last = [], None
+        for batch in batches:
+            for bucket, side, block in zip(*(batch.column(i) for i in range(3))):
+                if held and bucket.as_py() != last:
+                    yield merged(held)
+                    held = []
+                last = bucket.as_py()
+                held.append((side.as_py(), block.as_py()))
+        if held:
+            yield merged(held)
+
+    blocks = [_count(df, pairs_of, "bucket long, block binary").select("bucket", F.lit(side).alias("side"), "block")
+              for side, df in enumerate((background, target))]
+    blocks = blocks[0].unionAll(blocks[1]).repartition("bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(merge, "v long, w long, open long, b_n long, t_n long")
+
+
 def _hottest(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """``df`` as the rows of the highest ``n`` (at most ``size``) and the others:
     the lowest bound of which that holds, from a histogram of rounded-down
@@ -202,7 +292,7 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
             last = _last(h, first)
             return h, [], [np.ones(len(h), np.int64), last.astype(np.int64)]
 
-        return found, lambda k, c: [k]
+        return found, lambda k, cols, counts: _longs(k, *counts)
 
     words = materialise(_both(background, target, words_of, "v long, n long, last long", ["v"], ["n", "last"]), "lm-words")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b_n", "t_n", "b_last", "t_last")]
@@ -218,25 +308,8 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
     common = _hottest(voc.withColumn("n", total), hot_rows)[0].select("v").toArrow().column("v").to_numpy()
     sides = (_bits(others, filter_bits), _bits(voc.select("v"), filter_bits), np.sort(common.view(U64)))
     shared = spark.sparkContext.broadcast(sides)
-
-    def pairs_of():
-        sides = shared.value
-
-        def found(h, first):
-            h = _settle(sides, h)
-            v = _before(h, first)
-            return pair_hash(v, h), [v, h], [np.ones(len(h), np.int64)]
-
-        def finish(k, cols):
-            # which of the two words may still be unknown: 1 the first, 2 the second
-            v, w = (_in_doubt(sides, x).astype(U64) for x in cols)
-            return [*cols, v + U64(2) * w]
-
-        return found, finish
-
-    grams = _both(background, target, pairs_of, "v long, w long, open long, n long", ["v", "w", "open"], ["n"])
     has_unknown = (F.col("v") == UNKNOWN) | (F.col("w") == UNKNOWN)
-    grams = materialise(grams.where((matched >= MIN_COUNT) | (F.col("open") > 0) | has_unknown), "lm-bigrams")
+    grams = materialise(_bigrams(background, target, shared, size["b_n"] + size["t_n"], ratio), "lm-bigrams")
     # bigrams with a word in doubt: v1, w1 are the words as the models know them
     unknown = F.lit(UNKNOWN).cast("long")
     asked, before = grams.where(F.col("open") > 0), []

@@ -151,3 +151,13 @@ def test_bigrams_of_many_buckets(spark, monkeypatch):
         n, lt, lb = want[r["doc_id"]]
         assert r["n_tokens"] == n
         assert not n or (r["loss_target"], r["loss_background"]) == pytest.approx((lt, lb), rel=1e-9)
+
+
+def test_places_in_a_table_of_hashes():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000):
+        table = np.unique(np.concatenate((rng.integers(0, 2**64 - 1, n, dtype=np.uint64), np.arange(n, dtype=np.uint64))))
+        asked = np.concatenate((table, rng.integers(0, 2**64 - 1, 50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+        at, has = lmscore._find(table, asked, lmscore._index(table))
+        assert (has == np.isin(asked, table)).all()
+        assert not n or (table[at[has]] == asked[has]).all()

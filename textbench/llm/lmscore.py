@@ -27,6 +27,8 @@ size of the tables changes the work, never the result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -41,6 +43,7 @@ DISCOUNT = 0.75
 MIN_COUNT = 2  # a matched count below this is no evidence; it may be the scored text's own
 FLUSH = 1 << 19  # distinct entries that a task counts before it hands them over
 BUCKET = 1 << 19  # tokens whose bigrams are summed at a time; changes no result
+PARTS = 2  # parts in which the values that are not broadcast are joined; changes no result
 HOT = 1 << 20  # values that are broadcast, not joined; changes no result
 HOT_ROWS = 1 << 16  # rows of a table that are joined by broadcast; changes no result
 BEGIN, UNKNOWN = 1, 2  # in place of a word's hash
@@ -62,11 +65,24 @@ def pair_hash(v: np.ndarray, w) -> np.ndarray:
     return h
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``x``, and where a new value begins in it."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = y[1:] != y[:-1]
+    return order, new
+
+
 def _fold(keys, cols, counts):
-    """Rows of equal key as one: their first ``cols``, the sums of their ``counts``."""
-    k, at, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    cols = [np.concatenate(c)[at] for c in zip(*cols)]
-    return k, cols, [np.bincount(inv, np.concatenate(c), len(k)).astype(np.int64) for c in zip(*counts)]
+    """Rows of equal key as one: their ``cols`` (equal in all of them), the sums of their ``counts``."""
+    k = np.concatenate(keys)
+    order, new = _runs(k)
+    at = np.flatnonzero(new)
+    first = order[at]
+    cols = [np.concatenate(c)[first] for c in zip(*cols)]
+    counts = [np.concatenate(c)[order] for c in zip(*counts)]
+    return k[first], cols, [np.add.reduceat(c, at) if len(at) else c for c in counts]
 
 
 def _count(docs: DataFrame, extract, schema: str) -> DataFrame:
@@ -85,7 +101,7 @@ def _count(docs: DataFrame, extract, schema: str) -> DataFrame:
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
             for i, j in row_slices(offsets):
-                k, c, n = _fold(*([x] for x in state(*scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))))
+                k, c, n = state(*scanner.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
                 keys.append(k)
                 cols.append(c)
                 counts.append(n)
@@ -125,7 +141,10 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _pack(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     """Bigrams and their counts: distinct words as differences, then places among them."""
-    words, at = np.unique(np.concatenate((v, w)), return_inverse=True)
+    x = np.concatenate((v, w))
+    order, new = _runs(x)
+    words, at = x[order[new]], np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
     parts = [np.array([len(words), len(v)], "<u8").tobytes(), _planes(np.diff(words, prepend=U64(0)).astype("<u8")),
              _planes(at.astype("<u4")), _planes(n.astype("<u8"))]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
@@ -243,21 +262,36 @@ def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _settle(words: tuple, h: np.ndarray) -> np.ndarray:
     """``h`` with UNKNOWN for the words that are outside the vocabulary beyond doubt."""
-    outside, inside, _ = words
+    outside, inside = words[:2]
     return np.where(_maybe(outside, h) & ~_maybe(inside, h), U64(UNKNOWN), h)
 
 
 def _in_doubt(words: tuple, h: np.ndarray) -> np.ndarray:
     """Which of the settled words ``h`` the bit tables leave open."""
-    outside, inside, common = words
-    return (h != BEGIN) & (h != UNKNOWN) & _maybe(outside, h) & _maybe(inside, h) & ~_find(common, h)[1]
+    outside, inside, common, index = words
+    return (h != BEGIN) & (h != UNKNOWN) & _maybe(outside, h) & _maybe(inside, h) & ~_find(common, h, index)[1]
+
+
+def _index(table: np.ndarray) -> np.ndarray:
+    """Where the values of each leading part of a hash begin in the sorted ``table``."""
+    bits = max(1, len(table).bit_length())
+    starts = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
+    return np.append(np.searchsorted(table, starts), len(table)).astype(np.int32)
 
 
-def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``h`` in the sorted ``table``, and whether they are there."""
+def _find(table: np.ndarray, h: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``h`` in the sorted ``table`` of hashes, and whether they are there."""
     if not len(table):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    part = (h >> U64(64 - (len(index) - 2).bit_length())).astype(np.int64)
+    at, end = index[part].astype(np.int64), index[part + 1]
+    left = np.flatnonzero(at < end)
+    while len(left):
+        # few values share a leading part, so the rows that go on are soon none
+        left = left[table[at[left]] < h[left]]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    at = np.minimum(at, len(table) - 1)
     return at, table[at] == h
 
 
@@ -306,7 +340,8 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
     others = others.select("v")
     n_voc = voc.agg(F.count("*").alias("n"), *sums).first()
     common = _hottest(voc.withColumn("n", total), hot_rows)[0].select("v").toArrow().column("v").to_numpy()
-    sides = (_bits(others, filter_bits), _bits(voc.select("v"), filter_bits), np.sort(common.view(U64)))
+    common = np.sort(common.view(U64))
+    sides = (_bits(others, filter_bits), _bits(voc.select("v"), filter_bits), common, _index(common))
     shared = spark.sparkContext.broadcast(sides)
     has_unknown = (F.col("v") == UNKNOWN) | (F.col("w") == UNKNOWN)
     grams = materialise(_bigrams(background, target, shared, size["b_n"] + size["t_n"], ratio), "lm-bigrams")
@@ -380,7 +415,8 @@ def fit(background: DataFrame, target: DataFrame, vocabulary: int | None = None,
     top, rest = _hottest(values, hot)
     top = top.select("key", "b", "t").toArrow()
     at = np.argsort(top.column("key").to_numpy().view(U64))
-    return {"loss": loss, "words": sides, "key": top.column("key").to_numpy().view(U64)[at],
+    keys = top.column("key").to_numpy().view(U64)[at]
+    return {"loss": loss, "words": sides, "key": keys, "index": _index(keys),
             "bits": _bits(rest.select("key"), filter_bits), "rest": rest.select("key", "b", "t"), "values": values, **{m: top.column(m).to_numpy()[at] for m in "bt"}}
 
 
@@ -424,7 +460,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
                 keys = np.empty(2 * len(h), U64)
                 keys[::2] = pair_hash(_before(h, first), h)
                 keys[1::2] = pair_hash(h, np.where(_last(h, first), U64(LAST), U64(INNER)))
-                at, has = _find(m["key"], keys)
+                at, has = _find(m["key"], keys, m["index"])
                 for name, out in sums.items():
                     value = np.where(has, m[name][at], 0.0) if len(m["key"]) else np.zeros(len(keys))
                     total = np.concatenate(([0.0], np.cumsum(value)))
@@ -442,9 +478,14 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, text_col: str =
 
     # written once, so that row ids stay
     rows = materialise(source.mapInArrow(run, schema).withColumn(rid, F.monotonically_increasing_id()), "lm-scored")
-    found = rows.select(F.col(rid).alias("rid"), F.explode(tail).alias("key")).join(rest, "key").groupBy("rid").agg(
-        F.sum("b").alias("b"), F.sum("t").alias("t"))
-    more = materialise(found, "lm-tails").toDF(rid, unused_name(rows, "more_b"), unused_name(rows, "more_t"))
+    # a part of the keys at a time, so that only its shuffle takes disk
+    asked, found = rows.select(F.col(rid).alias("rid"), F.explode(tail).alias("key")), []
+    for part in range(PARTS):
+        mine = F.pmod(F.col("key"), F.lit(PARTS)) == part
+        found.append(materialise(asked.where(mine).join(rest.where(mine), "key").groupBy("rid").agg(
+            F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-tails"))
+    more = reduce(DataFrame.unionAll, found).groupBy("rid").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    more = more.toDF(rid, unused_name(rows, "more_b"), unused_name(rows, "more_t"))
     release(values)
     out = rows.join(more, rid, "left")
     for c, extra in (("loss_target", more.columns[2]), ("loss_background", more.columns[1])):

@@ -41,7 +41,7 @@ from textbench.llm.words import U64, WordScanner
 
 DISCOUNT = 0.75
 MIN_COUNT = 2  # a matched count below this is no evidence; it may be the scored text's own
-FLUSH = 1 << 19  # distinct entries that a task counts before it hands them over
+FLUSH = 1 << 18  # distinct entries that a task counts before it hands them over
 BUCKET = 1 << 19  # tokens whose bigrams are summed at a time; changes no result
 PARTS = 2  # parts in which the values that are not broadcast are joined; changes no result
 HOT = 1 << 20  # values that are broadcast, not joined; changes no result
@@ -169,7 +169,7 @@ def _bigrams(background: DataFrame, target: DataFrame, shared, tokens: int, rati
 
     Tasks hand over packed blocks of bigrams by a share of their hash.  There is
     a share for every BUCKET tokens, so that the bigrams of one, which one task
-    sums, stay few at every size; a frequent bigram is one entry of a block."""
+    sums, stay few at every size (two shares a task); a frequent bigram is one entry of a block."""
     buckets = max(1, -(-tokens // BUCKET))
 
     def pairs_of():
@@ -217,7 +217,8 @@ def _bigrams(background: DataFrame, target: DataFrame, shared, tokens: int, rati
 
     blocks = [_count(df, pairs_of, "bucket long, block binary").select("bucket", F.lit(side).alias("side"), "block")
               for side, df in enumerate((background, target))]
-    blocks = blocks[0].unionAll(blocks[1]).repartition("bucket").sortWithinPartitions("bucket")
+    blocks = blocks[0].unionAll(blocks[1]).repartitionById(
+        -(-buckets // 2), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return blocks.mapInArrow(merge, "v long, w long, open long, b_n long, t_n long")
 
 

@@ -6,8 +6,9 @@ all rows) is cut into blocks by a hash; components found inside the blocks are
 bridged through a few members of each, round after round, which joins dense
 groups in a number of comparisons proportional to their size.  What is still
 apart then (members outside the largest component of their group) is compared
-with every block of its group, so no link between two components is lost: of
-any two components at least one is not the largest.
+with all it can be linked with, block by block: the members that share a key
+with it or, where no keys are given, its whole group.  So no link between two
+components is lost: of any two components at least one is not the largest.
 """
 
 from __future__ import annotations
@@ -28,20 +29,37 @@ def _slot(col, parts, salt: int = 0):
     return F.pmod(F.xxhash64(col, F.lit(salt)), parts).cast("int")
 
 
-def link_components(members: DataFrame, verify: Callable[..., DataFrame], block_rows: int) -> DataFrame:
-    """``members``: id, grp and any payload, one row per id.  ``verify(rows)``
-    takes such rows with ``block`` (a block's number) and returns links (a, b)
-    that connect whatever is linked in a block; ``verify(rows, asked)`` returns
-    what links the asked rows of a block with its others.
+def _shared_keys(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """``keys`` (id, key) -> id, grp: the keys that an id of ``asked`` (rid) has,
+    one of those with the same members."""
+    mine = keys.join(asked, F.col("id") == F.col("rid"), "left_semi").select(F.col("key").alias("grp")).distinct()
+    rows = keys.join(mine, F.col("key") == F.col("grp")).select("id", "grp").distinct()
+    sets = rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
+                                   F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = sets.where(F.col("n") > 1).groupBy("n", "low", "high", "x", "y").agg(F.min("grp").alias("grp")).select("grp")
+    return rows.join(one, "grp")
+
+
+def link_components(members: DataFrame, verify: Callable[..., DataFrame], block_rows: int,
+                    keys: DataFrame | None = None) -> DataFrame:
+    """``members``: id, grp, any payload and, if wanted, weight (1 for a member of
+    usual length, more for a longer one: a block holds about ``block_rows`` of
+    weight), one row per id.  ``verify(rows)`` takes such rows with ``block`` (a
+    block's number) and returns links (a, b) that connect whatever is linked in a
+    block; ``verify(rows, asked)`` returns what links the asked rows of a block
+    with its others.  ``keys`` (id, key), if given: links are asked for only
+    between members that share a key (links found besides count as well).
     Returns (node, component) for linked ids, as ``connected_components``."""
-    payload = [c for c in members.columns if c not in ("id", "grp")]
+    if "weight" not in members.columns:
+        members = members.withColumn("weight", F.lit(1.0))
+    payload = [c for c in members.columns if c not in ("id", "grp", "weight")]
 
     def blocks(df, *number):
         return df.select(F.xxhash64(*number).alias("block"), "id", *payload)
 
     big = materialise(
-        members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-        .select("grp", F.ceil(F.col("n") / block_rows).cast("int").alias("k")), "big")
+        members.groupBy("grp").agg(F.sum("weight").alias("n"), F.avg("weight").alias("each")).where(F.col("n") > block_rows)
+        .select("grp", F.ceil(F.col("n") / block_rows).cast("int").alias("k"), "each"), "big")
     first = members.join(big, "grp", "left")
     edges = materialise(verify(blocks(first, "grp", _slot("id", F.coalesce("k", F.lit(1))))), "links")
     if big.isEmpty():
@@ -51,8 +69,8 @@ def link_components(members: DataFrame, verify: Callable[..., DataFrame], block_
     before, step = None, 0
     while True:
         comp = materialise(connected_components(edges), "comp")
-        label = inside.select("id", "grp", "k").join(comp, F.col("id") == F.col("node"), "left").select(
-            "id", "grp", "k", F.coalesce("component", "id").alias("comp"))
+        label = inside.select("id", "grp", "k", "each", "weight").join(comp, F.col("id") == F.col("node"), "left").select(
+            "id", "grp", "k", "each", "weight", F.coalesce("component", "id").alias("comp"))
         per = label.groupBy("grp", "comp").agg(F.count("*").alias("c"))
         apart = materialise(
             per.groupBy("grp").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
@@ -67,16 +85,22 @@ def link_components(members: DataFrame, verify: Callable[..., DataFrame], block_
             rank = F.row_number().over(W.partitionBy("grp", "comp").orderBy(F.xxhash64("id", F.lit(step)), "id"))
             reps = label.withColumn("r", rank).where(F.col("r") <= REPS).select(
                 F.col("id").alias("rid"),
-                _slot("comp", F.ceil(F.col("comps") * REPS / block_rows).cast("int"), step).alias("slot"))
+                _slot("comp", F.ceil(F.col("comps") * REPS * F.col("each") / block_rows).cast("int"), step).alias("slot"))
             bridge = inside.join(reps, F.col("id") == F.col("rid"))
             edges = materialise(edges.unionAll(verify(blocks(bridge, "grp", "slot"))), "links")
             continue
         rest = label.where(F.col("comp") != F.col("main"))
-        parts = rest.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("p"))
+        asked = rest.select(F.col("id").alias("rid"))
+        if keys is not None:
+            inside = materialise(_shared_keys(keys, asked), "open").join(members.drop("grp"), "id")
+            sizes = inside.groupBy("grp").agg(F.ceil(F.sum("weight") / block_rows).cast("int").alias("k"))
+            inside = inside.join(sizes, "grp")
+        # a member may have several keys here
+        asked = inside.join(asked, F.col("id") == F.col("rid"), "left_semi")
+        parts = asked.groupBy("grp").agg(F.ceil(F.sum("weight") / block_rows).cast("int").alias("p"))
         data = inside.join(parts, "grp").withColumn("slot", _slot("id", F.col("k"))).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-        asked = rest.select(F.col("id").alias("rid")).join(inside, F.col("id") == F.col("rid")).join(parts, "grp")
-        asked = asked.withColumn("part", _slot("id", F.col("p"))).withColumn(
+        asked = asked.join(parts, "grp").withColumn("part", _slot("id", F.col("p"))).withColumn(
             "slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         number = ["grp", "slot", "part"]
         edges = materialise(edges.unionAll(verify(blocks(data, *number), blocks(asked, *number))), "links")

@@ -13,8 +13,9 @@ the smallest document id, then the earliest in it.
 The shingles of a line are exploded and aggregated where the line is (after the
 one exchange that brings equal lines together), so they are never shuffled.
 With 10 bands of 4 a pair at similarity 0.8 shares no band with probability
-0.5 %, at 0.85 0.06 %, and members of one group are compared whatever band
-brought them together.
+0.5 %, at 0.85 0.06 %.  Members of a group that fits one block are compared
+whatever band brought them together; of a larger group, those that its blocks
+and bridges leave apart are compared with the lines that share a band with them.
 
 Lines are identified by a 64-bit hash; among 10^9 different lines two share it
 with probability 3 %.
@@ -33,6 +34,8 @@ Q = 8
 CLASSES, BANDS_PER_CLASS, ROWS = 5, 2, 4
 WORDS = 32  # 64-bit words of a line's bit table
 BLOCK_ROWS = 512
+USUAL = 4096  # characters of a line that fills one row of a block; longer ones fill more
+FEW = 8  # up to so many lines of a group are compared at once by their sets
 
 
 def _signed(x: int) -> int:
@@ -81,7 +84,7 @@ def verify_lines(q: int, num: int, den: int):
     A fold over the pairs of the block keeps a label per line; a pair of equal
     labels is connected already and is skipped, a linked pair merges its
     labels.  A block so returns one link per line at most, however dense it is.
-    Jaccard >= num / den asks for a symmetric difference of at most (den - num)
+    Lines without a bit table (nulls) are compared by their sets alone.  Jaccard >= num / den asks for a symmetric difference of at most (den - num)
     / (den + num) of both sizes, so pairs whose bit tables differ in more bits
     are settled without a look at the sets."""
     # the code units are bound to a name, so that they are encoded once per line and not once per shingle
@@ -107,23 +110,28 @@ def verify_lines(q: int, num: int, den: int):
         if asked is not None:
             df = df.unionByName(asked.withColumn("asked", F.lit(True)))
         s = df.repartition("block").select("block", "asked", "id", F.expr(sh).alias("sh"), *words)
-        s = s.select("block", F.struct(~F.col("asked"), F.col("id"), F.col("asked"), F.size("sh").alias("size"), "sh", *words).alias("m"))
-        rows = s.groupBy("block").agg(F.collect_list("m").alias("ms"))
+        s = s.select("block", "asked", F.struct("id", F.size("sh").alias("size"), "sh", *words).alias("m"))
         # asked lines come first; each is compared with all lines of the block that
         # follow it, or, if only some are asked, with those that are not
-        rows = rows.select(F.sort_array("ms").alias("ms")).where(F.size("ms") > 1)
-        rows = rows.select(F.transform("ms", lambda m, i: F.struct(i.alias("i"), m.alias("m"))).alias("ms"))
+        rows = s.groupBy("block").agg(F.sort_array(F.collect_list(F.when(F.col("asked"), F.col("m")))).alias("first"),
+                                      F.sort_array(F.collect_list(F.when(~F.col("asked"), F.col("m")))).alias("then"))
+        rows = rows.where(F.size("first") + F.size("then") > 1).select(
+            F.transform("first", lambda m, i: F.struct(i.alias("i"), m.alias("m"))).alias("first"),
+            F.transform("then", lambda m, i: F.struct((i + F.size("first")).alias("i"), m.alias("m"))).alias("then"))
+        rows = rows.select("first", "then", F.concat("first", "then").alias("ms"))
 
         def visit(acc, x, y):
             li, lj = F.get(acc, x["i"]), F.get(acc, y["i"])
             merge = F.transform(acc, lambda c: F.when(c == F.greatest(li, lj), F.least(li, lj)).otherwise(c))
-            hit = F.when((y["i"] > x["i"]) & (li != lj), linked(x["m"], y["m"])).otherwise(F.lit(False))
+            hit = F.when(li != lj, linked(x["m"], y["m"])).otherwise(F.lit(False))
             return F.when(hit, merge).otherwise(acc)
 
-        others = F.col("ms") if asked is None else F.filter("ms", lambda y: ~y["m"]["asked"])
+        def others(x):
+            return F.col("then") if asked is not None else F.slice("first", x["i"] + 2, F.size("first"))
+
         label = F.aggregate(
-            F.filter("ms", lambda x: x["m"]["asked"]), F.sequence(F.lit(0), F.size("ms") - 1),
-            lambda acc, x: F.aggregate(others, acc, lambda inner, y: visit(inner, x, y)))
+            "first", F.sequence(F.lit(0), F.size("ms") - 1),
+            lambda acc, x: F.aggregate(others(x), acc, lambda inner, y: visit(inner, x, y)))
         ends = F.transform(label, lambda c, i: F.struct(F.get("ms", i)["m"]["id"].alias("a"), F.get("ms", c)["m"]["id"].alias("b")))
         return rows.select(F.explode(F.filter(ends, lambda e: e["a"] != e["b"])).alias("p")).select("p.a", "p.b")
 
@@ -136,13 +144,18 @@ def line_components(lines: DataFrame, q: int = Q, num: int = 80, den: int = 100)
     keyed = materialise(band_keys(distinct, q), "lines-bands")
     shared = keyed.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
     shared = materialise(shared.select("key", "low"), "lines-shared")
-    near = maybe_in(keyed, "key", shared.select("key")).join(shared, "key").where("lid != low").select(
-        F.col("lid").alias("a"), F.col("low").alias("b"))
-    cand = materialise(connected_components(near), "lines-cand")
+    near = maybe_in(keyed, "key", shared.select("key")).join(shared, "key").select(F.col("lid").alias("id"), "key", "low")
+    near = materialise(near, "lines-near")
+    cand = materialise(connected_components(near.select(F.col("id").alias("a"), F.col("low").alias("b"))), "lines-cand")
+    sizes = cand.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("n"))
+    cand = cand.join(sizes, F.col("component") == F.col("grp")).select("node", "grp", "n")
     members = maybe_in(lines, "lid", cand.select("node")).join(cand, F.col("lid") == F.col("node")).groupBy(
-        F.col("lid").alias("id")).agg(F.first("component").alias("grp"), F.first("line").alias("line"))
-    members = materialise(with_bits(members, q), "lines-members")
-    return link_components(members, verify_lines(q, num, den), BLOCK_ROWS)
+        F.col("lid").alias("id")).agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("line").alias("line"))
+    members = materialise(members, "lines-members")
+    few = members.where(F.col("n") <= FEW).withColumns({f"b{j}": F.lit(None).cast("long") for j in range(WORDS)})
+    members = with_bits(members.where(F.col("n") > FEW), q).unionByName(few).drop("n")
+    members = members.withColumn("weight", F.greatest(F.length("line") / USUAL, F.lit(1.0)))
+    return link_components(materialise(members, "lines-bits"), verify_lines(q, num, den), BLOCK_ROWS, near.select("id", "key"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q,

@@ -28,6 +28,7 @@ from textbench.llm.words import U64, WordScanner, mix64, shingle_set
 
 BANDS, ROWS = 40, 6
 BLOCK_ROWS = 1000
+USUAL = 4096  # shingles of a document that fills one row of a block; longer ones fill more
 
 
 def circulant_signature(s: np.ndarray, size: int) -> np.ndarray:
@@ -200,7 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     picked = classes.join(cand, F.col("cls") == F.col("node")).select("rep", "f1", "cls", F.col("component").alias("grp"))
     texts = docs.join(picked, F.col("id") == F.col("rep")).select(F.col("cls").alias("id"), "grp", "f1", "text")
-    sets = materialise(shingle_sets(texts, k).dropDuplicates(["id"]), "sets")
+    sets = shingle_sets(texts, k).dropDuplicates(["id"])
+    sets = materialise(sets.withColumn("weight", F.greatest(F.octet_length("sh") / (8 * USUAL), F.lit(1.0))), "sets")
     comp = link_components(sets, verify_sets(num, den), BLOCK_ROWS)
 
     # different texts under one id tie their classes together

@@ -1,15 +1,42 @@
+import functools
 import math
 import re
+import textwrap
 from collections import Counter
 
 import pytest
-from textbench.llm.licenses import ANCHORS, LICENCE_FILE, TEMPLATES, document_files, license_scan
+from textbench.llm.licenses import LICENCE_FILE, TEMPLATES, document_files, license_scan
 
 
 def _terms(t):
     import regex
 
-    return regex.findall(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*", (t or "").lower())
+    return regex.findall(r"(?:spdx-license-identifier:[ \t]*)?[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*", (t or "").lower())
+
+
+def _bare(line):
+    line = re.sub(r"[ \t]*(\*+/|-->)?[ \t]*$", "", line)
+    return re.sub(r"^[ \t]*(<!--|/\*+|\*+|//+!?|#+|--+|;+|%+|\"{3}|'{3})?[ \t]*", "", line)
+
+
+def _sentences(text):
+    return re.split(r"(?<=[.!?;])[ \t]+", text)
+
+
+def _passages(text):
+    """Every sentence of a line, every paragraph of several lines and its sentences."""
+    out = [s for line in re.split(r"[\n\r]", text) for s in _sentences(line)]
+    block = []
+    for line in [*re.sub(r"\r\n?", "\n", text).split("\n"), ""]:
+        line = _bare(line)
+        if line:
+            block.append(line)
+            continue
+        if len(block) > 1:
+            whole = " ".join(block)
+            out += [whole, *_sentences(whole)]
+        block = []
+    return set(out)
 
 
 def _want(files, threshold=0.7):
@@ -19,18 +46,34 @@ def _want(files, threshold=0.7):
     def vec(text):
         w = {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in Counter(_terms(text)).items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()}
+        return {t: x / norm for t, x in w.items()}, norm
+
+    index = {}
+    for i, (name, text) in enumerate(TEMPLATES):
+        for t, w in vec(text)[0].items():
+            index.setdefault(t, []).append((i, w))
+
+    @functools.cache
+    def best_template(passage):
+        v, norm = vec(passage)
+        dot = Counter()
+        for t, w in v.items():
+            for i, tw in index.get(t, ()):
+                dot[i] += w * tw
+        found = max(((round(x, 9), -i) for i, x in dot.items()), default=(0, 0))
+        return (*found, norm) if found[0] >= threshold else None
 
-    theirs = [(name, vec(text)) for name, text in TEMPLATES]
     own = {}
     for key in files:
         _, path, text = key
-        cand = [s for line in re.split(r"[\n\r]", text or "") for s in re.split(r"(?<=[.!?;])[ \t]+", line) if re.search(ANCHORS, s.lower())]
-        if path and re.search(LICENCE_FILE, path) and re.search(ANCHORS, (text or "").lower()):
-            cand.append(text)
-        best = [(round(sum(w * v.get(t, 0) for t, w in vec(c).items()), 9), -i, name) for c in cand for i, (name, v) in enumerate(theirs)]
-        best = [b for b in best if b[0] >= threshold]
-        own[key] = (max(best)[2], max(best)[0]) if best else (None, None)
+        cand = _passages(text or "") | ({text} if path and re.search(LICENCE_FILE, path) else set())
+        said = {}
+        for score, first, norm in filter(None, map(best_template, cand)):
+            name = TEMPLATES[-first][0]
+            mass, top = said.get(name, ((0.0, 0), 0.0))
+            said[name] = (max(mass, (round(score * norm, 6), first)), max(top, score))
+        best = max(((m[0], top, m[1], name) for name, (m, top) in said.items()), default=None)
+        own[key] = (best[3], best[1]) if best else (None, None)
     dirs = {}
     for key, (name, score) in own.items():
         if name and key[1] and re.search(LICENCE_FILE, key[1]):
@@ -82,7 +125,7 @@ def test_documents_against_plain_code(spark):
 
 
 def test_notices_without_an_anchor_word(spark):
-    """Passages and licence files whose wording has none of ANCHORS: cosines of all of them, by plain code."""
+    """Passages and licence files without the words by which most notices are known: cosines of all of them, by plain code."""
     filler = "words licensed or released under nothing in particular " * 30
     files = [(1, "a/LICENSE", "CC BY 4.0"), (2, "a/x.py", filler), (3, "b/COPYING", "CC BY-NC 4.0"), (4, "b/c/x.py", filler),
              (5, "c/x.py", filler + "\nReleased under the MIT\n"), (6, "d/x.py", "GNU General Public, version 3"), (7, "e/x.py", filler)]
@@ -123,3 +166,24 @@ def test_wrapped_headers_and_whole_texts(spark):
            license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
     assert [got[i] for i in range(len(want))] == want
     assert not any(got[100 + i] for i in range(10))
+
+
+def _wrap(text, mark="", width=72):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_whole_texts_headers_and_tags(spark):
+    """Wrapped texts are told apart from those they share clauses with; a tag of an
+    unknown licence is nobody's."""
+    text = dict(reversed([(name, t) for name, t in TEMPLATES if len(t) > 600]))
+    gnu = {name: t for name, t in TEMPLATES if t.startswith("This ") and "Free Software Foundation" in t}
+    files = [(name, f"r{i}/LICENSE", "Copyright (c) 2020 Some One\n\n" + _wrap(t)) for i, (name, t) in enumerate(text.items())]
+    files += [(name, f"h{i}/a.c", _wrap(t, " * ") + "\n\nint main() { return 0; }") for i, (name, t) in enumerate([*text.items(), *gnu.items()])]
+    files += [("Apache-2.0", "s/a.py", "#!/bin/sh\n# SPDX-License-Identifier: Apache-2.0\nx = 1"), ("BSD-2-Clause", "s/b.c", "// SPDX-License-Identifier: BSD-2-Clause"),
+              ("GPL-2.0", "s/c.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */"), (None, "t/d.c", "// SPDX-License-Identifier: Zlib"),
+              ("ISC", "t/e.c", " # SPDX-License-Identifier:ISC\nwords")]
+    files += [(None, f"w/{i}.txt", f"nothing but words of its own, number {i}") for i in range(60)]
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"} <= set(text) and {"GPL-3.0", "AGPL-3.0", "LGPL-2.1"} <= set(gnu)
+    df = spark.createDataFrame(files, "file_id string, path string, text string")
+    got = {r["path"]: r["own_license"] for r in license_scan(df).collect()}
+    assert got == {path: name for name, path, _ in files}

@@ -8,8 +8,10 @@ frequencies of template words being counted over all files first.  A passage is
 a candidate if it has a word of some template's prefix: its rarest words, as
 many as leave the others a length below the threshold.  A passage without any
 of them has a cosine below it, whatever else it holds, so none is lost.  Only
-candidates' other words are counted too; a file's own licence is the template
-of the highest cosine, if that reaches the threshold.  Files without one take
+candidates' other words are counted too.  A passage declares the licence of its
+best template, if that cosine reaches the threshold; of a file's passages that
+with the longest vector times cosine counts, so that a whole text is worth more
+than an opening that several licences share.  Files without a licence take
 the licence of the nearest directory above them that has a licence file: the
 directories of a path are exploded and joined with those of licence files.
 """
@@ -41,8 +43,12 @@ _BSD = (
     "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
     "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-    "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
-    "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY "
+    "distribution.")
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission.")
+_BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY "
     "THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
     "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
     "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
@@ -50,8 +56,25 @@ _BSD = (
     "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
     "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
     "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_REST = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+    "THIS SOFTWARE.")
 
-# fixed values: notices by which licences are commonly declared, and words of which each has one
+
+def _gnu(what: str, name: str, version: str) -> str:
+    """The header that the GNU licences ask for in source files."""
+    return (f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} "
+            f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) "
+            "any later version.")
+
+
+# fixed values: notices by which licences are commonly declared
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -74,24 +97,40 @@ TEMPLATES = [
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MIT", _MIT),
     ("MIT", f"MIT License {_MIT} {_MIT_REST}"),
-    ("BSD-3-Clause", _BSD),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_THIRD} {_BSD_REST}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_REST}"),
+    ("ISC", _ISC),
+    ("ISC", f"ISC License {_ISC} {_ISC_REST}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # headers of source files
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at"),
+    ("GPL-3.0", _gnu("program", "General Public License", "3")),
+    ("GPL-2.0", _gnu("program", "General Public License", "2")),
+    ("LGPL-3.0", _gnu("library", "Lesser General Public License", "3")),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1")),
+    ("AGPL-3.0", _gnu("program", "Affero General Public License", "3")),
 ]
-ANCHORS = "licen[cs]e|permission|redistribution"  # words by which most notices are known; not what is scanned
+SPDX = "spdx-license-identifier:"
+TEMPLATES += [(name, f"{SPDX}{gap}{name}{suffix}") for name in sorted({name for name, _ in TEMPLATES}) for gap in (" ", "")
+              for suffix in (("", "-only", "-or-later") if "GPL" in name else ("",))]
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.\-_][^/]*)?$"
 
 
 def _terms(text) -> F.Column:
-    """Lower-cased words of letters, digits, inner points and hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"), F.lit(0))
+    """Lower-cased words of letters, digits, inner points and hyphens; an SPDX
+    tag and its licence are one word, so that no other licence is near it."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?:{SPDX}[ \t]*)?[\p{{L}}\p{{N}}]+(?:[.\-][\p{{L}}\p{{N}}]+)*"), F.lit(0))
 
 
 def _vectors(terms: DataFrame, keys: list[str], df: DataFrame, n_files: int) -> DataFrame:
-    """``terms`` (keys, term) -> keys, term, weight of unit length per key."""
+    """``terms`` (keys, term) -> keys, term, weight of unit length per key, and the
+    length before."""
     tf = terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     idf = F.log((1.0 + n_files) / (1.0 + F.coalesce("n", F.lit(0)))) + 1.0
     w = tf.join(df, "term", "left").withColumn("w", F.col("tf") * idf)
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return w.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"), "norm")
 
 
 def _frequencies(files: DataFrame, asked: DataFrame) -> DataFrame:
@@ -136,7 +175,7 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     fixed = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, text string")
     words = fixed.select("t", F.explode(_terms(F.col("text"))).alias("term"))
     known = materialise(_frequencies(files, words.select("term").distinct()), "license-template-df")
-    theirs = materialise(_vectors(words, ["t"], known, n_files).join(fixed.select("t", "license"), "t"), "license-templates")
+    theirs = materialise(_vectors(words, ["t"], known, n_files).drop("norm").join(fixed.select("t", "license"), "t"), "license-templates")
     # as many rows as the templates have words
     weighed = theirs.join(known, "term", "left").select("t", "term", "w", F.coalesce("n", F.lit(0)).alias("n"))
     prefix = F.array(*[F.lit(x) for x in _prefixes(weighed.collect(), threshold)]).cast("array<string>")
@@ -156,22 +195,27 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     mine = _vectors(terms, ["rid", "no"], df, n_files)
     # as many rows as the templates have words; rounded, so that equal cosines are equal however they are summed
     dot = mine.join(F.broadcast(theirs.withColumnRenamed("w", "tw")), "term").groupBy("rid", "no", "t", "license").agg(
-        F.round(F.sum(F.col("w") * F.col("tw")), 9).alias("score"))
-    best = dot.where(F.col("score") >= threshold).groupBy("rid").agg(
-        F.max(F.struct("score", (-F.col("t")).alias("first"), "license")).alias("best"))
+        F.round(F.sum(F.col("w") * F.col("tw")), 9).alias("score"), F.max("norm").alias("norm"))
+    said = dot.where(F.col("score") >= threshold).groupBy("rid", "no").agg(
+        F.max(F.struct("score", (-F.col("t")).alias("first"), "license", "norm")).alias("b")).select("rid", "b.*")
+    # per file as many rows as it has licences
+    per = said.groupBy("rid", "license").agg(
+        F.max(F.struct(F.round(F.col("score") * F.col("norm"), 6).alias("mass"), "first")).alias("m"), F.max("score").alias("score"))
+    best = per.groupBy("rid").agg(F.max(F.struct("m.mass", "score", "m.first", "license")).alias("best"))
     return best.select("rid", F.col("best.license").alias("license"), F.col("best.score").alias("score"))
 
 
 def license_scan(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text",
                  threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """One row per file: id, path, own_license, score (cosine of its own best
-    template), license, found ('own', 'inherited' or 'none') and license_dir.
+    """One row per file: id, path, own_license, score (the best cosine of a
+    passage that declares it), license, found ('own', 'inherited' or 'none') and license_dir.
 
     * A null or empty text has no licence of its own; a null path has no
       directory to inherit from, and ``''`` is the directory of a path without
       slashes.  Slashes that repeat, lead or trail count as one, or not at all.
     * Of several licence files of a directory that of the higher score counts,
-      then the smaller licence name; of templates with equal cosine the earlier.
+      then the smaller licence name; of templates with equal cosine the earlier;
+      of a file's licences of equal length that of the higher score.
     * Rows that repeat id, path and text are treated alike; extra columns are
       not read; an empty table gives an empty result.
     """

@@ -50,26 +50,3 @@ def test_groups_larger_than_a_block_lose_no_link(spark):
     want = components(sets, list(similar_pairs(sets)))
     assert {i: got.get(i, i) for i in sets} == want
     assert len(set(want.values())) < 40
-
-
-def test_open_members_meet_all_that_share_a_key(spark):
-    """Loners and a chain of links, far apart by hash, in a group of many blocks:
-    keys cover every link, some keys repeat the members of others, and long
-    members fill blocks of their own."""
-    rnd = random.Random(9)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    chain = ["".join(rnd.choice(letters) for _ in range(120))]
-    for _ in range(39):  # each one near the one before it, soon far from the first
-        at = rnd.randrange(110)
-        chain.append(chain[-1][:at] + "".join(rnd.choice(letters) for _ in range(3)) + chain[-1][at + 3:])
-    rows = list(enumerate(chain + ["".join(rnd.choice(letters) for _ in range(120)) for _ in range(30)]))
-    sets = {i: {x[j:j + 5] for j in range(len(x) - 4)} for i, x in rows}
-    pairs = list(similar_pairs(sets))
-    keys = [(n, k) for k, p in enumerate(pairs) for n in p] + [(n, 1000 + k) for k, p in enumerate(pairs) for n in p]
-    keys += [(i, 5000) for i in sets if i % 3 == 0]
-    members = spark.createDataFrame([(i, 1, x, 9.0 if i % 7 == 0 else 1.0) for i, x in rows],
-                                    "id long, grp long, line string, weight double")
-    rest = members.drop("weight")
-    bits = with_bits(rest, 5).join(members.select("id", "weight"), "id")
-    got = _got(link_components(bits, verify_lines(5, 80, 100), 6, spark.createDataFrame(keys, "id long, key long")))
-    assert {i: got.get(i, i) for i in sets} == components(sets, pairs)

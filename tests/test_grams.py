@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textbench.functions import grams
 from textbench.functions.grams import batch_stats
-from textbench.functions.text import tokens_13a
+from textbench.functions.text import replaced_13a, spaced_13a, tokens_13a
 from textbench.operators.bleu import STAT_COLS, bleu_prefix_stats, bleu_row_stats
 
 
@@ -79,6 +79,24 @@ def test_tokens_of_the_kernel_are_the_13a_tokens(spark):
     assert got == {r["id"]: (r["n"], r["m"]) for r in want.collect()} and got[2] == (0, 1) and got[3] == (0, 0)
 
 
+def test_cuts_of_the_kernel_are_those_of_the_13a_expressions(spark):
+    rnd = random.Random(5)
+    signs = list("aZ09.,.,--/'$%&(){}[]`~@^_ \t\n\r\x0b\x1c") + ["é", "漢", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u1680", "\u200b", "&lt;", "-\n", "<skipped>", "12", "😀"]
+    rows = [(i, "".join(rnd.choice(signs[:12] if i % 3 else signs) for _ in range(rnd.choice([0, 1, 2, 3, 8, 60])))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = df.select("id", replaced_13a("t").alias("t"), spaced_13a("t").alias("s")).orderBy("id").toPandas()
+
+    def tokens(texts, separator):
+        data, offsets = grams._buffers(pa.array(texts, pa.string()))
+        t = grams.Tokenised(data, offsets, separator)
+        return t.row.tolist(), t.h.tolist()
+
+    assert tokens(got["t"], None) == tokens(got["s"], 0x20)
+    # the kernel cuts the texts: no regular expression walks all of them
+    plan = bleu_row_stats(df, hyp_col="t", ref_col="t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "$1 $2" not in plan
+
+
 def test_a_tokenizer_of_the_caller(spark):
     df = spark.createDataFrame([(1, "a b|c d", "c d|a b|a b")], "id long, prediction string, reference string")
     r = bleu_row_stats(df, tokenizer=lambda c: F.split(c, "\\|")).first()

@@ -1,6 +1,7 @@
 """Columnar n-gram counting over Arrow batches (P3's kernel).
 
-A batch has two text columns whose tokens are separated by one byte.  Tokens
+A batch has two text columns whose tokens are separated by one byte, or lie as
+the 13a rules cut them (``_cut_13a``, in place of four regular expressions).  Tokens
 become 64-bit hashes, read off running sums over the bytes of many texts at
 once; an n-gram is a combination of neighbouring hashes, filed under its row in
 the upper bits of a key.  One sort per order and side brings equal grams of a row
@@ -30,30 +31,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_WORD, _SPACE, _SYMBOL, _POINT, _DIGIT, _DASH = range(6)
+_KIND = np.full(256, _WORD, np.uint8)
+_KIND[[*range(0x09, 0x0E), 0x20]] = _SPACE
+_KIND[[*range(0x21, 0x27), *range(0x28, 0x2C), 0x2F, *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _SYMBOL
+_KIND[[0x2C, 0x2E]] = _POINT
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x2D] = _DASH
+# the white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000
+_WIDE_SPACES = {2: [0xC285, 0xC2A0], 3: [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]}
+
+
+def _cut_13a(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are in tokens, and which are a token by themselves, by the
+    13a rules (their literal replacements made before).
+
+    A symbol stands alone, and so does a dash after a digit.  Of a run of points
+    and commas the rules take two at a time, from its first one after a digit, else
+    from the character before it; all stand alone but the last, which stays with a
+    digit after the run if the twos leave it over."""
+    n, kind = len(data), _KIND[data]
+    inside, alone = kind != _SPACE, kind == _SYMBOL
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True  # also past the last byte
+    at = np.flatnonzero(kind == _POINT)
+    if len(at):
+        start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | first[at[1:]])))
+        length = np.diff(np.append(start, len(at)))
+        begin = at[start]
+        end = begin + length
+        after_digit = ~first[begin] & (kind[begin - 1] == _DIGIT)
+        before_digit = ~first[end] & (kind[np.minimum(end, n - 1)] == _DIGIT)
+        alone[at] = True
+        alone[end[before_digit & ((length % 2 == 1) == after_digit)] - 1] = False
+    at = np.flatnonzero(kind == _DASH)
+    alone[at[~first[at] & (kind[at - 1] == _DIGIT)]] = True
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))) if n and data.max() >= 0xC2 else np.zeros(0, np.int64)
+    for width, spaces in _WIDE_SPACES.items():
+        here = lead[lead + width <= n]
+        code = np.zeros(len(here), np.int64)
+        for k in range(width):
+            code = code << 8 | data[here + k]
+        here = here[np.isin(code, spaces)]
+        for k in range(width):
+            inside[here + k] = False
+    return inside, alone
+
+
 class Tokenised:
     """Token hashes of a slice of rows: ``h``, the row of each, and whether it
-    is the mark."""
+    is the mark.  Without a separator, tokens are cut by the 13a rules."""
 
     _value = _mix(np.arange(1, 257, dtype=U64) << U64(7)) | U64(1)
     _base = 0x2545F4914F6CDD1D
     _up = _down = np.ones(1, U64)
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: int | None):
         n = len(data)
         if n > len(Tokenised._up):
             Tokenised._up = np.cumprod(np.full(2 * n, self._base, U64))
             Tokenised._down = np.cumprod(np.full(2 * n, pow(self._base, -1, 1 << 64), U64))
-        inside = np.zeros(n + 2, np.int8)
-        inside[1:-1] = data != separator
-        # texts are laid end to end: a token also ends where its text does
-        turn = np.diff(inside)
-        begin, end = turn == 1, turn == -1
-        cut = offsets[1:-1]
-        cut = cut[(cut > 0) & (cut < n)]
-        both = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
-        begin[both] = True
-        end[both] = True
-        begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+        inside, cut = np.zeros(n + 2, bool), np.zeros(n + 1, bool)
+        if separator is None:
+            inside[1:-1], alone = _cut_13a(data, offsets)
+            cut[:-1] = alone
+            cut[1:] |= alone
+        else:
+            inside[1:-1] = data != separator
+        cut[offsets] = True  # texts are laid end to end: a token also ends where its text does
+        begin = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
+        end = np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
         total = np.zeros(n + 1, U64)
         np.cumsum(self._value[data] * self._up[:n], out=total[1:])
         self.h = _mix((total[end] - total[begin]) * self._down[begin])
@@ -141,7 +188,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def batch_stats(hyp: pa.Array, ref: pa.Array, separator: int, budgets: list[int] | None = None) -> np.ndarray:
+def batch_stats(hyp: pa.Array, ref: pa.Array, separator: int | None, budgets: list[int] | None = None) -> np.ndarray:
     """Statistics of each pair of texts, one row per pair: sys_len, ref_len,
     m1..m4, t1..t4 (for each budget, with ``budgets``)."""
     (hd, ho), (rd, ro) = _buffers(hyp), _buffers(ref)

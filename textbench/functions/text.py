@@ -41,7 +41,7 @@ def normalize_ws(c) -> Column:
 
 def words(c) -> Column:
     """TXT2: whitespace tokens (Python ``str.split()``), never empty strings."""
-    return F.filter(F.split(_c(c), WS), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(_c(c), WS), "")
 
 
 TOKEN_RE = "(?U)[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
@@ -72,16 +72,21 @@ _13A_RULES = [
 _13A_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
-def spaced_13a(c) -> Column:
-    """The 13a tokens of a segment in one string, with one space between them
-    (and perhaps one before and after)."""
-    line = F.regexp_replace(_c(c), "(?U)\\s+$", "")
+def replaced_13a(c) -> Column:
+    """A segment after the literal replacements of the 13a tokenizer."""
+    line = _c(c)
+    line = F.when(F.right(line, F.lit(1)).rlike(WS), F.regexp_replace(line, "(?U)\\s+$", "")).otherwise(line)
     line = F.replace(line, F.lit("<skipped>"), F.lit(""))
     line = F.replace(line, F.lit("-\n"), F.lit(""))
-    line = F.replace(line, F.lit("\n"), F.lit(" "))
     for ent, ch in _13A_ENTITIES:
         line = F.replace(line, F.lit(ent), F.lit(ch))
-    line = F.concat(F.lit(" "), line, F.lit(" "))
+    return line
+
+
+def spaced_13a(c) -> Column:
+    """The 13a tokens of a segment in one string, with one space between them
+    (and perhaps one before and after)."""
+    line = F.concat(F.lit(" "), F.replace(replaced_13a(c), F.lit("\n"), F.lit(" ")), F.lit(" "))
     for pat, rep in _13A_RULES:
         line = F.regexp_replace(line, pat, rep)
     return F.regexp_replace(line, WS, " ")

@@ -6,8 +6,8 @@ penalty ``exp(1 - ref/sys)`` when ``sys < ref``, ``exp`` smoothing (each
 order with zero matches doubles the divisor), score 0 when nothing matches
 at all or when some order has no hypothesis n-grams.
 
-Physical plan: no exchange.  The JVM tokenises each text into one string, and
-a numpy kernel over Arrow batches counts the grams of many pairs at once
+Physical plan: no exchange.  The JVM makes the literal replacements, and a
+numpy kernel over Arrow batches cuts tokens and counts the grams of many pairs at once
 (``functions/grams.py``); a row's statistics come from its own two texts, so no
 n-gram ever becomes a row or crosses the network.  A very long document costs
 one task its own size, never a third of the table.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textbench.functions.grams import MARK, MAX_ORDER, batch_stats
-from textbench.functions.text import spaced_13a, tokens_13a, words
+from textbench.functions.text import replaced_13a, spaced_13a, tokens_13a, words
 
 STAT_COLS = ["sys_len", "ref_len"] + [f"m{n}" for n in range(1, 5)] + [f"t{n}" for n in range(1, 5)]
 
@@ -40,7 +40,7 @@ def bleu_row_stats(
     of the caller's that holds U+001F counts as several).  ``keep`` lists
     extra columns of ``df`` carried through to the output.  A null text has no tokens.
     """
-    spaced, separator = (spaced_13a, 0x20) if tokenizer is tokens_13a else (lambda c: F.array_join(tokenizer(c), "\x1f"), 0x1F)
+    spaced, separator = (replaced_13a, None) if tokenizer is tokens_13a else (lambda c: F.array_join(tokenizer(c), "\x1f"), 0x1F)
     return _counted(df, [id_col, *(keep or [])], spaced(F.col(hyp_col)), spaced(F.col(ref_col)), separator, None, STAT_COLS)
 
 
@@ -65,7 +65,7 @@ def bleu_prefix_stats(
     return _counted(df, [id_col, *(keep or [])], spaced_13a(F.array_join(head, f" {mark} ")), spaced_13a(F.col(ref_col)), 0x20, budgets, names)
 
 
-def _counted(df: DataFrame, keep: list[str], hyp: Column, ref: Column, separator: int, budgets: list[int] | None,
+def _counted(df: DataFrame, keep: list[str], hyp: Column, ref: Column, separator: int | None, budgets: list[int] | None,
              names: list[str]) -> DataFrame:
     """Columns ``keep`` and the statistics ``names`` of each row."""
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(hyp, F.lit("")).alias("__h"), F.coalesce(ref, F.lit("")).alias("__r"))

@@ -123,6 +123,28 @@ def test_caller_defined_bootstrap_metric(spark):
     assert r["ratio"] == pytest.approx(2.25) and r["ratio_ci_lower"] < 2.25 < r["ratio_ci_upper"]
 
 
+def test_poisson_sums_are_those_of_the_weights_one_by_one(spark):
+    import random
+
+    from textbench.operators.bootstrap import poisson_weight, replicate_scores, replicate_uniform
+    from textbench.operators.metric import Metric
+
+    rnd = random.Random(3)
+    some = [0.5, 0.25, 1e9, float("inf")]
+    rows = [(rnd.choice([i, 7, None]), rnd.choice([None, 1, 2, 5]), rnd.choice([None, *some]), None if i % 300 else 3.0) for i in range(1300)]
+    df = spark.createDataFrame(rows, "id long, a long, b double, rare double")
+    ms = [Metric(c, (c,), lambda s, c=c: s[c]) for c in ("a", "b", "rare")] + ["samples"]
+    for table in (df, df.limit(1), df.limit(0)):
+        weighted = table.crossJoin(spark.range(-1, 40).select(F.col("id").cast("int").alias("rep")))
+        w = F.when(F.col("rep") < 0, 1).otherwise(poisson_weight(replicate_uniform(42, "id", F.col("rep"))))
+        g = weighted.withColumn("w", w).where("w > 0").groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"score_{c}") for c in ("a", "b", "rare")],
+                                                                          F.sum("w").alias("score_samples"))
+        got = replicate_scores(table, ms, 40, method="poisson")
+        assert dict(got.dtypes) == dict(g.dtypes)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, g.collect()))
+
+
 def test_draws_of_every_replicate_sum_to_n_and_are_uniform():
     import numpy as np
     from textbench.functions.resample import DrawTree

@@ -15,7 +15,9 @@ n-gram counts) and a replicate is a weighted sum of them:
   (``functions/resample.py``), and a task multiplies the weights of a block with
   its statistics.  No row is multiplied: what leaves a task is one row per replicate.
 * ``method="poisson"``: each row gets an independent Poisson(1) weight per
-  replicate, drawn from P1 hashes; rows are exploded to (row, replicate).
+  replicate, drawn from P1 hashes.  A task finds the weights of its rows from two
+  hashes a row and multiplies them with the statistics, so neither here nor over
+  blocks is a row multiplied: what leaves a task is one row per replicate.
 * ``method="multinomial"``: exactly ``n`` rows by joining ``R * n`` draws with
   the dense row index; reproducible in SQL, for evaluation-sized inputs.
 
@@ -83,15 +85,8 @@ def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int
     metric.  ``rep = -1`` is the full sample (weight 1 for every row), so a
     point estimate and its interval come out of the same pass."""
     ms = resolve(metrics)
-    rows = None
     if method == "poisson":
-        h1, h2 = replicate_seeds(seed, id_col)
-        seeded = stats.select("*", h1.alias("__h1"), h2.alias("__h2"))
-        exploded = seeded.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))).alias("rep"))
-        u = replicate_uniform_from(F.col("__h1"), F.col("__h2"), F.col("rep"))
-        w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
-        weighted = exploded.withColumn("__w", w).filter(F.col("__w") > 0)
-        rows = F.col(row_weight) if row_weight else None  # block rows: per-row means need the block's row count
+        return _poisson_sums(stats, ms, n_boot, seed, id_col, row_weight).select("rep", *finished(ms, "score_"))
     elif method == "blocks":
         blk = stats.groupBy(F.pmod(hash_bits(seed, F.col(id_col), F.lit("block")), F.lit(blocks)).alias("__blk")).agg(
             *[F.sum(c).alias(c) for c in statistics(ms)], F.count(F.lit(1)).alias("__rows"))
@@ -108,7 +103,66 @@ def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int
         weighted = counts.unionByName(full).join(ranked.drop("__n"), "__idx")
     else:
         raise ValueError(f"unknown method {method}")
-    return weighted.groupBy("rep").agg(*sums(ms, F.col("__w"), rows)).select("rep", *finished(ms, "score_"))
+    return weighted.groupBy("rep").agg(*sums(ms, F.col("__w"))).select("rep", *finished(ms, "score_"))
+
+
+#: the least 32-bit draw of weight 1, 2, ...: that of :func:`poisson_weight` on draw / 2^32
+_DRAW_OF_WEIGHT = [math.ceil(p * 4294967296) for p in POISSON1_CDF if math.ceil(p * 4294967296) < 4294967296]
+_ROWS_AT_ONCE = 512
+
+
+def _poisson_weights(h1: np.ndarray, h2: np.ndarray, n_boot: int) -> np.ndarray:
+    """(n_boot, rows): the Poisson(1) weights of rows with these seeds."""
+    draw = np.arange(n_boot, dtype=np.uint32)[:, None] * h2.astype(np.uint32) + h1.astype(np.uint32)  # modulo 2^32
+    w = np.zeros(draw.shape, np.uint8)
+    for least in _DRAW_OF_WEIGHT:
+        w += draw >= np.uint32(least)
+    return w.astype(np.float64)
+
+
+def _poisson_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str, row_weight: str | None) -> DataFrame:
+    """rep and the weighted sums of the metrics' statistics, each row with a
+    Poisson(1) weight of its own per replicate (rep -1: each row once).  As in any
+    sum, nulls are left out, and a replicate without rows is not there.  ``row_weight``:
+    how many rows a row stands for."""
+    cols = statistics(metrics)
+    kinds = dict(stats.dtypes)
+    whole = [kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in cols] + [True]
+    k = len(cols)
+
+    def run(batches):
+        total, there = np.zeros((n_boot + 1, k + 1)), np.zeros((n_boot + 1, k + 1), bool)
+        for batch in batches:
+            h1, h2 = (batch.column(c).to_numpy() for c in (0, 1))
+            known = np.column_stack([batch.column(2 + c).is_valid().to_numpy(zero_copy_only=False) for c in range(k + 1)])
+            x = np.column_stack([batch.column(2 + c).fill_null(0).to_numpy() for c in range(k + 1)])
+            gaps = np.flatnonzero(~known.all(axis=0))
+            finite = np.isfinite(x).all(axis=1)
+            for i in range(0, len(x), _ROWS_AT_ONCE):
+                part = slice(i, i + _ROWS_AT_ONCE)
+                w = np.ones((n_boot + 1, len(x[part])))
+                w[1:] = _poisson_weights(h1[part], h2[part], n_boot)
+                drawn = w.any(axis=1)
+                if finite[part].all():
+                    total += w @ x[part]
+                else:
+                    total += w @ np.where(finite[part, None], x[part], 0)
+                    for j in np.flatnonzero(~finite[part]):  # infinite times 0 would be NaN
+                        on = w[:, j] > 0
+                        total[on] += w[on, j, None] * x[i + j]
+                for c in range(k + 1):
+                    there[:, c] |= (w @ known[part, c] > 0) if c in gaps else drawn
+        on = there[:, k]
+        sums_ = [pa.array(np.rint(v[on]).astype(np.int64) if int_ else v[on], mask=~there[on, c]) for c, (v, int_) in enumerate(zip(total.T, whole))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_boot, dtype=np.int32)[on]), *sums_], names=names)
+
+    names = ["rep", *[f"__sum_{c}" for c in cols], "__sum_n"]
+    h1, h2 = replicate_seeds(seed, id_col)
+    rows = F.col(row_weight) if row_weight else F.lit(1)
+    part = stats.select(h1.alias("__h1"), h2.alias("__h2"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)],
+                        rows.cast("double").alias("__rows"))
+    part = part.mapInArrow(run, "rep int, " + ", ".join(f"`{c}` {'long' if int_ else 'double'}" for c, int_ in zip(names[1:], whole)))
+    return part.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def _exact_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str) -> DataFrame:

@@ -185,3 +185,20 @@ def test_exact_resample_of_one_row_nulls_and_none(spark):
     some = spark.createDataFrame([(1, 0.5), (2, None)], "id long, f1 double")
     assert bootstrap_ci(some, "f1", 20, method="exact").first()["f1"] == 0.25
     assert bootstrap_ci(one.limit(0), "f1", 20, method="exact").first()["f1"] is None
+
+
+@pytest.fixture(scope="module")
+def some_documents(spark, tmp_path_factory):
+    """Documents whose scores differ much, few enough that blocks would hold other weights than rows."""
+    at = str(tmp_path_factory.mktemp("documents"))
+    rows = [(i, "s", "en", 60, " ".join(f"w{(i * j) % 13}" for j in range(3 + i % 40))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_bootstrap_ci_resamples_rows(spark, some_documents):
+    import __spark_entry__ as E
+
+    q = E.queries()
+    rows, blocks, got = (q[n](spark, some_documents).first() for n in ("a5_bootstrap_ci_poisson", "a5_bootstrap_ci_blocks", "a5_bootstrap_ci"))
+    assert got == rows and got != blocks and "% 4096" not in E.oracle_sql()["a5_bootstrap_ci"]

@@ -202,3 +202,13 @@ def test_bootstrap_ci_resamples_rows(spark, some_documents):
     q = E.queries()
     rows, blocks, got = (q[n](spark, some_documents).first() for n in ("a5_bootstrap_ci_poisson", "a5_bootstrap_ci_blocks", "a5_bootstrap_ci"))
     assert got == rows and got != blocks and "% 4096" not in E.oracle_sql()["a5_bootstrap_ci"]
+
+
+def test_reconstruction_report_resamples_rows(spark, some_documents):
+    import __spark_entry__ as E
+
+    q = E.queries()
+    rows, got = (q[n](spark, some_documents).first() for n in ("a5_bootstrap_ci_poisson", "a6_reconstruction_report"))
+    for a, b in (("bleu", "bleu"), ("f1", "token_f1")):
+        assert [rows[a + x] for x in ("", "_ci_lower", "_ci_upper")] == [got[b + x] for x in ("", "_ci_lower", "_ci_upper")]
+    assert got["samples"] == 60 and "% 4096" not in E.oracle_sql()["a6_reconstruction_report"]

@@ -290,7 +290,7 @@ def _rendered(scaled) -> str:
     return " || ':' || ".join(f"CAST(CAST({x} AS BIGINT) AS VARCHAR)" for x in scaled)
 
 
-@register("a6_reconstruction_report", _sql_block_replicates(1000, 4096) + f"""
+@register("a6_reconstruction_report", _sql_replicates(1000) + f"""
 SELECT round(max(CASE WHEN rep < 0 THEN score_bleu END), 6) AS bleu,
   round(quantile_cont(score_bleu, 0.025) FILTER (WHERE rep >= 0), 6) AS bleu_ci_lower,
   round(quantile_cont(score_bleu, 0.975) FILTER (WHERE rep >= 0), 6) AS bleu_ci_upper,
@@ -308,7 +308,7 @@ def a6_reconstruction_report(spark, sf_dir):
     """The evaluation record (K = 4 prefix tokens) with its 4 length buckets
     (rendered as min:max:samples:bleu:f1, the last two times 10000)."""
     st = written(pair_stats(spark, sf_dir, with_bleu=True), "pair-stats")
-    out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42, buckets=4)
+    out = reconstruction_report(st, prefix_tokens=4, n_boot=1000, seed=42, method="poisson", buckets=4)
     scaled = lambda b, c: F.round(F.round(b[c], 6) * 10000).cast("long")
     shown = F.array_join(F.transform("length_buckets", lambda b: F.concat_ws(
         ":", *[b[c].cast("string") for c in ("min_tokens", "max_tokens", "samples")],

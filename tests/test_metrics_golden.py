@@ -145,6 +145,30 @@ def test_poisson_sums_are_those_of_the_weights_one_by_one(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, g.collect()))
 
 
+def test_multinomial_sums_are_those_of_the_joined_draws(spark, monkeypatch):
+    from textbench.functions.hashing import hash_uniform
+    from textbench.operators import bootstrap as BS
+    from textbench.operators.metric import Metric
+
+    monkeypatch.setattr(BS, "_BLOCK_BITS", 5)
+    monkeypatch.setattr(BS, "_DRAWS_AT_ONCE", 700)
+    rows = [(1000 - 3 * i, None if i % 7 == 0 else i, None if i % 5 == 0 else i / 8, 3.0 if i == 9 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, a long, b double, rare double")
+    ms = [Metric(c, (c,), lambda s, c=c: s[c]) for c in ("a", "b", "rare")] + ["samples"]
+    for table in (df, df.limit(1), df.limit(0)):
+        n = table.count()
+        at = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(sorted(table.collect()))], "idx long, a long, b double, rare double")
+        reps = spark.range(30).select(F.col("id").cast("int").alias("rep"))
+        drawn = spark.range(n).crossJoin(reps).select("rep", F.floor(hash_uniform(42, F.col("rep"), F.col("id")) * n).alias("idx"))
+        drawn = drawn.unionByName(at.select(F.lit(-1).alias("rep"), "idx")).join(at, "idx")
+        g = drawn.groupBy("rep").agg(*[F.sum(c).alias(f"score_{c}") for c in ("a", "b", "rare")], F.count("idx").alias("score_samples"))
+        got = BS.replicate_scores(table, ms, 30, method="multinomial")
+        assert sorted(map(str, got.collect())) == sorted(map(str, g.collect()))
+    # neither the rows nor the draws are collected for a broadcast: only the rows before each slice are
+    plan = BS.replicate_scores(df, ms, 30, method="multinomial")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan and "draws" not in plan[plan.index("BroadcastExchange"):plan.index("BroadcastExchange") + 200]
+
+
 def test_draws_of_every_replicate_sum_to_n_and_are_uniform():
     import numpy as np
     from textbench.functions.resample import DrawTree

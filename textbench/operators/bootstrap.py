@@ -18,8 +18,9 @@ n-gram counts) and a replicate is a weighted sum of them:
   replicate, drawn from P1 hashes.  A task finds the weights of its rows from two
   hashes a row and multiplies them with the statistics, so neither here nor over
   blocks is a row multiplied: what leaves a task is one row per replicate.
-* ``method="multinomial"``: exactly ``n`` rows by joining ``R * n`` draws with
-  the dense row index; reproducible in SQL, for evaluation-sized inputs.
+* ``method="multinomial"``: exactly ``n`` rows by ``R * n`` draws from hashes of
+  (replicate, place), reproducible in SQL.  Draws are shuffled to the block
+  of rows they fall on, four bytes each, and meet its rows there.
 
 Percentiles are exact and linearly interpolated (``percentile``), as in
 numpy's default.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from textbench.functions.hashing import hash_bits, hash_uniform
 from textbench.functions.resample import DrawTree
-from textbench.operators.metric import Metric, finished, resolve, statistics, sums
+from textbench.operators.metric import Metric, finished, resolve, statistics
 from textbench.operators.ranking import dense_index, range_sorted
 
 # Cumulative Poisson(1) probabilities P(K <= k), k = 0..11 (rule: e^-1 * sum 1/j!);
@@ -94,21 +95,16 @@ def replicate_scores(stats: DataFrame, metrics: list[str | Metric], n_boot: int
     elif method == "exact":
         return _exact_sums(stats, ms, n_boot, seed, id_col).select("rep", *finished(ms, "score_"))
     elif method == "multinomial":
-        ranked = dense_index(stats, id_col, "__idx", total_col="__n")
-        draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-        u = hash_uniform(seed, F.col("rep"), F.col("__j"))
-        counts = draws.select("rep", F.floor(u * F.col("__n")).cast("long").alias("__idx")).groupBy("rep", "__idx").agg(
-            F.count(F.lit(1)).alias("__w"))
-        full = ranked.select("__idx", F.lit(-1).cast("long").alias("rep"), F.lit(1).cast("long").alias("__w"))
-        weighted = counts.unionByName(full).join(ranked.drop("__n"), "__idx")
+        return _multinomial_sums(stats, ms, n_boot, seed, id_col).select("rep", *finished(ms, "score_"))
     else:
         raise ValueError(f"unknown method {method}")
-    return weighted.groupBy("rep").agg(*sums(ms, F.col("__w"))).select("rep", *finished(ms, "score_"))
 
 
 #: the least 32-bit draw of weight 1, 2, ...: that of :func:`poisson_weight` on draw / 2^32
 _DRAW_OF_WEIGHT = [math.ceil(p * 4294967296) for p in POISSON1_CDF if math.ceil(p * 4294967296) < 4294967296]
 _ROWS_AT_ONCE = 512
+_BLOCK_BITS = 10  # rows of a block of multinomial draws; the rest of 32 bits holds the replicate
+_DRAWS_AT_ONCE = 4_000_000
 
 
 def _poisson_weights(h1: np.ndarray, h2: np.ndarray, n_boot: int) -> np.ndarray:
@@ -120,49 +116,129 @@ def _poisson_weights(h1: np.ndarray, h2: np.ndarray, n_boot: int) -> np.ndarray:
     return w.astype(np.float64)
 
 
+class _WeightedSums:
+    """Sums of rows' statistics with a weight per row and replicate, as Spark's
+    ``sum`` has them: nulls are left out, and a replicate without rows is not there."""
+
+    def __init__(self, whole: list[bool], n_boot: int):
+        """``whole``: which columns are integers; the last one is the number of rows."""
+        self.whole, self.n_boot = whole, n_boot
+        self.total, self.there = np.zeros((n_boot + 1, len(whole))), np.zeros((n_boot + 1, len(whole)), bool)
+
+    def add(self, w: np.ndarray, x: np.ndarray, known: np.ndarray) -> None:
+        """``w``: (n_boot + 1, rows), ``x`` and ``known`` (not null): (rows, columns)."""
+        finite = np.isfinite(x).all(axis=1)
+        self.total += w @ np.where(finite[:, None], x, 0)
+        for j in np.flatnonzero(~finite):  # infinite times 0 would be NaN
+            on = w[:, j] > 0
+            self.total[on] += w[on, j, None] * x[j]
+        self.there |= w.any(axis=1)[:, None] if known.all() else w @ known > 0
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        on = self.there[:, -1]
+        sums_ = [pa.array(np.rint(self.total[on, c]).astype(np.int64) if int_ else self.total[on, c], mask=~self.there[on, c])
+                 for c, int_ in enumerate(self.whole)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(-1, self.n_boot, dtype=np.int32)[on]), *sums_], names=names)
+
+
+def _matrix(columns: list) -> tuple[np.ndarray, np.ndarray]:
+    """Values and whether they are not null, (rows, columns), of Arrow columns of doubles."""
+    return (np.column_stack([c.fill_null(0).to_numpy() for c in columns]),
+            np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns]))
+
+
+def _summed(stats: DataFrame, cols: list[str]) -> tuple[list[bool], list[str], str]:
+    """Which sums (of ``cols`` and the rows) are integers, their names after ``rep``, and their schema."""
+    kinds = dict(stats.dtypes)
+    whole = [kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in cols] + [True]
+    names = ["rep", *[f"__sum_{c}" for c in cols], "__sum_n"]
+    return whole, names, "rep int, " + ", ".join(f"`{c}` {'long' if int_ else 'double'}" for c, int_ in zip(names[1:], whole))
+
+
 def _poisson_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str, row_weight: str | None) -> DataFrame:
     """rep and the weighted sums of the metrics' statistics, each row with a
-    Poisson(1) weight of its own per replicate (rep -1: each row once).  As in any
-    sum, nulls are left out, and a replicate without rows is not there.  ``row_weight``:
-    how many rows a row stands for."""
+    Poisson(1) weight of its own per replicate (rep -1: each row once).
+    ``row_weight``: how many rows a row stands for."""
     cols = statistics(metrics)
-    kinds = dict(stats.dtypes)
-    whole = [kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in cols] + [True]
-    k = len(cols)
+    whole, names, schema = _summed(stats, cols)
 
     def run(batches):
-        total, there = np.zeros((n_boot + 1, k + 1)), np.zeros((n_boot + 1, k + 1), bool)
+        out = _WeightedSums(whole, n_boot)
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in (0, 1))
-            known = np.column_stack([batch.column(2 + c).is_valid().to_numpy(zero_copy_only=False) for c in range(k + 1)])
-            x = np.column_stack([batch.column(2 + c).fill_null(0).to_numpy() for c in range(k + 1)])
-            gaps = np.flatnonzero(~known.all(axis=0))
-            finite = np.isfinite(x).all(axis=1)
+            x, known = _matrix(batch.columns[2:])
             for i in range(0, len(x), _ROWS_AT_ONCE):
                 part = slice(i, i + _ROWS_AT_ONCE)
                 w = np.ones((n_boot + 1, len(x[part])))
                 w[1:] = _poisson_weights(h1[part], h2[part], n_boot)
-                drawn = w.any(axis=1)
-                if finite[part].all():
-                    total += w @ x[part]
-                else:
-                    total += w @ np.where(finite[part, None], x[part], 0)
-                    for j in np.flatnonzero(~finite[part]):  # infinite times 0 would be NaN
-                        on = w[:, j] > 0
-                        total[on] += w[on, j, None] * x[i + j]
-                for c in range(k + 1):
-                    there[:, c] |= (w @ known[part, c] > 0) if c in gaps else drawn
-        on = there[:, k]
-        sums_ = [pa.array(np.rint(v[on]).astype(np.int64) if int_ else v[on], mask=~there[on, c]) for c, (v, int_) in enumerate(zip(total.T, whole))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_boot, dtype=np.int32)[on]), *sums_], names=names)
+                out.add(w, x[part], known[part])
+        yield out.batch(names)
 
-    names = ["rep", *[f"__sum_{c}" for c in cols], "__sum_n"]
     h1, h2 = replicate_seeds(seed, id_col)
     rows = F.col(row_weight) if row_weight else F.lit(1)
     part = stats.select(h1.alias("__h1"), h2.alias("__h2"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)],
                         rows.cast("double").alias("__rows"))
-    part = part.mapInArrow(run, "rep int, " + ", ".join(f"`{c}` {'long' if int_ else 'double'}" for c, int_ in zip(names[1:], whole)))
-    return part.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    return part.mapInArrow(run, schema).groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def _packed(draws: DataFrame) -> DataFrame:
+    """``draws`` (rep, __idx) as ``block, draws``: the rows drawn from a block of
+    ``2^_BLOCK_BITS`` rows, four bytes a draw (replicate and place), many in one row."""
+    def pack(held):
+        rep, idx = (np.concatenate(c) for c in zip(*held))
+        block = idx >> _BLOCK_BITS
+        order = np.argsort(block.astype(np.uint16) if block.max() < 1 << 16 else block, kind="stable")
+        block = block[order]
+        packed = (rep[order].astype(np.uint32) << np.uint32(_BLOCK_BITS)) | (idx[order] & ((1 << _BLOCK_BITS) - 1)).astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        for k in range(0, len(cut) - 1, 1000):
+            some = cut[k:k + 1001]
+            yield pa.RecordBatch.from_arrays([pa.array(block[some[:-1]]), pa.array([packed[i:j].tobytes() for i, j in zip(some[:-1], some[1:])], pa.binary())],
+                                             names=["block", "draws"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in (0, 1)])
+            n += batch.num_rows
+            if n >= _DRAWS_AT_ONCE:
+                yield from pack(held)
+                held, n = [], 0
+        if n:
+            yield from pack(held)
+
+    return draws.select("rep", "__idx").mapInArrow(run, "block long, draws binary")
+
+
+def _multinomial_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str) -> DataFrame:
+    """rep and the weighted sums of the metrics' statistics, the weights being ``n``
+    draws by hash (rep -1: each row once).  The packed draws of a block meet its rows."""
+    cols = statistics(metrics)
+    whole, names, schema = _summed(stats, cols)
+    if n_boot >= 1 << (32 - _BLOCK_BITS):
+        raise ValueError(f"fewer than {1 << (32 - _BLOCK_BITS)} replicates are needed, not {n_boot}")
+    ranked = dense_index(stats.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)]),
+                         "__id", "__idx", total_col="__n")
+    draws = ranked.select(F.col("__idx").alias("__j"), "__n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    u = hash_uniform(seed, F.col("rep"), F.col("__j"))
+    packed = _packed(draws.select("rep", F.floor(u * F.col("__n")).cast("long").alias("__idx")))
+    rows = ranked.select(F.shiftright("__idx", _BLOCK_BITS).alias("block"), F.col("__idx").bitwiseAND((1 << _BLOCK_BITS) - 1).alias("at"),
+                         *[f"__x{i}" for i in range(len(cols))], F.lit(1.0).alias("__rows"))
+
+    def run(held: pa.Table, drawn: pa.Table) -> pa.Table:
+        held = held.sort_by("at")
+        n = held.num_rows
+        w = np.zeros((n_boot, n), np.int64).ravel()
+        for d in drawn.column("draws"):
+            d = np.frombuffer(d.as_buffer(), np.uint32)
+            w += np.bincount((d >> np.uint32(_BLOCK_BITS)).astype(np.int64) * n + (d & np.uint32((1 << _BLOCK_BITS) - 1)), minlength=n_boot * n)
+        out = _WeightedSums(whole, n_boot)
+        x, known = _matrix([c.combine_chunks() for c in held.columns[2:]])
+        out.add(np.vstack([np.ones(n), w.reshape(n_boot, n)]), x, known)
+        return pa.Table.from_batches([out.batch(names)])
+
+    both = rows.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, schema)
+    return both.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def _exact_sums(stats: DataFrame, metrics: list[Metric], n_boot: int, seed: int, id_col: str) -> DataFrame:

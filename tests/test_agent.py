@@ -218,3 +218,15 @@ def test_rename_replay_reports_what_the_first_edit_leaves(spark):
                  F.lit("ab").alias("old_text"), F.lit("ab_renamed").alias("new_text"))
     rows = [tuple(r["r"]) for r in df.select(TR.rename_replay(F.col("c"), m, F.lit("f")).alias("r")).collect()]
     assert rows == [(True, False, 3), (True, True, 0)]
+
+
+def test_trajectories_are_not_a_file_per_run(spark, tmp_path):
+    import __spark_entry__ as E
+
+    rows = [(c if c else None, t, "assistant" if t % 2 else "user", f"<tool_call>\nread /workspace/f{c}.py\n</tool_call>\n\u00e9 \"{t}\"") for c in range(120) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = E.queries()["src4_read_trajectories"](spark, str(tmp_path))
+    files = out.inputFiles()
+    assert 0 < len(files) < 60 and not any("run=" in f for f in files)
+    got = {r["run"]: (r["task_id"], r["success"], r["n_steps"], r["n_calls"]) for r in out.collect()}
+    assert len(got) == 120 and got[None][:3] == (None, None, 2) and got[7][:3] == ("task_7", False, 2) and dict(out.dtypes)["run"] == "bigint"

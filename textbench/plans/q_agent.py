@@ -236,11 +236,11 @@ SELECT run, task_id, success, CAST(n_steps AS INTEGER) AS n_steps, CAST(n_calls
 def src4_read_trajectories(spark, sf_dir):
     """Trajectories written as JSON lines and read back by the reader."""
     path = _scratch(spark, "trajectories")
-    t = trajectories(spark, sf_dir).select("run", F.to_json(F.struct("task_id", "success", "steps")).alias("value"))
-    # the run is the partition folder, the lines hold what the reader knows
-    t.write.partitionBy("run").text(path)
-    back = RD.read_trajectories(spark, path)
-    return back.select(F.col("run").cast("long").alias("run"), "task_id", "success", F.size("steps").alias("n_steps"),
+    t = trajectories(spark, sf_dir).select(F.to_json(F.struct("run", "task_id", "success", "steps")).alias("value"))
+    # the run is a field of the line: as a folder it would be a file per conversation
+    t.write.text(path)
+    back = RD.read_trajectories(spark, path, run="long")
+    return back.select("run", "task_id", "success", F.size("steps").alias("n_steps"),
                        TR.n_tool_calls(F.col("steps")).alias("n_calls"))
 
 

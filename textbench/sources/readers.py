@@ -123,9 +123,10 @@ def read_tasks(spark: SparkSession, path: str, pattern: str = "task_*.json") ->
     return files.select(F.explode(parse_tasks(F.col("value"))).alias("t")).select("t.*").orderBy("id")
 
 
-def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: serialised trajectories (JSON lines, nested steps)."""
-    return spark.read.schema(TRAJECTORY_SCHEMA).json(path)
+def read_trajectories(spark: SparkSession, path: str, **more: str) -> DataFrame:
+    """SRC4: serialised trajectories (JSON lines, nested steps).  ``more``: names and
+    types of fields that the lines hold beside them."""
+    return spark.read.schema(extended(TRAJECTORY_SCHEMA, **more)).json(path)
 
 
 def parse_trajectories(json_col: Column) -> Column:

@@ -35,10 +35,9 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_stats(spark: SparkSession, sf_dir: str, with_bleu: bool = True) -> DataFrame:
     """One row per pair: id, model, is_refusal, length (reference tokens), f1
     and, with BLEU, the n-gram statistics."""
-    p = pair_rows(spark, sf_dir)
     if not with_bleu:
-        return p.drop("prediction", "reference")
-    return B.bleu_row_stats(p, keep=["model", "is_refusal", "length", "f1"])
+        return pair_rows(spark, sf_dir).drop("prediction", "reference")
+    return B.pair_text_stats(pairs(spark, sf_dir), keep=["model", "is_refusal"])
 
 
 SQL_PAIR_SRC = f"""

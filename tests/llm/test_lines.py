@@ -1,6 +1,7 @@
 import random
 
 from helpers import char_shingles, components, similar_pairs
+from textbench.llm import lines
 from textbench.llm.lines import dedup_lines
 
 SCHEMA = "doc_id long, text string, removed string, lid int, pos int, N_LINES string"
@@ -76,3 +77,18 @@ def test_whole_small_table_against_brute_force(spark):
 def test_no_python_in_the_plan(spark):
     plan = dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_bit_tables_hold_every_shingle(spark):
+    """The table put together from its parts is the one of all shingles."""
+    rows = [(1, "a line of some length, with éß and 漢字"), (2, "short"), (3, "x" * 300)]
+    df = spark.createDataFrame(rows, "id long, line string")
+    got = {r["id"]: [r[f"b{j}"] for j in range(lines.WORDS)] for r in lines.with_bits(df, 8).collect()}
+    for i, line in rows:
+        units = line.encode("utf-16-be")
+        parts = [(bytearray(units[2 * k:2 * k + 16]),) for k in range(max(1, len(units) // 2 - 7))]
+        hashes = spark.createDataFrame(parts, "s binary").selectExpr("xxhash64(s) AS h").collect()
+        want = [0] * lines.WORDS
+        for (h,) in hashes:
+            want[(h >> 6) & (lines.WORDS - 1)] |= 1 << (h & 63)
+        assert [x & ((1 << 64) - 1) for x in got[i]] == want

@@ -92,3 +92,61 @@ def test_bit_tables_hold_every_shingle(spark):
         for (h,) in hashes:
             want[(h >> 6) & (lines.WORDS - 1)] |= 1 << (h & 63)
         assert [x & ((1 << 64) - 1) for x in got[i]] == want
+
+
+def _large_group():
+    """100 lines with one to four edits each of one line: all in one candidate
+    group, few of them linked; sizes differ where words are put in."""
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    out = []
+    for n in range(100):
+        line = base
+        for _ in range(rnd.randrange(1, 5)):
+            at = rnd.randrange(len(line))
+            line = line[:at] + rnd.choice("ABCDEFGH") * rnd.choice((1, 1, 1, 30)) + line[at + 1:]
+        out.append((n, line))
+    return out
+
+
+def _components_of(spark, rows):
+    df = spark.createDataFrame(rows, "lid long, line string")
+    return {r["node"]: r["component"] for r in lines.line_components(df).collect()}
+
+
+def test_large_group_is_not_copied_block_by_block(spark, monkeypatch):
+    """Lines that are apart meet the rest of a large group as narrow rows: the
+    rows with text that are compared do not grow with the number of its blocks."""
+    rows, seen = _large_group(), []
+    verify_lines = lines.verify_lines
+
+    def counting(*args):
+        verify = verify_lines(*args)
+
+        def counted(df, asked=None):
+            seen.append(df.count() + (0 if asked is None else asked.count()))
+            return verify(df) if asked is None else verify(df, asked)
+        return counted
+
+    monkeypatch.setattr(lines, "verify_lines", counting)
+    monkeypatch.setattr(lines, "BLOCK_ROWS", 8)
+    got = _components_of(spark, rows)
+    sets = {i: char_shingles(line, 8) for i, line in rows}
+    want = components(sets, list(similar_pairs(sets)))
+    assert {i: got.get(i, i) for i in sets} == want
+    assert 10 < len(set(want.values())) < 90
+    assert sum(seen) <= 10 * len(rows)
+
+
+def test_pairs_by_size_class_and_slot_lose_no_link(spark, monkeypatch):
+    """What the keys do not find, the narrow rows do, in slots of any size."""
+    from textbench.llm import groups
+
+    rows = _large_group()
+    monkeypatch.setattr(lines, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(groups, "KEY_ROWS", 1)
+    monkeypatch.setattr(groups, "REPS", 0)
+    monkeypatch.setattr(groups, "PAIR_ROWS", 7)
+    got = _components_of(spark, rows)
+    sets = {i: char_shingles(line, 8) for i, line in rows}
+    assert {i: got.get(i, i) for i in sets} == components(sets, list(similar_pairs(sets)))
